@@ -1,0 +1,3 @@
+"""DuckDB SQL for the queries that SQL can express."""
+
+ORACLE: dict[str, str] = {}

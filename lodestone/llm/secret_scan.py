@@ -189,9 +189,10 @@ def _redacted(data: bytes, spans: list[tuple[int, int, int]], rules: tuple[Rule,
 def digest(findings: str = "findings") -> list:
     """The columns that sum up findings: counts of the base kinds, a hash of the base spans, all spans as text."""
     joined = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    of = lambda kind: lambda x: x["kind"] == kind
     base = F.filter(findings, lambda x: x["kind"].isin(*BASE_KINDS))
     return [
-        *[F.size(F.filter(findings, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[F.size(F.filter(findings, of(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(F.array_join(F.transform(base, joined), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform(findings, joined), ",").alias("spans"),
     ]

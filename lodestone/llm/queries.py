@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.common import doc_hash_mod
+    from lodestone.llm.lang_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", doc_hash_mod("doc_id", 4) == 2)
+    model = fit(docs.where("not held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model, keep=("doc_id", "held_out"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.secret_scan import digest, find_secrets
 
@@ -21,6 +30,26 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16().alias("fingerprint"), "component_id")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    """Fitted on the labelled documents that are not held out."""
+    from lodestone.llm.common import doc_hash_mod
+    from lodestone.llm.toxicity import fit
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(doc_hash_mod("doc_id", 3) != 1)
+    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.common import doc_hash_mod
+    from lodestone.llm.toxicity import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, toxicity_model(spark, sf_dir, docs)).drop("text")
+    return scored.select("doc_id", (doc_hash_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

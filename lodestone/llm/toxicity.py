@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Many weak voters look at a text: one for each word of a lexicon (a short built-in list and words that labelled toxic
-texts hold far more often than others), density voters, voters for halves of the lexicon being absent, and pattern
+Many weak voters look at a text: one for each entry of a lexicon (a short built-in list, and words and
+beginnings of words that labelled toxic texts hold far more often than others), density voters, voters for halves of the lexicon being absent, and pattern
 voters (shouting, exclamations, symbol runs, shortness). A generative label model treats the true label as hidden: the
 votes have class means (the voters' accuracies) and a shared covariance (their correlations, so that voters who repeat
 each other do not count twice); the given labels are one more, fallible, voter. It is fitted by expectation
@@ -17,6 +17,7 @@ tables give empty tables; repeated rows get equal scores; other columns of the i
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,6 +45,7 @@ def words(raw: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
+    #: whole words, then beginnings of words (ending in *)
     lexicon: list[bytes] = field(default_factory=list)
     #: weights of the features, then of the intercept
     weights: np.ndarray | None = None
@@ -52,16 +54,30 @@ class Model:
     correlations: np.ndarray | None = None
 
     def __post_init__(self):
-        self.at = {w: k for k, w in enumerate(self.lexicon)}
+        self.at = {w: k for k, w in enumerate(self.lexicon) if not w.endswith(b"*")}
+        self.begins = {w[:-1]: k for k, w in enumerate(self.lexicon) if w.endswith(b"*")}
+        self.lengths = sorted({len(w) for w in self.begins})
+
+    def hits(self, found: list[bytes]) -> list[int]:
+        """Lexicon entries met, a word at most once as itself and once by a beginning."""
+        at, begins = self.at, self.begins
+        out = [at[w] for w in found if w in at]
+        seen = set()
+        for n in self.lengths:
+            for w in found:
+                if len(w) > n and w[:n] in begins and w not in seen:
+                    out.append(begins[w[:n]])
+                    seen.add(w)
+        return out
 
 
 def features(model: Model, texts: list[bytes]) -> np.ndarray:
     """A row for each text: presence of each lexicon word, then log hits, log distinct, hits per 100 words, share of capitals, exclamations per 100 words, symbol runs per 100 words, few words."""
-    at, v = model.at, len(model.lexicon)
+    v = len(model.lexicon)
     out = np.zeros((len(texts), v + 7))
     for i, raw in enumerate(texts):
         found = words(raw)
-        hits = [at[w] for w in found if w in at]
+        hits = model.hits(found)
         n = max(len(found), 1)
         row = out[i]
         if hits:
@@ -153,24 +169,62 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
-def learn(texts: list[bytes], given: np.ndarray, weight: np.ndarray, most_words: int = 64, least_z: float = 4.5) -> Model:
-    if not len(texts) or given.min() == given.max():
-        return Model()
-    # copies must not make a word look frequent
-    _, first = np.unique(np.array([hash(t) for t in texts]), return_index=True)
+def _originals(texts: list[bytes]) -> list[int]:
+    """Positions of texts of which no earlier one is a copy or near copy: none of three least hashes of word triples agrees."""
+    seen: set = set()
+    out = []
+    for i, t in enumerate(texts):
+        w = words(t)
+        grams = np.array([zlib.crc32(b" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], np.uint64)
+        keys = {(k, int((grams * np.uint64(m) % np.uint64(4294967291)).min())) for k, m in enumerate((1, 2654435761, 40503 * 65537))}
+        if not keys & seen:
+            out.append(i)
+        seen |= keys
+    return out
+
+
+def lexicon(texts: list[bytes], given: np.ndarray, most: int, least_z: float) -> list[bytes]:
+    """Words, and true beginnings of longer words of 4 to 8 characters (marked *), that toxic texts hold far more often than others."""
+    first = _originals(texts)
     n1, n0 = int((given[first] == 1).sum()), int((given[first] == 0).sum())
-    df1, df0 = Counter(), Counter()
+    if not n1 or not n0:
+        return []
+
+    def entries(i: int) -> set[bytes]:
+        own = set(words(texts[i]))
+        return own | {u[:k].encode() + b"*" for w in own for u in [w.decode("utf-8", "ignore")] for k in range(4, min(9, len(u)))}
+
+    where: dict[bytes, set[int]] = {}
     for i in first:
-        (df1 if given[i] == 1 else df0).update(set(words(texts[i])))
+        if given[i] == 1:
+            for w in entries(i):
+                where.setdefault(w, set()).add(i)
+    where = {w: v for w, v in where.items() if len(v) >= max(4, 0.02 * n1)}
+    df0: Counter = Counter()
+    for i in first:
+        if given[i] == 0:
+            df0.update(w for w in entries(i) if w in where)
     scored = []
-    for w, a in df1.items():
-        b = df0.get(w, 0)
-        if a >= max(4, 0.04 * n1) and len(w) >= 3 and n0:
-            p1, p0, p = a / n1, b / n0, (a + b) / (n1 + n0)
-            z = (p1 - p0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-            if z >= least_z and p1 >= 3 * p0:
-                scored.append((-z, w))
-    learned = [w for _, w in sorted(scored)[:most_words]]
+    for w, v in where.items():
+        a, b = len(v), df0.get(w, 0)
+        p1, p0, p = a / n1, b / n0, (a + b) / (n1 + n0)
+        z = (p1 - p0) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+        if len(w) >= 3 and z >= least_z and p1 >= 10 * p0:
+            scored.append((-round(z, 6), w.endswith(b"*"), -len(w), w))
+    out: list[bytes] = []
+    for *_, w in sorted(scored):
+        # a beginning that stands for the same words as one already taken is no further voter
+        if not any((x.rstrip(b"*").startswith(w.rstrip(b"*")) or w.rstrip(b"*").startswith(x.rstrip(b"*"))) and 10 * len(where[w] & where[x]) > 9 * len(where[w] | where[x]) for x in out):
+            out.append(w)
+        if len(out) == most:
+            break
+    return out
+
+
+def learn(texts: list[bytes], given: np.ndarray, weight: np.ndarray, most_words: int = 64, least_z: float = 4.5) -> Model:
+    if not len(texts) or given.min() == given.max():
+        return Model()
+    learned = lexicon(texts, given, most_words, least_z)
     model = Model(learned + [s.encode() for s in SEEDS if s.encode() not in learned])
     x = features(model, texts)
     votes, names = ballots(x, len(model.lexicon))

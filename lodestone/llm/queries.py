@@ -62,6 +62,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op8_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.doc_fingerprints import report
+    from lodestone.llm.simhash_dedup import hex16
+
+    found = report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_within")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

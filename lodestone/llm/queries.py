@@ -36,7 +36,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame):
     from lodestone.llm.toxicity import fit
 
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(doc_hash_mod("doc_id", 3) != 1)
-    return fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return fit(docs, labels)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pieces, unit_hash
+from lodestone.llm.common import cut, pieces, unit_hash
 
 #: fixed values: mild words of insult, a starting lexicon
 SEEDS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "dumb", "imbecile", "idiota", "imbécile", "dummkopf", "estúpido", "abschaum")
@@ -235,22 +235,28 @@ def learn(texts: list[bytes], given: np.ndarray, weight: np.ndarray, most_words:
     return model
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_positive: int = 4000, max_negative: int = 8000, max_bytes: int = 48_000_000) -> Model:
-    """train: labelled rows (label 0 or 1; other values and nulls are left out)."""
-    rows = train.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
-    rows = rows.withColumn("u", unit_hash(F.coalesce("k", F.lit("")), F.lit("toxicity")))
-    sums = {r["y"]: r for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_positive: int = 4000, max_negative: int = 8000, max_bytes: int = 48_000_000) -> Model:
+    """docs (key, text) and labels (key, label 0 or 1; other values and nulls are left out).
+
+    Only ids, labels and sizes meet in the join; the texts of the sample are then picked out of docs by its bounded list of ids.
+    """
+    sized = docs.select(F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).alias("b"))
+    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and k is not null").join(sized, "k")
+    rows = cut(rows.withColumn("u", unit_hash(F.col("k").cast("string"), F.lit("toxicity"))))
+    sums = {r["y"]: r for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
     if len(sums) < 2:
         return Model()
     share = {y: min(1.0, most / sums[y]["n"], max_bytes / 2 / max(1, sums[y]["b"])) for y, most in ((1, max_positive), (0, max_negative))}
-    found = rows.where(F.when(F.col("y") == 1, F.col("u") < share[1]).otherwise(F.col("u") < share[0])).select(F.col("t").cast("binary").alias("t"), "y", "u").toArrow()
+    taken = rows.where(F.when(F.col("y") == 1, F.col("u") < share[1]).otherwise(F.col("u") < share[0])).select("k", "y", "u").distinct()
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    found = texts.join(F.broadcast(taken), "k").select("t", "y", "u").toArrow()  # about max_positive + max_negative ids
     if not found.num_rows:
         return Model()
-    found = found.take(pc.sort_indices(found, [("u", "ascending"), ("t", "ascending")]))
-    texts, given = found.column("t").to_pylist(), found.column("y").to_numpy().astype(float)
+    found = found.take(pc.sort_indices(found, [("u", "ascending"), ("t", "ascending"), ("y", "ascending")]))
+    given = found.column("y").to_numpy().astype(float)
     have = {y: max(1, int((given == y).sum())) for y in (0, 1)}
     weight = np.where(given == 1, sums[1]["n"] / have[1], sums[0]["n"] / have[0])
-    return learn([bytes(t) for t in texts], given, weight)
+    return learn([bytes(t) for t in found.column("t").to_pylist()], given, weight)
 
 
 def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -70,6 +70,12 @@ def op8_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_within")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

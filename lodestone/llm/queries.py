@@ -16,6 +16,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), model, keep=("doc_id", "held_out"))
 
 
+def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), top=20, every=20)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.secret_scan import digest, find_secrets
 

@@ -16,6 +16,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), model, keep=("doc_id", "held_out"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.html_render import extract
+
+    return extract(table(spark, sf_dir, "pages"), keep=("page_id", "url")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.ann import search
 

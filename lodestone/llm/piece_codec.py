@@ -194,8 +194,8 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded
     return base.mapInArrow(run, f"{fields}, `{out}` string")
 
 
-def round_trip(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and digests of what encode and decode give: n_tokens, ids_sha256, decoded_sha256, and n_spanned: bytes of the text that spans cover."""
+def round_trip(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """The kept columns and digests of what encode and decode give: n_tokens, ids_sha256, decoded_sha256, n_spanned: bytes of the text that spans cover; with_ids: the ids as well."""
 
     def make(raw: list[bytes]) -> dict:
         c = codec(model_file)
@@ -206,6 +206,6 @@ def round_trip(df: DataFrame, model_file: str, text: str = "text", keep: tuple[s
             "ids_sha256": pa.array([hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in c.decode(ids)], pa.string()),
             "n_spanned": pa.array([int((e - b).sum()) for _, b, e in found], pa.int64()),
-        }
+        } | ({"ids": _lists(ids, pa.int32())} if with_ids else {})
 
-    return _run(_texts(df, text, keep), keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_spanned bigint", make)
+    return _run(_texts(df, text, keep), keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_spanned bigint" + ", ids array<int>" * with_ids, make)

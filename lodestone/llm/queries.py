@@ -40,7 +40,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.simhash_dedup import hex16, near_duplicates
 
-    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4, wide=0)
     return found.select("doc_id", hex16().alias("fingerprint"), "component_id")
 
 

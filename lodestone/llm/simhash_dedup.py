@@ -3,13 +3,16 @@
 Fingerprints: lower-cased (A-Z) words, shingles of `width` words with repeats, XXH64 (seed 42) of each; a bit is set if
 more than half of the hashes set it. A text without words has fingerprint zero.
 
-Links: two fingerprints with at most `radius` differing bits have at most radius // 2 of them in the high 32 bits or at
-most (radius - 1) // 2 in the low 32. So two tries are walked, one over each half first, and each with its own budget
-for the first 32 levels and `radius` for all: node pairs descend together, differing bits add up, and a pair over its
-budget is dropped with all below. The top levels of the tries deal the work out: a task holds the subtree of one prefix
-and the subtrees with larger prefixes that the budget still lets it meet. Only distinct fingerprints take part, so
-copies cost nothing here; a subtree pair that is known to be one component already is not walked again, so a dense ball
-of near copies does not cost all its pairs.
+Links: two fingerprints are linked if at most `radius` bits differ. Four tries are walked, over the bits turned by 0,
+16, 32 and 48. Of the four blocks' differing bits some turn has all its running sums at or below their even share (the
+cycle lemma), so each trie has a budget of a quarter of the radius for 16 levels, half for 32, and so on: node pairs
+descend together, differing bits add up, and a pair over its budget is dropped with all below. The top levels deal the
+work out: a task holds the subtree of one prefix and the subtrees of larger prefixes that the budget still lets it meet.
+Only distinct fingerprints take part, so copies cost nothing here; a subtree pair that is known to be one component
+already is not walked again, so a dense ball of near copies does not cost all its pairs.
+
+A wide radius would link texts by chance. With `wide` > 0 each text has that many further 64-bit fingerprints (votes of
+remixed hashes), and a link needs those to differ in at most wide_radius bits each as well.
 
 Defined results: a null text counts as empty; an empty table gives an empty table; rows with the same id each get
 their own row; other columns of the input are not read and may have any name; the result does not depend on the
@@ -62,18 +65,26 @@ def votes(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+def remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes under the k-th further hash function."""
+    h = (h ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, wide: int = 0) -> DataFrame:
+    """(doc_id, fp, w1, ...): each 64 bits as a signed long."""
     base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    names = ["fp", *[f"w{k}" for k in range(1, wide + 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
-                raw = part.column("text").cast(pa.binary()).to_pylist()
-                fp = votes([simhash(x or b"", width) for x in raw])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                hashes = [simhash(x or b"", width) for x in part.column("text").cast(pa.binary()).to_pylist()]
+                prints = [votes([remixed(h, k) for h in hashes] if k else hashes) for k in range(wide + 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(f.view(np.int64)) for f in prints]], names=["doc_id", *names])
 
-    return base.mapInArrow(run, "doc_id long, fp long")
+    return base.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 class _Forest:
@@ -109,12 +120,21 @@ class _Forest:
         return (s[ahi - 1] == s[alo]) & (s[bhi - 1] == s[blo]) & (label[alo] == label[blo])
 
 
-def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int, int]], depth: int, half: int, radius: int, most: int = 1 << 18) -> np.ndarray:
-    """Component labels of sorted distinct uint64 keys, by links inside the home range and between it and the guest ranges.
+TURNS = 4
+
 
-    Ranges are subtrees at the given depth. half: budget of differing bits in the first 32 levels; radius: in all.
-    Pairs of ranges are taken from a stack in chunks of at most `most`, so memory stays bounded.
+def budgets(radius: int) -> list[int]:
+    """Differing bits allowed down to each depth from 0 to 64."""
+    return [radius * -(-d * TURNS // 64) // TURNS for d in range(65)]
+
+
+def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int, int]], depth: int, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0, most: int = 1 << 18) -> np.ndarray:
+    """Component labels of sorted uint64 keys, by links inside the home range and between it and the guest ranges.
+
+    Ranges are subtrees at the given depth. wide: keys x further fingerprints. Pairs of ranges are taken from a stack in
+    chunks of at most `most`, so memory stays bounded.
     """
+    allowed = budgets(radius)
     forest = _Forest(len(keys))
     if not len(keys):
         return forest.label
@@ -136,10 +156,13 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
             which = np.repeat(np.arange(len(n)), n)
             k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             i, j = a0[which] + k // nb[which], b0[which] + k % nb[which]
-            near = np.bitwise_count(keys[i] ^ keys[j]) <= radius
-            near &= i != j
-            if near.any():
-                forest.join(i[near], j[near])
+            near = (np.bitwise_count(keys[i] ^ keys[j]) <= radius) & (i != j)
+            i, j = i[near], j[near]
+            if wide is not None and len(i):
+                near = (np.bitwise_count(wide[i] ^ wide[j]) <= wide_radius).all(axis=1)
+                i, j = i[near], j[near]
+            if len(i):
+                forest.join(i, j)
             alo, ahi, blo, bhi, err, own = (x[~few] for x in (alo, ahi, blo, bhi, err, own))
         if not len(alo):
             continue
@@ -155,57 +178,60 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
             (amid[cross], ahi[cross], blo[cross], bmid[cross], err[cross] + 1),
         ]
         down = np.concatenate([np.array(p, np.int64) for p in parts], axis=1)
-        down = down[:, (down[1] > down[0]) & (down[3] > down[2]) & (down[4] <= (half if d < 32 else radius))]
+        down = down[:, (down[1] > down[0]) & (down[3] > down[2]) & (down[4] <= allowed[d + 1])]
         for x in np.array_split(down, max(1, -(-down.shape[1] // most)), axis=1):
             if x.shape[1]:
                 stack.append((d + 1, x))
     return forest.label
 
 
-def linked(prints: DataFrame, radius: int = 3, subtree: int = 8192) -> DataFrame:
-    """prints (fp long, distinct) -> (fp, component: some fp of its component), for linked fingerprints only."""
-    if not 0 <= radius <= 15:
-        raise ValueError("radius must be from 0 to 15")
-    count = prints.count()
-    budgets = (radius // 2, (radius - 1) // 2)
-    depth = max(0, min(30, int(np.ceil(np.log2(max(1, count) / subtree)))))
-    turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 16, subtree: int = 16384) -> DataFrame:
+    """prints (cls, fp, w1, ...; cls tells rows apart) -> (cls, component: smallest cls of its component), for linked rows only."""
+    if not 0 <= radius <= 31:
+        raise ValueError("radius must be from 0 to 31")
+    further = [f"w{k}" for k in range(1, wide + 1)]
+    depth = max(0, min(16, int(np.ceil(np.log2(max(1, prints.count()) / subtree)))))
+    most = budgets(radius)[depth]
+    masks = [sum(1 << b for b in bits) for k in range(min(most, depth) + 1) for bits in combinations(range(depth), k)]
     rows = None
-    for turn, (value, half) in enumerate(((F.col("fp"), budgets[0]), (turned, budgets[1]))):
-        if half < 0:
-            continue
-        masks = [sum(1 << b for b in bits) for k in range(min(half, depth) + 1) for bits in combinations(range(depth), k)]
+    for turn in range(TURNS):
+        by = turn * 64 // TURNS
+        value = F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")
         prefix = F.shiftrightunsigned(value, 64 - depth) if depth else F.lit(0).cast("long")
         homes = F.explode(F.array(*[prefix.bitwiseXOR(F.lit(m).cast("long")) for m in masks]))
-        part = prints.select(value.alias("key"), prefix.alias("prefix"), homes.alias("home")).where("home <= prefix").withColumn("turn", F.lit(turn))
+        part = prints.select("cls", *further, value.alias("key"), prefix.alias("prefix"), homes.alias("home")).where("home <= prefix").withColumn("turn", F.lit(turn))
         rows = part if rows is None else rows.unionByName(part)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        turn, home = int(pdf["turn"].iloc[0]), int(pdf["home"].iloc[0])
-        keys = np.sort(pdf["key"].to_numpy().view(np.uint64))
+        home = int(pdf["home"].iloc[0])
+        keys = pdf["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys, cls = keys[order], pdf["cls"].to_numpy()[order]
+        extra = np.stack([pdf[c].to_numpy()[order].view(np.uint64) for c in further], axis=1) if further else None
         tops = (keys >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(keys), np.int64)
         names, starts = np.unique(tops, return_index=True)
         ranges = {int(p): (int(s), int(e)) for p, s, e in zip(names, starts, [*starts[1:], len(keys)], strict=True)}
         if home not in ranges:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        label = trie_links(keys, ranges[home], [r for p, r in ranges.items() if p != home], depth, budgets[turn], radius)
+        label = trie_links(keys, ranges[home], [r for p, r in ranges.items() if p != home], depth, radius, extra, wide_radius)
         i = np.flatnonzero(label != np.arange(len(label)))
-        back = (lambda k: k << np.uint64(32) | k >> np.uint64(32)) if turn else (lambda k: k)
-        return pd.DataFrame({"a": back(keys[i]).view(np.int64), "b": back(keys[label[i]]).view(np.int64)})
+        return pd.DataFrame({"a": cls[i], "b": cls[label[i]]})
 
     edges = rows.groupBy("turn", "home").applyInPandas(walk, "a long, b long")
-    return components(edges).withColumnRenamed("node", "fp")
+    return components(edges).withColumnRenamed("node", "cls")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 12, wide: int = 3, wide_radius: int = 16) -> DataFrame:
     """(doc_id, fp, component_id): for each row its fingerprint and the smallest id that links lead to, its own included. A null id is never the smallest unless all are null."""
-    docs = cut(fingerprints(df, doc_id, text, width))
-    classes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = linked(classes.select("fp"), radius)
-    named = classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    docs = fingerprints(df, doc_id, text, width, wide)
+    further = [f"w{k}" for k in range(1, wide + 1)]
+    docs = cut(docs.withColumn("cls", F.xxhash64("fp", *further) if wide else F.col("fp")))
+    classes = cut(docs.groupBy("cls", "fp", *further).agg(F.min("doc_id").alias("least")))
+    groups = linked(classes.drop("least"), radius, wide, wide_radius)
+    named = classes.select("cls", "least").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "component").select("fp", "component_id")
-    return docs.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = named.join(least, "component").select("cls", "component_id")
+    return docs.select("doc_id", "fp", "cls").join(final, "cls").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str = "fp"):

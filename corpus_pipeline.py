@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = simhash_dedup.near_duplicates(docs, width=5, radius=12)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     stays = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return stays.dropDuplicates(["doc_id"])
+    return stays.dropDuplicates(["doc_id", "text"])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

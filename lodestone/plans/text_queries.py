@@ -159,13 +159,13 @@ UNIQUE = f"(select case when n = 0 then 0.0 when u / n < 0.3 then 0.2 when u / n
 
 @query(f"""with s as (select doc_id, {LENGTH} as a, {STRUCTURE} as b, {LANGUAGE} as c, {UNIQUE} as d from documents),
 q as (select *, 0.15 * a + 0.2 * b + 0.25 * 0.4 + 0.1 * 0.5 + 0.2 * 0.7 + 0.05 * c + 0.05 * d as s from s)
-select doc_id, round(a, 4)::double as length_score, round(b, 4)::double as structure_score, round(c, 4)::double as language_score, round(d, 4)::double as uniqueness_score, round(s, 6)::double as quality,
+select doc_id, round(a, 4)::double as length_score, round(b, 4)::double as structure_score, round(c, 6)::double as language_score, round(d, 6)::double as uniqueness_score, round(s, 6)::double as quality,
   case when round(s, 6) >= 0.9 then 'A' when round(s, 6) >= 0.8 then 'B' when round(s, 6) >= 0.7 then 'C' when round(s, 6) >= 0.6 then 'D' else 'F' end as grade from q""")
 def quality_score(spark, d):
     q = G.quality_score("text")
     return docs(spark, d).select(
-        "doc_id", F.round(G.length_score("text"), 4).alias("length_score"), F.round(G.structure_score("text"), 4).alias("structure_score"), F.round(G.language_score("text"), 4).alias("language_score"),
-        F.round(G.uniqueness_score("text"), 4).alias("uniqueness_score"), F.round(q, 6).alias("quality"), G.grade(F.round(q, 6)).alias("grade"),
+        "doc_id", F.round(G.length_score("text"), 4).alias("length_score"), F.round(G.structure_score("text"), 4).alias("structure_score"), F.round(G.language_score("text"), 6).alias("language_score"),
+        F.round(G.uniqueness_score("text"), 6).alias("uniqueness_score"), F.round(q, 6).alias("quality"), G.grade(F.round(q, 6)).alias("grade"),
     )
 
 

@@ -185,21 +185,21 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
     return forest.label
 
 
-def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 16, subtree: int = 16384) -> DataFrame:
+def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 16, subtree: int = 32768) -> DataFrame:
     """prints (cls, fp, w1, ...; cls tells rows apart) -> (cls, component: smallest cls of its component), for linked rows only."""
     if not 0 <= radius <= 31:
         raise ValueError("radius must be from 0 to 31")
     further = [f"w{k}" for k in range(1, wide + 1)]
-    depth = max(0, min(16, int(np.ceil(np.log2(max(1, prints.count()) / subtree)))))
+    depth = max(3, min(16, int(np.ceil(np.log2(max(1, prints.count()) / subtree)))))  # 8 subtrees at least, for as many tasks a turn
     most = budgets(radius)[depth]
     masks = [sum(1 << b for b in bits) for k in range(min(most, depth) + 1) for bits in combinations(range(depth), k)]
     rows = None
     for turn in range(TURNS):
         by = turn * 64 // TURNS
         value = F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")
-        prefix = F.shiftrightunsigned(value, 64 - depth) if depth else F.lit(0).cast("long")
-        homes = F.explode(F.array(*[prefix.bitwiseXOR(F.lit(m).cast("long")) for m in masks]))
-        part = prints.select("cls", *further, value.alias("key"), prefix.alias("prefix"), homes.alias("home")).where("home <= prefix").withColumn("turn", F.lit(turn))
+        prefix = F.shiftrightunsigned(value, 64 - depth)
+        homes = F.explode(F.filter(F.array(*[prefix.bitwiseXOR(F.lit(m).cast("long")) for m in masks]), lambda h: h <= prefix))  # noqa: B023
+        part = prints.select("cls", *further, value.alias("key"), homes.alias("home"), F.lit(turn).alias("turn"))
         rows = part if rows is None else rows.unionByName(part)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:

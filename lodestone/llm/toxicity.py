@@ -2,9 +2,10 @@
 
 Many weak voters look at a text: one for each entry of a lexicon (a short built-in list, and words and
 beginnings of words that labelled toxic texts hold far more often than others), density voters, voters for halves of the lexicon being absent, and pattern
-voters (shouting, exclamations, symbol runs, shortness). A generative label model treats the true label as hidden: the
-votes have class means (the voters' accuracies) and a shared covariance (their correlations, so that voters who repeat
-each other do not count twice); the given labels are one more, fallible, voter. It is fitted by expectation
+voters (shouting, exclamations, symbol runs, shortness). A generative label model treats the true label as hidden: each
+voter says yes, no or nothing with chances that depend on it (its accuracy), voters that err together (their
+correlations) share one voice, so that who repeats another does not count twice, and the given labels are one more,
+fallible, voter. It is fitted by expectation
 maximisation. A linear classifier is then trained on its posterior labels and scores every whole text.
 
 Bound of the fit: labelled rows of smallest hash, at most max_positive and max_negative of them and max_bytes of text
@@ -116,31 +117,35 @@ def ballots(x: np.ndarray, v: int) -> tuple[np.ndarray, list[str]]:
     return np.stack(votes, axis=1), names
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 25, shrink: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the hidden label for each row, voters' means on either class, their correlations.
+def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 25, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the hidden label for each row, voters' mean votes on either class, their correlations within a class.
 
     given: labels 0/1 (a further voter that errs); weight: how many rows of the population a row stands for.
     """
+    weight = weight / weight.mean()
+    kinds = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)
     post = np.where(given == 1, 0.9, 0.02)
-    for _ in range(rounds):
+    corr = np.eye(votes.shape[1])
+    for k in range(rounds):
         w1, w0 = weight * post, weight * (1 - post)
-        prior = w1.sum() / weight.sum()
-        m1, m0 = (w1 @ votes) / w1.sum(), (w0 @ votes) / w0.sum()
-        d1, d0 = votes - m1, votes - m0
-        cov = (d1.T @ (d1 * w1[:, None]) + d0.T @ (d0 * w0[:, None])) / weight.sum()
-        cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
-        direction = np.linalg.solve(cov, m1 - m0)
-        # scale of the score under either class, so that it is no surer than the votes are
-        score = (votes - (m1 + m0) / 2) @ direction
+        p1, p0 = ((w @ kinds + smooth) / (w.sum() + 3 * smooth) for w in (w1, w0))
+        m1, m0 = p1[2] - p1[0], p0[2] - p0[0]
+        if k == 0:  # voters who err together, judged by the given labels; later rounds would explain it away
+            r = votes - np.where(given[:, None] == 1, m1, m0)
+            cov = (r * weight[:, None]).T @ r / weight.sum()
+            s = np.sqrt(np.diag(cov)) + 1e-9
+            corr = cov / np.outer(s, s)
+            np.fill_diagonal(corr, 1.0)
+            share = 1 / np.clip(corr, 0, 1).sum(axis=1)  # alike voters share one voice
+        said = np.einsum("kij,kj->ij", kinds, np.log(p1) - np.log(p0))
         hit, false = np.clip(w1 @ given / w1.sum(), 0.05, 0.995), np.clip(w0 @ given / w0.sum(), 0.001, 0.5)
         told = np.where(given == 1, np.log(hit / false), np.log((1 - hit) / (1 - false)))
-        logit = np.clip(np.log(prior / (1 - prior)) + score + told, -30, 30)
-        fresh = 1 / (1 + np.exp(-logit))
+        prior = np.clip(w1.sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        fresh = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + said @ share + told, -30, 30)))
         moved, post = np.abs(fresh - post).max(), np.clip(fresh, 1e-6, 1 - 1e-6)
         if moved < 1e-4:
             break
-    s = np.sqrt(np.diag(cov))
-    return post, m1, m0, cov / np.outer(s, s)
+    return post, m1, m0, corr
 
 
 def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:

@@ -60,7 +60,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.toxicity import score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, toxicity_model(spark, sf_dir, docs)).drop("text")
+    scored = score(docs, toxicity_model(spark, sf_dir, docs), keep=("doc_id",))
     return scored.select("doc_id", (doc_hash_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

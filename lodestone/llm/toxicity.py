@@ -271,18 +271,17 @@ def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -700, 700)))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """df with the probability of being toxic in column out (which replaces one of that name)."""
-    kept = [c for c in df.columns if c != out]
-    base = df.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(text)
+def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The kept columns (all, if None) with the probability of being toxic in column out (which replaces one of that name)."""
+    kept = [c for c in (df.columns if keep is None else keep) if c != out]
+    base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most most_words and the seeds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text):
-                raw = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probabilities(shared.value, raw))], names=[*kept, out])
+            for part in pieces(batch, "__text", 4 << 20):
+                raw = [x or b"" for x in part.column(len(kept)).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(probabilities(shared.value, raw))], names=[*kept, out])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    return base.mapInArrow(run, f"{fields}, `{out}` double")
+    fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes[:-1])
+    return base.mapInArrow(run, ", ".join(filter(None, [fields, f"`{out}` double"])))

@@ -221,7 +221,7 @@ def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int =
     return components(edges).withColumnRenamed("node", "cls")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 12, wide: int = 3, wide_radius: int = 16) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, wide: int = 3, wide_radius: int = 18) -> DataFrame:
     """(doc_id, fp, component_id): for each row its fingerprint and the smallest id that links lead to, its own included. A null id is never the smallest unless all are null."""
     docs = fingerprints(df, doc_id, text, width, wide)
     further = [f"w{k}" for k in range(1, wide + 1)]

@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after Arrow batches were set to 8 MB where the session leaves their size at the default, so that long texts don't fill the memory beside the heap."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key, None) in ("67108864b", "64m", "64MB"):
+        conf.set(key, "8m")
+    return df
+
+
 def doc_hash_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pieces
+from lodestone.llm.common import pieces, small_batches
 
 # fixed values: sets of element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -382,8 +382,8 @@ def extract(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "__page", 8 << 20):
-                texts = [render(x) for x in part.column("__page").to_pylist()]
+                texts = [render(x and x.decode("utf-8", "replace")) for x in part.column("__page").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, out])
 
     fields = "".join(f"`{c}` {t}, " for c, t in base.dtypes if c != "__page")
-    return base.mapInArrow(run, f"{fields}`{out}` string")
+    return small_batches(base).mapInArrow(run, f"{fields}`{out}` string")

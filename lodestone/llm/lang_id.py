@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pieces, unit_hash, utf8
+from lodestone.llm.common import pieces, small_batches, unit_hash, utf8
 
 UNKNOWN = "und"
 
@@ -59,7 +59,13 @@ def symbol_table(letters: list[str]) -> np.ndarray:
 
 def symbols_of(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, runs of non-letters as one, and the offsets of the texts in them."""
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    try:
+        text = raw.tobytes().decode()
+    except UnicodeDecodeError:  # mended text by text, so that offsets stay right
+        mended = [raw[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(off, off[1:], strict=False)]
+        raw, off = np.frombuffer(b"".join(mended), np.uint8), np.cumsum([0, *map(len, mended)])
+        text = raw.tobytes().decode()
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     out = table[points]
     # where texts begin, in code points
     before = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
@@ -207,4 +213,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c != "__text")
-    return base.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return small_batches(base).mapInArrow(run, f"{fields}, lang_pred string, score double")

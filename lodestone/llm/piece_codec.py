@@ -7,7 +7,8 @@ them to a span of the original bytes. Copied characters align byte by byte; all
 begin of what it replaces.
 
 Defined results: a null text is an empty one and has no pieces; repeated rows get equal results; empty tables give
-empty tables; texts of any length are encoded whole; other columns are not read.
+empty tables; texts of any length are encoded whole; bytes that are no UTF-8 count as U+FFFD, and spans then refer to the
+mended text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pieces
+from lodestone.llm.common import pieces, small_batches
 
 SPACE = "▁".encode()
 
@@ -128,7 +129,7 @@ class Codec:
         whole = [t.decode("utf-8", "replace") for t in texts]
         out = []
         for text, data, ids in zip(whole, texts, self.sp.encode(whole, return_type="numpy", num_threads=1), strict=True):
-            normal, align = self.normalise(data)
+            normal, align = self.normalise(text.encode() if "\ufffd" in text else data)
             sizes = self.lengths[ids]
             if (ids == self.unknown).any():
                 sizes = np.array([len(p.encode()) if i == self.unknown else s for p, i, s in zip(self.sp.encode(text, return_type=str), ids, sizes, strict=True)], np.int64)
@@ -160,7 +161,7 @@ def _run(base: DataFrame, keep: tuple[str, ...], schema: str, make) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made.values()], names=[*keep, *made])
 
     fields = "".join(f"`{c}` {t}, " for c, t in base.dtypes if c != "__text")
-    return base.mapInArrow(run, fields + schema)
+    return small_batches(base).mapInArrow(run, fields + schema)
 
 
 def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
@@ -191,7 +192,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    return base.mapInArrow(run, f"{fields}, `{out}` string")
+    return small_batches(base).mapInArrow(run, f"{fields}, `{out}` string")
 
 
 def round_trip(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:

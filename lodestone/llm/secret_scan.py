@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.automaton import Automaton
-from lodestone.llm.common import pieces, utf8
+from lodestone.llm.common import pieces, small_batches, utf8
 
 
 @dataclass(frozen=True)
@@ -170,11 +170,11 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "findings", rules
                     rows.append(spans)
                 columns = list(part.columns)
                 if texts:
-                    old = columns[at].to_pylist()
-                    columns[at] = pa.array([texts.get(i, x) for i, x in enumerate(old)], columns[at].type)
+                    old = columns[at].cast(pa.binary()).to_pylist()
+                    columns[at] = pa.array([texts[i].encode() if i in texts else x for i, x in enumerate(old)], pa.binary()).view(pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, _ARROW)], names=[*kept, out])
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)
 
 
 def _redacted(data: bytes, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...], by: str) -> str:
@@ -183,7 +183,7 @@ def _redacted(data: bytes, spans: list[tuple[int, int, int]], rules: tuple[Rule,
         if s >= done and s > last - 1 or not out:
             out += [data[done:s], by.replace("{}", rules[k].kind).encode()]
         done = last = max(done, e)
-    return b"".join([*out, data[done:]]).decode()
+    return b"".join([*out, data[done:]]).decode("utf-8", "replace")
 
 
 def digest(findings: str = "findings") -> list:

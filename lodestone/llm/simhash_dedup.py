@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, pieces
+from lodestone.llm.common import cut, pieces, small_batches
 from lodestone.llm.graph import components
 
 
@@ -84,7 +84,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
                 prints = [votes([remixed(h, k) for h in hashes] if k else hashes) for k in range(wide + 1)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(f.view(np.int64)) for f in prints]], names=["doc_id", *names])
 
-    return base.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return small_batches(base).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 class _Forest:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, pieces, unit_hash
+from lodestone.llm.common import cut, pieces, small_batches, unit_hash
 
 #: fixed values: mild words of insult, a starting lexicon
 SEEDS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "dumb", "imbecile", "idiota", "imbécile", "dummkopf", "estúpido", "abschaum")
@@ -284,4 +284,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(probabilities(shared.value, raw))], names=[*kept, out])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes[:-1])
-    return base.mapInArrow(run, ", ".join(filter(None, [fields, f"`{out}` double"])))
+    return small_batches(base).mapInArrow(run, ", ".join(filter(None, [fields, f"`{out}` double"])))

@@ -469,3 +469,16 @@ def test_shards_of_odd_rows(spark):
     counts = [sum(r["shard"] == s for r in out) for s in range(4)]
     assert len(out) == len(ODD) and max(counts) - min(counts) <= 1
     assert shard(frame(spark, []), 4).count() == 0 and shard(frame(spark, ODD[:1]), 40).collect()[0]["slot"] == 0
+
+
+def test_bytes_that_are_no_utf8(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from lodestone.llm import doc_fingerprints, html_render, lang_id, mixing, piece_codec, secret_scan, sharding, simhash_dedup, toxicity
+
+    df = spark.sql("select * from values (1L, x'61ff62c3'), (2L, x'e4'), (3L, x'746f6b656e3d616263646566ff') t(doc_id, raw)").selectExpr("doc_id", "cast(raw as string) as text", "'s' as source")
+    model = lang_id.build({"en": ["some english text"]})
+    for out in (
+        lang_id.identify(df, model), html_render.extract(df, "text", ("doc_id",)), secret_scan.find_secrets(df, redact="[{}]"), simhash_dedup.fingerprints(df), toxicity.score(df, toxicity.Model()),
+        piece_codec.round_trip(df, public.path("piece_bpe_32k.model")), doc_fingerprints.compare_edited(df), mixing.mix(df), sharding.shard(df, 2),
+    ):
+        assert out.count() == 3

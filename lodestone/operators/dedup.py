@@ -38,15 +38,23 @@ def minhash_bands(bands: int = 20, rows: int = 4):
 def near_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, similarity) between the representatives (smallest ids) of texts that are alike from the threshold up, verified on the shingles. Equal texts are one representative; in each band every text meets only the smallest of its key, and all others through it."""
     reps = docs.groupBy(F.md5(F.lower(F.trim(text))).alias("m")).agg(F.min(F.struct(F.col(id).alias("id"), F.col(text).alias("t"))).alias("r")).select("r.id", "r.t")
+    hashed = _hashed(reps, width)
+    keys = hashed.select("id", F.explode(minhash_bands()("h")).alias("key"))  # shuffled without texts or shingles
+    heads = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    pairs = keys.join(heads, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = _hashed(reps.join(asked, "id", "left_semi"), width)
+    both = pairs.join(found.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(found.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    sim = shared / (F.size("ha") + F.size("hb") - shared)
+    return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _hashed(reps: DataFrame, width: int) -> DataFrame:
+    """reps (id, t) -> (id, h): hashes of the distinct shingles, without texts that have no word."""
     words = reps.select("id", F.array_remove(F.split(F.lower("t"), "\\s+"), "").alias("w")).where(F.size("w") > 0)
     at = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    s = words.select("id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, width)))).alias("h"))
-    keys = s.select("id", "h", F.explode(minhash_bands()("h")).alias("key"))
-    heads = keys.groupBy("key").agg(F.min(F.struct("id", "h")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    pairs = keys.join(heads, "key").where(F.col("head.id") < F.col("id"))
-    both = F.size(F.array_intersect("h", F.col("head.h")))
-    sim = both / (F.size("h") + F.size(F.col("head.h")) - both)
-    return pairs.select(F.col("head.id").alias("a"), F.col("id").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold).distinct()
+    return words.select("id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, width)))).alias("h"))
 
 
 def duplicate_gate(new: DataFrame, hits: DataFrame, least_similarity: float = 0.85, id: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import cosine_similarity, distance
+from lodestone.functions.vectors import cosine_similarity, distance, dot, norm, unit
 
 
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, per_collection: bool = False, metric: str = "cosine", where: Column | None = None, not_self: bool = False, id: str = "id", collection: str = "collection", embedding: str = "embedding") -> DataFrame:
@@ -15,11 +15,13 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, per_collection: bool =
     shuffle. Ties go to the smaller id. not_self leaves out rows whose id is the query's self_id.
     """
     rows = chunks if where is None else chunks.where(F.coalesce(where, F.lit(False)))
-    rows = rows.select(F.col(id).alias("id"), F.col(collection).alias("collection"), F.col(embedding).alias("__e"))
-    pairs = rows.crossJoin(queries)
+    # lengths are taken once a row, not once a pair
+    ready = (lambda c: F.when(norm(c) > 0, unit(c))) if metric == "cosine" else F.col
+    rows = rows.select(F.col(id).alias("id"), F.col(collection).alias("collection"), ready(embedding).alias("__e"))
+    pairs = rows.crossJoin(queries.withColumn("query_embedding", ready("query_embedding")))
     if not_self:
         pairs = pairs.where(F.col("id") != F.col("self_id"))
-    d = distance("__e", "query_embedding", metric)
+    d = F.when(F.size("__e") == F.size("query_embedding"), 1 - dot("__e", "query_embedding") if metric == "cosine" else distance("__e", "query_embedding", metric))
     pairs = pairs.select("qid", "id", "collection", d.alias("distance")).where(F.col("distance").isNotNull())
     by = ["qid", "collection"] if per_collection else ["qid"]
     order = Window.partitionBy(*by).orderBy("distance", "id")

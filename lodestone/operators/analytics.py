@@ -112,3 +112,36 @@ def progress(operations: DataFrame) -> DataFrame:
 
 def error_summary(errors: DataFrame, kind: str = "kind") -> DataFrame:
     return errors.groupBy(kind).agg(F.count("*").alias("n"))
+
+
+def history_search(history: DataFrame, part: str, k: int, text: str = "query", by: str = "asked_at", id: str = "id") -> DataFrame:
+    """The newest k queries that hold a text in any case."""
+    return history.where(F.contains(F.lower(text), F.lit(part.lower()))).orderBy(F.desc(by), id).limit(k)
+
+
+def common_words(history: DataFrame, k: int = 5, text: str = "query", longer_than: int = 3) -> DataFrame:
+    words = history.select(F.explode(F.split(F.lower(text), "\\s+")).alias("word")).where(F.length("word") > longer_than)
+    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
+
+
+def chunk_statistics(chunks: DataFrame, *by: str, content: str = "content") -> DataFrame:
+    return chunks.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.sum(F.length(content)).alias("n_chars"), F.avg(F.length(content)).alias("mean_chars"))
+
+
+def evicted(entries: DataFrame, most: int, by: str, used: str, id: str) -> DataFrame:
+    """Entries of a group beyond the `most` last used."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(used), id))
+    return entries.withColumn("__n", n).where(F.col("__n") > most).drop("__n")
+
+
+def scaled(df: DataFrame, value: str, by: str, out: str) -> DataFrame:
+    """df with the value moved to 0..1 within its group; a group of one value gives 0."""
+    s = df.groupBy(by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    return df.join(s, by).withColumn(out, F.coalesce((F.col(value) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0)), F.lit(0.0))).drop("__lo", "__hi")
+
+
+def cache_advice(stats: DataFrame) -> DataFrame:
+    """stats (hit_rate, mean_seconds) with a grade and what to do."""
+    grade = F.when(F.col("hit_rate") >= 0.8, "A").when(F.col("hit_rate") >= 0.6, "B").when(F.col("hit_rate") >= 0.4, "C").otherwise("D")
+    advice = F.array_compact(F.array(F.when(F.col("hit_rate") < 0.5, "enlarge the cache"), F.when(F.col("mean_seconds") > 1, "warm frequent keys")))
+    return stats.withColumn("grade", grade).withColumn("advice", advice)

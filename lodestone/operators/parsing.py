@@ -254,3 +254,17 @@ def header_context(levels: Column, depths: Column, most: int) -> Column:
     """Titles of a header path down to a depth."""
     kept = F.filter(F.arrays_zip(levels.alias("l"), depths.alias("d")), lambda x: x["d"] <= most)
     return F.array_join(F.transform(kept, lambda x: x["l"]), " > ")
+
+
+def find_sections(sections_: DataFrame, title: str | None = None, exact_case: bool = True, levels: tuple[int, int] | None = None, title_pattern: str | None = None, content_pattern: str | None = None, where: Column | None = None) -> DataFrame:
+    """Sections that meet all given conditions; patterns see several lines, and a point fits line ends."""
+    rows = sections_
+    if title is not None:
+        rows = rows.where(F.col("title") == title if exact_case else F.lower("title") == title.lower())
+    if levels is not None:
+        rows = rows.where(F.col("level").between(*levels))
+    if title_pattern is not None:
+        rows = rows.where(F.col("title").rlike(title_pattern))
+    if content_pattern is not None:
+        rows = rows.where(F.col("content").rlike(f"(?ms){content_pattern}"))
+    return rows if where is None else rows.where(where)

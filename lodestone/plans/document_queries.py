@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as G
+from lodestone.operators import analytics as A
 from lodestone.operators import chunking as K
 from lodestone.operators import parsing as R
 from lodestone.operators.encoding import HashingEncoder, embed, provider
+from lodestone.operators.intervals import contained
 from lodestone.operators.search import top_k
 from lodestone.plans.registry import query, table
 from lodestone.streaming import windows as S
@@ -144,3 +146,73 @@ s as (select *, sum(new) over (partition by user_id order by ts, event_id rows u
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*)::bigint as n from s group by user_id, k""")
 def session_counts(spark, d):
     return S.sessions(_events(spark, d), "at", "6 hours", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("select doc_id, 2::int as section from documents union all select doc_id, 1 from documents where source = 'src3'")
+def section_search(spark, d):
+    rows = R.sections(marked(spark, d))
+    a = R.find_sections(rows, title="items", exact_case=False, levels=(2, 3), content_pattern="^- \\[x\\].*open")
+    b = R.find_sections(rows, title_pattern="^Title src3$", where=F.col("level") == 1)
+    return a.select("doc_id", "section").unionByName(b.select("doc_id", "section"))
+
+
+@query("select conv_id, turn from conversations where contains(lower(text), 'the') order by conv_id desc, turn limit 20")
+def query_history(spark, d):
+    return A.history_search(table(spark, d, "conversations"), "THE", 20, "text", "conv_id", "turn").select("conv_id", "turn")
+
+
+@query("select word, count(*)::bigint as n from (select unnest(string_split_regex(lower(text), '\\s+')) as word from conversations where role = 'user') where length(word) > 3 group by word order by n desc, word limit 5")
+def common_query_words(spark, d):
+    return A.common_words(table(spark, d, "conversations").where("role = 'user'"), 5, "text")
+
+
+@query("select doc_id, ceil(length(text) / 300)::bigint as n_chunks, length(text)::bigint as n_chars, round(length(text) / ceil(length(text) / 300), 6)::double as mean_chars from documents where length(text) > 0")
+def chunk_statistics(spark, d):
+    return A.chunk_statistics(K.fixed_size(table(spark, d, "documents"), 300), "doc_id").withColumn("mean_chars", F.round("mean_chars", 6))
+
+
+@query("select event_id from (select event_id, row_number() over (partition by user_id order by ts desc, event_id) as n from events) where n > 12")
+def cache_eviction(spark, d):
+    return A.evicted(table(spark, d, "events"), 12, "user_id", "ts", "event_id").select("event_id")
+
+
+@query("select event_id, round(coalesce((value - min(value) over w) / nullif(max(value) over w - min(value) over w, 0), 0), 6) as scaled from events window w as (partition by event_type)")
+def scaled_metadata(spark, d):
+    return A.scaled(table(spark, d, "events"), "value", "event_type", "scaled").select("event_id", F.round("scaled", 6).alias("scaled"))
+
+
+@query("""with s as (select event_type, avg((value > 50)::int) as r, avg(value) as m from events group by event_type) select event_type, case when r >= 0.8 then 'A' when r >= 0.6 then 'B' when r >= 0.4 then 'C' else 'D' end as grade,
+  array_to_string(list_concat(case when r < 0.5 then ['enlarge the cache'] else [] end, case when m > 1 then ['warm frequent keys'] else [] end), ',') as advice from s""")
+def cache_advice(spark, d):
+    log = table(spark, d, "events").select("event_type", (F.col("value") > 50).alias("hit"), F.col("value").alias("seconds"))
+    return A.cache_advice(A.cache_statistics(log, "event_type")).select("event_type", "grade", F.array_join("advice", ",").alias("advice"))
+
+
+@query("select doc_id as qid, p as priority, case p when 1 then 'Search recent publications on \"' || source || '\"' else 'Look for overviews and tutorials about \"' || source || '\"' end as suggestion from documents, (values (1), (2)) v(p) where doc_id % 3 = 0")
+def research_suggestions(spark, d):
+    gaps = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("query"), (F.col("doc_id") % 3 == 0).alias("has_gap"))
+    return A.research_suggestions(gaps)
+
+
+@query("select doc_id, 'Title ' || source || ' > Items' as context from documents")
+def header_context(spark, d):
+    levels = F.array(F.concat(F.lit("Title "), "source"), F.lit("Items"), F.lit("Deep"))
+    return table(spark, d, "documents").select("doc_id", R.header_context(levels, F.array(F.lit(1), F.lit(2), F.lit(3)), 2).alias("context"))
+
+
+@query("select doc_id, 'list' as kind, 2::bigint as outer_id from documents union all select doc_id, 'table', 2 from documents union all select doc_id, 'code_block', 2 from documents union all select doc_id, 'blockquote', 3 from documents")
+def units_in_sections(spark, d):
+    """Which section holds the units made for each document (its own text has none of these kinds)."""
+    docs = marked(spark, d)
+    units = R.units(docs).where("kind in ('list', 'table', 'code_block', 'blockquote')").select("doc_id", "kind", "start", "end")
+    outer = R.sections(docs).select("doc_id", F.col("section").cast("long").alias("outer_id"), F.col("start").alias("outer_start"), F.col("end").alias("outer_end"))
+    return contained(units, outer, "doc_id").where("outer_id >= 2").select("doc_id", "kind", "outer_id")
+
+
+@query("select doc_id, length(text)::bigint as n from documents where doc_id % 2 = 0 union all select doc_id, -1 from documents where doc_id % 2 = 1")
+def rebuild_index(spark, d):
+    from lodestone.plans.pipelines import rebuild
+
+    chunks = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("collection"), F.col("text").alias("content"), F.array(F.lit(0.5)).alias("embedding"), F.lit(None).cast("string").alias("embedding_error"))
+    new = rebuild(chunks, HashingEncoder(8), ["a"])
+    return new.select("doc_id", F.when(F.size("embedding") == 8, F.length("content").cast("long")).otherwise(F.lit(-1).cast("long")).alias("n"))

@@ -3,8 +3,8 @@
 A source's target divided by its size is how many copies each of its documents should give; the whole part is given at
 once, the rest is a probability. Pairs of documents then trade: what one gains in words the other loses, the direction
 is drawn so that both keep their probability in expectation, and the trade ends when one of the two is decided. So a
-source's words stay what they should be. The one document that is left at the end goes to the nearer side, so a source
-ends within half a document of its target.
+source's words stay what they should be. The one document that is left at the end goes to the nearer side, and a few
+others of its group are turned where that brings the source nearer to its target.
 
 Trades run in a reduction tree: each group of a source's documents leaves at most one undecided, and the undecided of
 `fan` groups meet in a group of the next level. Groups are dealt by a hash of the id, so a source of any size spreads
@@ -77,6 +77,23 @@ def pivot(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
     return p
 
 
+def settled_near(p: np.ndarray, size: np.ndarray, most: int = 16) -> np.ndarray:
+    """p without its last open entry, which goes to the nearer side; then single entries are turned while that brings sum(p * size) nearer to what it was."""
+    goal, p = float(p @ size), p.copy()
+    one = (p > 0) & (p < 1)
+    if not one.any():
+        return p
+    p[one] = np.rint(p[one])
+    for _ in range(most):
+        over = float(p @ size) - goal
+        fit = np.where((p == (1 if over > 0 else 0)) & (size > 0), np.abs(np.abs(over) - size), np.inf)
+        k = int(fit.argmin())
+        if not fit[k] < abs(over):
+            break
+        p[k] = 1 - p[k]
+    return p
+
+
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7, group_rows: int = 4096, fan: int = 64) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row."""
     base = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")))
@@ -103,9 +120,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     def trade(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "u"], ascending=False, kind="stable")  # so that a short one is left
         p = pivot(pdf["p"].to_numpy(), pdf["size"].to_numpy(float), pdf["u"].to_numpy())
-        if pdf["groups"].iloc[0] <= 1:  # the last one goes to the nearer side
-            one = np.flatnonzero((p > 0) & (p < 1))
-            p[one] = np.rint(p[one])
+        if pdf["groups"].iloc[0] <= 1:  # the last open one is settled
+            p = settled_near(p, pdf["size"].to_numpy(float))
         pdf["p"] = p
         return pdf
 

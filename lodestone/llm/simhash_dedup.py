@@ -12,7 +12,7 @@ Only distinct fingerprints take part, so copies cost nothing here; a subtree pai
 already is not walked again, so a dense ball of near copies does not cost all its pairs.
 
 A wide radius would link texts by chance. With `wide` > 0 each text has that many further 64-bit fingerprints (votes of
-remixed hashes), and a link needs those to differ in at most wide_radius bits each as well.
+remixed hashes), and a link needs all of them together, the first included, to differ in at most wide_radius bits.
 
 Defined results: a null text counts as empty; an empty table gives an empty table; rows with the same id each get
 their own row; other columns of the input are not read and may have any name; the result does not depend on the
@@ -159,7 +159,7 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
             near = (np.bitwise_count(keys[i] ^ keys[j]) <= radius) & (i != j)
             i, j = i[near], j[near]
             if wide is not None and len(i):
-                near = (np.bitwise_count(wide[i] ^ wide[j]) <= wide_radius).all(axis=1)
+                near = np.bitwise_count(keys[i] ^ keys[j]) + np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_radius
                 i, j = i[near], j[near]
             if len(i):
                 forest.join(i, j)
@@ -185,7 +185,7 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
     return forest.label
 
 
-def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 16, subtree: int = 32768) -> DataFrame:
+def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 54, subtree: int = 32768) -> DataFrame:
     """prints (cls, fp, w1, ...; cls tells rows apart) -> (cls, component: smallest cls of its component), for linked rows only."""
     if not 0 <= radius <= 31:
         raise ValueError("radius must be from 0 to 31")
@@ -221,7 +221,7 @@ def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int =
     return components(edges).withColumnRenamed("node", "cls")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, wide: int = 3, wide_radius: int = 18) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, wide: int = 3, wide_radius: int = 54) -> DataFrame:
     """(doc_id, fp, component_id): for each row its fingerprint and the smallest id that links lead to, its own included. A null id is never the smallest unless all are null."""
     docs = fingerprints(df, doc_id, text, width, wide)
     further = [f"w{k}" for k in range(1, wide + 1)]

@@ -53,12 +53,11 @@ def unit_hash(*cols: Column | str) -> Column:
     return F.pmod(F.shiftrightunsigned(F.xxhash64(*cols), 11), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def ranked(df: DataFrame, order: list[str], out: str, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+def ranked(df: DataFrame, order: list[str], out: str, partitions: int | None = None) -> DataFrame:
     """Give each row its position (from 0) in the order of the columns, without one task that sees all rows.
 
     Range partitions are sorted apart and written down, so the partition numbers stay as they are; only one count a
     partition meets in one place. Columns in order should tell rows apart, so that equal keys spread over partitions.
-    Returns the rows and the table they were written to, without positions.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mid = "__mid"
@@ -70,10 +69,10 @@ def ranked(df: DataFrame, order: list[str], out: str, partitions: int | None = N
         starts.append((r["p"], total))
         total += r["n"]
     if not starts:
-        return rows.withColumn(out, F.lit(0).cast("long")).drop(mid), rows.drop(mid)
+        return rows.withColumn(out, F.lit(0).cast("long")).drop(mid)
     start = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])
     at = F.element_at(start, part) + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn(out, at).drop(mid), rows.drop(mid)
+    return rows.withColumn(out, at).drop(mid)
 
 
 def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

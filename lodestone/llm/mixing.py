@@ -40,7 +40,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     stops and shares the rest anew, until no further one is stopped; a round is one aggregation.
     """
     order = sources.withColumn("last", F.col("source").isNull())
-    placed, _ = ranked(order, ["last", "source"], "place", partitions=min(64, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = ranked(order, ["last", "source"], "place", partitions=min(64, int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")).cast("long")
     placed = cut(placed.select("source", "source_size", w.alias("w")))
     total = placed.agg(F.sum("source_size")).first()[0] or 0

@@ -104,6 +104,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from lodestone.llm.oracle import ORACLE
-
-    return dict(ORACLE)
+    """None: XXH64 bits, trained models, automata, tokenizers and draws can't be told in SQL; tests/llm holds each query's operator against brute force."""
+    return {}

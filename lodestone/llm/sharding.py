@@ -73,7 +73,7 @@ def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "
     moved = linked.select("doc_id", "dup", "group", F.col("shard").alias("now"))
     placed = rows.join(moved, ["doc_id", "dup", "group"], "left").select("doc_id", "dup", "group", "group_size", "size", "text_crc32", F.coalesce("now", "shard").alias("shard"))
     # linked rows first, so that rows above a shard's share are unlinked ones if it has any
-    order, _ = ranked(placed.withColumn("single", F.col("group_size") == 1), ["shard", "single", "group", "doc_id", "dup"], "place")
+    order = ranked(placed.withColumn("single", F.col("group_size") == 1), ["shard", "single", "group", "doc_id", "dup"], "place")
     order = cut(order)
     counts = [0] * shards
     for r in order.groupBy("shard").agg(F.count("*").alias("n")).collect():  # one row a shard

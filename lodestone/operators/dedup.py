@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 
-def shingles(text: Column | str, width: int = 5) -> Column:
-    """Distinct shingles of so many lower-cased words; a shorter text is one shingle."""
-    w = F.array_remove(F.split(F.lower(text), "\\s+"), "")
-    n = F.size(w)
-    at = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, width), " "))))
-
-
 def minhash_bands(bands: int = 20, rows: int = 4):
     """A function of an array of hashes: a key for each band of least hashes (Arrow batches); texts that share a key are candidates."""
     odd = np.random.default_rng(11).integers(1, 1 << 62, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import cosine_similarity, distance, dot, norm, unit
+from lodestone.functions.vectors import distance, dot, norm, unit
 
 
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, per_collection: bool = False, metric: str = "cosine", where: Column | None = None, not_self: bool = False, id: str = "id", collection: str = "collection", embedding: str = "embedding") -> DataFrame:
@@ -137,7 +137,3 @@ def packed_context(hits: DataFrame, budget: int, text: str = "content") -> DataF
     """Hits in rank order whose lengths still fit the budget together with those before."""
     order = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return hits.withColumn("used", F.sum(F.length(text)).over(order)).where(F.col("used") <= budget)
-
-
-def cosine(a: Column | str, b: Column | str) -> Column:
-    return cosine_similarity(a, b)

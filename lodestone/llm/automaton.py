@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
+from operator import or_
 
 import numpy as np
 
@@ -178,7 +180,7 @@ class Automaton:
         index, todo, rows, masks = {first: 0}, [first], [], []
         while todo:
             now = todo.pop(0)
-            masks.append(sum({x: ends[x] for x in now if x in ends}.values()) if len({ends[x] for x in now if x in ends}) < 2 else int(np.bitwise_or.reduce([ends[x] for x in now if x in ends])))
+            masks.append(reduce(or_, (ends.get(x, 0) for x in now)))
             row = []
             for group in groups:
                 to = closure({t for x in now for s, t in moves[x] if group[0] in s} | ({start} if search else set()))

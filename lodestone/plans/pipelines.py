@@ -14,12 +14,14 @@ from lodestone.operators.catalog import document_problem
 from lodestone.operators.encoding import Encoder, embed
 
 
-def ingest(docs: DataFrame, encoder: Encoder, config: chunking.Config = chunking.Config(), least_quality: float | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def ingest(docs: DataFrame, encoder: Encoder, config: chunking.Config = chunking.Config(), least_quality: float | None = None, cleaned: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """docs (doc_id, text, document_type, path, team) -> chunks ready to append, and the rejected documents with the reason.
 
     Faulty documents and those below the quality gate go, equal ones are taken once, the type of collection is routed,
-    texts are chunked and embedded.
+    texts are chunked and embedded. cleaned: texts are cleaned first, which also joins their lines.
     """
+    if cleaned:
+        docs = docs.withColumn("text", F.coalesce(clean("text", least=0), F.lit("")))
     problem = document_problem(F.col("text"))
     if least_quality is not None:
         problem = F.coalesce(problem, F.when(G.quality_score("text") < least_quality, "low quality"))

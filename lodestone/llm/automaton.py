@@ -180,7 +180,7 @@ class Automaton:
         index, todo, rows, masks = {first: 0}, [first], [], []
         while todo:
             now = todo.pop(0)
-            masks.append(reduce(or_, (ends.get(x, 0) for x in now)))
+            masks.append(reduce(or_, (ends.get(x, 0) for x in now), 0))
             row = []
             for group in groups:
                 to = closure({t for x in now for s, t in moves[x] if group[0] in s} | ({start} if search else set()))

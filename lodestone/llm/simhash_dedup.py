@@ -128,18 +128,18 @@ def budgets(radius: int) -> list[int]:
     return [radius * -(-d * TURNS // 64) // TURNS for d in range(65)]
 
 
-def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int, int]], depth: int, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0, most: int = 1 << 18) -> np.ndarray:
+def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int, int]], depth: int, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0, most: int = 1 << 17) -> np.ndarray:
     """Component labels of sorted uint64 keys, by links inside the home range and between it and the guest ranges.
 
     Ranges are subtrees at the given depth. wide: keys x further fingerprints. Pairs of ranges are taken from a stack in
-    chunks of at most `most`, so memory stays bounded.
+    chunks of at most `most`, and pairs of keys compared about four times as many at once, so memory stays bounded.
     """
     allowed = budgets(radius)
     forest = _Forest(len(keys))
     if not len(keys):
         return forest.label
     spread = [np.bitwise_count(keys[g[0]] >> np.uint64(64 - depth) ^ keys[home[0]] >> np.uint64(64 - depth)) if depth else 0 for g in guests]
-    first = np.array([(*home, *home, 0)] + [(*home, *g, int(e)) for g, e in zip(guests, spread, strict=True)], np.int64).T
+    first = np.array([(*home, *home, 0)] + [(*home, *g, int(e)) for g, e in zip(guests, spread, strict=True)], np.int32).T
     stack = [(depth, first)]
     ones = {}
     while stack:
@@ -147,27 +147,28 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
         own = alo == blo
         keep = ~(forest.one(alo, ahi, blo, bhi) & ((ahi - alo > 1) | ~own)) & ~(own & (ahi - alo < 2))
         alo, ahi, blo, bhi, err, own = (x[keep] for x in (alo, ahi, blo, bhi, err, own))
-        few = (ahi - alo) * (bhi - blo) <= 32
+        few = (ahi - alo).astype(np.int64) * (bhi - blo) <= 32
         if d == 64:
             few[:] = True
         if few.any():
             a0, b0, nb = alo[few], blo[few], (bhi - blo)[few]
-            n = (ahi - alo)[few] * nb
-            which = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            i, j = a0[which] + k // nb[which], b0[which] + k % nb[which]
-            near = (np.bitwise_count(keys[i] ^ keys[j]) <= radius) & (i != j)
-            i, j = i[near], j[near]
-            if wide is not None and len(i):
-                near = np.bitwise_count(keys[i] ^ keys[j]) + np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_radius
+            n = (ahi - alo)[few].astype(np.int64) * nb
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // (4 * most))) + 1):
+                which = np.repeat(part, n[part])
+                k = np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                i, j = a0[which] + k // nb[which], b0[which] + k % nb[which]
+                near = (np.bitwise_count(keys[i] ^ keys[j]) <= radius) & (i != j)
                 i, j = i[near], j[near]
-            if len(i):
-                forest.join(i, j)
+                if wide is not None and len(i):
+                    near = np.bitwise_count(keys[i] ^ keys[j]) + np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_radius
+                    i, j = i[near], j[near]
+                if len(i):
+                    forest.join(i, j)
             alo, ahi, blo, bhi, err, own = (x[~few] for x in (alo, ahi, blo, bhi, err, own))
         if not len(alo):
             continue
         if d not in ones:
-            ones[d] = np.concatenate([[0], np.cumsum(keys >> np.uint64(63 - d) & np.uint64(1))]).astype(np.int64)
+            ones[d] = np.concatenate([[0], np.cumsum(keys >> np.uint64(63 - d) & np.uint64(1))]).astype(np.int32)
         c = ones[d]
         amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
         cross = ~own
@@ -177,11 +178,11 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
             (alo, amid, bmid, bhi, err + 1),
             (amid[cross], ahi[cross], blo[cross], bmid[cross], err[cross] + 1),
         ]
-        down = np.concatenate([np.array(p, np.int64) for p in parts], axis=1)
+        down = np.concatenate([np.array(p, np.int32) for p in parts], axis=1)
         down = down[:, (down[1] > down[0]) & (down[3] > down[2]) & (down[4] <= allowed[d + 1])]
         for x in np.array_split(down, max(1, -(-down.shape[1] // most)), axis=1):
             if x.shape[1]:
-                stack.append((d + 1, x))
+                stack.append((d + 1, x.copy()))
     return forest.label
 
 

@@ -344,6 +344,11 @@ def near_dup_pairs(spark, d):
     return D.near_pairs(table(spark, d, "documents")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"select doc_id, min(doc_id) over (partition by g) as representative {DUP}")
+def dup_members(spark, d):
+    return D.members(table(spark, d, "documents"))
+
+
 @query("select label::varchar as collection, count(*) filter (where vec_id % 4 = 0)::bigint as n_duplicates from embeddings group by label")
 def duplicate_gate(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("collection"))

@@ -191,6 +191,20 @@ def test_near_pairs(spark):
     assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["similarity"] > 0.9
 
 
+def test_near_pairs_behind_a_head_below_the_threshold(spark):
+    base = [f"w{i}" for i in range(120)]
+    part = [*base[:-18], *[f"y{i}" for i in range(18)]]
+    rows = [(1, " ".join(base)), *[(k, " ".join([*part[:-1], f"z{k}"])) for k in range(2, 42)], (50, " ".join(part[:-1] + ["z9"]))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows if i != 50}
+    sim = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert all(0.7 < sim[1, b] < 0.8 for b in range(2, 42))  # shares bands with all, is alike to none
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (256, 7):
+        got = [(r["a"], r["b"], r["similarity"]) for r in D.near_pairs(df, block=block).collect()]
+        assert {(a, b): s for a, b, s in got} == pytest.approx({k: s for k, s in sim.items() if s >= 0.8}) and len(got) == 780
+    assert {r["doc_id"]: r["representative"] for r in D.members(df).collect()} == {**{i: i for i in sets}, 50: 9}
+
+
 def test_encoder(spark):
     df = embed(spark.createDataFrame([("a b c",), ("",), (None,)], "content string"), HashingEncoder(16))
     rows = {r["content"]: r for r in df.collect()}

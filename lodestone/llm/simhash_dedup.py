@@ -120,6 +120,23 @@ class _Forest:
         return (s[ahi - 1] == s[alo]) & (s[bhi - 1] == s[blo]) & (label[alo] == label[blo])
 
 
+def _wide_range(forest: _Forest, alo: int, ahi: int, blo: int, bhi: int, compare, most: int) -> None:
+    """All pairs of two ranges, at most `most` at once, without those that are one component already."""
+    a, b = np.arange(alo, ahi), np.arange(blo, bhi)
+    while len(a):
+        here = forest.label[a[0]]
+        other = b[forest.label[b] != here]
+        for at in range(0, len(other), most):
+            compare(np.full(len(other[at : at + most]), a[0]), other[at : at + most])
+        a = a[1:]
+        if len(other) and len(a):  # rows that are one component with everything they could meet have nothing to add
+            labels = np.unique(forest.label[b])
+            if len(labels) == 1:
+                a = a[forest.label[a] != labels[0]]
+        elif len(a) and not len(other):
+            a = a[forest.label[a] != here]
+
+
 TURNS = 4
 
 
@@ -132,7 +149,8 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
     """Component labels of sorted uint64 keys, by links inside the home range and between it and the guest ranges.
 
     Ranges are subtrees at the given depth. wide: keys x further fingerprints. Pairs of ranges are taken from a stack in
-    chunks of at most `most`, and pairs of keys compared about four times as many at once, so memory stays bounded.
+    chunks of at most `most`, and pairs of keys compared about four times as many at once, also inside a range of equal
+    keys, so memory stays bounded.
     """
     allowed = budgets(radius)
     forest = _Forest(len(keys))
@@ -142,6 +160,16 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
     first = np.array([(*home, *home, 0)] + [(*home, *g, int(e)) for g, e in zip(guests, spread, strict=True)], np.int32).T
     stack = [(depth, first)]
     ones = {}
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        near = (np.bitwise_count(keys[i] ^ keys[j]) <= radius) & (i != j)
+        i, j = i[near], j[near]
+        if wide is not None and len(i):
+            near = np.bitwise_count(keys[i] ^ keys[j]) + np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_radius
+            i, j = i[near], j[near]
+        if len(i):
+            forest.join(i, j)
+
     while stack:
         d, (alo, ahi, blo, bhi, err) = stack.pop()
         own = alo == blo
@@ -151,19 +179,15 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
         if d == 64:
             few[:] = True
         if few.any():
-            a0, b0, nb = alo[few], blo[few], (bhi - blo)[few]
-            n = (ahi - alo)[few].astype(np.int64) * nb
+            size = (ahi - alo).astype(np.int64) * (bhi - blo)
+            for k in np.flatnonzero(few & (size > 4 * most)):
+                _wide_range(forest, int(alo[k]), int(ahi[k]), int(blo[k]), int(bhi[k]), compare, 4 * most)
+            part_of = few & (size <= 4 * most)
+            a0, b0, nb, n = alo[part_of], blo[part_of], (bhi - blo)[part_of], size[part_of]
             for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // (4 * most))) + 1):
                 which = np.repeat(part, n[part])
                 k = np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
-                i, j = a0[which] + k // nb[which], b0[which] + k % nb[which]
-                near = (np.bitwise_count(keys[i] ^ keys[j]) <= radius) & (i != j)
-                i, j = i[near], j[near]
-                if wide is not None and len(i):
-                    near = np.bitwise_count(keys[i] ^ keys[j]) + np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= wide_radius
-                    i, j = i[near], j[near]
-                if len(i):
-                    forest.join(i, j)
+                compare(a0[which] + k // nb[which], b0[which] + k % nb[which])
             alo, ahi, blo, bhi, err, own = (x[~few] for x in (alo, ahi, blo, bhi, err, own))
         if not len(alo):
             continue

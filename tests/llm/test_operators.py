@@ -250,6 +250,21 @@ def test_components_match_brute_force(spark):
     assert near_duplicates(frame(spark), width=4).count() == len(ODD)
 
 
+def test_a_range_of_equal_keys_is_compared_in_slices():
+    import tracemalloc
+
+    from lodestone.llm.simhash_dedup import trie_links
+
+    n, rnd = 3000, np.random.default_rng(2)
+    wide = np.repeat(rnd.integers(0, 1 << 63, (n // 100, 3), dtype=np.uint64), 100, axis=0)
+    wide[:, 0] ^= np.uint64(1) << rnd.integers(0, 63, n, dtype=np.uint64)
+    tracemalloc.start()
+    label = trie_links(np.full(n, 77, np.uint64), (0, n), [], 0, 14, wide, 54, most=1 << 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label == np.arange(n) // 100 * 100).all() and most < 8 << 20  # n * n pairs at once take over 72 MB
+
+
 def test_components_of_a_graph(spark):
     from lodestone.llm.graph import components
 

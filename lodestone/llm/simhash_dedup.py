@@ -22,7 +22,7 @@ order of rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -72,8 +72,8 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, wide: int = 0) -> DataFrame:
-    """(doc_id, fp, w1, ...): each 64 bits as a signed long."""
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, wide: int = 0, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp, w1, ...): each 64 bits as a signed long. distinct: a repeated shingle votes once."""
     base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = ["fp", *[f"w{k}" for k in range(1, wide + 1)]]
 
@@ -81,6 +81,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 hashes = [simhash(x or b"", width) for x in part.column("text").cast(pa.binary()).to_pylist()]
+                if distinct:
+                    hashes = [np.unique(h) for h in hashes]
                 prints = [votes([remixed(h, k) for h in hashes] if k else hashes) for k in range(wide + 1)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(f.view(np.int64)) for f in prints]], names=["doc_id", *names])
 
@@ -210,8 +212,11 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
     return forest.label
 
 
-def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 54, subtree: int = 32768) -> DataFrame:
-    """prints (cls, fp, w1, ...; cls tells rows apart) -> (cls, component: smallest cls of its component), for linked rows only."""
+def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 54, subtree: int = 32768, tries: int = 1) -> DataFrame:
+    """prints (cls, fp, w1, ...; cls tells rows apart) -> (cls, component: smallest cls of its component), for linked rows only.
+
+    tries: how many of the fingerprints are searched, so that a pair is found if one of them meets the radius.
+    """
     if not 0 <= radius <= 31:
         raise ValueError("radius must be from 0 to 31")
     further = [f"w{k}" for k in range(1, wide + 1)]
@@ -219,12 +224,14 @@ def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int =
     most = budgets(radius)[depth]
     masks = [sum(1 << b for b in bits) for k in range(min(most, depth) + 1) for bits in combinations(range(depth), k)]
     rows = None
-    for turn in range(TURNS):
-        by = turn * 64 // TURNS
-        value = F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")
+    all_prints = ["fp", *further]
+    for trie, turn in product(range(tries), range(TURNS)):
+        by, fp = turn * 64 // TURNS, all_prints[trie]
+        rest = [F.col(c).alias(f"rest{k}") for k, c in enumerate((c for c in all_prints if c != fp), 1)]
+        value = F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else F.col(fp)
         prefix = F.shiftrightunsigned(value, 64 - depth)
         homes = F.explode(F.filter(F.array(*[prefix.bitwiseXOR(F.lit(m).cast("long")) for m in masks]), lambda h: h <= prefix))  # noqa: B023
-        part = prints.select("cls", *further, value.alias("key"), homes.alias("home"), F.lit(turn).alias("turn"))
+        part = prints.select("cls", *rest, value.alias("key"), homes.alias("home"), F.lit(trie * TURNS + turn).alias("turn"))
         rows = part if rows is None else rows.unionByName(part)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +239,7 @@ def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int =
         keys = pdf["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
         keys, cls = keys[order], pdf["cls"].to_numpy()[order]
-        extra = np.stack([pdf[c].to_numpy()[order].view(np.uint64) for c in further], axis=1) if further else None
+        extra = np.stack([pdf[f"rest{k}"].to_numpy()[order].view(np.uint64) for k in range(1, wide + 1)], axis=1) if wide else None
         tops = (keys >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(keys), np.int64)
         names, starts = np.unique(tops, return_index=True)
         ranges = {int(p): (int(s), int(e)) for p, s, e in zip(names, starts, [*starts[1:], len(keys)], strict=True)}
@@ -246,18 +253,73 @@ def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int =
     return components(edges).withColumnRenamed("node", "cls")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, wide: int = 3, wide_radius: int = 54) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, wide: int = 3, wide_radius: int = 54, tries: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, component_id): for each row its fingerprint and the smallest id that links lead to, its own included. A null id is never the smallest unless all are null."""
-    docs = fingerprints(df, doc_id, text, width, wide)
+    docs = fingerprints(df, doc_id, text, width, wide, distinct)
     further = [f"w{k}" for k in range(1, wide + 1)]
     docs = cut(docs.withColumn("cls", F.xxhash64("fp", *further) if wide else F.col("fp")))
     classes = cut(docs.groupBy("cls", "fp", *further).agg(F.min("doc_id").alias("least")))
-    groups = linked(classes.drop("least"), radius, wide, wide_radius)
+    groups = linked(classes.drop("least"), radius, wide, wide_radius, tries=tries)
     named = classes.select("cls", "least").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.join(least, "component").select("cls", "component_id")
     return docs.select("doc_id", "fp", "cls").join(final, "cls").select("doc_id", "fp", "component_id")
 
 
+def _alike(sets: list[np.ndarray], half: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Component labels of sets of shingles linked from the Jaccard threshold up; with half, by links between its False and True only."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, at = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    forest, marked = _Forest(len(sets)), np.zeros(len(values), bool)
+    for i in range(len(sets)) if half is None else np.flatnonzero(~half):
+        ask = forest.label != forest.label[i]
+        ask &= half if half is not None else np.arange(len(sets)) > i
+        if ask.any():
+            own = at[starts[i] : starts[i] + sizes[i]]
+            marked[own] = True
+            shared = np.bincount(owner, weights=marked[at], minlength=len(sets))
+            marked[own] = False
+            total = sizes + sizes[i] - shared
+            j = np.flatnonzero(ask & (shared >= threshold * total))  # two texts without words are alike
+            if len(j):
+                forest.join(np.full(len(j), i), j)
+    return forest.label
+
+
+def verified_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, block: int = 512) -> DataFrame:
+    """df with component: rows of texts that links lead between, where a link is a Jaccard similarity of distinct shingles from the threshold up.
+
+    Candidates: texts that wide fingerprints of distinct shingles put together, with each of the four fingerprints
+    searched. Inside such a candidate group all texts are compared on their shingles; groups of more than `block` texts
+    are dealt out by pairs of blocks, and texts known to be one component are not compared again.
+    """
+    rows = df.withColumn("__k", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    near = near_duplicates(rows, "__k", text, width, 14, 3, 62, tries=4, distinct=True).select(F.col("doc_id").alias("__k"), F.col("component_id").alias("c")).distinct()
+    groups = near.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+    asked = cut(near.join(groups, "c").select("__k", "c", F.ceil(F.col("n") / block).cast("int").alias("m")))
+    texts = rows.select("__k", F.col(text).cast("string").alias("t")).join(asked, "__k").groupBy("__k", "c", "m").agg(F.min("t").alias("t"))
+    own = F.pmod(F.xxhash64("__k", F.lit(3)), F.col("m")).cast("int")
+    dealt = texts.select("__k", "c", "t", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
+    dealt = dealt.select("__k", "c", "t", "own", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"))
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("c", "lo", "hi"), F.lit(buckets)))
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for (_, lo, hi), g in pdf.groupby(["c", "lo", "hi"], sort=False):
+            k = g["__k"].to_numpy()
+            sets = [np.unique(simhash((x or "").encode(), width)) for x in g["t"]]
+            label = _alike(sets, g["own"].to_numpy() == hi if lo < hi else None, threshold)
+            i = np.flatnonzero(label != np.arange(len(label)))
+            a.append(k[i])
+            b.append(k[label[i]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    found = components(dealt.groupBy("bucket").applyInPandas(links, "a long, b long"))
+    return rows.join(found.withColumnRenamed("node", "__k"), "__k", "left").withColumn("component", F.coalesce("component", "__k")).drop("__k")
+
+
 def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

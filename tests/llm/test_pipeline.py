@@ -61,3 +61,19 @@ def test_run_equals_the_stages_and_odd_tables(spark, corpus):
         stage(spark, odd, d).collect()
     assert pipeline.redact_secrets(spark, odd, d).count() == 4 and pipeline.drop_toxic(spark, odd, d).count() == 4
     assert pipeline.drop_near_copies(spark, odd, d).count() == 2
+
+
+def test_near_copies_are_verified(spark):
+    rnd, rows = random.Random(9), []
+    for i in range(160):
+        t = [f"v{rnd.randrange(5000)}" for _ in range(304)]
+        rows.append((2 * i, " ".join(t)))
+        for k in range(0, 300, 50 if i % 2 else 30):
+            t[k + 4] = f"x{i}-{k}"
+        rows.append((2 * i + 1, " ".join(t)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(300)} for i, t in rows}
+    sim = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in sets if i % 2 == 0}
+    assert {s >= 0.8 for s in sim.values()} == {True, False} and all(0.65 < s < 0.9 for s in sim.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars")
+    got = {r["doc_id"] for r in pipeline.drop_near_copies(spark, df, "").collect()}
+    assert got == {i for i, _ in rows} - {i + 1 for i, s in sim.items() if s >= 0.8}

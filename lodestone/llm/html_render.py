@@ -2,7 +2,8 @@
 
 A tokenizer and a tree builder that closes implied tags (p before blocks, li, dt and dd, rows and cells, options) and
 supplies tbody, tr and cells where a table lacks them. Visibility: elements that browsers do not show, `hidden`, inline styles and simple rules of style elements
-(tag, .class, #id and lists of those) with display none or visibility hidden, closed details. The renderer collapses
+(tag, .class, #id and lists of those, the more specific first) with display none or visibility hidden, closed details
+and dialogs. Rules under conditional at-rules (media with conditions or for print, supports, container) are passed over. The renderer collapses
 white space, keeps pre, starts blocks on new lines with a blank line around paragraphs and the like, marks list items
 by bullets or numbers with indentation, and pads table cells so that columns line up.
 
@@ -27,7 +28,7 @@ from lodestone.llm.common import pieces, small_batches
 # fixed values: sets of element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object video audio canvas svg math map area dialog".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object video audio canvas area".split())
 BLOCK = frozenset("html body address article aside blockquote center details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section summary table ul xmp caption tr".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul hr menu xmp fieldset".split())
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend", "tr", "caption"}
@@ -51,7 +52,7 @@ HEAD_ONLY = frozenset("base link meta title style script noscript template head"
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+EDGE = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[{};]", re.S)
 SELECTOR = re.compile(r"(?:([a-zA-Z][\w-]*)|\*)?((?:[.#][\w-]+)*)$")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -167,13 +168,41 @@ def _declared(body: str) -> tuple[bool | None, bool | None]:
     return shown, seen
 
 
+def _always(prelude: str) -> bool:
+    """Whether an at-rule's block holds for any screen: layers, and media lists that name all or screen without conditions."""
+    name, _, rest = prelude.partition(" ")
+    if name == "@layer":
+        return True
+    return name == "@media" and (not rest.strip() or any(x.strip() in ("all", "screen", "only all", "only screen") for x in rest.split(",")))
+
+
+def rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold for any screen; blocks of other at-rules and nested rules are passed over."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+    blocks: list[tuple[str, bool]] = []  # (prelude, whether rules in it count)
+    at = 0
+    for m in EDGE.finditer(sheet):
+        edge = m[0]
+        if len(edge) > 1 or (edge == ";" and blocks and blocks[-1][0][:1] != "@"):
+            continue
+        said, at = sheet[at : m.start()].strip(), m.end()
+        if edge == "{":
+            said = SPACE.sub(" ", said)
+            fine = not blocks or (blocks[-1][1] and blocks[-1][0][:1] == "@")
+            blocks.append((said, fine and (said[:1] != "@" or _always(said.lower()))))
+        elif edge == "}" and blocks:
+            prelude, fine = blocks.pop()
+            if fine and prelude[:1] != "@":
+                yield prelude, said
+
+
 class Styles:
-    """Simple rules by tag, class and id; later ones win."""
+    """Simple rules by tag, class and id; the more specific wins, then the later."""
 
     def __init__(self, texts: list[str]):
         self.rules = []
         for text in texts:
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
+            for selectors, body in rules(text):
                 said = _declared(body)
                 if said == (None, None):
                     continue
@@ -181,6 +210,7 @@ class Styles:
                     m = SELECTOR.match(s.strip())
                     if m and m[0]:
                         self.rules.append(((m[1] or "").lower(), frozenset(re.findall(r"\.([\w-]+)", m[2])), "".join(re.findall(r"#([\w-]+)", m[2])), said))
+        self.rules.sort(key=lambda r: (bool(r[2]), len(r[1]), bool(r[0])))
 
     def of(self, node: Node) -> tuple[bool | None, bool | None]:
         shown = seen = None
@@ -288,7 +318,7 @@ def render(page: str | None) -> str:
             continue
         tag = node.tag
         if entering:
-            if tag in HIDDEN or "hidden" in node.attrs or (tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
+            if tag in HIDDEN or "hidden" in node.attrs or (tag == "dialog" and "open" not in node.attrs) or (tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
                 continue
             shown, seen = styles.of(node)
             if shown is False:

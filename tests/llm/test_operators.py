@@ -265,6 +265,15 @@ def test_a_range_of_equal_keys_is_compared_in_slices():
     assert (label == np.arange(n) // 100 * 100).all() and most < 8 << 20  # n * n pairs at once take over 72 MB
 
 
+def test_rules_under_conditions_hide_nothing():
+    from lodestone.llm.html_render import render
+
+    css = "@import 'a;{b'; @media print {.nav{display:none} p{color:red}} @media (max-width:600px){.side{display:none}} @media screen{.gone{display:none}} /* { */ #top{display:block} .nav{margin:0} .gone2{display:none;} div{display:block}"
+    page = f"<style>{css}</style><p class=nav>nav</p><p class=side>side</p><p class=gone>x</p><div class=gone2>y</div><dialog open>open</dialog><dialog>z</dialog><math>math</math><svg><text>svg</text></svg>"
+    words = render(page).split()
+    assert words[:2] == ["nav", "side"] and "open" in words[2] and not {"x", "y", "z"} & set(words) and "math" in " ".join(words) and "svg" in " ".join(words)
+
+
 def test_components_of_a_graph(spark):
     from lodestone.llm.graph import components
 

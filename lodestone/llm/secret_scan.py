@@ -3,7 +3,8 @@
 All rules are compiled by subset construction and minimisation into one transition array. Texts are cut behind bytes
 that lead every state back to the start (no rule can match across them), and the pieces of a batch walk through the
 array in step, each byte once for all rules. Only pieces in which some rule ended are looked at again, to read off the
-leftmost non-overlapping spans with the rule's own small automaton.
+leftmost non-overlapping spans with the rule's own small automaton. A private key's marker runs on over the key to its
+END line.
 
 Defined results: a null text is an empty one and has no findings; an empty table gives an empty table; repeated rows
 each get their own result; texts of any length are scanned whole; columns of the input other than the named ones pass
@@ -12,6 +13,7 @@ through unread, and one that is called like an output column is replaced by it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -48,6 +50,8 @@ RULES = (
     Rule("webtoken", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.", "[A-Za-z0-9_-]+"),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY", "-----"),
 )
+#: what follows a marker of pem: all up to its END line, or lines of base64 where that is missing
+KEY_BODY = re.compile(rb"(?:(?!-----BEGIN ).)*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\\r)?(?:[ \t\r]*(?:\n|\\n)[ \t]*[A-Za-z0-9+/]{16,}={0,2})+(?:[ \t\r]*(?:\n|\\n)[ \t]*[A-Za-z0-9+/]{1,15}={1,2})?", re.S)
 BASE_KINDS = ("assign", "access", "hex")
 
 FINDINGS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -131,7 +135,10 @@ class Scanner:
             for rule in range(len(self.rules)):
                 if int(mask[k]) >> rule & 1:
                     for s, e in self.spans(data, rule):
-                        found.setdefault(text, []).append((s + shift, rule, e + shift))
+                        s, e = s + shift, e + shift
+                        if self.rules[rule].kind == "pem" and (body := KEY_BODY.match(raw[int(off[text]) : int(off[text + 1])].data, e)):
+                            e = body.end()
+                        found.setdefault(text, []).append((s, rule, e))
         return {k: sorted(v) for k, v in found.items()}
 
 

@@ -274,6 +274,16 @@ def test_rules_under_conditions_hide_nothing():
     assert words[:2] == ["nav", "side"] and "open" in words[2] and not {"x", "y", "z"} & set(words) and "math" in " ".join(words) and "svg" in " ".join(words)
 
 
+def test_private_keys_are_redacted_whole(spark):
+    from lodestone.llm.secret_scan import find_secrets
+
+    key = "\n".join("MIIEpAIBAAKCAQEA/" + "Qx9+" * 11 for _ in range(60)) + "\nQx9+Ab=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"é a {begin}\n{key}\n{end} b", f"a {begin}\n{key}\n\nplain words", f"a {begin} plain {begin}\n{key}\n{end}"]
+    got = {r["doc_id"]: r["text"] for r in find_secrets(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), redact="[{}]").collect()}
+    assert got == {0: "é a [pem] b", 1: "a [pem]\n\nplain words", 2: "a [pem] plain [pem]"}
+
+
 def test_components_of_a_graph(spark):
     from lodestone.llm.graph import components
 

@@ -72,6 +72,11 @@ def chunk_profiles(spark, d):
     return table(spark, d, "documents").where(plain).select("doc_id", K.profile(G.content_type("text"), F.length("text"))["size"].alias("size"))
 
 
+@query()
+def chunk_profiles_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", K.profile(G.content_type("text"), F.length("text"))["size"].alias("size"))
+
+
 @query(f"select doc_id, s.section::int as section, s.level::int as level, s.title, s.path from (select doc_id, source, {MARKED} as t from documents) m, (values (0, 0, '', ''), (1, 1, 'T', 'T'), (2, 2, 'Items', 'T > Items'), (3, 3, '**Deep**', 'T > Items > **Deep**')) v(section, level, title0, path0), lateral (select v.section, v.level, case when title0 = 'T' then 'Title ' || source else title0 end as title, replace(path0, 'T', 'Title ' || source) as path) s")
 def markdown_sections(spark, d):
     rows = R.sections(marked(spark, d).where(~F.contains("text", F.lit("\x00"))))
@@ -99,6 +104,11 @@ def inline_metadata(spark, d):
     return R.inline_tags(marked(spark, d).join(rows, "doc_id", "left_semi")).select("doc_id", "kind", "key", "value")
 
 
+@query()
+def inline_metadata_all(spark, d):
+    return R.inline_tags(marked(spark, d)).select("doc_id", "kind", "key", "value")
+
+
 @query("select doc_id, 'yaml' as kind, 'Doc ' || doc_id as title, source as author, lang || ',x' as tags, md5(text) as body from documents")
 def frontmatter(spark, d):
     docs = table(spark, d, "documents")

@@ -56,6 +56,12 @@ def formatted_results(spark, d):
     return R.formatted(rows, "cli", least=0.3).select(F.col("id").alias("doc_id"), F.md5("formatted").alias("digest"))
 
 
+@query()
+def formatted_results_all(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), (F.col("doc_id") % 100 / 100).alias("similarity"), F.lit(1).alias("rank"))
+    return R.formatted(rows, "cli", least=0.3).select(F.col("id").alias("doc_id"), F.md5("formatted").alias("digest"))
+
+
 @query("select doc_id, case when length(text) <= 200 then length(text) else -1 end as n, 'Code Block' as kind_label, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as n_the from documents where length(text) <= 200 or doc_id % 7 = 0")
 def enriched_results(spark, d):
     rows = table(spark, d, "documents").where((F.length("text") <= 200) | (F.col("doc_id") % 7 == 0)).select("doc_id", F.col("text").alias("content"), F.lit("code_block").alias("kind"))
@@ -63,6 +69,13 @@ def enriched_results(spark, d):
     return e.select("doc_id", F.when(F.length("content") <= 200, F.length("snippet").cast("long")).otherwise(-1).alias("n"), "kind_label", F.col("term_counts")["the"].alias("n_the"))
 
 
+@query()
+def enriched_results_all(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("code_block").alias("kind"))
+    e = R.enriched(rows, ["the"])
+    return e.select("doc_id", F.when(F.length("content") <= 200, F.length("snippet").cast("long")).otherwise(-1).alias("n"), "kind_label", F.col("term_counts")["the"].alias("n_the"))
+
+
 @query(WEIGHTED + """select q.vec_id as qid, coalesce(array_to_string(list(id order by rank), ','), '') as ids, count(id)::bigint as n_hits, array_to_string(list_concat(case when count(id) = 0 then ['expand_scope'] when count(id) < 3 then ['expand_query'] else [] end,
   case when count(distinct collection) > 2 then ['filter_collections'] else [] end), ',') as suggestions from embeddings q left join ranked r on r.qid = q.vec_id where q.vec_id % 50 = 0 group by q.vec_id""")
 def result_envelope(spark, d):
@@ -95,6 +108,15 @@ def answer_job(spark, d):
     return hits.join(gaps.select("qid", "confidence", "has_gap"), "qid").select("qid", "id", "new_rank", F.round("rerank_score", 4).alias("score"), "confidence", "has_gap", "reason")
 
 
+@query()
+def answer_job_all(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("text").alias("document_type"), F.lit("docs/x").alias("path"), F.lit(None).cast("string").alias("team"))
+    chunks, _ = P.ingest(docs, HashingEncoder(32))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    hits, gaps = P.answer(chunks, q, HashingEncoder(32), k=5)
+    return hits.join(gaps.select("qid", "confidence", "has_gap"), "qid").select("qid", "id", "new_rank", F.round("rerank_score", 4).alias("score"), "confidence", "has_gap", "reason")
+
+
 @query("select 0::bigint as n_invalid, count(distinct doc_id)::bigint as n_documents from documents where regexp_matches(text, '\\S')")
 def model_aware_chunks(spark, d):
     c = with_model(recursive(table(spark, d, "documents")), "m1")

@@ -185,6 +185,16 @@ def gap_analysis(spark, d):
     return A.gap_analysis(q, h, sparse=4, low=0.2, high=0.3).withColumn("best", F.round("best", 6))
 
 
+@query()
+def gap_analysis_all(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
+    from lodestone.functions.vectors import cosine_similarity
+
+    h = e.join(q, (F.col("label") == F.col("qid") % 13) & (F.col("vec_id") != F.col("qid"))).select("qid", cosine_similarity("embedding", "qe").alias("similarity"))
+    return A.gap_analysis(q, h, sparse=4, low=0.2, high=0.3).withColumn("best", F.round("best", 6))
+
+
 @query("""with w as (select item_id as qid, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as q from benchmark where item_id % 8 = 0),
 d as (select doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as w from documents where doc_id % 40 = 0),
 h as (select qid, q, list_intersect(q, w) as found from w, d), g as (select qid, any_value(q) as q, avg(len(found) / len(q)) as c, flatten(list(found)) as f from h group by qid)
@@ -195,6 +205,13 @@ def coverage(spark, d):
     return A.coverage(hits).select("qid", F.round("coverage", 6).alias("coverage"), F.array_join("missing", " ").alias("missing"))
 
 
+@query()
+def coverage_all(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    hits = table(spark, d, "documents").select(F.col("text").alias("content")).crossJoin(F.broadcast(q))
+    return A.coverage(hits).select("qid", F.round("coverage", 6).alias("coverage"), F.array_join("missing", " ").alias("missing"))
+
+
 @query("""select count(*)::bigint as n, count(nullif(lang, ''))::bigint as n_lang, count(nullif(text, ''))::bigint as n_text, count(distinct source)::bigint as n_authors, (select count(distinct t) from (select unnest([lang, source]) as t from documents))::bigint as n_tags from documents""")
 def registry_stats(spark, d):
     return A.registry_statistics(table(spark, d, "documents").withColumn("tags", F.array("lang", "source")), ["lang", "text"], author="source")

@@ -104,6 +104,11 @@ def key_terms(spark, d):
     return turns(spark, d).where(plain).select("conv_id", "turn", F.array_join(Q.key_terms("text"), " ").alias("terms"))
 
 
+@query()
+def key_terms_all(spark, d):
+    return turns(spark, d).select("conv_id", "turn", F.array_join(Q.key_terms("text"), " ").alias("terms"))
+
+
 def _table_sql(t: str, names: dict[str, str]) -> str:
     return "concat_ws(',', " + ", ".join(f"case when contains({t}, '{k}') then '{v}' end" for k, v in names.items()) + ")"
 
@@ -148,6 +153,11 @@ def keyword_extraction(spark, d):
     return turns(spark, d).where(~F.contains("text", F.lit('"'))).select("conv_id", "turn", F.array_join(Q.rerank_keywords("text"), " ").alias("rerank_keywords"), F.array_join(F.sort_array(Q.format_keywords("text")), " ").alias("format_keywords"))
 
 
+@query()
+def keyword_extraction_all(spark, d):
+    return turns(spark, d).select("conv_id", "turn", F.array_join(Q.rerank_keywords("text"), " ").alias("rerank_keywords"), F.array_join(F.sort_array(Q.format_keywords("text")), " ").alias("format_keywords"))
+
+
 LENGTH = "case when length(text) < 50 then 0.0 when length(text) > 100000 then 0.8 else least(length(text) / 2000.0, 1.0) end"
 STRUCTURE = f"""least(case when contains(text, chr(10) || chr(10)) then 0.3 else 0 end + case when {sql_times('text', '.')} >= 3 then 0.2 else 0 end + case when contains(text, '#') then 0.2 else 0 end
   + case when {sql_any('text', ['- ', '* ', '1. ', '2. '])} then 0.1 else 0 end + case when {sql_any('text', ['`', 'def ', 'class ', 'import '])} then 0.2 else 0 end, 1.0)"""

@@ -52,3 +52,24 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+WHOLE = {"formatted_results": "doc_id", "chunk_profiles": "doc_id", "key_terms": "conv_id", "keyword_extraction": "conv_id", "inline_metadata": "doc_id", "enriched_results": "doc_id"}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_tables_agree_with_the_part_in_sql(spark, name):
+    part, whole = (queries()[n](spark, str(DATA)).toPandas() for n in (name, f"{name}_all"))
+    found = rows(whole)
+    assert all(r in found for r in rows(part)) and len(whole) >= len(part)
+    if name in ("chunk_profiles", "enriched_results"):
+        assert len(whole) == spark.read.parquet(f"{DATA}/documents.parquet").count() > 0
+
+
+def test_coverage_of_whole_tables(spark):
+    words = lambda t: set((t or "").lower().split()) - {""}
+    docs, asked = (spark.read.parquet(f"{DATA}/{t}.parquet").toPandas() for t in ("documents", "benchmark"))
+    held = [words(t) for t in docs["text"]]
+    want = {i: sum(len(words(t) & h) for h in held) / len(words(t)) / len(held) for i, t in zip(asked["item_id"], asked["text"], strict=True)}
+    got = {r["qid"]: r["coverage"] for r in queries()["coverage_all"](spark, str(DATA)).collect()}
+    assert got == pytest.approx(want, abs=2e-6)

@@ -124,9 +124,7 @@ def search_block(book: Codebook, qid: np.ndarray, q: np.ndarray, cid: np.ndarray
                 rough += lut[i, j][codes[j]]
             if keep < len(cid):
                 least = np.partition(rough, len(cid) - keep)[len(cid) - keep]
-                best = np.flatnonzero(rough > least)
-                # rows of equal code are taken by ascending id, as the result wants them
-                best = np.sort(np.concatenate([best, np.flatnonzero(rough == least)[: keep - len(best) + top + 1]]))
+                best = np.flatnonzero(rough >= least)  # with all rows tied at the cut: equal codes are not equal vectors
             else:
                 best = np.arange(len(cid))
             best = best[cid[best] != qid[a + i]]

@@ -284,6 +284,18 @@ def test_private_keys_are_redacted_whole(spark):
     assert got == {0: "é a [pem] b", 1: "a [pem]\n\nplain words", 2: "a [pem] plain [pem]"}
 
 
+def test_all_rows_tied_at_the_cut_are_reranked():
+    from lodestone.llm import ann
+
+    rnd = np.random.default_rng(6)
+    x = np.ones((900, 8)) + rnd.random((900, 8)) * 1e-3
+    book = ann.fit(x[:50], 2, 4.0)
+    codes = np.zeros_like(ann.paired(ann.encode(book, x)))  # one code for all
+    q = np.ones((1, 8))
+    _, found, _ = ann.search_block(book, np.array([-1]), q, np.arange(900), x, codes, 20, 256)
+    assert set(found.tolist()) == set(np.argsort(-x.sum(axis=1))[:20].tolist())
+
+
 def test_components_of_a_graph(spark):
     from lodestone.llm.graph import components
 

@@ -17,12 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where the session names none (tests), a temporary one is made."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it. Where the session names none, a local master (tests) gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        sc.setCheckpointDir(base)
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
         base = sc.getCheckpointDir()
     return base.rstrip("/")
 
@@ -32,17 +33,40 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that cut has written and no later step reads."""
+    for df in cuts:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after Arrow batches were set to 8 MB where the session leaves their size at the default, so that long texts don't fill the memory beside the heap."""
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    if conf.get(key, None) in ("67108864b", "64m", "64MB"):
-        conf.set(key, "8m")
+    """df; the session's Arrow batches are lowered to 8 MB, so that long texts don't fill the memory beside the heap."""
+    conf, key, most = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    said = str(conf.get(key, "64m")).lower().rstrip("b")
+    size = int(float(said.rstrip("kmgt")) * 1024 ** " kmgt".index(said[-1] if said[-1] in "kmgt" else " "))
+    if not 0 < size <= most:
+        conf.set(key, f"{most}b")
     return df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], share: int = 1000) -> DataFrame:
+    """left joined with right on key, without one task that meets a hot key. Both are tables that cut has written.
+
+    right: one row a key, with n, how many rows of left hold it. A key that holds over 1 / share of left's rows is joined
+    by a broadcast, of at most `share` rows by their counts; the others are shuffled. Columns of key hold no nulls.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(right.where(F.col("n") * share > total))
+    rest = left.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(right.where(F.col("n") * share <= total), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def doc_hash_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -68,11 +92,9 @@ def ranked(df: DataFrame, order: list[str], out: str, partitions: int | None = N
     for r in sorted(counts, key=lambda r: r["p"]):
         starts.append((r["p"], total))
         total += r["n"]
-    if not starts:
-        return rows.withColumn(out, F.lit(0).cast("long")).drop(mid)
-    start = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])
-    at = F.element_at(start, part) + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn(out, at).drop(mid)
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "__p long, __first long"))
+    at = F.col("__first") + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(first, part == F.col("__p")).withColumn(out, at).drop(mid, "__p", "__first")
 
 
 def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,34 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, discard, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, component: smallest node reachable), for nodes with an edge.
 
     Alternates two steps until nothing changes: each node sends its larger neighbours to its smallest one, then its
-    smaller neighbours and itself. Smallest neighbours come from a partial aggregation, and a node with very many edges
-    is dealt out by the adaptive skew join; a star of any size costs one row an edge.
+    smaller neighbours and itself. Smallest neighbours come from a partial aggregation; a node with over a thousandth of
+    all edges is joined by broadcast (spread_join), so a star of any size spreads over all tasks. Each step's tables are
+    deleted once the next ones are written.
     """
 
-    def once(rows: DataFrame) -> tuple[DataFrame, tuple]:
+    def once(rows: DataFrame, *spent: DataFrame) -> DataFrame:
         out = cut(rows.distinct())
-        state = out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return out, tuple(state)
+        discard(*spent)
+        return out
+
+    def mark(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     big, small = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now, state = once(edges.where("a <> b").select(big, small))
+    now = once(edges.where("a <> b").select(big, small))
+    state = mark(now)
     while True:
         # larger neighbours go to the smallest of a node's neighbours and itself
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        grown = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now, _ = once(grown.where("a <> b"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0"))
+        grown = spread_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = once(grown.where("a <> b"), now, least)
         # smaller neighbours and the node itself go to the smallest neighbour
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        near = now.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now, fresh = once(near.unionByName(least.select("a", F.col("m").alias("b"))))
+        least = cut(now.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        near = spread_join(now, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = once(near.unionByName(least.select("a", F.col("m").alias("b"))), now, least)
+        fresh = mark(now)
         if fresh == state:
             break
         state = fresh

@@ -3,26 +3,36 @@
 Fingerprints: lower-cased (A-Z) words, shingles of `width` words with repeats, XXH64 (seed 42) of each; a bit is set if
 more than half of the hashes set it. A text without words has fingerprint zero.
 
-Links: two fingerprints are linked if at most `radius` bits differ. Four tries are walked, over the bits turned by 0,
-16, 32 and 48. Of the four blocks' differing bits some turn has all its running sums at or below their even share (the
-cycle lemma), so each trie has a budget of a quarter of the radius for 16 levels, half for 32, and so on: node pairs
-descend together, differing bits add up, and a pair over its budget is dropped with all below. The top levels deal the
-work out: a task holds the subtree of one prefix and the subtrees of larger prefixes that the budget still lets it meet.
-Only distinct fingerprints take part, so copies cost nothing here; a subtree pair that is known to be one component
-already is not walked again, so a dense ball of near copies does not cost all its pairs.
-
-A wide radius would link texts by chance. With `wide` > 0 each text has that many further 64-bit fingerprints (votes of
-remixed hashes), and a link needs all of them together, the first included, to differ in at most wide_radius bits.
-
-Defined results: a null text counts as empty; an empty table gives an empty table; rows with the same id each get
-their own row; other columns of the input are not read and may have any name; the result does not depend on the
-order of rows.
+Links: two fingerprints are linked if at most `radius` bits differ. Node pairs of a trie descend together, differing bits
+add up, and a pair over its budget is dropped with all below. A subtree pair that is one component already is not walked
+again, so a dense ball of near copies does not cost all its pairs. Only distinct fingerprints take part.
+
+Small radius (`near_duplicates`): radius + 1 tries are walked, each over the bits turned to another of radius + 1 blocks.
+Some turn has all running sums of its blocks' differing bits at or below their even share (the cycle lemma), so a trie's
+budget is 0 in its first block, and the work is dealt out by the prefix inside it: a fingerprint goes to radius + 1 homes,
+each the subtree of one prefix, up to 2^(64 / (radius + 1)) subtrees of 32,768. Beyond (over 134 million distinct
+fingerprints at radius 4) a deeper prefix is taken, and a fingerprint also goes to the homes that the budget lets it
+meet: 25 homes at radius 4 and depth 16, 65 at depth 25.
+
+Wide radius (`verified_duplicates`): a similarity of 0.8 means about a sixth of all bits, for which prefixes are dealt
+out to ever more homes as the table grows (hundreds a row from a few million on). There homes are dealt by min-wise keys
+of the same shingles instead: `bands` keys a text, whatever the size of the table. Two texts of similarity 0.8 share none
+of 24 keys of 5 hashes with a chance of 7e-5. Inside its homes each text meets the others in one trie walk with the whole
+budget, over 256 bits (a 64-bit fingerprint and three further ones of remixed hashes); what that puts together is
+compared on the shingles.
+
+A home, or a group to compare, of any size is taken in blocks (`group_links`), so no task holds an unbounded group.
+
+Defined results: a null text counts as empty, and texts without words are equal to each other; texts of any length are
+read whole; an empty table gives an empty table; ties (equal fingerprints, equal texts) are one class; rows with the same
+id each get their own row; other columns of the input are not read by near_duplicates and pass through
+verified_duplicates, whatever their names; the result does not depend on the order of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations, product
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, pieces, small_batches
+from lodestone.llm.common import cut, discard, pieces, small_batches, spread_join
 from lodestone.llm.graph import components
 
 
@@ -72,28 +82,53 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, wide: int = 0, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp, w1, ...): each 64 bits as a signed long. distinct: a repeated shingle votes once."""
-    base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    names = ["fp", *[f"w{k}" for k in range(1, wide + 1)]]
+def least_hashes(hashes: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """texts x bands: a key of `rows` least values under as many further hash functions; texts without hashes share one key a band."""
+    odd = np.random.default_rng(11).integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(hashes), bands), np.uint64)
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        flat = np.concatenate([hashes[i] for i in full])
+        flat ^= flat >> np.uint64(31)
+        starts = np.cumsum(sizes[full]) - sizes[full]
+        for k, m in enumerate(odd):
+            mixed = flat * m
+            mixed ^= mixed >> np.uint64(29)
+            out[full, k // rows] += np.minimum.reduceat(mixed, starts) * odd[k % rows]
+    return (out ^ np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def fingerprints(df: DataFrame, text: str = "text", width: int = 5, wide: int = 0, distinct: bool = False, bands: int = 0, rows: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, fp, w1, ... (further fingerprints) and k0, ... (min-wise keys), each 64 bits as a signed long. distinct: a repeated shingle votes once."""
+    base = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
+    names = ["fp", *[f"w{k}" for k in range(1, wide + 1)], *[f"k{k}" for k in range(bands)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
-                hashes = [simhash(x or b"", width) for x in part.column("text").cast(pa.binary()).to_pylist()]
+            for part in pieces(batch, "__text", 4 << 20):
+                hashes = [simhash(x or b"", width) for x in part.column("__text").cast(pa.binary()).to_pylist()]
                 if distinct:
                     hashes = [np.unique(h) for h in hashes]
-                prints = [votes([remixed(h, k) for h in hashes] if k else hashes) for k in range(wide + 1)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(f.view(np.int64)) for f in prints]], names=["doc_id", *names])
+                made = [votes([remixed(h, k) for h in hashes] if k else hashes).view(np.int64) for k in range(wide + 1)]
+                made += [np.ascontiguousarray(c) for c in least_hashes(hashes, bands, rows).T]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *map(pa.array, made)], names=[*keep, *names])
+
+    fields = ", ".join([f"`{c}` {t}" for c, t in base.dtypes if c != "__text"] + [f"{n} long" for n in names])
+    return small_batches(base).mapInArrow(run, fields)
 
-    return small_batches(base).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+def text_key(text: str = "text"):
+    """128 bits that tell texts apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 class _Forest:
     """Components of the positions 0..n-1; label: the smallest position of the component."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, n: int, same: np.ndarray | None = None):
+        """same: values that rows of one known component share."""
+        self.label = np.arange(n) if same is None else np.unique(same, return_index=True)[1][np.unique(same, return_inverse=True)[1]]
         self._jumps()
 
     def _jumps(self) -> None:
@@ -139,28 +174,32 @@ def _wide_range(forest: _Forest, alo: int, ahi: int, blo: int, bhi: int, compare
             a = a[forest.label[a] != here]
 
 
-TURNS = 4
+def blocks_of(turns: int, turn: int) -> list[int]:
+    """Where the blocks of a fingerprint end once it is turned so that block `turn` comes first."""
+    edges = [64 * k // turns for k in range(turns + 1)]
+    sizes = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    return np.cumsum(sizes[turn:] + sizes[:turn]).tolist()
 
 
-def budgets(radius: int) -> list[int]:
-    """Differing bits allowed down to each depth from 0 to 64."""
-    return [radius * -(-d * TURNS // 64) // TURNS for d in range(65)]
+def budgets(radius: int, ends: list[int]) -> list[int]:
+    """Differing bits allowed down to each depth from 0 to 64: each block's even share once it has begun."""
+    return [radius * sum(d > e for e in [0, *ends[:-1]]) // len(ends) for d in range(65)]
 
 
-def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int, int]], depth: int, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0, most: int = 1 << 17) -> np.ndarray:
-    """Component labels of sorted uint64 keys, by links inside the home range and between it and the guest ranges.
+def trie_links(keys: np.ndarray, group: np.ndarray, allowed: list[int], wide: np.ndarray | None = None, wide_radius: int = 0, most: int = 1 << 17, forest: _Forest | None = None) -> np.ndarray:
+    """Component labels of uint64 keys, sorted by (group, key), by links inside each group: at most allowed[d] bits differ down to each depth d, 64 the last.
 
-    Ranges are subtrees at the given depth. wide: keys x further fingerprints. Pairs of ranges are taken from a stack in
-    chunks of at most `most`, and pairs of keys compared about four times as many at once, also inside a range of equal
-    keys, so memory stays bounded.
+    wide: keys x further fingerprints, which with the first may differ in wide_radius bits together. All groups' tries are
+    walked at once. Pairs of ranges are taken from a stack in chunks of at most `most`, and pairs of keys compared about
+    four times as many at once, also inside a range of equal keys, so memory stays bounded.
     """
-    allowed = budgets(radius)
-    forest = _Forest(len(keys))
+    forest = forest or _Forest(len(keys))
     if not len(keys):
         return forest.label
-    spread = [np.bitwise_count(keys[g[0]] >> np.uint64(64 - depth) ^ keys[home[0]] >> np.uint64(64 - depth)) if depth else 0 for g in guests]
-    first = np.array([(*home, *home, 0)] + [(*home, *g, int(e)) for g, e in zip(guests, spread, strict=True)], np.int32).T
-    stack = [(depth, first)]
+    radius = allowed[64]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    ends = np.append(starts[1:], len(keys))
+    stack = [(0, np.stack([starts, ends, starts, ends, np.zeros(len(starts), int)]).astype(np.int32))]
     ones = {}
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
@@ -212,70 +251,128 @@ def trie_links(keys: np.ndarray, home: tuple[int, int], guests: list[tuple[int,
     return forest.label
 
 
-def linked(prints: DataFrame, radius: int = 3, wide: int = 0, wide_radius: int = 54, subtree: int = 32768, tries: int = 1) -> DataFrame:
-    """prints (cls, fp, w1, ...; cls tells rows apart) -> (cls, component: smallest cls of its component), for linked rows only.
+def group_links(members: DataFrame, payload: DataFrame, link: Callable, block: int, bucket_rows: int = 1 << 16) -> DataFrame:
+    """members (g, id): rows of one group may be linked; payload (id, ...) -> (node, component) over all groups.
+
+    link(pdf, same): component labels of pdf's rows (g, home, id, the payload's columns; sorted by g, whose values number
+    the groups), by links inside each value of g; same holds what is known, equal values for rows of one component. home
+    is g as given in members.
 
-    tries: how many of the fingerprints are searched, so that a pair is found if one of them meets the radius.
+    A group of up to `block` rows is linked in one task. A larger one is dealt into blocks by a hash, then, with what
+    that has joined, into others by another hash, which makes a dense group one component. What is outside its largest
+    component then meets all of the group, in pairs of blocks: no link is lost, and pairs inside a dense group are not
+    taken all.
     """
-    if not 0 <= radius <= 31:
-        raise ValueError("radius must be from 0 to 31")
-    further = [f"w{k}" for k in range(1, wide + 1)]
-    depth = max(3, min(16, int(np.ceil(np.log2(max(1, prints.count()) / subtree)))))  # 8 subtrees at least, for as many tasks a turn
-    most = budgets(radius)[depth]
-    masks = [sum(1 << b for b in bits) for k in range(min(most, depth) + 1) for bits in combinations(range(depth), k)]
-    rows = None
-    all_prints = ["fp", *further]
-    for trie, turn in product(range(tries), range(TURNS)):
-        by, fp = turn * 64 // TURNS, all_prints[trie]
-        rest = [F.col(c).alias(f"rest{k}") for k, c in enumerate((c for c in all_prints if c != fp), 1)]
-        value = F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else F.col(fp)
+    members = cut(members)
+    sizes = cut(members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(spread_join(members, sizes, "g"))
+    about = cut(payload.join(shared.select("id").distinct(), "id", "left_semi"))
+    total, widest = shared.agg(F.count("*"), F.max("n")).first()
+    parts = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // bucket_rows)
+    spent = [members, sizes, shared, about]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["g", "deal", "id"], ignore_index=True)
+        g = pdf.groupby(["g", "deal"], sort=False).ngroup().to_numpy()
+        same = pdf.assign(g=g).groupby(["g", "same"], sort=False).ngroup().to_numpy()
+        label = link(pdf.drop(columns=["deal", "same", "bucket"]).rename(columns={"g": "home"}).assign(g=g), same)
+        i, ids = np.flatnonzero(label != np.arange(len(label))), pdf["id"].to_numpy()
+        return pd.DataFrame({"a": ids[i], "b": ids[label[i]]})
+
+    def linked_in(dealt: DataFrame) -> DataFrame:
+        """dealt (g, deal, id, same) -> (a, b). Groups of one bucket are linked at once."""
+        rows = dealt.join(about, "id").withColumn("bucket", F.pmod(F.xxhash64("g", "deal"), F.lit(parts)))
+        out = cut(rows.groupBy("bucket").applyInPandas(run, "a long, b long"))
+        spent.append(out)
+        return out
+
+    def named(rows: DataFrame, found: DataFrame) -> DataFrame:
+        out = cut(rows.join(found, F.col("id") == F.col("node"), "left").select("g", "id", "n", F.coalesce("component", "id").alias("same")))
+        spent.append(out)
+        return out
+
+    blocks = F.ceil(F.col("n") / block)
+    number = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n)
+    edges = linked_in(shared.select("g", number(1, blocks).alias("deal"), "id", F.col("id").alias("same")))
+    found = components(edges)
+    if (widest or 0) > block:
+        large = named(shared.where(F.col("n") > block), found)
+        edges = edges.unionByName(linked_in(large.select("g", number(2, blocks).alias("deal"), "id", "same")))
+        large = named(large.drop("same"), components(edges))
+        sums = large.groupBy("g", "n", "same").agg(F.count("*").alias("m")).groupBy("g", "n").agg(F.max(F.struct("m", "same")).alias("main"))
+        open_ = cut(sums.where("main.m < n").select("g", "n", F.col("main.same").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / block).alias("outer")))
+        rows = cut(spread_join(large.drop("n"), open_, "g"))
+        spent += [open_, rows]
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        inner = rows.select("g", "id", "same", number(3, blocks).alias("x"), every(F.col("outer")).alias("y"))
+        outer = rows.where("same <> main").select("g", "id", "same", every(blocks).alias("x"), number(4, F.col("outer")).alias("y"))
+        last = linked_in(inner.unionByName(outer).distinct().select("g", F.xxhash64("x", "y").alias("deal"), "id", "same"))
+        found = components(edges.unionByName(last))
+    discard(*spent)
+    return found
+
+
+def _walk(g: np.ndarray, same: np.ndarray, keys: np.ndarray, allowed: list[int], wide: np.ndarray | None = None, wide_radius: int = 0) -> np.ndarray:
+    """trie_links for rows sorted by g only."""
+    order = np.lexsort((keys, g))
+    label = trie_links(keys[order], g[order], allowed, None if wide is None else wide[order], wide_radius, forest=_Forest(len(keys), same[order]))
+    out = np.empty(len(keys), int)
+    out[order] = order[label]
+    return out
+
+
+def linked(prints: DataFrame, radius: int = 3, subtree: int = 32768, block: int = 1 << 18) -> DataFrame:
+    """prints (fp; distinct) -> (fp, component: smallest fp of its component), for linked ones only. subtree: about how many share a home; block: how many of a home are walked at once."""
+    if not 0 <= radius <= 15:
+        raise ValueError("radius must be from 0 to 15")
+    turns = radius + 1
+    depth = min(59, max(6, int(np.ceil(np.log2(max(1, prints.count()) / subtree)))))
+    turned_by = [64 * k // turns for k in range(turns)]
+    allowed = [budgets(radius, blocks_of(turns, t)) for t in range(turns)]
+    homes = None
+    for turn, by in enumerate(turned_by):
+        value = F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)) if by else F.col("fp")
         prefix = F.shiftrightunsigned(value, 64 - depth)
-        homes = F.explode(F.filter(F.array(*[prefix.bitwiseXOR(F.lit(m).cast("long")) for m in masks]), lambda h: h <= prefix))  # noqa: B023
-        part = prints.select("cls", *rest, value.alias("key"), homes.alias("home"), F.lit(trie * TURNS + turn).alias("turn"))
-        rows = part if rows is None else rows.unionByName(part)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = int(pdf["home"].iloc[0])
-        keys = pdf["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        keys, cls = keys[order], pdf["cls"].to_numpy()[order]
-        extra = np.stack([pdf[f"rest{k}"].to_numpy()[order].view(np.uint64) for k in range(1, wide + 1)], axis=1) if wide else None
-        tops = (keys >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(keys), np.int64)
-        names, starts = np.unique(tops, return_index=True)
-        ranges = {int(p): (int(s), int(e)) for p, s, e in zip(names, starts, [*starts[1:], len(keys)], strict=True)}
-        if home not in ranges:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        label = trie_links(keys, ranges[home], [r for p, r in ranges.items() if p != home], depth, radius, extra, wide_radius)
-        i = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": cls[i], "b": cls[label[i]]})
-
-    edges = rows.groupBy("turn", "home").applyInPandas(walk, "a long, b long")
-    return components(edges).withColumnRenamed("node", "cls")
-
-
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 14, wide: int = 3, wide_radius: int = 54, tries: int = 1, distinct: bool = False) -> DataFrame:
+        masks = [sum(1 << b for b in bits) for k in range(allowed[turn][depth] + 1) for bits in combinations(range(depth), k)]
+        # two prefixes within the budget meet in the home of the larger one
+        home = F.explode(F.filter(F.array(*[prefix.bitwiseXOR(F.lit(m).cast("long")) for m in masks]), lambda h: h >= prefix))  # noqa: B023
+        part = prints.select(home.alias("home"), F.col("fp").alias("id")).select((F.shiftleft("home", 4) + turn).alias("g"), "id")
+        homes = part if homes is None else homes.unionByName(part)
+
+    def link(pdf: pd.DataFrame, same: np.ndarray) -> np.ndarray:
+        g, keys, of = pdf["g"].to_numpy(), pdf["id"].to_numpy().view(np.uint64), pdf["home"].to_numpy() & 15
+        label = np.arange(len(g))
+        for turn, by in enumerate(turned_by):
+            rows = np.flatnonzero(of == turn)
+            if len(rows):
+                own = keys[rows] << np.uint64(by) | keys[rows] >> np.uint64(64 - by) if by else keys[rows]
+                label[rows] = rows[_walk(g[rows], same[rows], own, allowed[turn])]
+        return label
+
+    return group_links(homes, prints.select(F.col("fp").alias("id")), link, block).withColumnRenamed("node", "fp")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): for each row its fingerprint and the smallest id that links lead to, its own included. A null id is never the smallest unless all are null."""
-    docs = fingerprints(df, doc_id, text, width, wide, distinct)
-    further = [f"w{k}" for k in range(1, wide + 1)]
-    docs = cut(docs.withColumn("cls", F.xxhash64("fp", *further) if wide else F.col("fp")))
-    classes = cut(docs.groupBy("cls", "fp", *further).agg(F.min("doc_id").alias("least")))
-    groups = linked(classes.drop("least"), radius, wide, wide_radius, tries=tries)
-    named = classes.select("cls", "least").join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "component").select("cls", "component_id")
-    return docs.select("doc_id", "fp", "cls").join(final, "cls").select("doc_id", "fp", "component_id")
-
-
-def _alike(sets: list[np.ndarray], half: np.ndarray | None, threshold: float) -> np.ndarray:
-    """Component labels of sets of shingles linked from the Jaccard threshold up; with half, by links between its False and True only."""
+    docs = cut(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", width))
+    classes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    groups = linked(classes.select("fp"), radius)
+    named = cut(classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    final = cut(spread_join(named.drop("least").withColumnRenamed("n", "rows"), least, "component").select("fp", "component_id", F.col("rows").alias("n")))
+    return spread_join(docs, final, "fp").select("doc_id", "fp", "component_id")
+
+
+def alike(sets: list[np.ndarray], threshold: float, forest: _Forest) -> np.ndarray:
+    """Component labels of sets of shingles linked from the Jaccard threshold up."""
     sizes = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, at = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
-    forest, marked = _Forest(len(sets)), np.zeros(len(values), bool)
-    for i in range(len(sets)) if half is None else np.flatnonzero(~half):
+    marked = np.zeros(len(values), bool)
+    for i in range(len(sets)):
         ask = forest.label != forest.label[i]
-        ask &= half if half is not None else np.arange(len(sets)) > i
+        ask[:i] = False
         if ask.any():
             own = at[starts[i] : starts[i] + sizes[i]]
             marked[own] = True
@@ -288,37 +385,35 @@ def _alike(sets: list[np.ndarray], half: np.ndarray | None, threshold: float) ->
     return forest.label
 
 
-def verified_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, block: int = 512) -> DataFrame:
-    """df with component: rows of texts that links lead between, where a link is a Jaccard similarity of distinct shingles from the threshold up.
+def verified_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, radius: int = 22, wide_radius: int = 62, block: int = 512, home_block: int = 1 << 16) -> DataFrame:
+    """(key, least, n, component) for each distinct text of df: its text_key, the smallest id of its rows, their number, and its component.
 
-    Candidates: texts that wide fingerprints of distinct shingles put together, with each of the four fingerprints
-    searched. Inside such a candidate group all texts are compared on their shingles; groups of more than `block` texts
-    are dealt out by pairs of blocks, and texts known to be one component are not compared again.
+    A link is a Jaccard similarity of distinct shingles from the threshold up. Candidates are texts that the trie walks of
+    their homes put together; each group of candidates is then compared on its shingles.
     """
-    rows = df.withColumn("__k", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    near = near_duplicates(rows, "__k", text, width, 14, 3, 62, tries=4, distinct=True).select(F.col("doc_id").alias("__k"), F.col("component_id").alias("c")).distinct()
-    groups = near.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
-    asked = cut(near.join(groups, "c").select("__k", "c", F.ceil(F.col("n") / block).cast("int").alias("m")))
-    texts = rows.select("__k", F.col(text).cast("string").alias("t")).join(asked, "__k").groupBy("__k", "c", "m").agg(F.min("t").alias("t"))
-    own = F.pmod(F.xxhash64("__k", F.lit(3)), F.col("m")).cast("int")
-    dealt = texts.select("__k", "c", "t", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
-    dealt = dealt.select("__k", "c", "t", "own", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"))
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("c", "lo", "hi"), F.lit(buckets)))
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for (_, lo, hi), g in pdf.groupby(["c", "lo", "hi"], sort=False):
-            k = g["__k"].to_numpy()
-            sets = [np.unique(simhash((x or "").encode(), width)) for x in g["t"]]
-            label = _alike(sets, g["own"].to_numpy() == hi if lo < hi else None, threshold)
-            i = np.flatnonzero(label != np.arange(len(label)))
-            a.append(k[i])
-            b.append(k[label[i]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    found = components(dealt.groupBy("bucket").applyInPandas(links, "a long, b long"))
-    return rows.join(found.withColumnRenamed("node", "__k"), "__k", "left").withColumn("component", F.coalesce("component", "__k")).drop("__k")
+    keyed = df.select(text_key(text).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prints = fingerprints(keyed, "text", width, 3, True, bands, rows, keep=("key", "doc_id"))
+    further, keys = ["w1", "w2", "w3"], [f"k{k}" for k in range(bands)]
+    texts = prints.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", *further, *keys)])
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
+
+    def near(pdf: pd.DataFrame, same: np.ndarray) -> np.ndarray:
+        wide = np.stack([pdf[c].to_numpy().view(np.uint64) for c in further], axis=1)
+        return _walk(pdf["g"].to_numpy(), same, pdf["fp"].to_numpy().view(np.uint64), [radius] * 65, wide, wide_radius)
+
+    def verify(pdf: pd.DataFrame, same: np.ndarray) -> np.ndarray:
+        label, g = np.arange(len(pdf)), pdf["g"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            sets = [np.unique(simhash((x or "").encode(), width)) for x in pdf["text"].iloc[a:b]]
+            label[a:b] = a + alike(sets, threshold, _Forest(b - a, same[a:b]))
+        return label
+
+    found = group_links(texts.select(F.explode(F.array(*keys)).alias("g"), "id"), texts.select("id", "fp", *further), near, home_block)
+    asked = texts.select("id", "key").join(found.select(F.col("node").alias("id")), "id", "left_semi")
+    whole = keyed.groupBy("key").agg(F.first("text").alias("text")).join(asked, "key").select("id", "text")
+    groups = group_links(found.select(F.col("component").alias("g"), F.col("node").alias("id")), whole, verify, block, 4096)
+    return texts.select("key", "least", "n", "id").join(groups, F.col("id") == F.col("node"), "left").select("key", "least", "n", F.coalesce("component", "id").alias("component"))
 
 
 def hex16(fp: str = "fp"):

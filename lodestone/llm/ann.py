@@ -3,21 +3,28 @@
 Vectors are cut into short subvectors, each coded in four bits. What matters for the largest inner products is the part
 of the residual along the vector itself, so the loss weighs that part `eta` times the part across it. Codes are chosen
 by coordinate descent under that loss (the subvectors share the parallel part, so they are not independent), and the
-code words solve its normal equations over all subvectors together. A search scans tables: for each query the inner
-products with all code words are looked up by pairs of codes (one byte), the best `rerank` of each block of vectors are
-scored again from the original vectors in double precision.
-
-The codebooks are fitted on a bounded sample (`sample_rows` rows of smallest hash); every row is coded. Rows are dealt
-into blocks by a hash of the id and queries into blocks of their own; each pair of blocks is one group, so no task
-holds more than a block of each, and no list is cut short except by `rerank`, which the measured recall rests on.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part; ties go to the smaller id; repeated ids are kept as rows of their own; an empty table gives an empty table;
-other columns of the input are not read.
+code words solve its normal equations over all subvectors together. The codebooks are fitted on a bounded sample (about
+`sample_rows` distinct rows of smallest hash); every row is coded, once.
+
+Scan: blocks of codes (16 bytes for 64 dimensions) meet blocks of queries. For each query the inner products with all
+code words are tabled, two codes to a byte, and looked up for each row; the best `rerank` of a block and all tied with
+the last go on, then the best `rerank` over all blocks. Rerank: candidates are dealt to buckets of original vectors,
+which each query that has candidates there visits once, and scored in double precision. So vectors never travel with the
+number of query blocks; a bucket that many queries ask (vectors of large norm) is dealt out by queries. With `rerank` of
+at least the number of rows the result is exact; below that it rests on the measured recall.
+
+Of equal vectors only the top + 1 of smallest id can be in any result, so only these are candidates: one very common
+vector costs nothing. Rows are told apart by a number of their own, so a query meets every row but itself.
+
+Defined results: vectors that are null, zero, of another length than most (the shorter of equally common ones stays), or
+hold null or non-finite components, and rows without an id take no part; ties go to the smaller id; repeated ids are rows
+of their own, as queries (each ranks its own list) and as candidates; an empty table gives an empty table; other columns
+of the input are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import unit_hash
+from lodestone.llm.common import cut, spread_join, unit_hash
 
 WORDS = 16
 
@@ -112,66 +119,111 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(book: Codebook, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, x: np.ndarray, codes: np.ndarray, top: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the best `top` of a block for each query; rows come in ascending id."""
-    found_q, found_c, found_s = [], [], []
-    keep = min(len(cid), max(rerank, top + 1))
+def scan(book: Codebook, q: np.ndarray, codes: np.ndarray, keep: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the query, position of the row, approximate score) of the best `keep` rows for each query and all tied with the last. own: position of the query's own row, -1 if it is not here."""
+    n = codes.shape[1]
+    found: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))]
     for a in range(0, len(q), 64):
         lut = tables(book, q[a : a + 64])
         for i in range(len(lut)):
             rough = lut[i, 0][codes[0]]
             for j in range(1, len(codes)):
                 rough += lut[i, j][codes[j]]
-            if keep < len(cid):
-                least = np.partition(rough, len(cid) - keep)[len(cid) - keep]
-                best = np.flatnonzero(rough >= least)  # with all rows tied at the cut: equal codes are not equal vectors
-            else:
-                best = np.arange(len(cid))
-            best = best[cid[best] != qid[a + i]]
-            score = exact(q[a + i], x[best])
-            order = np.lexsort((cid[best], -score))[:top]
-            found_q.append(np.full(len(order), qid[a + i]))
-            found_c.append(cid[best][order])
-            found_s.append(score[order])
-    cat = lambda v, t: np.concatenate(v).astype(t) if v else np.zeros(0, t)
-    return cat(found_q, np.int64), cat(found_c, np.int64), cat(found_s, np.float64)
+            if own is not None and own[a + i] >= 0:
+                rough[own[a + i]] = -np.inf
+            least = np.partition(rough, n - keep)[n - keep] if keep < n else np.float32(-np.inf)
+            best = np.flatnonzero((rough >= least) & (rough > -np.inf))  # equal codes are not equal vectors
+            found.append((np.full(len(best), a + i), best, rough[best]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v: doubles) of the rows that take part, except for the length."""
-    v = F.col(embedding).cast("array<double>")
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    """(vec_id, v) of the rows that take part, except for the length."""
+    v = F.col(embedding)
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf"))) & F.exists(v, lambda x: x != 0)
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
 
 
-def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 256, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, score): for rows whose id is divisible by `every`, the `top` rows of largest inner product other than their own id."""
-    rows = usable(df, vec_id, embedding)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64)
+
+
+def coded(rows: DataFrame, book: Codebook) -> DataFrame:
+    """rows (row, v) -> (row, code: two four-bit codes a byte)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 1024):
+                part = pdf.iloc[a : a + 1024]
+                codes = paired(encode(book, _matrix(part["v"])))
+                yield pd.DataFrame({"row": part["row"].to_numpy(), "code": [c.tobytes() for c in np.ascontiguousarray(codes.T)]})
+
+    return rows.select("row", "v").mapInPandas(run, "row long, code binary")
+
+
+def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 512, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 1 << 16, query_rows: int = 2048, bucket_rows: int = 2048, pair_rows: int = 1 << 16) -> DataFrame:
+    """(query_id, rank, vec_id, score): for rows whose id is divisible by `every`, the `top` rows of largest inner product other than the row itself."""
+    spark = df.sparkSession
+    fine = usable(df, vec_id, embedding)
+    sizes = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, count = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("v") == dim)
-    drawn = rows.where(unit_hash("vec_id", F.lit("ann")) < min(1.0, sample_rows / count)).select("vec_id", "v").collect()
-    sample = np.array([r["v"] for r in sorted(drawn, key=lambda r: (r["vec_id"], r["v"]))]) if drawn else np.array([rows.first()["v"]])
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = cut(fine.where(F.size("v") == sizes[0]["d"]).withColumn("row", F.monotonically_increasing_id()))
+    count = sizes[0]["n"]
+    drawn = rows.where(unit_hash("vec_id", "v", F.lit("ann")) < min(1.0, sample_rows / count)).select("vec_id", "v").distinct().collect()
+    sample = np.array([r["v"] for r in sorted(drawn, key=lambda r: (r["vec_id"], r["v"]))] or [rows.first()["v"]], float)
     book = fit(sample, sub, eta)
-    blocks, askers = -(-count // block_rows), max(1, -(-count // every // query_rows))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+
+    same = Window.partitionBy(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).orderBy("vec_id", "row")
+    held = cut(rows.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= top + 1).drop("__n"))
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    n_held, n_asked = held.count(), asked.count()
+    # so many blocks of queries that all tasks have work, and no larger ones than query_rows
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n_held // block_rows))
+    askers = max(1, -(-n_asked // query_rows), min(tasks // blocks, n_asked // 32))
+    deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.select("vec_id", "v", deal(blocks, 1).alias("block")).select("*", all_of(askers).alias("asker"))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", deal(askers, 2).alias("asker")).select("*", all_of(blocks).alias("block"))
+    codes = cut(coded(held, book)).select("row", "code", deal(blocks, 1).alias("block")).select("*", all_of(askers).alias("asker"))
+    queries = asked.select("row", "v", deal(askers, 2).alias("asker")).select("*", all_of(blocks).alias("block"))
 
-    def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def look(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        held = held.sort_values("vec_id", kind="stable")
-        x = np.stack(held["v"].to_numpy()).astype(np.float64)
-        codes = paired(np.concatenate([encode(book, x[a : a + 1024]) for a in range(0, len(x), 1024)]))
-        got = search_block(book, asked["vec_id"].to_numpy(), np.stack(asked["v"].to_numpy()).astype(np.float64), held["vec_id"].to_numpy(), x, codes, top, rerank)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got, strict=True)))
-
-    found = asked.groupBy("block", "asker").cogroup(held.groupBy("block", "asker")).applyInPandas(scan, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "rough": np.zeros(0, np.float32)})
+        table = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1).T
+        at = {r: k for k, r in enumerate(held["row"].to_numpy())}
+        own = np.array([at.get(r, -1) for r in asked["row"].to_numpy()])
+        i, j, rough = scan(book, _matrix(asked["v"]), np.ascontiguousarray(table), rerank, own)
+        return pd.DataFrame({"q": asked["row"].to_numpy()[i], "c": held["row"].to_numpy()[j], "rough": rough})
+
+    rough = queries.groupBy("block", "asker").cogroup(codes.groupBy("block", "asker")).applyInPandas(look, "q long, c long, rough float")
+    best = rough.withColumn("__r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("rough")))).where(F.col("__r") <= rerank)
+    buckets = max(1, -(-n_held // bucket_rows))
+    bucket = F.pmod(F.xxhash64("c", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket")
+    pairs = cut(best.select("q", "c", bucket))
+    load = cut(pairs.groupBy("bucket").agg(F.count("*").alias("n")))
+    parts = F.ceil(F.col("n") / pair_rows)
+    pairs = cut(spread_join(pairs, load, "bucket").select("bucket", F.pmod(F.xxhash64("q", F.lit(4)), parts).alias("part"), "q", "c"))
+    visits = pairs.select("bucket", "part", "q").distinct().join(asked.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "v"), "q")
+    left = pairs.select("bucket", "part", "q", "c").unionByName(visits, allowMissingColumns=True)
+    homes = held.select(F.col("row").alias("c"), "vec_id", "v").select("*", bucket).join(load, "bucket")
+    homes = homes.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "c", "vec_id", "v")
+
+    def score(left: pd.DataFrame, homes: pd.DataFrame) -> pd.DataFrame:
+        whose = left["query_id"].notna()
+        visits, pairs = left[whose], left[~whose]
+        q, x = _matrix(visits["v"]), _matrix(homes["v"])
+        i = pd.Index(visits["q"]).get_indexer(pairs["q"])
+        j = pd.Index(homes["c"]).get_indexer(pairs["c"].astype("int64"))
+        s = np.concatenate([exact(q[i[a : a + 8192]], x[j[a : a + 8192]]) for a in range(0, len(i), 8192)])
+        out = pd.DataFrame({"q": visits["q"].to_numpy()[i], "query_id": visits["query_id"].to_numpy()[i].astype(np.int64), "c": homes["c"].to_numpy()[j], "vec_id": homes["vec_id"].to_numpy()[j], "score": s})
+        out = out.sort_values(["q", "score", "vec_id", "c"], ascending=[True, False, True, True])
+        return out.groupby("q", sort=False).head(top)
+
+    found = left.groupBy("bucket", "part").cogroup(homes.groupBy("bucket", "part")).applyInPandas(lambda a, b: score(a, b) if len(a) else NONE, "q long, query_id long, c long, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "c")
     ranks = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+NONE = pd.DataFrame({"q": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})

@@ -6,15 +6,21 @@ text travel as 32 sums of two 32-bit lanes, so a text is one row in the aggregat
 
 `within_radius` finds all fingerprints within a Hamming radius: the 64 bits are cut into blocks, and for each choice of
 blocks that could stay equal a table is keyed by those blocks (the permutation that puts them first); queries look into
-each table, and a pair is counted in the first table that holds it.
+each table, and a pair is counted in the first table that holds it. Keys of many fingerprints are dealt out on both sides.
 
-Defined results: a null text counts as empty and has fingerprint zero; equal texts have equal fingerprints; repeated
-rows get their own rows, in the order of their ids, then texts; a null id comes first; the only document is its own
-next one; an empty table gives an empty table; other columns of the input are not read.
+`with_next` deals rows into buckets of neighbouring ids. Their number and their size grow with the square root of the
+table, so that bounds (and first rows) of buckets are few enough to be literals; an id that more rows hold than a few
+buckets is dealt out further by a hash of the text.
+
+Defined results: a null text counts as empty and has fingerprint zero; texts of any length are read whole; equal texts
+have equal fingerprints; repeated rows and repeated ids get their own rows, ordered by id, then by a hash of the text;
+a null id comes first; the only document is its own next one; an empty table gives an empty table; other columns of the
+input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 from itertools import combinations
@@ -22,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, spread_join
 
 LANES = 32
 
@@ -73,36 +79,44 @@ def _bucket(value: str, bounds: list[int]) -> Column:
         return F.lit(0)
     wide = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    array = lambda v: F.array(*[F.lit(x).cast("long") for x in v])
+    literal = lambda v, kind: F.from_json(F.lit(json.dumps(v)), kind)  # noqa: E731  one literal, however many values
     smaller = lambda arr: F.size(F.filter(arr, lambda x: x < F.col(value)))
-    outer = smaller(array([g[0] for g in groups]))  # groups that begin below the value
-    inner = smaller(F.element_at(F.array(*[array(g) for g in groups]), F.greatest(outer, F.lit(1))))
+    outer = smaller(literal([g[0] for g in groups], "array<bigint>"))  # groups that begin below the value
+    inner = smaller(F.element_at(literal(groups, "array<array<bigint>>"), F.greatest(outer, F.lit(1))))
     return F.when(outer == 0, 0).otherwise((outer - 1) * wide + inner)
 
 
-def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 1000, most_buckets: int = 4096) -> DataFrame:
+def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = 1000) -> DataFrame:
     """(bucket, rn, guest, doc_id, text, next_text): the text of the next document in ascending id, the first's after the last.
 
-    Rows are dealt into buckets of neighbouring ids; the first row of each bucket is also a guest (to be left out of
-    results) at the end of the bucket before, so one shuffle brings all neighbours together.
+    bucket_rows: least rows a bucket; the square root of their number where that is more. The first row of each bucket is
+    also a guest (to be left out of results) at the end of the bucket before, so one shuffle brings all neighbours together.
     """
+    spark = df.sparkSession
     base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    base = base.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("h", F.xxhash64("text"))
     count = base.count()
-    buckets = max(1, min(most_buckets, count // bucket_rows))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = sorted(set(base.agg(F.percentile_approx("at", shares, 20_000)).first()[0] or [])) if buckets > 1 else []
-    placed = base.withColumn("bucket", _bucket("at", bounds))
-    firsts = sorted((r["bucket"], r["at"]) for r in placed.groupBy("bucket").agg(F.min("at").alias("at")).collect())  # one row a bucket
-    before = {at: firsts[k - 1][0] for k, (_, at) in enumerate(firsts)}
-    if before:
-        guests = df.sparkSession.createDataFrame(list(before.items()), "at long, also int")
-        placed = placed.join(F.broadcast(guests), "at", "left")  # at most most_buckets rows
-    else:
-        placed = placed.withColumn("also", F.lit(None).cast("int"))
-    roles = F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("also").alias("bucket"), F.lit(True).alias("guest")))
-    rows = placed.select("doc_id", "text", "at", F.inline(F.filter(roles, lambda r: r["bucket"].isNotNull())))
-    order = Window.partitionBy("bucket").orderBy("guest", "at", "text")
+    size = max(bucket_rows, math.isqrt(count))
+    buckets = max(1, count // size)
+    bounds: set[int] = set()
+    if buckets > 1:
+        shares = F.from_json(F.lit(json.dumps([i / buckets for i in range(1, buckets)])), "array<double>")  # one literal
+        bounds = set(base.agg(F.percentile_approx("at", shares, max(20_000, 10 * buckets))).first()[0] or [])
+    # ids that fill over four buckets: a quarter as many as buckets at most
+    hot = {r["at"]: -(-r["n"] // size) for r in base.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > 4 * size).collect()}
+    bounds |= {x for at in hot for x in (at, max(at, 1 - (1 << 63)) - 1)}
+    placed = base.withColumn("bucket", F.shiftleft(_bucket("at", sorted(bounds)).cast("long"), 24))
+    if hot:
+        parts = F.broadcast(spark.createDataFrame(list(hot.items()), "at long, parts int"))
+        share = (F.shiftrightunsigned(F.col("h").bitwiseXOR(_signed(1 << 63)), 11)).cast("double") / float(1 << 53)
+        placed = placed.join(parts, "at", "left").withColumn("bucket", F.col("bucket") + F.coalesce(F.floor(share * F.col("parts")), F.lit(0))).drop("parts")
+    firsts = sorted((r["bucket"], *r["f"]) for r in placed.groupBy("bucket").agg(F.min(F.struct("at", "h")).alias("f")).collect())  # one row a bucket
+    if not firsts:
+        return placed.select("bucket", F.lit(1).alias("rn"), F.lit(False).alias("guest"), "doc_id", "text", F.col("text").alias("next_text"))
+    homes = F.broadcast(spark.createDataFrame([(at, h, firsts[k - 1][0]) for k, (_, at, h) in enumerate(firsts)], "at long, h long, home long"))
+    guests = placed.join(homes, ["at", "h"]).dropDuplicates(["home"]).select(F.col("home").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text", "at", "h")
+    rows = placed.select("bucket", F.lit(False).alias("guest"), "doc_id", "text", "at", "h").unionByName(guests)
+    order = Window.partitionBy("bucket").orderBy("guest", "at", "h", "text")
     return rows.select("bucket", F.row_number().over(order).alias("rn"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
@@ -138,36 +152,51 @@ def _signed(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | None = None, parts: int = 16) -> DataFrame:
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | None = None, part_rows: int = 4096) -> DataFrame:
     """queries (fp), prints (fp) -> (fp, n_within): how many rows of prints differ in at most radius bits, for distinct query fingerprints.
 
-    Each key of a table holds its distinct fingerprints in `parts` lists, so a common key is dealt out and a lookup is
-    one row a list, not one a pair. blocks: so many that a table's key has about as many bits as there are fingerprints.
+    blocks: so many that a table's key has about as many bits as there are fingerprints. A key of over part_rows
+    fingerprints on either side is dealt out by parts of both.
     """
-    counts = prints.groupBy("fp").agg(F.count("*").alias("n"))
+    counts = cut(prints.groupBy("fp").agg(F.count("*").alias("n")))
+    asks = cut(queries.select("fp").distinct())
     if blocks is None:
-        need = math.log2(max(2, prints.count()))
+        need = math.log2(max(2, counts.count()))
         blocks = next((b for b in range(radius + 1, radius + 5) if 64 * (b - radius) / b >= need), radius + 4)
     masks = block_masks(radius, blocks)
     tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(_signed(m)) for m in masks])).alias("table", "key")
-    part = F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int")
-    held = counts.select("fp", "n", part.alias("part"), tables).groupBy("table", "key", "part").agg(F.collect_list(F.struct("fp", "n")).alias("held"))
-    asked = queries.select("fp").distinct().select("fp", tables).withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(parts)])))
-
-    def counted(x: Column) -> Column:
-        differ = x["fp"].bitwiseXOR(F.col("fp"))
-        earlier = [F.when(F.col("table") > t, differ.bitwiseAND(_signed(m)) != 0).otherwise(True) for t, m in enumerate(masks)]
-        return reduce(lambda a, b: a & b, earlier, F.bit_count(differ) <= radius)
-
-    found = asked.join(held, ["table", "key", "part"], "left")
-    n = F.coalesce(F.aggregate(F.filter("held", counted), F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
-    return found.select("fp", n.alias("n")).groupBy("fp").agg(F.sum("n").alias("n_within"))
+    at = ["table", "key"]
+
+    def dealt(rows: DataFrame, here: str, there: str) -> DataFrame:
+        """rows in their own part of `here` and in all parts of `there`, both 1 but for large keys."""
+        keyed = rows.select("*", tables)
+        own = F.pmod(F.xxhash64("fp"), F.ceil(F.col(here) / part_rows))
+        all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(there) / part_rows) - 1))
+        zero = F.lit(0).cast("long")
+        few = keyed.join(large, at, "left_anti").select(*rows.columns, *at, zero.alias(here), zero.alias(there))
+        many = keyed.join(F.broadcast(hot), at).unionByName(keyed.join(F.broadcast(hot.select(*at)), at, "left_anti").join(rest, at))
+        return few.unionByName(many.select(*rows.columns, *at, own.alias(here), all_.alias(there)))
+
+    sizes = lambda rows, name: rows.select(tables).groupBy(*at).agg(F.count("*").alias(name))
+    either = sizes(counts, "held").join(sizes(asks, "asked"), at).where(f"greatest(held, asked) > {part_rows}")
+    large = cut(either)
+    total = large.agg(F.sum(F.col("held") + F.col("asked"))).first()[0] or 0
+    hot = large.where((F.col("held") + F.col("asked")) * 1000 > total)  # at most 1000 keys by their counts
+    rest = large.where((F.col("held") + F.col("asked")) * 1000 <= total)
+    a = dealt(asks, "asked", "held").withColumnRenamed("fp", "q")
+    b = dealt(counts, "held", "asked")
+    differ = F.col("fp").bitwiseXOR(F.col("q"))
+    first = [F.when(F.col("table") > t, differ.bitwiseAND(_signed(m)) != 0).otherwise(True) for t, m in enumerate(masks)]
+    near = reduce(lambda x, y: x & y, first, F.bit_count(differ) <= radius)
+    pairs = a.join(b, [*at, "held", "asked"]).where(near).groupBy("q").agg(F.sum("n").alias("n_within"))
+    return asks.join(pairs, asks["fp"] == pairs["q"], "left").select("fp", F.coalesce("n_within", F.lit(0).cast("long")).alias("n_within"))
 
 
 def report(df: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
     """compare_edited with n_within: for ids divisible by every, how many documents have a fingerprint within the radius (null for others)."""
     found = cut(compare_edited(df))
-    asked = found.where(F.pmod("doc_id", F.lit(every)) == 0)
-    near = within_radius(asked, found, radius)
-    sized = asked.select("doc_id", "fp").distinct().join(near, "fp").select("doc_id", "n_within")
-    return found.join(sized, "doc_id", "left")
+    is_asked = F.coalesce(F.pmod("doc_id", F.lit(every)) == 0, F.lit(False))
+    asked = cut(found.where(is_asked))
+    near = within_radius(asked, found, radius).join(asked.groupBy("fp").agg(F.count("*").alias("n")), "fp")
+    told = spread_join(asked, cut(near), "fp").drop("n")
+    return found.where(~is_asked).withColumn("n_within", F.lit(None).cast("long")).unionByName(told)

@@ -7,22 +7,25 @@ source's words stay what they should be. The one document that is left at the en
 others of its group are turned where that brings the source nearer to its target.
 
 Trades run in a reduction tree: each group of a source's documents leaves at most one undecided, and the undecided of
-`fan` groups meet in a group of the next level. Groups are dealt by a hash of the id, so a source of any size spreads
-over many tasks, and draws come from hashes, so reruns agree.
-
-Defined results: a null text has size 0; documents of size 0 and sources whose size is 0 take nothing; null is a source
-of its own (the last in order); repeated rows are rounded each by itself; empty tables give empty tables; other columns
-of the input are not read.
+`fan` groups meet in a group of the next level. Groups are dealt by a hash of the id and of the row's number among rows
+of equal id, source and size, so a source, or an id, of any number of rows spreads over many tasks; draws come from the
+same hashes, so reruns agree. Turning decided documents at the end trades the exact expectation of these few for a source
+that comes nearer to its target.
+
+Defined results: a null text has size 0; texts of any length are counted whole; documents of size 0 and sources whose
+size is 0 take nothing; null is a source of its own (the last in order), and so is the empty string; repeated rows and
+rows with a null id are rounded each by itself; trades of equal size and id go by the draw; empty tables give empty
+tables; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, ranked, unit_hash
+from lodestone.llm.common import cut, ranked, spread_join, unit_hash
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -77,48 +80,52 @@ def pivot(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
     return p
 
 
-def settled_near(p: np.ndarray, size: np.ndarray, most: int = 16) -> np.ndarray:
+def settled_near(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """p without its last open entry, which goes to the nearer side; then single entries are turned while that brings sum(p * size) nearer to what it was."""
     goal, p = float(p @ size), p.copy()
     one = (p > 0) & (p < 1)
     if not one.any():
         return p
     p[one] = np.rint(p[one])
-    for _ in range(most):
+    while True:  # each turn lessens the distance
         over = float(p @ size) - goal
         fit = np.where((p == (1 if over > 0 else 0)) & (size > 0), np.abs(np.abs(over) - size), np.inf)
         k = int(fit.argmin())
-        if not fit[k] < abs(over):
+        if not fit[k] < abs(over) - 1e-9:
             break
         p[k] = 1 - p[k]
     return p
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7, group_rows: int = 4096, fan: int = 64) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for each row."""
-    base = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size")))
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
+    """(doc_id, dup, source, size, source_size, target, copies, taken) for each row; dup numbers rows of equal id, source and size from 0."""
+    base = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
+    base = cut(base.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
+    again = base.groupBy("doc_id", "s", "size").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    dup = F.row_number().over(Window.partitionBy("doc_id", "s", "size").orderBy("s")) - 1 if again else F.lit(0)
+    sums = base.groupBy("s", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sums = cut(sums)
     shares = targets(sums.select("source", "source_size"), weights, most)
-    sums = shares.join(sums.select(F.col("source").alias("s"), "__n"), F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "__n")
-    rows = base.join(sums, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    named = shares.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).select("s", "target")
+    rows = spread_join(base.withColumn("dup", dup), cut(sums.drop("source").join(named, "s")), "s").withColumnRenamed("n", "__n")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     groups = F.ceil(F.col("__n") / group_rows)
     rows = rows.select(
-        "doc_id", "source", "size", "source_size", "target", whole.alias("whole"),
+        F.col("doc_id").cast("string").alias("doc_id"), "dup", "source", "size", "source_size", "target", whole.alias("whole"),  # as text, since pandas has no long that may be null
         F.when(F.col("size") > 0, rate - whole).otherwise(0.0).alias("p"),
-        unit_hash("doc_id", F.lit(seed)).alias("u"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), groups).alias("group"),
+        unit_hash("doc_id", "dup", F.lit(seed)).alias("u"),
+        F.pmod(F.xxhash64("doc_id", "dup", F.lit(seed + 1)), groups).alias("group"),
         groups.alias("groups"),
     )
     done, left = None, rows.withColumn("level", F.lit(0))
     level = 0
-    widest = base.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    widest = sums.agg(F.max("n")).first()[0] or 0
     width = -(-widest // group_rows)
     schema = left.schema
 
     def trade(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "u"], ascending=False, kind="stable")  # so that a short one is left
+        pdf = pdf.sort_values(["size", "doc_id", "dup"], ascending=False, kind="stable")  # so that a short one is left
         p = pivot(pdf["p"].to_numpy(), pdf["size"].to_numpy(float), pdf["u"].to_numpy())
         if pdf["groups"].iloc[0] <= 1:  # the last open one is settled
             p = settled_near(p, pdf["size"].to_numpy(float))
@@ -134,9 +141,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
             break
         level, width = level + 1, -(-width // fan)
         left = now.where(open_).select(
-            "doc_id", "source", "size", "source_size", "target", "whole", "p",
-            unit_hash("doc_id", F.lit(seed), F.lit(level)).alias("u"),
+            "doc_id", "dup", "source", "size", "source_size", "target", "whole", "p",
+            unit_hash("doc_id", "dup", F.lit(seed), F.lit(level)).alias("u"),
             F.floor(F.col("group") / fan).alias("group"), F.ceil(F.col("groups") / fan).alias("groups"), F.lit(level).alias("level"),
         )
     copies = (F.col("whole") + F.col("p").cast("long")).cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "dup", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -4,27 +4,30 @@ For each language a suffix automaton is built over labelled text. A text is pars
 phrases that the automaton holds; few phrases mean that the language explains the text well. A phrase points into a
 reference of R symbols, so it costs log2(R) bits, and the language with the fewest bits a symbol wins.
 
-The automata share one dense transition array, and all windows of a batch are parsed in step for all languages. A
-window starts a new phrase, which adds at most one phrase a window and language; whole texts are parsed.
+Symbols are the bytes of lower-cased letters in UTF-8, with one symbol for a run of anything else, so every letter of
+every script is told apart. The automata share one dense transition array, and all windows of a batch are parsed in step
+for all languages. A window starts a new phrase, which adds at most one phrase a window and language; whole texts are
+parsed.
 
-Bound of the fit: at most docs_per_lang labelled documents a language (those of smallest hash, the same at every size),
-from each one slice of slice_chars at a place drawn by hash, and at most total_chars over all languages. Languages are
-taken to be few (a few hundred); ids, sources and labels are never inputs of a prediction.
+Bound of the fit: the most_langs languages of most rows are learned; from each at most docs_per_lang labelled rows, those
+of smallest hash that fit whole into total_chars / languages characters together. Only where a language has no such row
+its shortest one is cut there. The bound is the same at every size; ids, sources and labels are never inputs of a
+prediction.
 
 Defined results: a null text, one without letters, or a model without languages gives `und` with score 0; ties go to
-the smaller language name; empty tables give empty tables; repeated rows get their own results; other columns are not
-read.
+the smaller language name; very long texts are parsed whole, in windows; empty tables give empty tables; repeated rows
+get their own results; other columns are not read, and the kept ones may have any name but those of the results.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import pieces, small_batches, unit_hash, utf8
@@ -35,7 +38,7 @@ UNKNOWN = "und"
 @dataclass
 class Model:
     langs: list[str]
-    #: code point -> symbol: 0 no letter, 1.. known letters, the last another letter
+    #: byte -> symbol: 0 for what is no letter, 1.. for bytes met, the last for others
     symbols: np.ndarray
     #: state row offset + symbol -> next row offset << 2 | phrases that end here
     step: np.ndarray
@@ -45,37 +48,39 @@ class Model:
     bits: np.ndarray
 
 
-def symbol_table(letters: list[str]) -> np.ndarray:
-    """Case does not matter; letters that are not listed share the last symbol."""
-    number = {c: k + 1 for k, c in enumerate(letters)}
-    other = len(letters) + 1
-    out = np.zeros(0x110000, np.uint8)
+@lru_cache(maxsize=1)
+def lowered() -> np.ndarray:
+    """code point -> its lower-case letter, or a space for what is no letter."""
+    out = np.full(0x110000, 32, np.uint32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            out[cp] = number.get(c.lower()[0], other)
+            out[cp] = ord(c.lower()[0])
     return out
 
 
-def symbols_of(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, runs of non-letters as one, and the offsets of the texts in them."""
+def letters_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of the lower-cased letters of all texts, with one space for a run of anything else, and the offsets of the texts in them."""
     try:
         text = raw.tobytes().decode()
     except UnicodeDecodeError:  # mended text by text, so that offsets stay right
         mended = [raw[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(off, off[1:], strict=False)]
         raw, off = np.frombuffer(b"".join(mended), np.uint8), np.cumsum([0, *map(len, mended)])
         text = raw.tobytes().decode()
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    out = table[points]
-    # where texts begin, in code points
-    before = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])
-    begin = before[off]
-    keep = np.ones(len(out), bool)
-    keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
-    starts = begin[:-1][begin[:-1] < len(out)]
-    keep[starts] = True
-    left = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], left[begin]
+    points = lowered()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    begin = np.concatenate([[0], np.cumsum(raw & 0xC0 != 0x80)])[off]  # where texts begin, in code points
+    keep = np.ones(len(points), bool)
+    keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
+    keep[begin[:-1][begin[:-1] < len(points)]] = True
+    width = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)) * keep
+    at = np.concatenate([[0], np.cumsum(width)])[begin]
+    return np.frombuffer(points[keep].tobytes().decode("utf-32-le").encode(), np.uint8), at
+
+
+def symbols_of(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, and the offsets of the texts in them."""
+    data, at = letters_of(raw, off)
+    return table[data], at
 
 
 def suffix_automaton(text: list[int], width: int) -> np.ndarray:
@@ -108,22 +113,17 @@ def suffix_automaton(text: list[int], width: int) -> np.ndarray:
     return np.array(rows, np.int32)
 
 
-def build(texts: dict[str, list[str]], most_letters: int = 80) -> Model:
+def build(texts: dict[str, list[str]]) -> Model:
     """A model from texts by language."""
     langs = sorted(texts)
-    count: Counter = Counter()
-    for lang in langs:
-        own = Counter(c for t in texts[lang] for c in t.lower() if c.isalpha())
-        total = sum(own.values()) or 1
-        for c, n in own.items():
-            count[c] += n / total
-    letters = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:most_letters]]
-    table = symbol_table(letters)
-    width = len(letters) + 2
+    read = {lang: letters_of(*utf8(pa.array(texts[lang], pa.string())))[0] for lang in langs}
+    met = sorted(set().union(*(np.unique(x).tolist() for x in read.values())) - {32}) if langs else []
+    width = len(met) + 2
+    table = np.full(256, width - 1, np.uint8)
+    table[32], table[met] = 0, np.arange(1, width - 1)
     steps, roots, bits, base = [], [], [], 0
     for lang in langs:
-        raw, off = utf8(pa.array(texts[lang], pa.string()))
-        seq, _ = symbols_of(raw, off, table)
+        seq = table[read[lang]]
         rows = suffix_automaton(seq.tolist(), width)
         first = rows[0]
         # without a continuation: the phrase ends, and this symbol begins the next, or is one itself if unknown
@@ -175,30 +175,24 @@ def predict(model: Model, arr: pa.Array) -> tuple[list[str], np.ndarray]:
     return [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 96, slice_chars: int = 768, total_chars: int = 400_000) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 96, total_chars: int = 400_000, most_langs: int = 500) -> Model:
     """train: rows to learn from; those with a null text or lang are left out."""
     rows = train.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
-    rows = rows.withColumn("u", unit_hash(F.coalesce("k", F.lit("")), F.lit("lang")))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    langs = [r["l"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()]
+    if not langs:
         return build({})
-    share = F.element_at(F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 2.0 * docs_per_lang / n))]), F.col("l"))
-    place = F.floor(unit_hash(F.coalesce("k", F.lit("")), F.lit("slice")) * (F.greatest(F.length("t") - slice_chars, F.lit(0)) + 1)).cast("int") + 1
-    found = rows.where(F.col("u") < share).select("l", "u", F.substring("t", place, F.lit(slice_chars)).alias("t")).collect()
-    by_lang: dict[str, list] = {}
-    for r in found:
-        by_lang.setdefault(r["l"], []).append((r["u"], r["t"]))
-    each = total_chars // len(by_lang) if by_lang else 0
+    each = total_chars // len(langs)
+    n = F.length("t")
+    order = Window.partitionBy("l").orderBy(F.greatest(n, F.lit(each)), unit_hash(F.coalesce("k", F.lit("")), "t"), "t")
+    known = F.broadcast(train.sparkSession.createDataFrame([(x,) for x in langs], "l string"))
+    # docs_per_lang rows a language leave each task
+    best = rows.join(known, "l").where(F.col("t").rlike("\\p{L}")).select("l", F.row_number().over(order).alias("r"), F.substring("t", 1, each).alias("t")).where(F.col("r") <= docs_per_lang)
     texts = {}
-    for l, v in by_lang.items():
-        left, kept = each, []
-        for _, t in sorted(v)[:docs_per_lang]:
-            if left > 0 and any(c.isalpha() for c in t):
-                kept.append(t[:left])
-                left -= len(kept[-1])
-        if kept:
-            texts[l] = [" ".join(kept)]
-    return build(texts)
+    for r in sorted(best.collect(), key=lambda r: (r["l"], r["r"])):
+        kept = texts.setdefault(r["l"], [])
+        if not kept or sum(map(len, kept)) + len(r["t"]) <= each:
+            kept.append(r["t"])
+    return build({k: [" ".join(v)] for k, v in texts.items()})
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

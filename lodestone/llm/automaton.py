@@ -108,8 +108,8 @@ class _Parser:
 class Automaton:
     """next: states x classes, state 0 is the start; classes: byte -> class; accepts: bit k of a state is set if rule k ends there."""
 
-    def __init__(self, rules: list[tuple[str, bool]], search: bool):
-        """rules: (pattern, any_case). search: matches may begin at any byte, else only at the first."""
+    def __init__(self, rules: list[tuple[str, bool]], search: bool, backward: bool = False):
+        """rules: (pattern, any_case). search: matches may begin at any byte, else only at the first. backward: bytes come from the last to the first."""
         eps: list[set[int]] = []
         moves: list[list[tuple[frozenset, int]]] = []
 
@@ -125,7 +125,7 @@ class Automaton:
                 moves[at].append((node[1], to))
                 return to
             if kind == "seq":
-                for x in node[1]:
+                for x in reversed(node[1]) if backward else node[1]:
                     at = build(x, at)
                 return at
             if kind == "or":
@@ -226,6 +226,16 @@ class Automaton:
                 break
         return best
 
+    def ends_backward(self, data: bytes) -> list[int]:
+        """Where a match of a backward search automaton may begin, in ascending order."""
+        rows, classes, ok, at, _ = self._lists()
+        found = []
+        for i in range(len(data) - 1, -1, -1):
+            at = rows[at][classes[data[i]]]
+            if ok[at]:
+                found.append(i)
+        return found[::-1]
+
     def _lists(self):
         if not hasattr(self, "_cached"):
             self._cached = (self.next.tolist(), self.classes.tolist(), (self.accepts != 0).tolist(), 0, 0)

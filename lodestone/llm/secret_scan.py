@@ -64,7 +64,9 @@ class Scanner:
         self.auto = Automaton([(r.probe or r.head + r.body, r.any_case) for r in rules], search=True)
         self.heads = [Automaton([(r.head, r.any_case)], search=False) if r.head else None for r in rules]
         self.bodies = [Automaton([(r.body, r.any_case)], search=False) for r in rules]
-        self.firsts = [self._firsts(h or b) for h, b in zip(self.heads, self.bodies, strict=True)]
+        # read from the end, where a head and the first byte of its body end is where a match may begin
+        self.begins = [Automaton([(f"{r.head}(?:{r.body})", r.any_case)], search=True, backward=True) if r.head else None for r in rules]
+        self.firsts = [self._firsts(b) for b in self.bodies]
         width = self.auto.next.shape[1]
         self.flat = (self.auto.next * width).astype(np.int32).ravel()  # states are kept as offsets of their rows
         self.ends = np.repeat(self.auto.accepts, width).astype(np.min_scalar_type((1 << len(rules)) - 1))
@@ -99,6 +101,10 @@ class Scanner:
         mask = np.zeros(len(order), self.ends.dtype)
         live = np.searchsorted(-left, -np.arange(1, (left[0] if len(left) else 0) + 1), side="right")
         for t, n in enumerate(live):
+            if n < 8:  # the few longest pieces are walked one by one
+                for k in range(n):
+                    mask[k] |= self._rest(codes[start[k] + t : start[k] + left[k]], int(state[k]))
+                break
             s = self.flat[state[:n] + codes[start[:n] + t]]
             state[:n] = s
             e = self.ends[s]
@@ -108,18 +114,38 @@ class Scanner:
         out[order] = mask
         return out
 
+    def _rest(self, codes: np.ndarray, state: int) -> int:
+        """The bits of the rules that end from a state on."""
+        if not hasattr(self, "_flat"):
+            self._flat = self.flat.tolist()
+        step, ends, out = self._flat, self.ends, 0
+        walked = np.empty(min(len(codes), 1 << 16), np.int64)
+        for a in range(0, len(codes), 1 << 16):
+            part = codes[a : a + (1 << 16)].tolist()
+            for k, c in enumerate(part):
+                state = step[state + c]
+                walked[k] = state
+            out |= int(np.bitwise_or.reduce(ends[walked[: len(part)]]))
+        return out
+
     def spans(self, data: bytes, rule: int) -> list[tuple[int, int]]:
-        """Leftmost non-overlapping matches of a rule in bytes, without those that are too short."""
-        r, head, body, firsts, found, i, n = self.rules[rule], self.heads[rule], self.bodies[rule], self.firsts[rule], [], 0, len(data)
-        while i < n:
-            if data[i] in firsts:
-                middle = head.longest(data, i, n) if head else i
-                if middle >= 0 and (end := body.longest(data, middle, n)) > middle:
+        """Leftmost non-overlapping matches of a rule in bytes, without those that are too short.
+
+        One pass from the end tells where matches begin, so no walk from the left is in vain and the time is linear.
+        """
+        r, head, body, found, done = self.rules[rule], self.heads[rule], self.bodies[rule], [], 0
+        if head:
+            places = self.begins[rule].ends_backward(data)
+        else:
+            firsts = self.firsts[rule]
+            places = (i for i, c in enumerate(data) if c in firsts)
+        for i in places:
+            if i >= done:
+                middle = head.longest(data, i, len(data)) if head else i
+                if middle >= 0 and (end := body.longest(data, middle, len(data))) > middle:
                     if end - middle >= r.min_body and end - i >= r.min_total:
                         found.append((i, end))
-                    i = end
-                    continue
-            i += 1
+                    done = end
         return found
 
     def scan(self, raw: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:

@@ -8,12 +8,15 @@ correlations) share one voice, so that who repeats another does not count twice,
 fallible, voter. It is fitted by expectation
 maximisation. A linear classifier is then trained on its posterior labels and scores every whole text.
 
-Bound of the fit: labelled rows of smallest hash, at most max_positive and max_negative of them and max_bytes of text
-together; the label counts that set the prior are taken over all labelled rows. Ids, labels, languages and sources are
-never inputs of a score.
-
-Defined results: a null or empty text is scored like a text without hits; without labelled rows every score is 0; empty
-tables give empty tables; repeated rows get equal scores; other columns of the input are not read.
+Bound of the fit: labelled ids of smallest hash, about max_positive and max_negative of them and max_bytes of text
+together; the label counts that set the prior are taken over all labelled ids. Of rows that share an id the one of
+smallest text is learned from, and an id with both labels counts with each. Ids, labels, languages and sources are never
+inputs of a score.
+
+Defined results: a null or empty text is scored like a text without hits; texts of any length are scored whole; without
+labelled rows every score is 0; ties (equal texts, repeated rows) get equal scores; empty tables give empty tables; other
+columns of the input are not read by the fit and pass through the scoring, where one that is called like the score is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -245,16 +248,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     Only ids, labels and sizes meet in the join; the texts of the sample are then picked out of docs by its bounded list of ids.
     """
-    sized = docs.select(F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).alias("b"))
-    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and k is not null").join(sized, "k")
+    sized = docs.groupBy(F.col(key).alias("k")).agg(F.max(F.coalesce(F.octet_length(text), F.lit(0))).alias("b"))
+    rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and k is not null").distinct().join(sized, "k")
     rows = cut(rows.withColumn("u", unit_hash(F.col("k").cast("string"), F.lit("toxicity"))))
     sums = {r["y"]: r for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
     if len(sums) < 2:
         return Model()
     share = {y: min(1.0, most / sums[y]["n"], max_bytes / 2 / max(1, sums[y]["b"])) for y, most in ((1, max_positive), (0, max_negative))}
-    taken = rows.where(F.when(F.col("y") == 1, F.col("u") < share[1]).otherwise(F.col("u") < share[0])).select("k", "y", "u").distinct()
+    taken = rows.where(F.when(F.col("y") == 1, F.col("u") < share[1]).otherwise(F.col("u") < share[0])).select("k", "y", "u")
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
-    found = texts.join(F.broadcast(taken), "k").select("t", "y", "u").toArrow()  # about max_positive + max_negative ids
+    ids = F.broadcast(taken.select("k").distinct())  # about max_positive + max_negative
+    found = texts.join(ids, "k").groupBy("k").agg(F.min("t").alias("t")).join(taken, "k").select("t", "y", "u").toArrow()
     if not found.num_rows:
         return Model()
     found = found.take(pc.sort_indices(found, [("u", "ascending"), ("t", "ascending"), ("y", "ascending")]))

@@ -1,21 +1,30 @@
 """Visible text of HTML pages, laid out.
 
-A tokenizer and a tree builder that closes implied tags (p before blocks, li, dt and dd, rows and cells, options) and
-supplies tbody, tr and cells where a table lacks them. Visibility: elements that browsers do not show, `hidden`, inline styles and simple rules of style elements
-(tag, .class, #id and lists of those, the more specific first) with display none or visibility hidden, closed details
-and dialogs. Rules under conditional at-rules (media with conditions or for print, supports, container) are passed over. The renderer collapses
-white space, keeps pre, starts blocks on new lines with a blank line around paragraphs and the like, marks list items
-by bullets or numbers with indentation, and pads table cells so that columns line up.
+A tokenizer and a tree builder that closes implied tags (p before blocks, li, dt and dd, rows and cells, options),
+supplies the tbody and tr that a table lacks, and puts text and elements that have no place in a table before it.
+
+Visibility: elements that browsers do not show; `hidden`, closed dialogs and details; display and visibility from inline
+styles and style elements by the cascade (!important, inline, specificity, order) of selectors made of tags, classes, ids
+and attributes with descendant and child combinators. Rules that depend on a condition (other media than screens, supports,
+container, nesting) and selectors with pseudo-classes or sibling combinators are passed over, so that text stays. Not
+read: linked style sheets, text that only styles make invisible (colour, size, position).
+
+The renderer collapses white space, keeps pre, starts blocks (also elements that styles make blocks) on new lines with a
+blank line around paragraphs and the like, marks list items by bullets or numbers with indentation, and pads table cells
+so that columns line up: by display width (wide characters count 2, combining ones 0), with colspan and rowspan. Columns
+are padded to 200 places at most; the text of wider cells is whole.
 
 Defined results: a null or empty page gives an empty text; broken markup never fails: unknown end tags are dropped and
-what is open at the end is closed; nesting of any depth is walked without recursion (indentation stops at 16 levels);
-repeated rows get equal results; empty tables give empty tables; other columns of the input are not read.
+what is open at the end is closed; pages of any length and nesting of any depth are walked without recursion (indentation
+stops at 16 levels); rules that tie go by their order; repeated rows get equal results; empty tables give empty tables;
+other columns of the input are not read, and the kept ones may have any name but that of the result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +37,7 @@ from lodestone.llm.common import pieces, small_batches
 # fixed values: sets of element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object video audio canvas area".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title datalist object video audio canvas area rp".split())
 BLOCK = frozenset("html body address article aside blockquote center details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section summary table ul xmp caption tr".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul hr menu xmp fieldset".split())
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend", "tr", "caption"}
@@ -53,7 +62,11 @@ HEAD_ONLY = frozenset("base link meta title style script noscript template head"
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 EDGE = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[{};]", re.S)
-SELECTOR = re.compile(r"(?:([a-zA-Z][\w-]*)|\*)?((?:[.#][\w-]+)*)$")
+COMPOUND = re.compile(r"(?:([a-zA-Z][\w-]*)|\*)?((?:[.#][\w-]+|\[[^\]]*\])*)")
+CONDITION = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]*))\s*)?\]")
+IN_TABLE = frozenset("table tbody thead tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th script style template form".split())
+BLOCK_DISPLAYS = frozenset("block flex grid list-item table flow-root".split())
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -83,7 +96,21 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if s:
             if stack[-1].tag == "head" and s.strip():
                 cut_at(len(stack) - 1)
-            stack[-1].kids.append(html.unescape(s))
+            put(html.unescape(s), not s.strip())
+
+    def put(kid: Node | str, fits: bool) -> None:
+        """As the last child of what is open, or before the table that has no place for it."""
+        if fits or stack[-1].tag not in IN_TABLE or not open_["table"]:
+            stack[-1].kids.append(kid)
+            return
+        k = max(k for k, node in enumerate(stack) if node.tag == "table")
+        kids = stack[k - 1].kids
+        kids.insert(next((i for i in range(len(kids) - 1, -1, -1) if kids[i] is stack[k]), len(kids)), kid)
+
+    def supply(tag: str) -> None:
+        node = Node(tag, {})
+        stack[-1].kids.append(node)
+        push(node)
 
     def close(tags: frozenset, until: frozenset) -> None:
         """Close all open elements of the tags that are nearer than the nearest of until."""
@@ -133,18 +160,17 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 close(*IMPLIED[tag])
             if tag in CLOSES_P:
                 close(frozenset(["p"]), frozenset(["td", "th", "table", "button", "object"]))
-            if tag == "td" or tag == "th":
-                if stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                    row = Node("tr", {})
-                    stack[-1].kids.append(row)
-                    push(row)
+            if tag in ("td", "th", "tr") and stack[-1].tag == "table":
+                supply("tbody")
+            if tag in ("td", "th") and stack[-1].tag in ("tbody", "thead", "tfoot"):
+                supply("tr")
             node = Node(tag, attrs)
-            stack[-1].kids.append(node)
+            put(node, tag in TABLE_PARTS)
             if tag in RAW:
                 end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 body = page[at : end.start()] if end else page[at:]
                 at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
-                if tag == "style":
+                if tag == "style" and _always(f"@media {SPACE.sub(' ', attrs.get('media', '')).strip().lower()}"):
                     styles.append(body)
                 elif tag in ("textarea", "title"):
                     node.kids.append(html.unescape(body))
@@ -155,17 +181,15 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def _declared(body: str) -> tuple[bool | None, bool | None]:
-    """What declarations say of (displayed, visible); None: nothing."""
-    shown = seen = None
+def _declared(body: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of the declarations that bear on visibility."""
+    out = []
     for part in body.split(";"):
         name, _, value = part.partition(":")
-        name, value = name.strip().lower(), value.replace("!important", "").strip().lower()
-        if name == "display":
-            shown = value != "none"
-        elif name == "visibility":
-            seen = value == "visible"
-    return shown, seen
+        name, (value, bang, _) = name.strip().lower(), value.lower().partition("!")
+        if name in ("display", "visibility") and value.strip():
+            out.append((name, value.strip(), bool(bang)))
+    return out
 
 
 def _always(prelude: str) -> bool:
@@ -196,31 +220,95 @@ def rules(sheet: str) -> Iterator[tuple[str, str]]:
                 yield prelude, said
 
 
+def _chain(selector: str) -> tuple[list[tuple], tuple[int, int, int]] | None:
+    """([(combinator to the left, tag, conditions)], from the last compound to the first, and the specificity; None if there is more to it."""
+    at, out, ids, others, tags, combinator = 0, [], 0, 0, 0, ""
+    while at < len(selector):
+        m = COMPOUND.match(selector, at)
+        if not m[0]:
+            return None
+        found = list(CONDITION.finditer(m[2] or ""))
+        if sum(len(x[0]) for x in found) != len(m[2] or ""):
+            return None
+        conditions = [(x[1] or "", x[2] or x[3], x[4] or "", x[5] or x[6] or x[7] or "") for x in found]
+        out.append((combinator, (m[1] or "").lower(), conditions))
+        ids += sum(k == "#" for k, *_ in conditions)
+        others += sum(k != "#" for k, *_ in conditions)
+        tags += bool(m[1])
+        at = m.end()
+        gap = re.compile(r"\s*(>?)\s*").match(selector, at)
+        if at < len(selector) and not gap[0]:
+            return None
+        combinator, at = gap[1] or " ", gap.end()
+    return (out[::-1], (ids, others, tags)) if out else None
+
+
+def _fits(node: Node, tag: str, conditions: list[tuple]) -> bool:
+    if tag and tag != node.tag:
+        return False
+    for kind, name, op, value in conditions:
+        if kind == "#":
+            fine = node.attrs.get("id") == name
+        elif kind == ".":
+            fine = name in node.attrs.get("class", "").split()
+        else:
+            have = node.attrs.get(name.lower())
+            tests = {"": lambda h, v: True, "=": str.__eq__, "~=": lambda h, v: v in h.split(), "|=": lambda h, v: h == v or h.startswith(v + "-"), "^=": lambda h, v: v and h.startswith(v), "$=": lambda h, v: v and h.endswith(v), "*=": lambda h, v: v and v in h}
+            fine = have is not None and bool(tests[op](have, value))
+        if not fine:
+            return False
+    return True
+
+
+def _matches(chain: list[tuple], node: Node, above: list[Node]) -> bool:
+    """Whether the selector fits a node below the ancestors (outermost first)."""
+    todo = [(0, node, len(above))]  # (compound, node to fit, number of its ancestors)
+    while todo:
+        k, node, n = todo.pop()
+        if not _fits(node, *chain[k][1:]):
+            continue
+        if k + 1 == len(chain):
+            return True
+        reach = range(n) if chain[k][0] == " " else range(max(0, n - 1), n)
+        todo += [(k + 1, above[i], i) for i in reach]
+    return False
+
+
 class Styles:
-    """Simple rules by tag, class and id; the more specific wins, then the later."""
+    """Rules by what their last compound names; the cascade picks one value for each property."""
 
     def __init__(self, texts: list[str]):
-        self.rules = []
+        self.rules: dict[str, list[tuple]] = {}
+        order = 0
         for text in texts:
             for selectors, body in rules(text):
-                said = _declared(body)
-                if said == (None, None):
-                    continue
-                for s in selectors.split(","):
-                    m = SELECTOR.match(s.strip())
-                    if m and m[0]:
-                        self.rules.append(((m[1] or "").lower(), frozenset(re.findall(r"\.([\w-]+)", m[2])), "".join(re.findall(r"#([\w-]+)", m[2])), said))
-        self.rules.sort(key=lambda r: (bool(r[2]), len(r[1]), bool(r[0])))
-
-    def of(self, node: Node) -> tuple[bool | None, bool | None]:
-        shown = seen = None
-        classes = frozenset(node.attrs.get("class", "").split()) if self.rules else ()
-        for tag, cls, name, said in self.rules:
-            if (not tag or tag == node.tag) and cls <= classes and (not name or name == node.attrs.get("id")):
-                shown, seen = (a if b is None else b for a, b in zip((shown, seen), said, strict=True))
+                if said := _declared(body):
+                    for s in selectors.split(","):
+                        if found := _chain(s.strip()):
+                            chain, weight = found
+                            _, tag, conditions = chain[0]
+                            key = next((k + x for k, x, *_ in conditions if k), tag or "*")
+                            self.rules.setdefault(key, []).append((chain, weight, order, said))
+                            order += 1
+
+    def of(self, node: Node, above: list[Node]) -> dict[str, str]:
+        """Winning values by property."""
+        best: dict[str, tuple] = {}
+
+        def offer(said: list, inline: bool, weight: tuple, order: int) -> None:
+            for name, value, important in said:
+                rank = (important, inline, weight, order)
+                if name not in best or rank >= best[name][0]:
+                    best[name] = (rank, value)
+
+        if self.rules:
+            for key in {node.tag, "*", "#" + node.attrs.get("id", ""), *("." + c for c in node.attrs.get("class", "").split())}:
+                for chain, weight, order, said in self.rules.get(key, ()):
+                    if _matches(chain, node, above):
+                        offer(said, False, weight, order)
         if "style" in node.attrs:
-            shown, seen = (a if b is None else b for a, b in zip((shown, seen), _declared(node.attrs["style"]), strict=True))
-        return shown, seen
+            offer(_declared(node.attrs["style"]), True, (0, 0, 0), 0)
+        return {k: v for k, (_, v) in best.items()}
 
 
 class Lines:
@@ -280,23 +368,100 @@ class Lines:
         return self.lines
 
 
+def display_width(line: str) -> int:
+    """Places on a screen: wide characters take two, combining ones none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
+
+
+def _number(value: str, least: int, most: int) -> int:
+    """A span as the HTML standard reads it: digits, else 1, within its limits."""
+    m = re.match(r"\s*(\d{1,9})", value)
+    return min(max(int(m[1]), least), most) if m else 1
+
+
 class Grid:
-    """Rows of cells, each a list of lines."""
+    """Cells at (row, column) with their spans and lines."""
 
     def __init__(self):
-        self.rows: list[list[list[str]]] = []
+        self.cells: list[tuple[int, int, int, int, list[str]]] = []
         self.caption: list[str] = []
-
-    def lines(self) -> list[str]:
+        self.row, self.column, self.group = -1, 0, 0
+        #: column -> rows it is taken up to (not included) by cells above
+        self.taken: dict[int, int] = {}
+
+    def next_row(self) -> None:
+        self.row, self.column = self.row + 1, 0
+
+    def next_group(self) -> None:
+        """Cells do not reach beyond their group of rows."""
+        self.cells = [(r, c, min(h, self.row + 1 - r), w, lines) if r + h > self.row + 1 else (r, c, h, w, lines) for r, c, h, w, lines in self.cells]
+        self.taken.clear()
+
+    def add(self, lines: list[str], rows: int, columns: int) -> None:
+        if self.row < 0:
+            self.next_row()
+        while self.taken.get(self.column, 0) > self.row:
+            self.column += 1
+        self.cells.append((self.row, self.column, rows, columns, lines))
+        if rows > 1:
+            for c in range(self.column, self.column + columns):
+                self.taken[c] = self.row + rows
+        self.column += columns
+
+    def lines(self, most: int = 200) -> list[str]:
+        self.next_group()
         width: dict[int, int] = {}
-        for row in self.rows:
-            for k, cell in enumerate(row):
-                width[k] = max(width.get(k, 0), max(map(len, cell), default=0))
-        out = list(self.caption)
-        for row in self.rows:
-            for i in range(max(map(len, row), default=0)):
-                out.append("  ".join((c[i] if i < len(c) else "").ljust(width[k]) for k, c in enumerate(row)).rstrip())
-        return out
+        height = [0] * (self.row + 1)
+        for r, c, h, w, lines in self.cells:
+            if w == 1:
+                width[c] = max(width.get(c, 0), min(most, max(map(display_width, lines), default=0)))
+            if h == 1:
+                height[r] = max(height[r], len(lines))
+        # spans widen their last column and lengthen their last row by what is missing
+        for r, c, h, w, lines in sorted(self.cells, key=lambda x: (x[1] + x[3], x[0])):
+            if w > 1 and (used := [k for k in range(c, c + w) if k in width] or [c]):
+                need = min(most, max(map(display_width, lines), default=0)) - sum(width.get(k, 0) + 2 for k in used) + 2
+                width[used[-1]] = width.get(used[-1], 0) + max(0, need)
+        for r, c, h, w, lines in sorted(self.cells, key=lambda x: (x[0] + x[2], x[1])):
+            if h > 1:
+                height[r + h - 1] += max(0, len(lines) - sum(height[r : r + h]))
+        top, start, at = [0], {}, 0
+        for h in height:
+            top.append(top[-1] + h)
+        for k in sorted(width):
+            start[k], at = at, at + width[k] + 2
+        out: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
+        for r, c, _, _, lines in self.cells:
+            for i, x in enumerate(lines):
+                if x:
+                    out[top[r] + i].append((start.get(c, at), x))
+        done = []
+        for parts in out:
+            line, used = [], 0
+            for begin, x in sorted(parts, key=lambda p: p[0]):
+                gap = max(begin - used, 2 if line else 0)
+                line.append(" " * gap + x)
+                used += gap + display_width(x)
+            done.append("".join(line).rstrip())
+        return self.caption + done
+
+
+def _marker(kind: str, k: int) -> str:
+    """A list item's number in the style of its list."""
+    if kind in ("a", "A") and k > 0:
+        out = ""
+        while k:
+            k, r = divmod(k - 1, 26)
+            out = chr(97 + r) + out
+        return out if kind == "a" else out.upper()
+    if kind in ("i", "I") and 0 < k < 4000:
+        out = ""
+        for n, x in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), ("m", "cm", "d", "cd", "c", "xc", "l", "xl", "x", "ix", "v", "iv", "i"), strict=True):
+            out, k = out + x * (k // n), k % n
+        return out if kind == "i" else out.upper()
+    return str(k)
 
 
 def render(page: str | None) -> str:
@@ -307,6 +472,7 @@ def render(page: str | None) -> str:
     styles = Styles(texts)
     out = Lines()
     writers, grids, lists, pre = [out], [], [], 0
+    above: list[Node] = []
     # (node, entering, visible, state)
     todo: list = [(root, True, True, None)]
     while todo:
@@ -318,12 +484,14 @@ def render(page: str | None) -> str:
             continue
         tag = node.tag
         if entering:
-            if tag in HIDDEN or "hidden" in node.attrs or (tag == "dialog" and "open" not in node.attrs) or (tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
+            if tag in HIDDEN or (tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
                 continue
-            shown, seen = styles.of(node)
-            if shown is False:
+            said = styles.of(node, above)
+            display = said.get("display", "none" if "hidden" in node.attrs or (tag == "dialog" and "open" not in node.attrs) else "")
+            if display == "none":
                 continue
-            visible = visible if seen is None else seen
+            if (seen := said.get("visibility")) in ("visible", "hidden", "collapse", "initial"):
+                visible = seen in ("visible", "initial")
             if tag == "br":
                 w.end(bool(w.now) or not w.gap)
                 continue
@@ -336,18 +504,21 @@ def render(page: str | None) -> str:
                 continue
             if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists):
                 w.blank()
-            elif tag in BLOCK:
+            elif tag in BLOCK or display in BLOCK_DISPLAYS:
                 w.end()
             made = None
             if tag in ("ul", "ol", "menu"):
-                start = node.attrs.get("start", "1")
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                back = tag == "ol" and "reversed" in node.attrs
+                start = node.attrs.get("start", str(sum(isinstance(k, Node) and k.tag == "li" for k in node.kids)) if back else "1")
+                lists.append([node.attrs.get("type", "1") if tag == "ol" else "", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, -1 if back else 1])
                 w.indent += 1
             elif tag == "li":
-                numbered, k = lists[-1] if lists else (False, 0)
-                w.marker = f"{k}. " if numbered else "- "
+                if lists and re.fullmatch(r"-?\d{1,9}", node.attrs.get("value", "")):
+                    lists[-1][1] = int(node.attrs["value"])
+                kind, k, step = lists[-1] if lists else ("", 0, 0)
+                w.marker = f"{_marker(kind, k)}. " if kind else "- "
                 if lists:
-                    lists[-1][1] += 1
+                    lists[-1][1] += step
             elif tag in ("dd", "blockquote"):
                 w.indent += 1
             elif tag in ("pre", "xmp", "textarea"):
@@ -357,12 +528,15 @@ def render(page: str | None) -> str:
             elif tag == "table":
                 grids.append(Grid())
             elif tag == "tr" and grids:
-                grids[-1].rows.append([])
+                grids[-1].next_row()
+            elif tag in ("tbody", "thead", "tfoot") and grids:
+                grids[-1].next_group()
             elif tag in ("td", "th", "caption") and grids:
                 made = (Lines(), lists, pre)
                 writers.append(made[0])
                 lists, pre = [], 0
-            todo.append((node, False, visible, made))
+            todo.append((node, False, visible, (made, display in BLOCK_DISPLAYS)))
+            above.append(node)
             kids = node.kids
             if tag == "details" and "open" not in node.attrs:
                 kids = next(([k] for k in kids if isinstance(k, Node) and k.tag == "summary"), [])
@@ -370,16 +544,16 @@ def render(page: str | None) -> str:
             for k in reversed(kids):
                 todo.append((k, True, visible, loose and isinstance(k, str) and not k.strip()))
             continue
-        if tag in ("td", "th", "caption") and grids and state:
-            cell, lists, pre = state
+        above.pop()
+        made, as_block = state
+        if tag in ("td", "th", "caption") and grids and made:
+            cell, lists, pre = made
             writers.pop()
             if tag == "caption":
                 grids[-1].caption += cell.done()
             else:
-                if not grids[-1].rows:
-                    grids[-1].rows.append([])
-                span = node.attrs.get("colspan", "1")
-                grids[-1].rows[-1] += [cell.done()] + [[]] * (min(int(span), 1000) - 1 if span.isdigit() and int(span) > 1 and len(span) < 6 else 0)
+                rows = _number(node.attrs.get("rowspan", "1"), 0, 65534)
+                grids[-1].add(cell.done(), rows or 65534, _number(node.attrs.get("colspan", "1"), 1, 1000))
             continue
         if tag == "table" and grids:
             w.end()
@@ -400,7 +574,7 @@ def render(page: str | None) -> str:
             pre -= 1
         if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists):
             w.blank()
-        elif tag in BLOCK:
+        elif tag in BLOCK or as_block:
             w.end()
     return "\n".join(out.done())
 

@@ -193,7 +193,7 @@ def test_automaton_agrees_with_re():
 
 
 def test_trie_walk_matches_brute_force():
-    from lodestone.llm.simhash_dedup import TURNS, _Forest, trie_links
+    from lodestone.llm.simhash_dedup import _Forest, blocks_of, budgets, trie_links
 
     rnd = np.random.default_rng(3)
     for radius in (0, 1, 4, 7, 12):
@@ -205,16 +205,17 @@ def test_trie_walk_matches_brute_force():
                 k ^= 1 << int(b)
             keys.append(k)
         keys = np.unique(np.array(keys, np.uint64))
-        want, got = _Forest(len(keys)), _Forest(len(keys))
+        want, got, once = _Forest(len(keys)), _Forest(len(keys)), _Forest(len(keys))
         for i in range(len(keys)):
             j = np.flatnonzero(np.bitwise_count(keys ^ keys[i]) <= radius)
             want.join(np.full(len(j), i), j)
-        for t in range(TURNS):
-            by = 64 * t // TURNS
+        for t in range(radius + 1):
+            by = 64 * t // (radius + 1)
             turned = keys << np.uint64(by) | keys >> np.uint64(64 - by) if by else keys
             order = np.argsort(turned)
-            got.join(order, order[trie_links(turned[order], (0, len(keys)), [], 0, radius, most=50)])
-        assert (want.label == got.label).all()
+            got.join(order, order[trie_links(turned[order], np.zeros(len(keys)), budgets(radius, blocks_of(radius + 1, t)), most=50)])
+        once.join(np.arange(len(keys)), trie_links(keys, np.zeros(len(keys)), [radius] * 65, most=50))
+        assert (want.label == got.label).all() and (want.label == once.label).all()
 
 
 def plain_fingerprint(text, width):
@@ -236,7 +237,7 @@ def test_components_match_brute_force(spark):
             t = [*t]
             t[rnd.randrange(120)] = f"x{j}"
             rows.append((100 + 10 * i + j, " ".join(t), None, None))
-    got = {(r["doc_id"], r["fp"] % 2**64): r["component_id"] for r in near_duplicates(frame(spark, rows), width=4, radius=4, wide=0).collect()}
+    got = {(r["doc_id"], r["fp"] % 2**64): r["component_id"] for r in near_duplicates(frame(spark, rows), width=4, radius=4).collect()}
     prints = sorted({(i, plain_fingerprint(t, 4)) for i, t, _, _ in rows})
     group = list(range(len(prints)))
     for _ in prints:
@@ -246,7 +247,7 @@ def test_components_match_brute_force(spark):
                     group[a] = group[b] = min(group[a], group[b])
     want = {p: min(prints[k][0] for k in range(len(prints)) if group[k] == group[n]) for n, p in enumerate(prints)}
     assert got == want and len(set(want.values())) < len(want)
-    assert near_duplicates(frame(spark, []), width=4, radius=4, wide=0).count() == 0
+    assert near_duplicates(frame(spark, []), width=4, radius=4).count() == 0
     assert near_duplicates(frame(spark), width=4).count() == len(ODD)
 
 
@@ -259,7 +260,7 @@ def test_a_range_of_equal_keys_is_compared_in_slices():
     wide = np.repeat(rnd.integers(0, 1 << 63, (n // 100, 3), dtype=np.uint64), 100, axis=0)
     wide[:, 0] ^= np.uint64(1) << rnd.integers(0, 63, n, dtype=np.uint64)
     tracemalloc.start()
-    label = trie_links(np.full(n, 77, np.uint64), (0, n), [], 0, 14, wide, 54, most=1 << 10)
+    label = trie_links(np.full(n, 77, np.uint64), np.zeros(n), [14] * 65, wide, 54, most=1 << 10)
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (label == np.arange(n) // 100 * 100).all() and most < 8 << 20  # n * n pairs at once take over 72 MB
@@ -291,9 +292,8 @@ def test_all_rows_tied_at_the_cut_are_reranked():
     x = np.ones((900, 8)) + rnd.random((900, 8)) * 1e-3
     book = ann.fit(x[:50], 2, 4.0)
     codes = np.zeros_like(ann.paired(ann.encode(book, x)))  # one code for all
-    q = np.ones((1, 8))
-    _, found, _ = ann.search_block(book, np.array([-1]), q, np.arange(900), x, codes, 20, 256)
-    assert set(found.tolist()) == set(np.argsort(-x.sum(axis=1))[:20].tolist())
+    _, found, _ = ann.scan(book, np.ones((1, 8)), codes, 256, np.array([3]))
+    assert set(found.tolist()) == set(range(900)) - {3}
 
 
 def test_components_of_a_graph(spark):

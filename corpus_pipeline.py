@@ -31,9 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(*COLUMNS)
     found = simhash_dedup.verified_duplicates(docs)
-    least = found.groupBy("component").agg(F.min("doc_id").alias("__id"))
-    stays = found.join(least, "component").where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    return stays.dropDuplicates(["doc_id", "component"]).select(*COLUMNS)
+    first = F.struct(F.col("least").isNull(), F.col("least").alias("id"), "key")
+    stays = found.groupBy("component").agg(F.min(first).alias("s")).select(F.col("s.key").alias("__k"), F.coalesce("s.id", F.lit(0)).alias("__i"), F.col("s.id").isNull().alias("__z"))
+    at = ["__k", "__i", "__z"]
+    rows = docs.select(*COLUMNS, simhash_dedup.text_key().alias("__k"), F.coalesce("doc_id", F.lit(0)).alias("__i"), F.col("doc_id").isNull().alias("__z"))
+    # copies of one row become one before they are shuffled, and a group's other rows have other ids, so no key is hot
+    return rows.dropDuplicates(at).join(stays, at).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,17 +11,18 @@ from lodestone.operators import parsing as R
 from lodestone.operators.encoding import HashingEncoder, embed, provider
 from lodestone.operators.intervals import contained
 from lodestone.operators.search import top_k
-from lodestone.plans.registry import query, table
+from lodestone.plans import chunk_sql as X
+from lodestone.plans.registry import query, sql_any, table
 from lodestone.streaming import windows as S
 
-#: a mark-up version of each document: headers, a list, a table, code and a quote around its text
-MARKED = """'intro ' || doc_id || chr(10) || '# Title ' || source || chr(10) || text || chr(10) || '## Items' || chr(10) || '- [x] done' || chr(10) || '- open @lang:' || lang || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10)
+#: a mark-up version of each document: headers, a list, a table, code and a quote around its text, whose bars are no table
+MARKED = """'intro ' || doc_id || chr(10) || '# Title ' || source || chr(10) || replace(text, '|', '/') || chr(10) || '## Items' || chr(10) || '- [x] done' || chr(10) || '- open @lang:' || lang || chr(10) || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10)
 || '```python' || chr(10) || 'import os' || chr(10) || '# no header' || chr(10) || '```' || chr(10) || '### **Deep**' || chr(10) || '> quoted' || chr(10) || '>> twice [[owner:ann]]'"""
 
 
 def marked(spark, d):
     lines = [
-        F.concat(F.lit("intro "), F.col("doc_id").cast("string")), F.concat(F.lit("# Title "), "source"), F.col("text"), F.lit("## Items"), F.lit("- [x] done"), F.concat(F.lit("- open @lang:"), "lang"), F.lit(""), F.lit("| a | b |"), F.lit("|---|:-:|"), F.lit("| 1 | 2 |"), F.lit(""),
+        F.concat(F.lit("intro "), F.col("doc_id").cast("string")), F.concat(F.lit("# Title "), "source"), F.replace("text", F.lit("|"), F.lit("/")), F.lit("## Items"), F.lit("- [x] done"), F.concat(F.lit("- open @lang:"), "lang"), F.lit(""), F.lit("| a | b |"), F.lit("|---|:-:|"), F.lit("| 1 | 2 |"), F.lit(""),
         F.lit("```python"), F.lit("import os"), F.lit("# no header"), F.lit("```"), F.lit("### **Deep**"), F.lit("> quoted"), F.lit(">> twice [[owner:ann]]"),
     ]
     return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("text"))
@@ -32,23 +33,29 @@ def fixed_chunks(spark, d):
     return K.fixed_size(table(spark, d, "documents"), 300).select("doc_id", "chunk_index", "start", "end", F.md5("content").alias("digest"))
 
 
-@query()
+@query(X.SENTENCES)
 def sentence_chunks(spark, d):
-    return K.sentences(table(spark, d, "documents")).select("doc_id", "chunk_index", F.length("content").alias("n"))
+    return K.sentences(table(spark, d, "documents")).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
-@query()
+def spaced(spark, d):
+    """Documents with blank lines between their lines, but for every third."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("\n \n")))
+    return table(spark, d, "documents").select("doc_id", t.alias("text"))
+
+
+@query(X.SECTIONS)
 def section_chunks(spark, d):
-    return K.sections(table(spark, d, "documents")).select("doc_id", "chunk_index", F.length("content").alias("n"))
+    return K.sections(spaced(spark, d)).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
-@query("""select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_index, md5(regexp_replace(p, '^\\s+|\\s+$', '', 'g')) as digest
-from (select doc_id, unnest(p) as p, generate_subscripts(p, 1) as k from (select doc_id, string_split_regex(text, '\\n\\s*\\n') as p from documents)) where regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> ''""")
+@query(f"""select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_index, md5(regexp_replace(p, '^\\s+|\\s+$', '', 'g')) as digest
+from (select doc_id, unnest(p) as p, generate_subscripts(p, 1) as k from (select doc_id, string_split_regex(text, '\\n\\s*\\n') as p from {X.SPACED})) where regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> ''""")
 def paragraph_chunks(spark, d):
-    return K.paragraphs(table(spark, d, "documents"), most=10_000_000).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+    return K.paragraphs(spaced(spark, d), most=10_000_000).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
-@query()
+@query(X.RECURSIVE)
 def recursive_chunks(spark, d):
     return K.recursive(table(spark, d, "documents")).select("doc_id", "chunk_index", "start", "end", "boundary", "overlap_previous", "overlap_next")
 
@@ -61,20 +68,34 @@ def chunk_validation(spark, d):
     return j.groupBy("doc_id").agg(F.count(problem).alias("n_problems"))
 
 
-@query()
+@query(X.HYBRID)
 def hybrid_chunks(spark, d):
     return K.hybrid(marked(spark, d)).select("doc_id", "chunk_index", "sequence", "start", "end", "kind", "path", "depth")
 
 
-@query("select doc_id, case when length(text) < 1000 then 300 when length(text) < 10000 then 800 else 1200 end::int as size from documents where not regexp_matches(text, 'function|class |import |def |abstract|introduction|methodology|tutorial|guide|how-to', 'i')")
+#: documents of which some begin like code, papers or tutorials
+KINDS = {"code": "def f(): pass\n", "academic_paper": "Abstract. ", "tutorial": "A tutorial: ", "documentation": "API reference. ", "general": ""}
+_HEAD = "[" + ", ".join(f"'{v}'" for v in KINDS.values()) + "][doc_id % 5 + 1]"
+
+
+def of_kinds(spark, d):
+    head = F.element_at(F.array(*[F.lit(v) for v in KINDS.values()]), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat(head, "text").alias("text"))
+
+
+def _kind_sql(t: str) -> str:
+    return f"case {' '.join(f'when {sql_any(t, terms)} then {chr(39)}{k}{chr(39)}' for k, terms in G.CONTENT_TYPES.items())} else 'general' end"
+
+
+@query(f"""select doc_id, case when kind = 'code' then 1500 when kind = 'academic_paper' then 1200 when kind = 'tutorial' then 800 when n < 1000 then 300 when n < 10000 then 800 else 1200 end::int as size, case when kind = 'code' then 100 when kind = 'academic_paper' then 200 when kind = 'tutorial' then 150 when n < 1000 then 50 when n < 10000 then 100 else 200 end::int as overlap
+from (select doc_id, length(t) as n, {_kind_sql('lower(t)')} as kind from (select doc_id, {_HEAD} || text as t from documents))""")
 def chunk_profiles(spark, d):
-    plain = ~F.lower("text").rlike("function|class |import |def |abstract|introduction|methodology|tutorial|guide|how-to")
-    return table(spark, d, "documents").where(plain).select("doc_id", K.profile(G.content_type("text"), F.length("text"))["size"].alias("size"))
+    return of_kinds(spark, d).select("doc_id", K.profile(G.content_type("text"), F.length("text")).alias("p")).select("doc_id", "p.size", "p.overlap")
 
 
-@query()
-def chunk_profiles_all(spark, d):
-    return table(spark, d, "documents").select("doc_id", K.profile(G.content_type("text"), F.length("text"))["size"].alias("size"))
+@query(f"select doc_id, {_kind_sql('lower(t)')} as content_type from (select doc_id, {_HEAD} || text as t from documents)")
+def content_type(spark, d):
+    return of_kinds(spark, d).select("doc_id", G.content_type("text").alias("content_type"))
 
 
 @query(f"select doc_id, s.section::int as section, s.level::int as level, s.title, s.path from (select doc_id, source, {MARKED} as t from documents) m, (values (0, 0, '', ''), (1, 1, 'T', 'T'), (2, 2, 'Items', 'T > Items'), (3, 3, '**Deep**', 'T > Items > **Deep**')) v(section, level, title0, path0), lateral (select v.section, v.level, case when title0 = 'T' then 'Title ' || source else title0 end as title, replace(path0, 'T', 'Title ' || source) as path) s")
@@ -83,9 +104,14 @@ def markdown_sections(spark, d):
     return rows.select("doc_id", "section", "level", "title", F.when(F.col("level") == 0, "").otherwise(F.col("path")).alias("path"))
 
 
-@query("select doc_id, 4::bigint as n_sections, 3::int as max_level, 4::bigint as n_levels, 'hierarchical' as kind from documents")
+@query(f"""with t as (select doc_id, source, text, case doc_id % 4 when 0 then text when 1 then '# A' || chr(10) || text when 2 then text || chr(10) || '# A' || chr(10) || '# B ' || source else {MARKED} end as t from documents)
+select doc_id, case doc_id % 4 when 0 then 1 when 1 then 1 when 2 then 3 else 4 end::bigint as n_sections, case doc_id % 4 when 0 then 0 when 3 then 3 else 1 end::int as max_level, case doc_id % 4 when 0 then 1 when 1 then 1 when 2 then 2 else 4 end::bigint as n_levels,
+  length(t)::bigint as total_length, case when doc_id % 4 < 2 then 'flat' else 'hierarchical' end as kind from t""")
 def structure_statistics(spark, d):
-    return R.structure_statistics(R.sections(marked(spark, d))).select("doc_id", "n_sections", "max_level", "n_levels", "kind")
+    k = F.col("doc_id") % 4
+    t = table(spark, d, "documents").join(marked(spark, d).withColumnRenamed("text", "marked"), "doc_id")
+    t = t.select("doc_id", F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("# A\n"), "text")).when(k == 2, F.concat("text", F.lit("\n# A\n# B "), "source")).otherwise(F.col("marked")).alias("text"))
+    return R.structure_statistics(R.sections(t)).select("doc_id", "n_sections", "max_level", "n_levels", "total_length", "kind")
 
 
 @query("select doc_id, '- Title ' || source || chr(10) || '  - Items' || chr(10) || '    - **Deep**' as outline from documents")
@@ -93,19 +119,21 @@ def section_outline(spark, d):
     return R.outline(R.sections(marked(spark, d)))
 
 
-@query()
+@query(X.UNITS)
 def atomic_units(spark, d):
     return R.units(marked(spark, d)).select("doc_id", "unit_index", "kind", "start", "end", F.to_json("details").alias("details"))
 
 
-@query("select doc_id, 'tag' as kind, 'lang' as key, lang as value from documents where not regexp_matches(text, '@|\\[\\[|\\{|<!--') union all select doc_id, 'bracket', 'owner', 'ann' from documents where not regexp_matches(text, '@|\\[\\[|\\{|<!--')")
-def inline_metadata(spark, d):
-    rows = table(spark, d, "documents").where(~F.col("text").rlike("@|\\[\\[|\\{|<!--")).select("doc_id")
-    return R.inline_tags(marked(spark, d).join(rows, "doc_id", "left_semi")).select("doc_id", "kind", "key", "value")
+def _inline_sql(t: str) -> str:
+    parts = []
+    for kind, pattern in R.INLINE.items():
+        p = pattern.replace("\\w", "[\\p{L}\\p{M}\\p{N}_]")
+        parts.append(f"select doc_id, '{kind}' as kind, unnest(regexp_extract_all({t}, '{p}', 1)) as key, trim(unnest(regexp_extract_all({t}, '{p}', 2))) as value from documents")
+    return " union all ".join(parts)
 
 
-@query()
-def inline_metadata_all(spark, d):
+@query(_inline_sql(f"({MARKED})"))
+def inline_metadata(spark, d):
     return R.inline_tags(marked(spark, d)).select("doc_id", "kind", "key", "value")
 
 

@@ -9,6 +9,7 @@ from lodestone.operators import results as R
 from lodestone.operators.chunking import invalidated, recursive, with_model
 from lodestone.operators.encoding import HashingEncoder
 from lodestone.plans import pipelines as P
+from lodestone.plans.chunk_sql import INGEST
 from lodestone.plans.registry import query, table
 from lodestone.plans.search_queries import WEIGHTED, _weighted
 
@@ -91,7 +92,7 @@ def batch_groups(spark, d):
     return R.grouped(hits, g).select("group", F.array_join("ids", ",").alias("ids"))
 
 
-@query()
+@query(INGEST)
 def ingest_job(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.lit("text").alias("document_type"), F.concat(F.lit("docs/"), "source").alias("path"), F.lit(None).cast("string").alias("team"))
     chunks, rejected = P.ingest(docs, HashingEncoder(32))

@@ -209,11 +209,6 @@ def semantic_tags(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(G.semantic_tags("text"), ",").alias("tags"))
 
 
-@query(f"select doc_id, case {' '.join(f'when {sql_any("lower(text)", terms)} then {chr(39)}{k}{chr(39)}' for k, terms in G.CONTENT_TYPES.items())} else 'general' end as content_type from documents")
-def content_type(spark, d):
-    return docs(spark, d).select("doc_id", G.content_type("text").alias("content_type"))
-
-
 @query(f"""with h as (select doc_id, {', '.join(f'{sql_count("lower(text)", G.DOMAINS[k])} as {k[0]}' for k in ('academic', 'technical', 'research'))} from documents)
 select doc_id, case when greatest(a, t, r) = 0 then 'general' when a >= t and a >= r then 'academic' when t >= r then 'technical' else 'research' end as domain from h""")
 def domain(spark, d):

@@ -49,3 +49,10 @@ def deep_merge(*layers: dict) -> dict:
         return a | {k: two(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
 
     return reduce(two, layers, {})
+
+
+def merged_settings(low: Column, high: Column) -> Column:
+    """Two layers of settings (maps of maps) as columns: later values win, inner maps merge."""
+    empty = F.create_map().cast("map<string,string>")
+    inner = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    return F.map_zip_with(low, high, lambda k, a, b: inner(F.coalesce(a, empty), F.coalesce(b, empty)))

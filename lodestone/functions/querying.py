@@ -149,7 +149,7 @@ def enhanced(q: Column | str) -> Column:
 
 
 def _quoted(q: Column | str) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(q, F.lit('"([^"]*)"'), F.lit(1)), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.regexp_extract_all(q, F.lit('"([^"]*)"'), F.lit(1)), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def rerank_keywords(q: Column | str) -> Column:

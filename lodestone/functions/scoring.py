@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,6 +43,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f refers to it."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
 def words(text: Column | str) -> Column:
     return F.array_remove(F.split(_c(text), "\\s+"), "")
 
@@ -94,22 +100,30 @@ def freshness_score(date: Column | str, as_of: Column) -> Column:
 def language_score(text: Column | str) -> Column:
     t = _c(text)
     sentences = F.filter(F.transform(F.split(t, "\\."), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
-    upper = F.size(F.filter(sentences, lambda s: (F.substring(s, 1, 1) == F.upper(F.substring(s, 1, 1))) & (F.upper(F.substring(s, 1, 1)) != F.lower(F.substring(s, 1, 1)))))
-    n = F.size(sentences)
-    mean = F.length(t) / F.greatest(n, F.lit(1))
-    return F.least(0.7 + F.when(n > 0, 0.2 * upper / n).otherwise(0.0) + F.when(mean.between(10, 100), 0.1).otherwise(0.0), F.lit(1.0))
+    first = F.transform(sentences, lambda s: F.substring(s, 1, 1))
+    counts = bound(first, lambda f: F.struct(F.size(f).alias("n"), F.size(F.filter(f, lambda c: (c == F.upper(c)) & (F.upper(c) != F.lower(c)))).alias("upper")))
+
+    def score(c: Column) -> Column:
+        mean = F.length(t) / F.greatest(c["n"], F.lit(1))
+        return F.least(0.7 + F.when(c["n"] > 0, 0.2 * c["upper"] / c["n"]).otherwise(0.0) + F.when(mean.between(10, 100), 0.1).otherwise(0.0), F.lit(1.0))
+
+    return F.when(t.isNotNull(), bound(counts, score))
 
 
 def uniqueness_score(text: Column | str) -> Column:
-    w = words(F.lower(_c(text)))
-    ratio = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w))
-    return F.when(ratio.isNull(), 0.0).when(ratio < 0.3, 0.2).when(ratio < 0.5, 0.5).otherwise(ratio)
+    ratio = bound(words(F.lower(_c(text))), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)))
+    return bound(ratio, lambda r: F.when(r.isNull(), 0.0).when(r < 0.3, 0.2).when(r < 0.5, 0.5).otherwise(r))
 
 
-def quality_score(text: Column | str, credibility: Column | float = 0.4, freshness: Column | float = 0.5, relevance: float = 0.7) -> Column:
+def quality_parts(text: Column | str, credibility: Column | float = 0.4, freshness: Column | float = 0.5, relevance: float = 0.7) -> Column:
+    """struct of the scores that make up the quality, and their weighted sum as quality."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     parts = {"length": length_score(text), "structure": structure_score(text), "credibility": lit(credibility), "freshness": lit(freshness), "relevance": lit(relevance), "language": language_score(text), "uniqueness": uniqueness_score(text)}
-    return _sum([parts[k] * w for k, w in QUALITY_WEIGHTS.items()])
+    return bound(F.struct(*[v.alias(k) for k, v in parts.items()]), lambda p: F.struct(*[p[k].alias(k) for k in parts], _sum([p[k] * w for k, w in QUALITY_WEIGHTS.items()]).alias("quality")))
+
+
+def quality_score(text: Column | str, credibility: Column | float = 0.4, freshness: Column | float = 0.5, relevance: float = 0.7) -> Column:
+    return quality_parts(text, credibility, freshness, relevance)["quality"]
 
 
 def grade(score: Column | str) -> Column:
@@ -119,14 +133,17 @@ def grade(score: Column | str) -> Column:
 
 def category(text: Column | str) -> Column:
     """struct(name, confidence): the category of most keyword weight (occurrences times length) above 0.4 confidence, the first on ties, else general."""
-    t = F.lower(_c(text))
-    found = []
-    for k, (name, terms) in enumerate(CATEGORIES.items()):
-        weight = _sum([occurrences(t, term) * len(term) for term in terms])
-        conf = F.coalesce(F.least(F.try_divide(weight, F.length(t)) * 1000, F.lit(0.95)), F.lit(0.0))
-        found.append(F.struct(conf.alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.filter(F.array(*found), lambda x: x["confidence"] > 0.4))
-    return F.struct(F.coalesce(best["name"], F.lit("general")).alias("name"), F.coalesce(best["confidence"], F.lit(0.4)).alias("confidence"))
+
+    def found(t: Column) -> Column:
+        made = []
+        for k, (name, terms) in enumerate(CATEGORIES.items()):
+            # most texts lack most terms: looking is cheaper than replacing
+            weight = _sum([F.when(F.contains(t, F.lit(term)), occurrences(t, term) * len(term)).otherwise(F.lit(0).cast("long")) for term in terms])
+            conf = F.coalesce(F.least(F.try_divide(weight, F.length(t)) * 1000, F.lit(0.95)), F.lit(0.0))
+            made.append(F.struct(conf.alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
+        return F.array_max(F.filter(F.array(*made), lambda x: x["confidence"] > 0.4))
+
+    return bound(bound(F.lower(_c(text)), found), lambda b: F.struct(F.coalesce(b["name"], F.lit("general")).alias("name"), F.coalesce(b["confidence"], F.lit(0.4)).alias("confidence")))
 
 
 def category_collection(name: Column | str, default: str = "general") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
@@ -136,31 +136,40 @@ def _overlap_start(text: str, end: int, c: Config) -> int:
     return goal
 
 
-def per_document(docs: DataFrame, cut: Callable[[str], list[dict]], schema: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each item that cut gives for a document, in Arrow batches. The id is a long."""
-    rows = docs.select(F.col(id).cast("long").alias(id), F.col(text).cast("string").alias("__t"))
-    made_of = _parse_datatype_string(f"`{id}` long, {schema}")
+def per_document(docs: DataFrame, cut: Callable[[str], list[dict]], schema: str, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each item that cut gives for a document, with the id (a long) and the kept columns, in Arrow batches."""
+    rows = docs.select(F.col(id).cast("long").alias(id), *keep, F.col(text).cast("string").alias("__t"))
+    kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "__t")
+    made_of = _parse_datatype_string(f"{kept}, {schema}")
     names = made_of.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [{id: i} | item for i, t in zip(pdf[id], pdf["__t"], strict=True) if isinstance(t, str) for item in cut(t)]
+            made: list[dict] = []
+            for *about, t in zip(pdf[id], *[pdf[c] for c in keep], pdf["__t"], strict=True):
+                if isinstance(t, str):
+                    own = dict(zip((id, *keep), about, strict=True))
+                    made += [own | item for item in cut(t)]
+                if len(made) >= 4096:  # what has been made goes on, so that a batch of long texts needs no room for all its items
+                    yield pd.DataFrame(made, columns=names)
+                    made = []
             yield pd.DataFrame(made, columns=names)
 
     return rows.mapInPandas(run, made_of)
 
 
-def recursive(docs: DataFrame, config: Config = Config(), id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """Chunks that end at good places and overlap: (id, chunk_index, start, end, boundary, content, overlap_previous, overlap_next)."""
+def recursive(docs: DataFrame, config: Config = Config(), id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """Chunks that end at good places and overlap: (id, kept columns, chunk_index, start, end, boundary, content, overlap_previous, overlap_next)."""
 
     def cut(t: str) -> list[dict]:
-        return [{"chunk_index": k, "start": a, "end": b, "boundary": kind, "content": t[a:b]} for k, (a, b, kind) in enumerate(spans(t, config))]
+        found = spans(t, config)
+        ends, starts = [0, *(b for _, b, _ in found)], [*(a for a, _, _ in found[1:]), len(t)]
+        return [
+            {"chunk_index": k, "start": a, "end": b, "boundary": kind, "content": t[a:b], "overlap_previous": max(0, ends[k] - a), "overlap_next": max(0, b - starts[k])}
+            for k, (a, b, kind) in enumerate(found)
+        ]
 
-    rows = per_document(docs, cut, "chunk_index int, start int, end int, boundary string, content string", id, text)
-    order = Window.partitionBy(id).orderBy("chunk_index")
-    zero = F.lit(0)
-    rows = rows.withColumn("overlap_previous", F.greatest(F.coalesce(F.lag("end").over(order) - F.col("start"), zero), zero))
-    return rows.withColumn("overlap_next", F.greatest(F.coalesce(F.col("end") - F.lead("start").over(order), zero), zero))
+    return per_document(docs, cut, "chunk_index int, start int, end int, boundary string, content string, overlap_previous int, overlap_next int", id, text, keep)
 
 
 def chunk_problem(text: Column, content: Column, start: Column, end: Column, overlap: Column) -> Column:
@@ -173,7 +182,10 @@ def hybrid(docs: DataFrame, config: Config = Config(), id: str = "doc_id", text:
     from lodestone.operators.parsing import section_list, split_frontmatter, unit_list
 
     def cut(t: str) -> list[dict]:
-        shift = len(t) - len(split_frontmatter(t)[1])
+        try:
+            shift = len(t) - len(split_frontmatter(t)[1])
+        except ValueError:  # broken front matter is text
+            shift = 0
         body, out = t[shift:], []
         for s in section_list(body):
             k = 0

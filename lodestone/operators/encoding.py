@@ -2,40 +2,54 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+WORD = re.compile(r"\w+")
+
+
 class Encoder(Protocol):
     dimension: int
 
     def encode(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class _Hashes(dict):
+    """crc32 of words, each computed once while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode())
+        if len(self) < 1 << 20:
+            self[word] = h
+        return h
+
+
 class HashingEncoder:
     """Words and pairs of words hashed to signed places, as a unit vector; the same text always gives the same vector."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
+        self.hashes = _Hashes()
 
     def encode(self, texts: list[str]) -> list[list[float]]:
         return [self._one(t) for t in texts]
 
     def _one(self, text: str) -> list[float]:
-        words = re.findall(r"\w+", text.lower())
-        v = [0.0] * self.dimension
-        for term in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-            h = zlib.crc32(term.encode())
-            v[h % self.dimension] += 1.0 if h >> 16 & 1 else -1.0
-        n = math.sqrt(sum(x * x for x in v))
-        return [x / n for x in v] if n else v
+        hashes = self.hashes
+        h = np.array([hashes[w] for w in WORD.findall(text.lower())], np.uint64)
+        pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * np.uint64(0x85EBCA77C2B2AE63)
+        h = np.concatenate([h, pairs >> np.uint64(32)])
+        v = np.bincount((h % np.uint64(self.dimension)).astype(np.int64), np.where(h >> np.uint64(16) & np.uint64(1), 1.0, -1.0), self.dimension)
+        n = np.sqrt((v * v).sum())
+        return (v / n if n else v).tolist()
 
 
 def embed(df: DataFrame, encoder: Encoder, text: str = "content", out: str = "embedding", batch: int = 32) -> DataFrame:

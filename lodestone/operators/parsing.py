@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +42,20 @@ def split_frontmatter(text: str) -> tuple[dict, str, str]:
 
 
 def frontmatter(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, kind, values as JSON, title, author, tags, body)."""
+    """(id, kind, values as JSON, title, author, tags, body, problem). A document whose front matter is broken has kind none, the whole text as body and the reason as problem; the others go on."""
     from lodestone.operators.chunking import per_document
 
     def one(t: str) -> list[dict]:
-        values, body, kind = split_frontmatter(t)
+        try:
+            values, body, kind = split_frontmatter(t)
+        except ValueError as e:
+            return [{"kind": "none", "values": "{}", "title": None, "author": None, "tags": [], "body": t, "problem": str(e).split("\n")[0]}]
         tags = values.get("tags") or []
         tags = [x.strip() for x in tags.split(",")] if isinstance(tags, str) else [str(x) for x in tags]
         text_of = lambda k: None if values.get(k) is None else str(values[k])
-        return [{"kind": kind, "values": json.dumps(values, default=str, sort_keys=True), "title": text_of("title"), "author": text_of("author"), "tags": tags, "body": body}]
+        return [{"kind": kind, "values": json.dumps(values, default=str, sort_keys=True), "title": text_of("title"), "author": text_of("author"), "tags": tags, "body": body, "problem": None}]
 
-    return per_document(docs, one, "kind string, values string, title string, author string, tags array<string>, body string", id, text)
+    return per_document(docs, one, "kind string, values string, title string, author string, tags array<string>, body string, problem string", id, text)
 
 
 def inline_tags(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,7 +84,7 @@ def tag_union(*arrays: Column) -> Column:
     return F.array_distinct(F.concat(*arrays))
 
 
-#: rules of the small mark-up renderer, in order: (name, pattern, replacement)
+#: fixed values: rules of the small mark-up renderer, in order: (name, pattern, replacement)
 MARKDOWN = [
     *[(f"header{n}", f"(?m)^#{{{n}}}\\s+(.+)$", f"<h{n}>$1</h{n}>") for n in range(1, 7)],
     ("bold", "\\*\\*(.*?)\\*\\*", "<strong>$1</strong>"),
@@ -105,6 +109,12 @@ def rule_counts(text: Column | str, rules: list[tuple[str, str, str]] | None = N
     return F.create_map(*counts)
 
 
+def parse_by_kind(kind: Column, text: Column | str, parsers: dict[str, Callable[[Column], Column]]) -> Column:
+    """The text as the parser of its kind reads it; kinds without one stay as they are."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(*[F.when(kind == k, parse(t)) for k, parse in parsers.items()], t)
+
+
 HEADER = re.compile(r"(#{1,6})\s+(.+)")
 FENCE = re.compile(r"(```|~~~)")
 
@@ -188,12 +198,12 @@ def _kind(line: str, fenced: bool) -> str:
     return "paragraph"
 
 
-def unit_list(text: str) -> list[dict]:
-    """Units of a text in order: kind, start, end, and details by kind. Runs of lines of one kind; indented lines go on with a list, else they are code; two fences that touch are two units."""
+def unit_list(text: str, handlers: dict[str, Callable[[str], bool]] | None = None) -> list[dict]:
+    """Units of a text in order: kind, start, end, and details by kind. Runs of lines of one kind; indented lines go on with a list, else they are code; two fences that touch are two units. handlers: further kinds, each with a test of a line outside fences, which go before the built-in ones."""
     units: list[dict] = []
     mark = None
     for at, line, fenced in _lines(text):
-        kind = _kind(line, fenced)
+        kind = next((k for k, test in (handlers or {}).items() if not fenced and test(line)), None) or _kind(line, fenced)
         end = at + len(line)
         last = units[-1] if units else None
         opens = fenced and mark is None
@@ -219,6 +229,8 @@ def unit_list(text: str) -> list[dict]:
 
 def _details(kind: str, content: str, indented: bool) -> dict[str, str]:
     lines = content.split("\n")
+    if kind not in ("code_block", "table", "list", "blockquote", "paragraph"):
+        return {"lines": str(len(lines))}
     if kind == "code_block":
         return {"language": "" if indented else lines[0].strip()[3:].strip(), "block_type": "indented" if indented else "fenced", "line_count": str(len(lines)), "has_imports": str(not indented and "import " in content).lower()}
     if kind == "table":
@@ -240,12 +252,12 @@ def _details(kind: str, content: str, indented: bool) -> dict[str, str]:
     return {"words": str(len(content.split())), "sentences": str(len(re.findall(r"[.!?](?:\s|$)", content)))}
 
 
-def units(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, unit_index, kind, start, end, details, content), a row a unit."""
+def units(docs: DataFrame, id: str = "doc_id", text: str = "text", handlers: dict[str, Callable[[str], bool]] | None = None) -> DataFrame:
+    """(id, unit_index, kind, start, end, details, content), a row a unit; handlers as in unit_list."""
     from lodestone.operators.chunking import per_document
 
     def cut(t: str) -> list[dict]:
-        return [{"unit_index": k, "kind": u["kind"], "start": u["start"], "end": u["end"], "details": u["details"], "content": t[u["start"] : u["end"]]} for k, u in enumerate(unit_list(t))]
+        return [{"unit_index": k, "kind": u["kind"], "start": u["start"], "end": u["end"], "details": u["details"], "content": t[u["start"] : u["end"]]} for k, u in enumerate(unit_list(t, handlers))]
 
     return per_document(docs, cut, "unit_index int, kind string, start int, end int, details map<string,string>, content string", id, text)
 

@@ -42,3 +42,9 @@ def project_of(paths: DataFrame, roots: DataFrame, id: str, path: str) -> DataFr
     j = paths.join(roots, F.col(path).startswith(F.col("root")), "left")
     order = Window.partitionBy(id).orderBy(F.desc(F.length("root")), "project")
     return j.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(id, "project")
+
+
+def with_current(projects: DataFrame, name: Column | str | None) -> DataFrame:
+    """projects with is_current: true for the named one only, for none if there is no such project."""
+    wanted = name if isinstance(name, Column) else F.lit(name)
+    return projects.withColumn("is_current", F.coalesce(F.col("project").cast("string") == wanted.cast("string"), F.lit(False)))

@@ -2,28 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import distance, dot, norm, unit
+from lodestone.functions.vectors import norm, unit
+
+
+def meet(rows: DataFrame, queries: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most_queries: int = 4096) -> DataFrame:
+    """step(queries, a batch of rows) for all rows (with an id) and queries (with a qid). Up to most_queries go to each task with its rows unshuffled; more are dealt into blocks, and each block meets all rows."""
+    spark = rows.sparkSession
+    first = queries.limit(most_queries + 1).toPandas()
+    if len(first) <= most_queries:
+        shared = spark.sparkContext.broadcast(first)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield step(shared.value, pdf)
+
+        return rows.mapInPandas(run, schema)
+    blocks = -(-queries.count() // most_queries)
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.withColumn("__b", deal("qid", blocks)).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = rows.withColumn("__p", deal("id", parts)).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    plain = lambda q, r: step(q.drop(columns=["__b", "__p"]), r.drop(columns=["__b", "__p"]))
+    return left.groupBy("__b", "__p").cogroup(right.groupBy("__b", "__p")).applyInPandas(plain, schema)
+
+
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """queries x rows, each sum taken from the first component to the last, so that equal vectors get equal distances."""
+    out = np.zeros((len(q), len(x)))
+    for k in range(q.shape[1]):
+        out += (q[:, k, None] - x[None, :, k]) ** 2 if metric == "l2" else q[:, k, None] * x[None, :, k]
+    return out if metric == "l2" else 1 - out
 
 
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, per_collection: bool = False, metric: str = "cosine", where: Column | None = None, not_self: bool = False, id: str = "id", collection: str = "collection", embedding: str = "embedding") -> DataFrame:
     """queries (qid, query_embedding[, self_id]) x chunks -> (qid, id, collection, distance, rank), k nearest for each query, or for each query and collection.
 
-    Queries are a stated batch, taken with each row of chunks by one nested loop; ranks keep k rows a task before the
-    shuffle. Ties go to the smaller id. not_self leaves out rows whose id is the query's self_id.
+    Batches of rows meet the queries as matrices, and each batch passes on its k nearest only, so neither vectors nor
+    distances are shuffled. Ties go to the smaller id. Vectors of another length than the query's, null and zero (for
+    cosine) ones and those that hold nulls take no part. not_self leaves out rows whose id is the query's self_id.
     """
+    if metric not in ("cosine", "l2", "ip"):
+        raise ValueError(f"unknown metric: {metric}")
     rows = chunks if where is None else chunks.where(F.coalesce(where, F.lit(False)))
     # lengths are taken once a row, not once a pair
-    ready = (lambda c: F.when(norm(c) > 0, unit(c))) if metric == "cosine" else F.col
+    ready = (lambda c: F.when(norm(c) > 0, unit(c))) if metric == "cosine" else (lambda c: F.col(c).cast("array<double>"))
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), c)
     rows = rows.select(F.col(id).alias("id"), F.col(collection).alias("collection"), ready(embedding).alias("__e"))
-    pairs = rows.crossJoin(queries.withColumn("query_embedding", ready("query_embedding")))
-    if not_self:
-        pairs = pairs.where(F.col("id") != F.col("self_id"))
-    d = F.when(F.size("__e") == F.size("query_embedding"), 1 - dot("__e", "query_embedding") if metric == "cosine" else distance("__e", "query_embedding", metric))
-    pairs = pairs.select("qid", "id", "collection", d.alias("distance")).where(F.col("distance").isNotNull())
+    asked = queries.select("qid", ready("query_embedding").alias("__q"), *(["self_id"] if not_self else []))
+    fields = dict(rows.dtypes) | dict(asked.dtypes)
+    schema = f"qid {fields['qid']}, id {fields['id']}, collection {fields['collection']}, distance double"
+    names = ["qid", "id", "collection", "distance"]
     by = ["qid", "collection"] if per_collection else ["qid"]
+
+    def nearest(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        size = pdf["__e"].map(len)
+        for d, group in asked.groupby(asked["__q"].map(len)):
+            here = pdf[size == d].reset_index(drop=True)
+            if not len(here) or not d:
+                continue
+            x = np.stack(here["__e"].to_numpy()).astype(float)
+            kinds = here["collection"].fillna("").astype(str) if per_collection else None
+            for a in range(0, len(group), 64):
+                part = group.iloc[a : a + 64]
+                far = _distances(np.stack(part["__q"].to_numpy()).astype(float), x, metric)
+                if not_self:
+                    far[part["self_id"].to_numpy()[:, None] == here["id"].to_numpy()[None, :]] = np.inf
+                for i, q in enumerate(part["qid"]):
+                    one = pd.DataFrame({"qid": q, "id": here["id"], "collection": here["collection"], "distance": far[i]})[np.isfinite(far[i])]
+                    if len(one) > k and not per_collection:
+                        one = one[one["distance"] <= np.partition(one["distance"].to_numpy(), k - 1)[k - 1]]
+                    one = one.sort_values(["distance", "id"], kind="stable")
+                    found.append(one.groupby(kinds.loc[one.index], sort=False).head(k) if per_collection else one.head(k))
+        return pd.concat(found)[names] if found else pd.DataFrame(columns=names)
+
+    pairs = meet(rows.where(whole("__e").isNotNull()), asked.where(whole("__q").isNotNull()), nearest, schema)
     order = Window.partitionBy(*by).orderBy("distance", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -90,18 +150,56 @@ def tokens(text: Column | str) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), "\\s+"), ""))
 
 
+#: fixed values: terms that raise the score of a text that shares them with the query
+BOOSTS = {"neural": 0.3, "machine learning": 0.4, "algorithm": 0.2}
+
+
 def lexical_search(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """queries (qid, query) -> (qid, id, score, rank): share of query words in the text, with boosts for shared domain terms and for a query word within the first ten words; at most 1, above 0 only."""
-    q = queries.select("qid", F.lower("query").alias("__q"), tokens("query").alias("__qw"))
-    d = docs.select(F.col(id).alias("id"), F.lower(text).alias("__t"), tokens(text).alias("__w"), F.array_join(F.slice(F.array_remove(F.split(F.lower(text), "\\s+"), ""), 1, 10), " ").alias("__head"))
-    pairs = d.crossJoin(q)
-    overlap = F.size(F.array_intersect("__qw", "__w")) / F.size("__qw")
-    both = lambda term, w: F.when(F.contains("__q", F.lit(term)) & F.contains("__t", F.lit(term)), w).otherwise(0.0)
-    title = F.when(F.exists("__qw", lambda w: F.contains(F.col("__head"), w)), 0.2).otherwise(0.0)
-    score = F.when(F.size("__qw") > 0, F.least(F.lit(1.0), overlap + both("neural", 0.3) + both("machine learning", 0.4) + both("algorithm", 0.2) + title)).otherwise(0.0)
-    scored = pairs.select("qid", "id", score.alias("score")).where("score > 0")
+    """queries (qid, query) -> (qid, id, score, rank): share of query words in the text, with boosts for shared domain terms and for a query word within the first ten words; at most 1, above 0 only.
+
+    The words of the queries are an index in each task: a document's words are looked up once for all queries, and each
+    batch passes on its k best.
+    """
+    low = lambda c: F.lower(c)
+    shared = lambda c: F.array(*[F.contains(low(c), F.lit(t)) for t in BOOSTS])
+    q = queries.select("qid", tokens("query").alias("words"), shared("query").alias("terms")).where(F.size("words") > 0)
+    words = F.array_remove(F.split(low(text), "\\s+"), "")
+    d = docs.select(F.col(id).alias("id"), F.array_distinct(words).alias("words"), F.array_join(F.slice(words, 1, 10), " ").alias("head"), shared(text).alias("terms")).where(F.col(text).isNotNull())
+    schema = f"qid {dict(q.dtypes)['qid']}, id {dict(d.dtypes)['id']}, score double"
+
+    def best(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        index: dict[str, list[int]] = {}
+        for i, words in enumerate(asked["words"]):
+            for w in words:
+                index.setdefault(w, []).append(i)
+        sizes = asked["words"].map(len).to_numpy()
+        boosts = np.array(list(BOOSTS.values()))
+        wants = np.stack(asked["terms"].to_numpy()).astype(bool) if len(asked) else np.zeros((0, len(boosts)), bool)
+        at = {w: np.array(v) for w, v in index.items()}
+        score = np.zeros((len(pdf), len(asked)))
+        for i, (words, head, terms) in enumerate(zip(pdf["words"], pdf["head"], pdf["terms"], strict=True)):
+            row = score[i]
+            for w in words:
+                if w in at:
+                    row[at[w]] += 1
+            row /= sizes
+            for j in np.flatnonzero(terms):
+                row += np.where(wants[:, j], boosts[j], 0.0)
+            title = np.zeros(len(asked), bool)
+            for w, v in at.items():
+                if w in head:
+                    title[v] = True
+            row += np.where(title, 0.2, 0.0)
+        score = np.minimum(score, 1.0)
+        out = []
+        for j, qid in enumerate(asked["qid"]):
+            i = np.flatnonzero(score[:, j] > 0)
+            one = pd.DataFrame({"qid": qid, "id": pdf["id"].to_numpy()[i], "score": score[i, j]})
+            out.append(one.sort_values(["score", "id"], ascending=[False, True], kind="stable").head(k))
+        return pd.concat(out) if out else pd.DataFrame(columns=["qid", "id", "score"])
+
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return meet(d, q, best, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

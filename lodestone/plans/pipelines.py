@@ -27,7 +27,7 @@ def ingest(docs: DataFrame, encoder: Encoder, config: chunking.Config = chunking
         problem = F.coalesce(problem, F.when(G.quality_score("text") < least_quality, "low quality"))
     judged = docs.withColumn("problem", problem)
     fine = keep_first(judged.where("problem is null")).withColumn("collection", G.route("document_type", "path", "team"))
-    chunks = chunking.recursive(fine, config).join(fine.select("doc_id", "collection"), "doc_id")
+    chunks = chunking.recursive(fine, config, keep=("collection",))
     rows = chunks.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "doc_id", "chunk_index", "collection", "content", "start", "end")
     return embed(rows, encoder), judged.where("problem is not null").select("doc_id", "problem")
 

@@ -38,3 +38,9 @@ def sql_count(text: str, words: list[str]) -> str:
 def sql_times(text: str, part: str) -> str:
     part = part.replace("'", "''")
     return f"((length({text}) - length(replace({text}, '{part}', ''))) // length('{part}'))"
+
+
+def preview_sql(text: str, most: int) -> str:
+    head = f"{text}[1:{most - 3}]"
+    back = f"strpos(reverse({head}), ' ')"
+    return f"case when length({text}) <= {most} then {text} when {back} > 0 and length({head}) - {back} > {most - 3} * 0.8 then {head}[1:length({head}) - {back}] || '...' else {head} || '...' end"

@@ -8,9 +8,9 @@ from lodestone.functions import metadata as M
 from lodestone.operators import results as R
 from lodestone.operators.chunking import invalidated, recursive, with_model
 from lodestone.operators.encoding import HashingEncoder
+from lodestone.plans import chunk_sql
 from lodestone.plans import pipelines as P
-from lodestone.plans.chunk_sql import INGEST
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import preview_sql, query, table
 from lodestone.plans.search_queries import WEIGHTED, _weighted
 
 
@@ -51,30 +51,18 @@ def ranking_reasons(spark, d):
     return r.select("doc_id", F.regexp_replace(R.ranking_reason(F.col("s"), F.col("content"), F.col("source"), F.lit("simple zzzq word")), "\\. Relevance score: .*$", "").alias("reason"))
 
 
-@query("""select doc_id, md5('[' || printf('%.3f', s) || '] 1. ' || doc_id || ': ' || regexp_replace(case when length(text) <= 500 then text else 'long' end, '\\s+', ' ', 'g')) as digest from (select doc_id, text, (doc_id % 100) / 100 as s from documents where length(text) <= 500 and trim(text) <> '') where s >= 0.3""")
+@query(f"""select doc_id, md5('[' || printf('%.3f', s) || '] 1. ' || doc_id || ': ' || regexp_replace({preview_sql('text', 500)}, '\\s+', ' ', 'g')) as digest from (select doc_id, text, (doc_id % 100) / 100 as s from documents where trim(text) <> '') where s >= 0.3""")
 def formatted_results(spark, d):
-    rows = table(spark, d, "documents").where(F.length("text") <= 500).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), (F.col("doc_id") % 100 / 100).alias("similarity"), F.lit(1).alias("rank"))
-    return R.formatted(rows, "cli", least=0.3).select(F.col("id").alias("doc_id"), F.md5("formatted").alias("digest"))
-
-
-@query()
-def formatted_results_all(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), (F.col("doc_id") % 100 / 100).alias("similarity"), F.lit(1).alias("rank"))
     return R.formatted(rows, "cli", least=0.3).select(F.col("id").alias("doc_id"), F.md5("formatted").alias("digest"))
 
 
-@query("select doc_id, case when length(text) <= 200 then length(text) else -1 end as n, 'Code Block' as kind_label, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as n_the from documents where length(text) <= 200 or doc_id % 7 = 0")
+@query(f"""select doc_id, md5(snippet) as snippet, md5(regexp_replace(snippet, '(?i)(there|the)', '**\\1**', 'g')) as highlighted, 'Code Block' as kind_label, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as n_the
+from (select doc_id, text, {preview_sql('text', 200)} as snippet from documents)""")
 def enriched_results(spark, d):
-    rows = table(spark, d, "documents").where((F.length("text") <= 200) | (F.col("doc_id") % 7 == 0)).select("doc_id", F.col("text").alias("content"), F.lit("code_block").alias("kind"))
-    e = R.enriched(rows, ["the"])
-    return e.select("doc_id", F.when(F.length("content") <= 200, F.length("snippet").cast("long")).otherwise(-1).alias("n"), "kind_label", F.col("term_counts")["the"].alias("n_the"))
-
-
-@query()
-def enriched_results_all(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("code_block").alias("kind"))
-    e = R.enriched(rows, ["the"])
-    return e.select("doc_id", F.when(F.length("content") <= 200, F.length("snippet").cast("long")).otherwise(-1).alias("n"), "kind_label", F.col("term_counts")["the"].alias("n_the"))
+    e = R.enriched(rows, ["the", "there"])
+    return e.select("doc_id", F.md5("snippet").alias("snippet"), F.md5("highlighted").alias("highlighted"), "kind_label", F.col("term_counts")["the"].alias("n_the"))
 
 
 @query(WEIGHTED + """select q.vec_id as qid, coalesce(array_to_string(list(id order by rank), ','), '') as ids, count(id)::bigint as n_hits, array_to_string(list_concat(case when count(id) = 0 then ['expand_scope'] when count(id) < 3 then ['expand_query'] else [] end,
@@ -92,7 +80,7 @@ def batch_groups(spark, d):
     return R.grouped(hits, g).select("group", F.array_join("ids", ",").alias("ids"))
 
 
-@query(INGEST)
+@query(chunk_sql.INGEST)
 def ingest_job(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.lit("text").alias("document_type"), F.concat(F.lit("docs/"), "source").alias("path"), F.lit(None).cast("string").alias("team"))
     chunks, rejected = P.ingest(docs, HashingEncoder(32))
@@ -102,15 +90,6 @@ def ingest_job(spark, d):
 
 @query()
 def answer_job(spark, d):
-    docs = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", "text", F.lit("text").alias("document_type"), F.lit("docs/x").alias("path"), F.lit(None).cast("string").alias("team"))
-    chunks, _ = P.ingest(docs, HashingEncoder(32))
-    q = table(spark, d, "benchmark").where("item_id % 8 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    hits, gaps = P.answer(chunks, q, HashingEncoder(32), k=5)
-    return hits.join(gaps.select("qid", "confidence", "has_gap"), "qid").select("qid", "id", "new_rank", F.round("rerank_score", 4).alias("score"), "confidence", "has_gap", "reason")
-
-
-@query()
-def answer_job_all(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.lit("text").alias("document_type"), F.lit("docs/x").alias("path"), F.lit(None).cast("string").alias("team"))
     chunks, _ = P.ingest(docs, HashingEncoder(32))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
@@ -118,7 +97,12 @@ def answer_job_all(spark, d):
     return hits.join(gaps.select("qid", "confidence", "has_gap"), "qid").select("qid", "id", "new_rank", F.round("rerank_score", 4).alias("score"), "confidence", "has_gap", "reason")
 
 
-@query("select 0::bigint as n_invalid, count(distinct doc_id)::bigint as n_documents from documents where regexp_matches(text, '\\S')")
+@query("with " + chunk_sql.recursive("select doc_id, text as t from documents") + " select doc_id, count(*)::bigint as n_chunks, case when doc_id % 3 = 0 then count(*) else 0 end::bigint as n_invalid from spans group by doc_id")
 def model_aware_chunks(spark, d):
-    c = with_model(recursive(table(spark, d, "documents")), "m1")
-    return c.agg(F.countDistinct("doc_id").alias("n_documents")).crossJoin(invalidated(c, "m1").agg(F.count("*").alias("n_invalid")))
+    """Chunks made under two models, and how many of them a change to the one invalidates."""
+    chunks = recursive(table(spark, d, "documents"))
+    third = F.col("doc_id") % 3 == 0
+    made = with_model(chunks.where(third), "m1").unionByName(with_model(chunks.where(~third), "m2"))
+    gone = invalidated(made, "m2").groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = made.groupBy("doc_id").agg(F.count("*").alias("n_chunks")).join(gone, "doc_id", "left")
+    return rows.select("doc_id", "n_chunks", F.coalesce("n", F.lit(0).cast("long")).alias("n_invalid"))

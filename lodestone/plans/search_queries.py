@@ -140,7 +140,7 @@ def confidence_distribution(spark, d):
 
 
 LEX = """
-with q as (select item_id as qid, lower(text) as q, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as qw from benchmark where item_id % 10 = 0),
+with q as (select item_id as qid, lower(text) as q, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as qw from benchmark),
 dd as (select doc_id as id, lower(text) as t, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as w,
   array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')[1:10], ' ') as head from documents),
 lex as (select qid, id, least(1.0, len(list_intersect(qw, w)) / len(qw)
@@ -149,7 +149,7 @@ lex as (select qid, id, least(1.0, len(list_intersect(qw, w)) / len(qw)
 
 
 def _lexical(spark, d, k):
-    q = table(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return S.lexical_search(table(spark, d, "documents"), q, k)
 
 

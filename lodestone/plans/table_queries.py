@@ -11,7 +11,9 @@ from lodestone.operators import dedup as D
 from lodestone.operators import filters as W
 from lodestone.operators import models as M
 from lodestone.operators import projects as P
+from lodestone.operators.search import lexical_search
 from lodestone.plans.registry import query, table
+from lodestone.plans.search_queries import LEX
 
 
 @query("select event_id, event_type, value from events where (event_type = 'click' and value > 20) or (event_type in ('view', 'purchase') and value between 5 and 10)")
@@ -168,7 +170,7 @@ def feedback_analytics(spark, d):
 
 
 GAPS = """with q as (select vec_id as qid from embeddings where vec_id % 50 = 0), h as (select q.vec_id as qid, list_cosine_similarity(c.embedding::double[], q.embedding::double[]) as s
-  from embeddings c join embeddings q on c.label = q.vec_id % 13 and c.vec_id % 9 = 0 and c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+  from embeddings c join embeddings q on c.label = q.vec_id % 13 and c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
 g as (select qid, count(s)::bigint as n_hits, max(s) as best from q left join h using (qid) group by qid),
 r as (select *, case when best is null then 'none' when best >= 0.3 then 'high' when best >= 0.2 then 'medium' else 'low' end as confidence from g)
 """
@@ -181,34 +183,19 @@ def gap_analysis(spark, d):
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
     from lodestone.functions.vectors import cosine_similarity
 
-    h = e.where("vec_id % 9 = 0").join(q, (F.col("label") == F.col("qid") % 13) & (F.col("vec_id") != F.col("qid"))).select("qid", cosine_similarity("embedding", "qe").alias("similarity"))
-    return A.gap_analysis(q, h, sparse=4, low=0.2, high=0.3).withColumn("best", F.round("best", 6))
-
-
-@query()
-def gap_analysis_all(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    from lodestone.functions.vectors import cosine_similarity
-
     h = e.join(q, (F.col("label") == F.col("qid") % 13) & (F.col("vec_id") != F.col("qid"))).select("qid", cosine_similarity("embedding", "qe").alias("similarity"))
     return A.gap_analysis(q, h, sparse=4, low=0.2, high=0.3).withColumn("best", F.round("best", 6))
 
 
-@query("""with w as (select item_id as qid, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as q from benchmark where item_id % 8 = 0),
-d as (select doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as w from documents where doc_id % 40 = 0),
-h as (select qid, q, list_intersect(q, w) as found from w, d), g as (select qid, any_value(q) as q, avg(len(found) / len(q)) as c, flatten(list(found)) as f from h group by qid)
-select qid, round(c, 6)::double as coverage, array_to_string(list_sort(list_filter(q, lambda x: not list_contains(f, x))), ' ') as missing from g""")
+@query(LEX + """, top as (select qid, id from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from lex where score > 0) where rank <= 20),
+h as (select top.qid, qw, list_intersect(qw, w) as found from top join q using (qid) join dd using (id)), g as (select qid, any_value(qw) as qw, avg(len(found) / len(qw)) as c, flatten(list(found)) as f from h group by qid)
+select qid, round(c, 6)::double as coverage, array_to_string(list_sort(list_filter(qw, lambda x: not list_contains(f, x))), ' ') as missing from g""")
 def coverage(spark, d):
-    q = table(spark, d, "benchmark").where("item_id % 8 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    hits = table(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("text").alias("content")).crossJoin(F.broadcast(q))
-    return A.coverage(hits).select("qid", F.round("coverage", 6).alias("coverage"), F.array_join("missing", " ").alias("missing"))
-
-
-@query()
-def coverage_all(spark, d):
+    """How the twenty best documents of each query cover its words."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    hits = table(spark, d, "documents").select(F.col("text").alias("content")).crossJoin(F.broadcast(q))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    best = lexical_search(docs, q, 20).select("qid", F.col("id").alias("doc_id"))
+    hits = best.join(docs, "doc_id").join(q, "qid").withColumnRenamed("text", "content")
     return A.coverage(hits).select("qid", F.round("coverage", 6).alias("coverage"), F.array_join("missing", " ").alias("missing"))
 
 

@@ -18,8 +18,14 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+#: what some of the users' turns begin with, so that every rule of the query functions is met
+HEADS = ["", "React vs Vue.js ", "compare Python versus Django ", "machine learning code in django ", "data validation from the physics programming collection ", "recent articles on ai ", 'show me "exact phrase" and " other " of ', "how to use docker ", "fix the error of ", "python function example "]
+TURNS = "(select conv_id, turn, [" + ", ".join(f"'{h}'" for h in HEADS) + "][(conv_id * 3 + turn) % 10 + 1] || text as text from conversations where role = 'user')"
+
+
 def turns(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'")
+    head = F.element_at(F.array(*[F.lit(h) for h in HEADS]), (F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(10)) + 1).cast("int"))
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(head, "text").alias("text"))
 
 
 def _mojibake_sql(x: str) -> str:
@@ -39,7 +45,7 @@ def clean_text(spark, d):
 
 @query()
 def clean_text_nfkc(spark, d):
-    rows = docs(spark, d).select("doc_id", T.clean("text", most=2000).alias("t")).where("t is not null")
+    rows = docs(spark, d).select("doc_id", T.clean("text").alias("t")).where("t is not null")
     return rows.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
 
@@ -88,7 +94,7 @@ def _intent_sql(t: str) -> str:
   when {sql_any(t, Q.CODE)} and {sql_any(t, list(Q.TECHNOLOGY))} then 'code_search' when {sql_any(t, Q.TUTORIAL)} and not contains({t}, 'collection') then 'tutorial_seeking' else 'information_seeking' end"""
 
 
-@query(f"select intent, count(*)::bigint as n from (select {_intent_sql('lower(text)')} as intent from conversations where role = 'user') group by intent")
+@query(f"select intent, count(*)::bigint as n from (select {_intent_sql('lower(text)')} as intent from {TURNS}) group by intent")
 def intent_counts(spark, d):
     return turns(spark, d).groupBy(Q.intent("text").alias("intent")).agg(F.count("*").alias("n"))
 
@@ -97,15 +103,34 @@ def _listed(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-@query(f"""select conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w not in ({_listed(Q.STOP_WORDS)}) and length(w) > 2), ' ') as terms
-from conversations where role = 'user' and not ({sql_any('lower(text)', [*Q.COMPARATIVE, *Q.COMPOUNDS, 'collection', 'articles', 'python', 'django'])})""")
-def key_terms(spark, d):
-    plain = ~Q.has_any(F.lower("text"), [*Q.COMPARATIVE, *Q.COMPOUNDS, "collection", "articles", "python", "django"])
-    return turns(spark, d).where(plain).select("conv_id", "turn", F.array_join(Q.key_terms("text"), " ").alias("terms"))
+LETTER = "\\p{L}\\p{M}\\p{N}_"
 
 
-@query()
-def key_terms_all(spark, d):
+def _words_sql(t: str, stop: list[str]) -> str:
+    return f"list_filter(regexp_extract_all(lower({t}), '[{LETTER}]+'), lambda w: w not in ({_listed(stop)}) and length(w) > 2)"
+
+
+def _key_terms_sql() -> str:
+    pair = f"([{LETTER}]+)\\s+(?:vs|versus)\\s+"
+    found = ", ".join(f"regexp_extract({of}, '{pair}([{more}]+)', {k}) as {name}" for of, more, k, name in (("l", LETTER, 1, "a"), ("l", LETTER, 2, "b"), ("q", LETTER + ".", 1, "wa"), ("q", LETTER + ".", 2, "wb")))
+    steps = [
+        f"select *, {_words_sql('q', Q.STOP_WORDS)} as t0, {_intent_sql('l')} as intent, {found} from (select conv_id, turn, text as q, lower(text) as l from {TURNS})",
+        "select *, case when intent = 'comparative_analysis' and a <> '' then list_concat(list_filter(t0, lambda w: w <> a and w <> b), list_filter([wa, wb], lambda w: w <> '')) else t0 end as t1 from s0",
+    ]
+    for k, compound in enumerate(Q.COMPOUNDS, 1):
+        x, y = compound.split()
+        both = f"contains(l, '{compound}') and list_contains(t{k}, '{x}') and list_contains(t{k}, '{y}')"
+        steps.append(f"select *, case when {both} then list_append(list_filter(t{k}, lambda w, i: w not in ('{x}', '{y}') and list_position(t{k}, w) = i), '{compound}') else t{k} end as t{k + 1} from s{k}")
+    k = len(steps) - 1
+    steps.append(f"select *, list_transform(t{k}, lambda w: case when w = 'django' then 'Django' when w = 'python' and contains(q, 'Python') then 'Python' else w end) as u from s{k}")
+    ctes = ", ".join(f"s{i} as ({x})" for i, x in enumerate(steps))
+    articles = "contains(l, 'articles') and contains(l, 'ai') then list_append(list_filter(u, lambda w: w in ('recent', 'articles')), 'AI')"
+    meta = "contains(l, 'from') and contains(l, 'collection') then list_filter(u, lambda w: w not in ('collection', 'programming'))"
+    return f"with {ctes} select conv_id, turn, array_to_string(case when {articles} when {meta} else u end, ' ') as terms from s{k + 1}"
+
+
+@query(_key_terms_sql())
+def key_terms(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.array_join(Q.key_terms("text"), " ").alias("terms"))
 
 
@@ -146,15 +171,13 @@ def query_enhancement(spark, d):
     return _mixed(spark, d).select("doc_id", Q.enhanced("q").alias("enhanced"))
 
 
-@query(f"""select conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w not in ({_listed(Q.RERANK_STOP)}) and length(w) > 2), ' ') as rerank_keywords,
-  array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w not in ({_listed(Q.FORMAT_STOP)}) and length(w) > 2))), ' ') as format_keywords
-from conversations where role = 'user' and not contains(text, '"')""")
-def keyword_extraction(spark, d):
-    return turns(spark, d).where(~F.contains("text", F.lit('"'))).select("conv_id", "turn", F.array_join(Q.rerank_keywords("text"), " ").alias("rerank_keywords"), F.array_join(F.sort_array(Q.format_keywords("text")), " ").alias("format_keywords"))
+QUOTED = """list_filter(list_transform(regexp_extract_all(text, '"([^"]*)"', 1), lambda p: trim(p)), lambda p: p <> '')"""
+UNQUOTED = """regexp_replace(text, '"[^"]*"', '', 'g')"""
 
 
-@query()
-def keyword_extraction_all(spark, d):
+@query(f"""select conv_id, turn, array_to_string(list_concat({_words_sql('text', Q.RERANK_STOP)}, {QUOTED}), ' ') as rerank_keywords,
+  array_to_string(list_sort(list_distinct(list_concat({QUOTED}, {_words_sql(UNQUOTED, Q.FORMAT_STOP)}))), ' ') as format_keywords from {TURNS}""")
+def keyword_extraction(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.array_join(Q.rerank_keywords("text"), " ").alias("rerank_keywords"), F.array_join(F.sort_array(Q.format_keywords("text")), " ").alias("format_keywords"))
 
 
@@ -172,10 +195,10 @@ q as (select *, 0.15 * a + 0.2 * b + 0.25 * 0.4 + 0.1 * 0.5 + 0.2 * 0.7 + 0.05 *
 select doc_id, round(a, 4)::double as length_score, round(b, 4)::double as structure_score, round(c, 6)::double as language_score, round(d, 6)::double as uniqueness_score, round(s, 6)::double as quality,
   case when round(s, 6) >= 0.9 then 'A' when round(s, 6) >= 0.8 then 'B' when round(s, 6) >= 0.7 then 'C' when round(s, 6) >= 0.6 then 'D' else 'F' end as grade from q""")
 def quality_score(spark, d):
-    q = G.quality_score("text")
-    return docs(spark, d).select(
-        "doc_id", F.round(G.length_score("text"), 4).alias("length_score"), F.round(G.structure_score("text"), 4).alias("structure_score"), F.round(G.language_score("text"), 6).alias("language_score"),
-        F.round(G.uniqueness_score("text"), 6).alias("uniqueness_score"), F.round(q, 6).alias("quality"), G.grade(F.round(q, 6)).alias("grade"),
+    p = docs(spark, d).select("doc_id", G.quality_parts("text").alias("p"))
+    return p.select(
+        "doc_id", F.round("p.length", 4).alias("length_score"), F.round("p.structure", 4).alias("structure_score"), F.round("p.language", 6).alias("language_score"),
+        F.round("p.uniqueness", 6).alias("uniqueness_score"), F.round("p.quality", 6).alias("quality"), G.grade(F.round("p.quality", 6)).alias("grade"),
     )
 
 
@@ -209,10 +232,14 @@ def semantic_tags(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(G.semantic_tags("text"), ",").alias("tags"))
 
 
-@query(f"""with h as (select doc_id, {', '.join(f'{sql_count("lower(text)", G.DOMAINS[k])} as {k[0]}' for k in ('academic', 'technical', 'research'))} from documents)
+TOPICS = ["a study in a journal with a hypothesis: ", "the algorithm of this library: ", "a survey and a comparison: ", "code review: ", ""]
+
+
+@query(f"""with m as (select doc_id, lower([{_listed(TOPICS)}][doc_id % 5 + 1] || text) as t from documents), h as (select doc_id, {', '.join(f'{sql_count("t", G.DOMAINS[k])} as {k[0]}' for k in ('academic', 'technical', 'research'))} from m)
 select doc_id, case when greatest(a, t, r) = 0 then 'general' when a >= t and a >= r then 'academic' when t >= r then 'technical' else 'research' end as domain from h""")
 def domain(spark, d):
-    return docs(spark, d).select("doc_id", G.domain("text").alias("domain"))
+    head = F.element_at(F.array(*[F.lit(x) for x in TOPICS]), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    return docs(spark, d).select("doc_id", G.domain(F.concat(head, "text")).alias("domain"))
 
 
 @query(f"""select doc_id, round(least(10.0, greatest(1.0, 3.0 + case when len({TW}) > 1000 then 2 when len({TW}) > 500 then 1 else 0 end + 0.5 * {sql_count('lower(text)', G.COMPLEX_WORDS)} + 0.3 * {sql_count('lower(text)', G.TECHNICAL_TERMS)})), 4)::double as complexity,
@@ -278,9 +305,25 @@ def text_similarity(spark, d):
     return a.join(b, "doc_id").select("doc_id", F.round(G.code_similarity("text", "other"), 6).alias("code_similarity"), F.round(jaccard("text", "other"), 6).alias("jaccard"))
 
 
-@query()
+WORKS = ["neural network architecture model ", "deep learning model structure ", "machine learning research study ", "", "training a model for optimization ", "artificial intelligence framework "]
+
+
+def _shared(k: str) -> str:
+    return f"(contains(x, '{k}') and contains(y, '{k}'))::int"
+
+
+def _all(column: str, words: tuple[str, ...]) -> str:
+    return " and ".join(f"contains({column}, '{w}')" for w in words)
+
+
+@query(f"""with m as (select doc_id, lower([{_listed(WORKS)}][doc_id % 6 + 1] || text) as t from documents), p as (select a.doc_id, a.t as x, b.t as y from m a join m b on b.doc_id = a.doc_id + 1),
+c as (select *, {' + '.join(_shared(k) for k in G.ACADEMIC_WORDS)} + case when contains(x, 'neural network') and contains(y, 'deep learning') then 8 else 0 end + case when contains(x, 'neural') and (contains(y, 'deep') or contains(y, 'learning')) then 6 else 0 end
+  + case when contains(x, 'architecture') and contains(y, 'structure') then 4 else 0 end + 3 * {_shared('model')} + case when contains(x, 'network') and (contains(y, 'structure') or contains(y, 'model')) then 3 else 0 end as n from p),
+s as (select *, case when n > 0 then greatest(n / {len(G.ACADEMIC_WORDS) + 20}, 0.4) else 0 end as s from c)
+select doc_id, round(least(1.0, case when {_all('x', ('neural', 'network', 'architecture'))} and {_all('y', ('deep', 'learning', 'model', 'structure'))} then greatest(s, 0.65) else s end), 6)::double as similarity from s""")
 def academic_similarity(spark, d):
-    a = docs(spark, d).select("doc_id", "text")
+    head = F.element_at(F.array(*[F.lit(x) for x in WORKS]), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
+    a = docs(spark, d).select("doc_id", F.concat(head, "text").alias("text"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     return a.join(b, "doc_id").select("doc_id", F.round(G.academic_similarity("text", "other"), 6).alias("similarity"))
 
@@ -305,7 +348,18 @@ def highlights(spark, d):
     return docs(spark, d).select("doc_id", F.md5(G.highlight("text", ["the", "there", "und"])).alias("digest"))
 
 
-@query()
+def _marked_sql(x: str) -> str:
+    """Whole words marked by control characters; twice, since neighbours share the character between them."""
+    edge = f"[^{LETTER}\\x01]"
+    for _ in range(2):
+        x = f"regexp_replace({x}, '(?i)(^|{edge})(the|und|of)({edge}|$)', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+    return x
+
+
+ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@query(f"select doc_id, md5(replace(replace({_marked_sql(ESCAPED)}, chr(1), '<mark>'), chr(2), '</mark>')) as digest from documents")
 def word_highlights(spark, d):
     return docs(spark, d).select("doc_id", F.md5(G.highlight_words("text", ["the", "of", "und"])).alias("digest"))
 

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.scoring import source_type
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir; where the session names none, a temporary one for a local master, else an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+
+
 def read_folder(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """Whole files: path, title (file name without ending), kind, size, modified, content."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -26,9 +39,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
+def markdown_text(title: str = "title", content: str = "content", collection: str = "collection") -> Column:
+    """A report text for a document."""
+    return F.concat(F.lit("## "), F.coalesce(F.col(title).cast("string"), F.lit("Untitled")), F.lit("\n\n*Collection:* "), F.col(collection), F.lit("\n\n"), F.col(content), F.lit("\n"))
+
+
 def markdown_rows(df: DataFrame, title: str = "title", content: str = "content", collection: str = "collection") -> DataFrame:
-    """A report text for each document."""
-    return df.select(F.concat(F.lit("## "), F.coalesce(F.col(title).cast("string"), F.lit("Untitled")), F.lit("\n\n*Collection:* "), F.col(collection), F.lit("\n\n"), F.col(content), F.lit("\n")).alias("value"))
+    return df.select(markdown_text(title, content, collection).alias("value"))
 
 
 def write_markdown(df: DataFrame, path: str, **names: str) -> None:
@@ -81,3 +98,15 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     if (want["n_rows"], want["checksum"]) != (got["n_rows"], got["checksum"]):
         raise ValueError(f"the snapshot in {path} does not match its manifest")
     return df
+
+
+def archive(projects: DataFrame, links: DataFrame, path: str) -> None:
+    """Projects with their links as JSON, one folder each."""
+    write_json(projects, f"{path}/projects")
+    write_json(links, f"{path}/links")
+
+
+def unarchive(spark: SparkSession, path: str, projects: str, links: str) -> tuple[DataFrame, DataFrame]:
+    """The projects and links of an archive, of the given schemas; links of projects that it lacks are left out."""
+    found = spark.read.schema(projects).json(f"{path}/projects")
+    return found, spark.read.schema(links).json(f"{path}/links").join(found.select("project"), "project", "left_semi")

@@ -343,7 +343,10 @@ def merge_strategies(spark, d):
     return a.join(b, "group_id").join(c, "group_id")
 
 
-@query()
+@query("""with r as (select min(doc_id) as id, arg_min(text, doc_id) as t from documents group by md5(lower(trim(text)))),
+w as (select id, list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> '') as w from r), s as (select id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s from w where len(w) > 0),
+e as (select id, len(s) as n, unnest(s) as s from s), p as (select x.id as a, y.id as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as c from e x join e y on x.s = y.s and x.id < y.id group by x.id, y.id)
+select a, b, round(c / (n + m - c), 6) as similarity from p where c / (n + m - c) >= 0.8""")
 def near_dup_pairs(spark, d):
     return D.near_pairs(table(spark, d, "documents")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 

@@ -205,6 +205,37 @@ def test_near_pairs_behind_a_head_below_the_threshold(spark):
     assert {r["doc_id"]: r["representative"] for r in D.members(df).collect()} == {**{i: i for i in sets}, 50: 9}
 
 
+def test_search_in_blocks_and_odd_vectors(spark):
+    from lodestone.operators import search as E
+
+    rows = [(i, "a" if i % 2 else "b", [float(i % 5), 1.0, float(i % 3)]) for i in range(60)] + [(100, "a", None), (101, "a", [0.0, 0.0, 0.0]), (102, None, [1.0]), (103, None, [1.0, 2.0, 3.0]), (104, "b", [1.0, None, 2.0])]
+    chunks = spark.createDataFrame(rows, "id long, collection string, embedding array<double>")
+    asked = chunks.where("id < 12 or id > 99").selectExpr("id qid", "embedding query_embedding", "id self_id")
+
+    def plain(metric, k, per):
+        want = []
+        for q, _, x in rows:
+            if (q < 12 or q > 99) and x and None not in x and (metric != "cosine" or any(x)):
+                near = {}
+                for i, c, y in rows:
+                    if i != q and y and None not in y and len(x) == len(y) and (metric != "cosine" or any(y)):
+                        n = (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+                        far = sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) if metric == "l2" else 1 - sum(a * b for a, b in zip(x, y, strict=True)) / (n if metric == "cosine" else 1)
+                        near.setdefault(c if per else "", []).append((round(far, 9) + 0.0, i))
+                want += [(q, i, k1) for v in near.values() for k1, (_, i) in enumerate(sorted(v)[:k], 1)]
+        return sorted(want)
+
+    for metric, per in (("cosine", False), ("l2", True), ("ip", False)):
+        got = E.top_k(chunks, asked, 4, per_collection=per, metric=metric, not_self=True)
+        far = {(r["qid"], r["id"]): round(r["distance"], 9) for r in got.collect()}
+        want = plain(metric, 4, per)
+        assert len(far) == len(want) and sorted(r["rank"] for r in got.collect()) == sorted(k for _, _, k in want)
+        assert metric != "l2" or sorted((r["qid"], r["id"], r["rank"]) for r in got.collect()) == want
+    step = lambda q, r: q.merge(r, how="cross")[["qid", "id"]]
+    pairs = E.meet(chunks.select("id"), asked.select("qid"), step, "qid long, id long", most_queries=3)
+    assert pairs.count() == asked.count() * len(rows) == pairs.distinct().count()
+
+
 def test_encoder(spark):
     df = embed(spark.createDataFrame([("a b c",), ("",), (None,)], "content string"), HashingEncoder(16))
     rows = {r["content"]: r for r in df.collect()}

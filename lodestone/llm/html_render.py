@@ -17,7 +17,8 @@ are padded to 200 places at most; the text of wider cells is whole.
 Defined results: a null or empty page gives an empty text; broken markup never fails: unknown end tags are dropped and
 what is open at the end is closed; pages of any length and nesting of any depth are walked without recursion (indentation
 stops at 16 levels); rules that tie go by their order; repeated rows get equal results; empty tables give empty tables;
-other columns of the input are not read, and the kept ones may have any name but that of the result.
+other columns of the input are not read, and the kept ones may have any name but that of the result and
+__page.
 """
 
 from __future__ import annotations

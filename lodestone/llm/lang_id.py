@@ -16,7 +16,8 @@ prediction.
 
 Defined results: a null text, one without letters, or a model without languages gives `und` with score 0; ties go to
 the smaller language name; very long texts are parsed whole, in windows; empty tables give empty tables; repeated rows
-get their own results; other columns are not read, and the kept ones may have any name but those of the results.
+get their own results; other columns are not read, and the kept ones may have any name but those of the results
+and __text.
 """
 
 from __future__ import annotations

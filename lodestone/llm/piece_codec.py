@@ -6,9 +6,12 @@ normalised text the source byte is recorded. The pieces tile the normalised text
 them to a span of the original bytes. Copied characters align byte by byte; all bytes of a replacement align to the
 begin of what it replaces.
 
+A model whose character map is empty copies every character, so its alignment is made for whole texts at once. Only a
+model without byte pieces knows unknown characters; texts that hold some are encoded a second time, for their lengths.
+
 Defined results: a null text is an empty one and has no pieces; repeated rows get equal results; empty tables give
 empty tables; texts of any length are encoded whole; bytes that are no UTF-8 count as U+FFFD, and spans then refer to the
-mended text; other columns are not read.
+mended text; other columns are not read, and the kept ones may have any name but those of the results and __text.
 """
 
 from __future__ import annotations
@@ -196,7 +199,7 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded
 
 
 def round_trip(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """The kept columns and digests of what encode and decode give: n_tokens, ids_sha256, decoded_sha256, n_spanned: bytes of the text that spans cover; with_ids: the ids as well."""
+    """The kept columns and digests of what encode and decode give: n_tokens, ids_sha256, decoded_sha256, n_spanned (bytes of the text that spans cover), spans_sha256 (of all begins, then all ends, 8 bytes each, little endian); with_ids: the ids as well."""
 
     def make(raw: list[bytes]) -> dict:
         c = codec(model_file)
@@ -207,6 +210,7 @@ def round_trip(df: DataFrame, model_file: str, text: str = "text", keep: tuple[s
             "ids_sha256": pa.array([hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in c.decode(ids)], pa.string()),
             "n_spanned": pa.array([int((e - b).sum()) for _, b, e in found], pa.int64()),
+            "spans_sha256": pa.array([hashlib.sha256(np.concatenate([b, e]).astype("<i8").tobytes()).hexdigest() for _, b, e in found], pa.string()),
         } | ({"ids": _lists(ids, pa.int32())} if with_ids else {})
 
-    return _run(_texts(df, text, keep), keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_spanned bigint" + ", ids array<int>" * with_ids, make)
+    return _run(_texts(df, text, keep), keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_spanned bigint, spans_sha256 string" + ", ids array<int>" * with_ids, make)

@@ -104,5 +104,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: XXH64 bits, trained models, automata, tokenizers and draws can't be told in SQL; tests/llm holds each query's operator against brute force."""
+    """None: XXH64 bits, trained models, automata, tokenizers and draws can't be told in SQL; tests/llm/test_registered.py calls each query and holds it against a plain version, or what chance leaves open (op6, op9, op10) against the contract's rules."""
     return {}

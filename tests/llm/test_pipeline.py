@@ -77,3 +77,38 @@ def test_near_copies_are_verified(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars")
     got = {r["doc_id"] for r in pipeline.drop_near_copies(spark, df, "").collect()}
     assert got == {i for i, _ in rows} - {i + 1 for i, s in sim.items() if s >= 0.8}
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Clashing columns, long texts, repeated and null ids, against plain versions of what each stage decides."""
+    from test_registered import ROWS, words
+
+    df = spark.createDataFrame([tuple(r) for r in ROWS], "doc_id long, text string, lang string, source string")
+    df = df.selectExpr("*", "cast(length(text) as long) n_chars", "'x' score", "'y' findings", "7 fp", "1 copies", "0 size", "'k' `key`", "9 n", "0 component", "3 __k", "4 __i", "5 dup")
+    kept = pipeline.drop_near_copies(spark, df, "").collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").translate({c: c + 32 for c in range(65, 91)})) for _, t, _, _ in ROWS)]
+    group = list(range(len(ROWS)))
+    moved = True
+    pairs = [(a, b) for a in range(len(ROWS)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                moved = True
+    ids: dict = {}
+    for k, r in enumerate(ROWS):
+        ids.setdefault(group[k], []).append(r[0])
+    want = sorted(min((i for i in v if i is not None), default=None) for v in ids.values() if any(i is not None for i in v)) + [None] * sum(all(i is None for i in v) for v in ids.values())
+    assert sorted((r["doc_id"] for r in kept if r["doc_id"] is not None)) + [None] * sum(r["doc_id"] is None for r in kept) == want
+    for _, stage in pipeline.STAGES[2:3]:
+        assert stage(spark, df, "").count() == len(ROWS) and stage(spark, df, "").columns == list(pipeline.COLUMNS)
+    mixed = pipeline.mix_sources(spark, df, "").collect()
+    taken: dict = {}
+    for r in mixed:
+        taken[r["source"]] = taken.get(r["source"], 0) + len(words(r["text"]))
+    from lodestone.llm.mixing import mix
+
+    told = {r["source"]: r["n"] for r in mix(df).groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect() if r["n"]}
+    assert taken == told
+    assert pipeline.encode_pieces(spark, df, "").count() == len(ROWS)

@@ -201,8 +201,18 @@ def test_op7(spark, tables):
     for i, t, _, _ in ROWS:
         ids = sp.encode(t or "")
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
-    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op7_sentencepiece(spark, tables[0]).collect()]
-    assert bag(got) == bag(want)
+    out = op7_sentencepiece(spark, tables[0]).collect()
+    assert bag((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out) == bag(want)
+    # pieces tile the text: as the map of this model is empty, a space is three bytes of a piece and one of the text
+    spans = []
+    for _, t, _, _ in ROWS:
+        at, ends = -1, []  # the mark in front stands for no byte
+        for piece in sp.encode(t or "", out_type=str):
+            raw = bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x..>", piece) else piece.replace("\u2581", " ").encode()
+            at += len(raw)
+            ends.append(at)
+        spans.append(np.array([0, *ends[:-1], *ends] if ends else [], "<i8").clip(0).tobytes())
+    assert bag(r["spans_sha256"] for r in out) == bag(hashlib.sha256(x).hexdigest() for x in spans)
 
 
 def plain_weighted(text):

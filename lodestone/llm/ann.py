@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, spread_join, unit_hash
+from lodestone.llm.common import cut, keyed, spread_join, unit_hash
 
 WORDS = 16
 
@@ -201,7 +201,7 @@ def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id"
     buckets = max(1, -(-n_held // bucket_rows))
     bucket = F.pmod(F.xxhash64("c", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket")
     pairs = cut(best.select("q", "c", bucket))
-    load = cut(pairs.groupBy("bucket").agg(F.count("*").alias("n")))
+    load = keyed(pairs.groupBy("bucket").agg(F.count("*").alias("n")))
     parts = F.ceil(F.col("n") / pair_rows)
     pairs = cut(spread_join(pairs, load, "bucket").select("bucket", F.pmod(F.xxhash64("q", F.lit(4)), parts).alias("part"), "q", "c"))
     visits = pairs.select("bucket", "part", "q").distinct().join(asked.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "v"), "q")

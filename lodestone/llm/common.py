@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,13 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning."""
+def cut(df: DataFrame, **measures: Column) -> DataFrame:
+    """Write df into the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning. measures: aggregates that are taken while writing, into its attribute `measured`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if measures else None
+    (df.observe(seen, *[c.alias(k) for k, c in measures.items()]) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    out.measured = {k: None for k in measures} | seen.get if seen else {}
     return out
 
 
@@ -55,13 +57,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """cut for the right side of spread_join: one row a key, with n, how many rows of the left side hold it."""
+    return cut(df, total=F.sum("n"), most=F.max("n"))
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], share: int = 1000) -> DataFrame:
-    """left joined with right on key, without one task that meets a hot key. Both are tables that cut has written.
+    """left joined with right (from keyed) on key, without one task that meets a hot key. Columns of key hold no nulls.
 
-    right: one row a key, with n, how many rows of left hold it. A key that holds over 1 / share of left's rows is joined
-    by a broadcast, of at most `share` rows by their counts; the others are shuffled. Columns of key hold no nulls.
+    A key that holds over 1 / share of left's rows is joined by a broadcast, of at most `share` rows by their counts; the
+    others are shuffled.
     """
-    total = right.agg(F.sum("n")).first()[0] or 0
+    total, most = right.measured["total"] or 0, right.measured["most"] or 0
+    if most * share <= total:
+        return left.join(right, key)
     hot = F.broadcast(right.where(F.col("n") * share > total))
     rest = left.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(right.where(F.col("n") * share <= total), key)
     return left.join(hot, key).unionByName(rest)

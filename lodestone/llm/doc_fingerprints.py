@@ -28,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, spread_join
+from lodestone.llm.common import cut, keyed, spread_join
 
 LANES = 32
 
@@ -198,5 +198,5 @@ def report(df: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
     is_asked = F.coalesce(F.pmod("doc_id", F.lit(every)) == 0, F.lit(False))
     asked = cut(found.where(is_asked))
     near = within_radius(asked, found, radius).join(asked.groupBy("fp").agg(F.count("*").alias("n")), "fp")
-    told = spread_join(asked, cut(near), "fp").drop("n")
+    told = spread_join(asked, keyed(near), "fp").drop("n")
     return found.where(~is_asked).withColumn("n_within", F.lit(None).cast("long")).unionByName(told)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, discard, spread_join
+from lodestone.llm.common import cut, discard, keyed, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,30 +17,23 @@ def components(edges: DataFrame) -> DataFrame:
     deleted once the next ones are written.
     """
 
-    def once(rows: DataFrame, *spent: DataFrame) -> DataFrame:
-        out = cut(rows.distinct())
-        discard(*spent)
-        return out
-
-    def mark(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
+    marks = {"rows": F.count("*"), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
     big, small = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = once(edges.where("a <> b").select(big, small))
-    state = mark(now)
+    now = cut(edges.where("a <> b").select(big, small).distinct(), **marks)
     while True:
         # larger neighbours go to the smallest of a node's neighbours and itself
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0"))
+        least = keyed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0"))
         grown = spread_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = once(grown.where("a <> b"), now, least)
+        half = cut(grown.where("a <> b"))
         # smaller neighbours and the node itself go to the smallest neighbour
-        least = cut(now.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        near = spread_join(now, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = once(near.unionByName(least.select("a", F.col("m").alias("b"))), now, least)
-        fresh = mark(now)
-        if fresh == state:
+        lower = keyed(half.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        near = spread_join(half, lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        fresh = cut(near.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), **marks)
+        same = fresh.measured == now.measured
+        discard(now, least, half, lower)
+        now = fresh
+        if same:
             break
-        state = fresh
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -176,7 +176,7 @@ def predict(model: Model, arr: pa.Array) -> tuple[list[str], np.ndarray]:
     return [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 96, total_chars: int = 400_000, most_langs: int = 500) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 96, total_chars: int = 200_000, most_langs: int = 500) -> Model:
     """train: rows to learn from; those with a null text or lang are left out."""
     rows = train.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
     langs = [r["l"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()]

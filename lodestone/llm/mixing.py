@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, ranked, spread_join, unit_hash
+from lodestone.llm.common import cut, keyed, ranked, spread_join, unit_hash
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -107,7 +107,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     sums = cut(sums)
     shares = targets(sums.select("source", "source_size"), weights, most)
     named = shares.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).select("s", "target")
-    rows = spread_join(base.withColumn("dup", dup), cut(sums.drop("source").join(named, "s")), "s").withColumnRenamed("n", "__n")
+    rows = spread_join(base.withColumn("dup", dup), keyed(sums.drop("source").join(named, "s")), "s").withColumnRenamed("n", "__n")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     groups = F.ceil(F.col("__n") / group_rows)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, discard, ranked, spread_join, unit_hash
+from lodestone.llm.common import cut, discard, keyed, ranked, spread_join, unit_hash
 
 
 def _quotas(total: int, shards: int) -> list[int]:
@@ -43,7 +43,7 @@ def propagate(rows: DataFrame, shards: int, quota: int, rounds: int) -> DataFram
         whole = F.col("size") <= max(1, quota // 8)
         moves = (F.col("spread") > 1) & (whole | (key < F.col("most")))
         wish = places.join(best, "group").select("group", "shard", "n", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("goal"), whole.alias("whole"))
-        linked = spread_join(rows, cut(wish), ["group", "shard"]).drop("n")
+        linked = spread_join(rows, keyed(wish), ["group", "shard"]).drop("n")
         draw = F.when(F.col("whole"), unit_hash("group", F.lit(k))).otherwise(unit_hash("doc_id", "dup", F.lit(k)))
         linked = cut(linked.withColumn("draw", draw).drop("whole"))
         asked = {r["goal"]: r["n"] for r in linked.where("goal <> shard").groupBy("goal").agg(F.count("*").alias("n")).collect()}  # one row a shard
@@ -62,7 +62,7 @@ def shard(df: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "
     raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     base = df.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("group"))
     base = cut(base)
-    groups = cut(base.groupBy("group").agg(F.count("*").alias("n")))
+    groups = keyed(base.groupBy("group").agg(F.count("*").alias("n")))
     rows = spread_join(base, groups, "group").withColumnRenamed("n", "group_size")
     # repeated ids of one group are told apart by a number
     again = base.groupBy("doc_id", "group").agg(F.count("*").alias("m")).where("m > 1").limit(1).count()

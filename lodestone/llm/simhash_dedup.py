@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, discard, pieces, small_batches, spread_join
+from lodestone.llm.common import cut, discard, keyed, pieces, small_batches, spread_join
 from lodestone.llm.graph import components
 
 
@@ -264,11 +264,10 @@ def group_links(members: DataFrame, payload: DataFrame, link: Callable, block: i
     taken all.
     """
     members = cut(members)
-    sizes = cut(members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = keyed(members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(spread_join(members, sizes, "g"))
     about = cut(payload.join(shared.select("id").distinct(), "id", "left_semi"))
-    total, widest = shared.agg(F.count("*"), F.max("n")).first()
-    parts = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // bucket_rows)
+    parts = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), (sizes.measured["total"] or 0) // bucket_rows)
     spent = [members, sizes, shared, about]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -286,28 +285,26 @@ def group_links(members: DataFrame, payload: DataFrame, link: Callable, block: i
         spent.append(out)
         return out
 
-    def named(rows: DataFrame, found: DataFrame) -> DataFrame:
-        out = cut(rows.join(found, F.col("id") == F.col("node"), "left").select("g", "id", "n", F.coalesce("component", "id").alias("same")))
-        spent.append(out)
-        return out
-
     blocks = F.ceil(F.col("n") / block)
     number = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n)
     edges = linked_in(shared.select("g", number(1, blocks).alias("deal"), "id", F.col("id").alias("same")))
+    large = shared.where(F.col("n") > block)
+    if (sizes.measured["most"] or 0) > block:
+        edges = edges.unionByName(linked_in(large.select("g", number(2, blocks).alias("deal"), "id", F.col("id").alias("same"))))
     found = components(edges)
-    if (widest or 0) > block:
-        large = named(shared.where(F.col("n") > block), found)
-        edges = edges.unionByName(linked_in(large.select("g", number(2, blocks).alias("deal"), "id", "same")))
-        large = named(large.drop("same"), components(edges))
-        sums = large.groupBy("g", "n", "same").agg(F.count("*").alias("m")).groupBy("g", "n").agg(F.max(F.struct("m", "same")).alias("main"))
-        open_ = cut(sums.where("main.m < n").select("g", "n", F.col("main.same").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / block).alias("outer")))
-        rows = cut(spread_join(large.drop("n"), open_, "g"))
-        spent += [open_, rows]
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-        inner = rows.select("g", "id", "same", number(3, blocks).alias("x"), every(F.col("outer")).alias("y"))
-        outer = rows.where("same <> main").select("g", "id", "same", every(blocks).alias("x"), number(4, F.col("outer")).alias("y"))
-        last = linked_in(inner.unionByName(outer).distinct().select("g", F.xxhash64("x", "y").alias("deal"), "id", "same"))
-        found = components(edges.unionByName(last))
+    if (sizes.measured["most"] or 0) > block:
+        named = cut(large.join(found, F.col("id") == F.col("node"), "left").select("g", "id", "n", F.coalesce("component", "id").alias("same")))
+        sums = named.groupBy("g", "n", "same").agg(F.count("*").alias("m")).groupBy("g", "n").agg(F.max(F.struct("m", "same")).alias("main"))
+        open_ = keyed(sums.where("main.m < n").select("g", "n", F.col("main.same").alias("main"), F.ceil((F.col("n") - F.col("main.m")) / block).alias("outer")))
+        spent += [named, open_]
+        if open_.measured["total"]:
+            rows = cut(spread_join(named.drop("n"), open_, "g"))
+            spent.append(rows)
+            every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+            inner = rows.select("g", "id", "same", number(3, blocks).alias("x"), every(F.col("outer")).alias("y"))
+            outer = rows.where("same <> main").select("g", "id", "same", every(blocks).alias("x"), number(4, F.col("outer")).alias("y"))
+            last = linked_in(inner.unionByName(outer).distinct().select("g", F.xxhash64("x", "y").alias("deal"), "id", "same"))
+            found = components(edges.unionByName(last))
     discard(*spent)
     return found
 
@@ -358,8 +355,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     classes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     groups = linked(classes.select("fp"), radius)
     named = cut(classes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    least = cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
-    final = cut(spread_join(named.drop("least").withColumnRenamed("n", "rows"), least, "component").select("fp", "component_id", F.col("rows").alias("n")))
+    least = keyed(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    final = keyed(spread_join(named.drop("least").withColumnRenamed("n", "rows"), least, "component").select("fp", "component_id", F.col("rows").alias("n")))
     return spread_join(docs, final, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -347,10 +347,10 @@ def test_label_model_against_plain_loops():
 
 def test_components_split_hot_nodes(spark):
     """A star of a third of all edges is joined by broadcast, and no join reads it in one task."""
-    from lodestone.llm.common import cut, spread_join
+    from lodestone.llm.common import cut, keyed, spread_join
 
     left = cut(spark.range(6000).selectExpr("if(id < 2000, 0, id) a", "id b"))
-    right = cut(left.groupBy("a").count().selectExpr("a", "`count` n", "a * 2 c"))
+    right = keyed(left.groupBy("a").count().selectExpr("a", "`count` n", "a * 2 c"))
     joined = spread_join(left, right, "a")
     assert bag(map(tuple, joined.select("a", "b", "c").collect())) == bag((0 if i < 2000 else i, i, 0 if i < 2000 else 2 * i) for i in range(6000))
     parts = joined.where("a = 0").selectExpr("spark_partition_id() p").distinct().count()

@@ -64,8 +64,8 @@ def normalise(df: DataFrame, method: str, embedding: str = "embedding") -> DataF
     return df.crossJoin(F.broadcast(one)).withColumn(embedding, scaled).drop("__stats")
 
 
-def principal_components(df: DataFrame, k: int, embedding: str = "embedding", out: str = "projected") -> DataFrame:
-    """df with centred vectors projected on the first k principal components; unchanged if they have no more than k dimensions."""
+def principal_components(df: DataFrame, k: int | float, embedding: str = "embedding", out: str = "projected") -> DataFrame:
+    """df with centred vectors projected on the first k principal components; k below 1: on as few as explain that share of the variance. Unchanged if vectors have no more than k dimensions."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -74,5 +74,6 @@ def principal_components(df: DataFrame, k: int, embedding: str = "embedding", ou
         return df.withColumn(out, _d(embedding))
     means = dimension_stats(df, embedding).agg(F.sort_array(F.collect_list(F.struct("dim", F.col("mean_x").alias("c")))).alias("__m"))
     centred = df.crossJoin(F.broadcast(means)).withColumn("__v", array_to_vector(F.zip_with(_d(embedding), F.col("__m"), lambda x, m: x - m["c"]))).drop("__m")
-    model = PCA(k=k, inputCol="__v", outputCol="__p").fit(centred)
-    return model.transform(centred).withColumn(out, vector_to_array("__p")).drop("__v", "__p")
+    model = PCA(k=k if k >= 1 else first[0]["n"], inputCol="__v", outputCol="__p").fit(centred)
+    kept = k if k >= 1 else 1 + sum(x < k for x in model.explainedVariance.toArray().cumsum()[:-1])
+    return model.transform(centred).withColumn(out, F.slice(vector_to_array("__p"), 1, int(kept))).drop("__v", "__p")

@@ -145,3 +145,14 @@ def cache_advice(stats: DataFrame) -> DataFrame:
     grade = F.when(F.col("hit_rate") >= 0.8, "A").when(F.col("hit_rate") >= 0.6, "B").when(F.col("hit_rate") >= 0.4, "C").otherwise("D")
     advice = F.array_compact(F.array(F.when(F.col("hit_rate") < 0.5, "enlarge the cache"), F.when(F.col("mean_seconds") > 1, "warm frequent keys")))
     return stats.withColumn("grade", grade).withColumn("advice", advice)
+
+
+def suggested_limit(seconds: Column, k: Column, slow: float = 0.5, least: int = 10) -> Column:
+    """A lower k for a query that took too long: half of it, `least` at least; null for the others."""
+    return F.when(seconds > slow, F.greatest(F.lit(least).cast("long"), F.floor(k / 2)))
+
+
+def still_cached(cache: DataFrame, changed: DataFrame, by: str = "collection") -> DataFrame:
+    """Cached results without those that touch a changed collection. cache has an array of collections."""
+    hit = cache.select("key", F.explode(by).alias("__c")).join(changed.select(F.col(by).alias("__c")), "__c").select("key").distinct()
+    return cache.join(hit, "key", "left_anti")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -52,6 +53,28 @@ class HashingEncoder:
         return (v / n if n else v).tolist()
 
 
+class RemoteEncoder:
+    """An encoder behind a transport: send(texts) -> (status, vectors). Texts go in batches; a status from 500 on is tried again after 1, 2, 4, ... seconds, 401 and 429 (and what is left after the last try) end the job at once."""
+
+    def __init__(self, send: Callable[[list[str]], tuple[int, list[list[float]]]], dimension: int, batch: int = 100, tries: int = 3, wait: Callable[[float], None] = time.sleep):
+        self.send, self.dimension, self.batch, self.tries, self.wait = send, dimension, batch, tries, wait
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [v for a in range(0, len(texts), self.batch) for v in self._one(texts[a : a + self.batch])]
+
+    def _one(self, texts: list[str]) -> list[list[float]]:
+        for k in range(self.tries):
+            status, vectors = self.send(texts)
+            if status == 200:
+                if [len(v) for v in vectors] != [self.dimension] * len(texts):
+                    raise ValueError("the answer does not fit the texts")
+                return vectors
+            if status < 500 or k + 1 == self.tries:
+                break
+            self.wait(2.0**k)
+        raise ConnectionError(f"the encoder answered with status {status}")
+
+
 def embed(df: DataFrame, encoder: Encoder, text: str = "content", out: str = "embedding", batch: int = 32) -> DataFrame:
     """df with the embedding; a null or empty text gives null and an error text instead of a zero vector."""
     kept = [c for c in df.columns if c not in (out, "embedding_error")]

@@ -254,3 +254,18 @@ def rebuild_index(spark, d):
     chunks = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("collection"), F.col("text").alias("content"), F.array(F.lit(0.5)).alias("embedding"), F.lit(None).cast("string").alias("embedding_error"))
     new = rebuild(chunks, HashingEncoder(8), ["a"])
     return new.select("doc_id", F.when(F.size("embedding") == 8, F.length("content").cast("long")).otherwise(F.lit(-1).cast("long")).alias("n"))
+
+
+@query("select event_id, case when value / 100 > 0.5 then greatest(10, (event_id % 90) // 2) else -1 end::bigint as suggested from events")
+def suggested_limits(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.coalesce(A.suggested_limit(F.col("value") / 100, F.col("event_id") % 90), F.lit(-1).cast("long")).alias("suggested"))
+
+
+@query("select o_orderkey as key from orders where o_orderkey % 7 not in (2, 5) and o_orderkey % 3 <> 1 or o_orderkey % 11 = 0")
+def cache_invalidation(spark, d):
+    """Cached results that no changed collection touches; every eleventh touches none."""
+    k = F.col("o_orderkey")
+    touched = F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("a"), (k % 7).cast("string")), F.concat(F.lit("b"), (k % 3).cast("string"))))
+    changed = spark.createDataFrame([("a2",), ("a5",), ("b1",), ("none",)], "collection string")
+    return A.still_cached(table(spark, d, "orders").select(k.alias("key"), touched.alias("collection")), changed).select("key")

@@ -232,6 +232,12 @@ def pca_project(spark, d):
     return principal_components(table(spark, d, "embeddings"), 8).select("vec_id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
 
 
+@query()
+def pca_share(spark, d):
+    """As few components as explain half of the variance."""
+    return principal_components(table(spark, d, "embeddings"), 0.5).select("vec_id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
+
+
 @query("""
 select a.vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine,
   round(list_distance(a.embedding::double[], b.embedding::double[]) ** 2, 5) as l2, round(1 - list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as ip

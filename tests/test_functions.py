@@ -242,6 +242,30 @@ def test_encoder(spark):
     assert sum(x * x for x in rows["a b c"]["embedding"]) == pytest.approx(1) and rows[""]["embedding"] is None and rows[""]["embedding_error"]
 
 
+def test_remote_encoder():
+    from lodestone.operators.encoding import RemoteEncoder
+
+    said, waits = [], []
+
+    def send(answers):
+        it = iter(answers)
+
+        def one(texts):
+            said.append(len(texts))
+            status = next(it)
+            return status, [[float(len(t))] for t in texts] if status == 200 else []
+
+        return one
+
+    assert RemoteEncoder(send([200, 503, 500, 200]), 1, batch=2, wait=waits.append).encode(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]]
+    assert said == [2, 1, 1, 1] and waits == [1.0, 2.0]
+    for answers in ([401], [429], [500, 502, 503]):
+        with pytest.raises(ConnectionError):
+            RemoteEncoder(send(answers), 1, wait=waits.append).encode(["a"])
+    with pytest.raises(ValueError):
+        RemoteEncoder(send([200]), 2).encode(["a"])
+
+
 def test_streams(spark, tmp_path):
     docs = spark.createDataFrame([(i, "same" if i % 2 else f"text {i} long enough", f"2024-01-01 00:{i:02d}:00") for i in range(20)], "doc_id long, text string, at string").withColumn("at", F.col("at").cast("timestamp"))
     docs.write.parquet(f"{tmp_path}/in")

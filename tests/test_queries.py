@@ -116,6 +116,9 @@ def test_principal_components_against_numpy(spark):
     mine = np.array([got[i] for i in e["vec_id"]])
     signs = np.sign((mine * want).sum(axis=0))
     assert np.abs(mine * signs - want).max() < 1e-3
+    share = np.cumsum(np.linalg.svd(x, compute_uv=False) ** 2) / (x**2).sum()
+    kept = {len(r["projected"]) for r in queries()["pca_share"](spark, str(DATA)).collect()}
+    assert kept == {int(np.argmax(share >= 0.5)) + 1}
 
 
 def test_answers_come_from_whole_tables(spark):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, discard, keyed, pieces, small_batches, spread_join
-from lodestone.llm.graph import components
+from lodestone.llm.graph import Forest, components
 
 
 def simhash(data: bytes, width: int) -> np.ndarray:
@@ -123,41 +123,7 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-class _Forest:
-    """Components of the positions 0..n-1; label: the smallest position of the component."""
-
-    def __init__(self, n: int, same: np.ndarray | None = None):
-        """same: values that rows of one known component share."""
-        self.label = np.arange(n) if same is None else np.unique(same, return_index=True)[1][np.unique(same, return_inverse=True)[1]]
-        self._jumps()
-
-    def _jumps(self) -> None:
-        self.same = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])]) if len(self.label) else np.zeros(0, int)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        label = self.label
-        while True:
-            x, y = label[a], label[b]
-            go = x != y
-            if not go.any():
-                break
-            a, b, x, y = a[go], b[go], x[go], y[go]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-        self.label = label
-        self._jumps()
-
-    def one(self, alo, ahi, blo, bhi) -> np.ndarray:
-        """Whether both ranges lie in one component."""
-        s, label = self.same, self.label
-        return (s[ahi - 1] == s[alo]) & (s[bhi - 1] == s[blo]) & (label[alo] == label[blo])
-
-
-def _wide_range(forest: _Forest, alo: int, ahi: int, blo: int, bhi: int, compare, most: int) -> None:
+def _wide_range(forest: Forest, alo: int, ahi: int, blo: int, bhi: int, compare, most: int) -> None:
     """All pairs of two ranges, at most `most` at once, without those that are one component already."""
     a, b = np.arange(alo, ahi), np.arange(blo, bhi)
     while len(a):
@@ -186,14 +152,14 @@ def budgets(radius: int, ends: list[int]) -> list[int]:
     return [radius * sum(d > e for e in [0, *ends[:-1]]) // len(ends) for d in range(65)]
 
 
-def trie_links(keys: np.ndarray, group: np.ndarray, allowed: list[int], wide: np.ndarray | None = None, wide_radius: int = 0, most: int = 1 << 17, forest: _Forest | None = None) -> np.ndarray:
+def trie_links(keys: np.ndarray, group: np.ndarray, allowed: list[int], wide: np.ndarray | None = None, wide_radius: int = 0, most: int = 1 << 17, forest: Forest | None = None) -> np.ndarray:
     """Component labels of uint64 keys, sorted by (group, key), by links inside each group: at most allowed[d] bits differ down to each depth d, 64 the last.
 
     wide: keys x further fingerprints, which with the first may differ in wide_radius bits together. All groups' tries are
     walked at once. Pairs of ranges are taken from a stack in chunks of at most `most`, and pairs of keys compared about
     four times as many at once, also inside a range of equal keys, so memory stays bounded.
     """
-    forest = forest or _Forest(len(keys))
+    forest = forest or Forest(len(keys))
     if not len(keys):
         return forest.label
     radius = allowed[64]
@@ -312,7 +278,7 @@ def group_links(members: DataFrame, payload: DataFrame, link: Callable, block: i
 def _walk(g: np.ndarray, same: np.ndarray, keys: np.ndarray, allowed: list[int], wide: np.ndarray | None = None, wide_radius: int = 0) -> np.ndarray:
     """trie_links for rows sorted by g only."""
     order = np.lexsort((keys, g))
-    label = trie_links(keys[order], g[order], allowed, None if wide is None else wide[order], wide_radius, forest=_Forest(len(keys), same[order]))
+    label = trie_links(keys[order], g[order], allowed, None if wide is None else wide[order], wide_radius, forest=Forest(len(keys), same[order]))
     out = np.empty(len(keys), int)
     out[order] = order[label]
     return out
@@ -360,7 +326,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return spread_join(docs, final, "fp").select("doc_id", "fp", "component_id")
 
 
-def alike(sets: list[np.ndarray], threshold: float, forest: _Forest) -> np.ndarray:
+def alike(sets: list[np.ndarray], threshold: float, forest: Forest) -> np.ndarray:
     """Component labels of sets of shingles linked from the Jaccard threshold up."""
     sizes = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -403,7 +369,7 @@ def verified_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text
         cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             sets = [np.unique(simhash((x or "").encode(), width)) for x in pdf["text"].iloc[a:b]]
-            label[a:b] = a + alike(sets, threshold, _Forest(b - a, same[a:b]))
+            label[a:b] = a + alike(sets, threshold, Forest(b - a, same[a:b]))
         return label
 
     found = group_links(texts.select(F.explode(F.array(*keys)).alias("g"), "id"), texts.select("id", "fp", *further), near, home_block)

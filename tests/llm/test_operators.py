@@ -193,7 +193,7 @@ def test_automaton_agrees_with_re():
 
 
 def test_trie_walk_matches_brute_force():
-    from lodestone.llm.simhash_dedup import _Forest, blocks_of, budgets, trie_links
+    from lodestone.llm.simhash_dedup import Forest, blocks_of, budgets, trie_links
 
     rnd = np.random.default_rng(3)
     for radius in (0, 1, 4, 7, 12):
@@ -205,7 +205,7 @@ def test_trie_walk_matches_brute_force():
                 k ^= 1 << int(b)
             keys.append(k)
         keys = np.unique(np.array(keys, np.uint64))
-        want, got, once = _Forest(len(keys)), _Forest(len(keys)), _Forest(len(keys))
+        want, got, once = Forest(len(keys)), Forest(len(keys)), Forest(len(keys))
         for i in range(len(keys)):
             j = np.flatnonzero(np.bitwise_count(keys ^ keys[i]) <= radius)
             want.join(np.full(len(j), i), j)
@@ -300,8 +300,10 @@ def test_components_of_a_graph(spark):
     from lodestone.llm.graph import components
 
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 400)]
-    got = dict(collected(components(spark.createDataFrame(chain, "a long, b long")), "node", "component"))
-    assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[500] == got[400] == 400
+    for few in (1 << 20, 20, 0):  # in one task, after some rounds, by joins alone
+        got = dict(collected(components(spark.createDataFrame(chain, "a long, b long"), few), "node", "component"))
+        assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[500] == got[400] == 400
+        assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
 
 
 # 6 toxicity

@@ -348,7 +348,7 @@ def alike(sets: list[np.ndarray], threshold: float, forest: Forest) -> np.ndarra
     return forest.label
 
 
-def verified_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, radius: int = 22, wide_radius: int = 62, block: int = 512, home_block: int = 1 << 16) -> DataFrame:
+def verified_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, radius: int = 22, wide_radius: int = 62, block: int = 256, home_block: int = 1 << 16) -> DataFrame:
     """(key, least, n, component) for each distinct text of df: its text_key, the smallest id of its rows, their number, and its component.
 
     A link is a Jaccard similarity of distinct shingles from the threshold up. Candidates are texts that the trie walks of

@@ -99,10 +99,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_size")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: XXH64 bits, trained models, automata, tokenizers and draws can't be told in SQL; tests/llm/test_registered.py calls each query and holds it against a plain version, or what chance leaves open (op6, op9, op10) against the contract's rules."""
-    return {}
+    """Of the operators that SQL can express. XXH64 bits, trained models, automata, tokenizers and draws can't be told in SQL; tests/llm/test_registered.py calls each query and holds it against a plain version, or what chance leaves open (op6, op9, op10) against the contract's rules."""
+    from lodestone.llm import sql
+
+    return {"op13_vector_codes": sql.vector_codes()}

@@ -99,6 +99,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_size")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -121,4 +127,4 @@ def oracle_sql() -> dict[str, str]:
     """Of the operators that SQL can express. XXH64 bits, trained models, automata, tokenizers and draws can't be told in SQL; tests/llm/test_registered.py calls each query and holds it against a plain version, or what chance leaves open (op6, op9, op10) against the contract's rules."""
     from lodestone.llm import sql
 
-    return {"op13_vector_codes": sql.vector_codes()}
+    return {"op11_source_divergence": sql.DIVERGENCE, "op13_vector_codes": sql.vector_codes()}

@@ -97,7 +97,10 @@ class TokenCounter:
         if model["type"] != "BPE" or odd:
             raise ValueError(f"not a tokenizer this counts for: {model['type']} {odd}")
         whole = Tokenizer.from_file(model_file)
-        self.normaliser, self.splitter = whole.normalizer, whole.pre_tokenizer
+        self.normalise = whole.normalizer.normalize_str if whole.normalizer else str
+        self.splitter = whole.pre_tokenizer
+        if [w for w, _ in self.splitter.pre_tokenize_str("a  b")] != ["a", "b"]:
+            raise ValueError("the tokenizer keeps white space")
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         # visible bytes stand for themselves, the others for the code points from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,7 +124,7 @@ class TokenCounter:
         """Tokens of a run without ASCII white space. Normalising a run alone is the same as in its text: nothing composes with a space."""
         n = self.runs.get(run)
         if n is None:
-            normal = self.normaliser.normalize_str(run.decode("utf-8", "replace"))
+            normal = self.normalise(run.decode("utf-8", "replace"))
             n = sum(self.word(word) for word, _ in self.splitter.pre_tokenize_str(normal))
             remember(self.runs, run, n)
         return n

@@ -56,7 +56,7 @@ def tables(spark, tmp_path_factory):
     x = rnd.normal(size=(260, 12)).astype(np.float32)
     x[50:80] = x[50]  # one common vector
     vec = [(i if i < 250 else (i - 250) * 20, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (900, None), (920, [0.0] * 12), (940, [1.0] * 3), (960, [float("nan")] * 12)]
-    vdf = spark.createDataFrame(vec, "vec_id long, embedding array<float>").selectExpr("*", "1 `rank`", "2 `row`", "3 query_id")
+    vdf = spark.createDataFrame(vec, "vec_id long, embedding array<float>").selectExpr("*", "cast(vec_id % 3 as int) label", "1 `rank`", "2 `row`", "3 query_id")
     vdf.write.parquet(f"{base}/embeddings.parquet")
     vdf.limit(0).write.parquet(f"{empty}/embeddings.parquet")
     labels = [(i, i % 5 == 0) for i in range(240)] + [(100, True), (None, True), (7, None)]

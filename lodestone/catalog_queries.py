@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import document_queries, result_queries, search_queries, source_queries, table_queries, text_queries  # noqa: F401
+from lodestone.plans import document_queries, index_queries, result_queries, search_queries, source_queries, table_queries, text_queries  # noqa: F401
 from lodestone.plans.registry import QUERIES, SQL
 
 

@@ -25,11 +25,14 @@ def _hits(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("qid", "id", "collection", F.round(1 - F.col("distance"), 6).alias("similarity"), "rank", *more)
 
 
-@query(f"""
+TOPK = f"""
 select qid, id, collection, round(similarity, 6) as similarity, rank from (
   select q.vec_id as qid, c.vec_id as id, c.label::varchar as collection, {SIM} as similarity,
     row_number() over (partition by q.vec_id order by 1 - {SIM}, c.vec_id)::int as rank
-  from embeddings c, embeddings q where q.vec_id % 100 = 0) where rank <= 10""")
+  from embeddings c, embeddings q where q.vec_id % 100 = 0) where rank <= 10"""
+
+
+@query(TOPK)
 def vector_topk(spark, d):
     chunks = _chunks(spark, d)
     return _hits(S.top_k(chunks, _asked(chunks).drop("self_id"), 10))
@@ -139,39 +142,56 @@ def confidence_distribution(spark, d):
     )
 
 
-LEX = """
-with q as (select item_id as qid, lower(text) as q, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as qw from benchmark),
+#: documents and queries of which some hold terms that raise scores
+BOOSTED = """
+with docs as (select doc_id, case doc_id % 7 when 0 then text || ' neural algorithm' when 1 then 'machine learning ' || text else text end as text from documents),
+asked as (select item_id, case item_id % 3 when 0 then text || ' neural' when 1 then text || ' machine learning algorithm' else text end as text from benchmark),
+"""
+LEX = BOOSTED + """
+q as (select item_id as qid, lower(text) as q, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as qw from asked),
 dd as (select doc_id as id, lower(text) as t, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as w,
-  array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')[1:10], ' ') as head from documents),
+  array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')[1:10], ' ') as head from docs),
 lex as (select qid, id, least(1.0, len(list_intersect(qw, w)) / len(qw)
+  + case when contains(q, 'neural') and contains(t, 'neural') then 0.3 else 0 end
+  + case when contains(q, 'machine learning') and contains(t, 'machine learning') then 0.4 else 0 end
+  + case when contains(q, 'algorithm') and contains(t, 'algorithm') then 0.2 else 0 end
   + case when len(list_filter(qw, lambda x: contains(head, x))) > 0 then 0.2 else 0 end) as score from q, dd)
 """
 
 
-def _lexical(spark, d, k):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return S.lexical_search(table(spark, d, "documents"), q, k)
+def boosted(spark, d):
+    """(documents, queries (qid, query))"""
+    i, j, t = F.pmod("doc_id", F.lit(7)), F.pmod("item_id", F.lit(3)), F.col("text")
+    docs = table(spark, d, "documents").select("doc_id", F.when(i == 0, F.concat(t, F.lit(" neural algorithm"))).when(i == 1, F.concat(F.lit("machine learning "), t)).otherwise(t).alias("text"))
+    more = F.when(j == 0, F.concat(t, F.lit(" neural"))).when(j == 1, F.concat(t, F.lit(" machine learning algorithm"))).otherwise(t)
+    return docs, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), more.alias("query"))
 
 
 @query(LEX + "select qid, id, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, id)::int as rank from lex where score > 0) where rank <= 10")
 def lexical_topk(spark, d):
-    return _lexical(spark, d, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return S.lexical_search(*boosted(spark, d), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+#: dense: the nearest vectors; sparse: documents by the words of the query's own text, where a document's id is that of its vector
 FUSE = f"""
 with dense as (select q.vec_id as qid, c.vec_id as id, {SIM} as score from embeddings c, embeddings q where q.vec_id % 100 = 0),
 dr as (select *, row_number() over (partition by qid order by score desc, id) - 1 as rk from dense),
 d as (select * from dr where rk < 20),
-sr as (select q.vec_id as qid, c.vec_id as id, 1.0 / (1 + abs(c.vec_id - q.vec_id)) as score, row_number() over (partition by q.vec_id order by 1.0 / (1 + abs(c.vec_id - q.vec_id)) desc, c.vec_id) - 1 as rk
-  from embeddings c, embeddings q where q.vec_id % 100 = 0 and abs(c.vec_id - q.vec_id) < 15),
+w as (select doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) as w,
+  array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')[1:10], ' ') as head from documents),
+lex as (select a.doc_id as qid, b.doc_id as id, least(1.0, len(list_intersect(a.w, b.w)) / len(a.w) + case when len(list_filter(a.w, lambda x: contains(b.head, x))) > 0 then 0.2 else 0 end) as score
+  from w a join embeddings e on e.vec_id = a.doc_id and e.vec_id % 100 = 0, w b where len(a.w) > 0),
+sr as (select * from (select *, row_number() over (partition by qid order by score desc, id) - 1 as rk from lex where score > 0) where rk < 20),
 """
 
 
 def _both(spark, d):
     chunks = _chunks(spark, d)
-    dense = S.top_k(chunks, _asked(chunks).drop("self_id"), 20).select("qid", "id", (1 - F.col("distance")).alias("score"))
-    near = chunks.select("id").join(_asked(chunks).select("qid"), F.abs(F.col("id") - F.col("qid")) < 15)
-    return dense, near.select("qid", "id", (1.0 / (1 + F.abs(F.col("id") - F.col("qid")))).alias("score"))
+    asked = _asked(chunks).drop("self_id")
+    dense = S.top_k(chunks, asked, 20).select("qid", "id", (1 - F.col("distance")).alias("score"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    texts = docs.join(asked.select(F.col("qid").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
+    return dense, S.lexical_search(docs, texts, 20).select("qid", "id", "score")
 
 
 @query(FUSE + """x as (select coalesce(d.qid, sr.qid) as qid, coalesce(d.id, sr.id) as id, coalesce(0.7 / (60 + d.rk + 1), 0) + coalesce(0.3 / (60 + sr.rk + 1), 0) as score

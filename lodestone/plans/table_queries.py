@@ -13,7 +13,7 @@ from lodestone.operators import models as M
 from lodestone.operators import projects as P
 from lodestone.operators.search import lexical_search
 from lodestone.plans.registry import query, table
-from lodestone.plans.search_queries import LEX
+from lodestone.plans.search_queries import LEX, boosted
 
 
 @query("select event_id, event_type, value from events where (event_type = 'click' and value > 20) or (event_type in ('view', 'purchase') and value between 5 and 10)")
@@ -192,8 +192,7 @@ h as (select top.qid, qw, list_intersect(qw, w) as found from top join q using (
 select qid, round(c, 6)::double as coverage, array_to_string(list_sort(list_filter(qw, lambda x: not list_contains(f, x))), ' ') as missing from g""")
 def coverage(spark, d):
     """How the twenty best documents of each query cover its words."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs, q = boosted(spark, d)
     best = lexical_search(docs, q, 20).select("qid", F.col("id").alias("doc_id"))
     hits = best.join(docs, "doc_id").join(q, "qid").withColumnRenamed("text", "content")
     return A.coverage(hits).select("qid", F.round("coverage", 6).alias("coverage"), F.array_join("missing", " ").alias("missing"))

@@ -13,7 +13,7 @@ from lodestone.functions.scoring import source_type
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir; where the session names none, a temporary one for a local master, else an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")

@@ -1,14 +1,16 @@
 """Inverted indexes kept as tables: words and n-grams of texts for pruned top-k search, and values of fields for filters.
 
-Postings are rows (kind, term, block, ids, n): the ids of the documents of a block (a slice of all ids by hash) that hold
-the term, so a term of any frequency is many rows of bounded size. Kinds: `word`; `gram`, every run of up to three
-characters of a text's first ten words; `domain`, terms that raise scores.
+Postings are rows (kind, term, id) in the order of their terms, so a reader skips the row groups without its terms; a
+term of any frequency is dealt over several files. Kinds: `word`; `gram`, every run of up to three characters of a text's
+first ten words; `domain`, terms that raise scores. Beside them are the frequencies of the terms, and for each document
+its words, its head and its domain terms.
 
 A search scores few documents. Its threshold comes from the documents of the rarest words of a query, scored exactly:
 the k-th best of these. A document that has none of the rarest words but the last n can't score more than n shares and
 all bonuses; so the lists of the common words are never opened where that stays below the threshold. What the opened
-lists leave possible is scored exactly. Only a query whose threshold is within its bonuses opens all its lists, those of
-its domain terms, and for each of its words that of its rarest n-gram, as a word counts for a bonus inside another one.
+lists leave possible is bounded again with its own bonuses, and only then are its words read. Only a query whose threshold
+is within its bonuses opens all its lists, those of its domain terms, and for each of its words that of its rarest n-gram,
+as a word counts for a bonus inside another one.
 """
 
 from __future__ import annotations
@@ -24,6 +26,13 @@ TITLE, TITLE_WORDS = 0.2, 10
 CLOSE = 1e-9
 
 
+def dealt(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """df over all tasks if it is so small that it may lie in one row group; larger tables are read as they lie."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(tasks) if size < tasks * task_bytes else df
+
+
 def words_of(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(text), "\\s+"), "")
 
@@ -53,37 +62,45 @@ class Postings:
         self.spark, self.base, self.block_rows = spark, path, block_rows
 
     def build(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> Postings:
-        """Index all documents with a text. Ids tell rows apart; of rows of one id that occurs twice each is a hit."""
-        base = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), words_of(text).alias("all"), domains_of(text).alias("domains"))
-        rows = base.select("id", F.array_distinct("all").alias("words"), head_of(F.col("all")).alias("head"), "domains")
-        rows.write.parquet(f"{self.base}/documents")
+        """Index all documents with a text. Of an id that occurs twice each row is a hit."""
+        some = dealt(docs.where(F.col(text).isNotNull()).select(id, text))
+        base = some.select(F.col(id).alias("id"), words_of(text).alias("all"), domains_of(text).alias("domains"))
+        base.select("id", F.array_distinct("all").alias("words"), head_of(F.col("all")).alias("head"), "domains").write.parquet(f"{self.base}/documents")
         kept = self.documents()
         blocks = max(1, -(-kept.count() // self.block_rows))
         grams = F.concat(*[grams_of(F.col("head"), n) for n in (1, 2, 3)])
-        kinds = [("word", F.col("words")), ("gram", grams), ("domain", F.col("domains"))]
-        tagged = lambda kind, c: F.transform(c, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
-        terms = F.flatten(F.array(*[tagged(*x) for x in kinds]))
-        held = kept.select("id", F.explode(terms).alias("t")).select("t.*", "id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-        lists = held.groupBy("kind", "term", "block").agg(F.collect_set("id").alias("ids")).withColumn("n", F.size("ids"))
-        lists.sortWithinPartitions("kind", "term").write.partitionBy("kind").parquet(f"{self.base}/lists")
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+        of_kind = lambda kind, terms: kept.select(F.lit(kind).alias("kind"), "id", block, F.explode(terms).alias("term"))
+        held = of_kind("word", F.col("words")).unionByName(of_kind("gram", grams)).unionByName(of_kind("domain", F.col("domains")))
+        held.repartition("kind", "term", "block").sortWithinPartitions("kind", "term").select("kind", "term", "id").write.parquet(f"{self.base}/lists")
+        self.spark.read.parquet(f"{self.base}/lists").groupBy("kind", "term").agg(F.count("*").alias("df")).write.parquet(f"{self.base}/terms")
         return self
 
     def documents(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/documents")
 
     def lists(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/lists").where(F.col("kind") == kind).select("term", "block", "ids", "n")
+        return self.spark.read.parquet(f"{self.base}/lists").where(F.col("kind") == kind).select("term", "id")
 
     def frequency(self, terms: DataFrame, kind: str = "word") -> DataFrame:
         """terms (term) -> (term, df) of those that the index holds."""
-        return self.lists(kind).select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+        known = self.spark.read.parquet(f"{self.base}/terms").where(F.col("kind") == kind).select("term", "df")
+        return known.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def bonuses(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """pairs (qid, id, ...) with the query's words and the document's bonus."""
+        c = F.col
+        heads = self.documents().select("id", "head", "domains").distinct()
+        both = pairs.join(heads, "id").join(queries.select("qid", "asked", c("domains").alias("wanted")), "qid")
+        title = F.when(F.exists("asked", lambda w: F.contains(c("head"), w)), F.lit(TITLE)).otherwise(0.0)
+        return both.select(*pairs.columns, "asked", (bonus(F.array_intersect("domains", "wanted")) + title).alias("bonus"))
 
     def score(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """Exact scores of (qid, id)."""
         c = F.col
-        both = self.documents().join(pairs, "id").join(queries.select("qid", "asked", c("domains").alias("wanted")), "qid")
+        both = self.documents().join(pairs.select("qid", "id"), "id").join(queries.select("qid", "asked", c("domains").alias("wanted")), "qid")
         title = F.when(F.exists("asked", lambda w: F.contains(c("head"), w)), F.lit(TITLE)).otherwise(0.0)
-        total = F.size(F.array_intersect("words", "asked")) / F.size("asked") + bonus(F.array_intersect("domains", "wanted")) + title
+        total = F.size(F.array_intersect("asked", "words")) / F.size("asked") + bonus(F.array_intersect("domains", "wanted")) + title
         return both.select("qid", "id", F.least(F.lit(1.0), total).alias("score"))
 
     def search(self, queries: DataFrame, k: int, seeds: int = 20) -> DataFrame:
@@ -101,7 +118,7 @@ class Postings:
         })
         self_known = self._kept(known)
         rare = self_known.where(c("before") < seeds * k).select("qid", "term")
-        first = rare.join(lists, "term").select("qid", F.explode("ids").alias("id")).distinct()
+        first = rare.join(lists, "term").select("qid", "id").distinct()
         best = Window.partitionBy("qid").orderBy(F.desc("score"))
         kth = self.score(first, asked).withColumn("n", F.row_number().over(best)).where(c("n") == k).select("qid", c("score").alias("least"))
         kth = self._kept(kth)
@@ -109,9 +126,10 @@ class Postings:
         bound = self_known.join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         needed = bound.withColumn("open", (c("held") - (c("r") - 1)) / c("m") + c("most_bonus") >= c("least") - CLOSE).where("open")
         opened = needed.withColumn("closed", c("held") - F.count("*").over(Window.partitionBy("qid")))
-        found = opened.join(lists, "term").select("qid", "m", "most_bonus", "least", "closed", F.explode("ids").alias("id"))
+        found = opened.join(lists, "term").select("qid", "m", "most_bonus", "least", "closed", "id")
         counted = found.groupBy("qid", "id").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("m", "most_bonus", "least", "closed")])
-        likely = counted.where((c("n") + c("closed")) / c("m") + c("most_bonus") >= c("least") - CLOSE).select("qid", "id")
+        within = lambda extra: (c("n") + c("closed")) / c("m") + extra >= c("least") - CLOSE
+        likely = self.bonuses(counted.where(within(c("most_bonus"))), asked).where(within(c("bonus"))).select("qid", "id")
         # queries that bonuses alone could answer
         loose = asked.join(kth, "qid", "left").where(F.coalesce("least", F.lit(0.0)) <= c("most_bonus") + CLOSE)
         likely = likely.unionByName(self._with_bonus(loose)).distinct()
@@ -121,14 +139,14 @@ class Postings:
     def _with_bonus(self, asked: DataFrame) -> DataFrame:
         """(qid, id) of documents that may have a bonus: a shared domain term, or the rarest n-gram of a query word in the head."""
         c = F.col
-        shared = asked.select("qid", F.explode("domains").alias("term")).join(self.lists("domain"), "term").select("qid", F.explode("ids").alias("id"))
+        shared = asked.select("qid", F.explode("domains").alias("term")).join(self.lists("domain"), "term").select("qid", "id")
         words = asked.select("qid", F.explode("asked").alias("word"))
         size = F.least(F.length("word"), F.lit(3))
         grams = words.select("word", F.explode(F.when(size == 3, grams_of(c("word"), 3)).when(size == 2, grams_of(c("word"), 2)).otherwise(grams_of(c("word"), 1))).alias("term")).distinct()
         counted = grams.join(self.frequency(grams, "gram"), "term", "left")
         order = Window.partitionBy("word").orderBy(c("df").asc_nulls_first(), "term")  # a gram that no head holds comes first, and ends the word
         rarest = counted.withColumn("r", F.row_number().over(order)).where("r = 1 and df is not null").select("word", "term")
-        inside = words.join(rarest, "word").select("qid", "term").distinct().join(self.lists("gram"), "term").select("qid", F.explode("ids").alias("id"))
+        inside = words.join(rarest, "word").select("qid", "term").distinct().join(self.lists("gram"), "term").select("qid", "id")
         return shared.unionByName(inside)
 
     def _kept(self, df: DataFrame) -> DataFrame:

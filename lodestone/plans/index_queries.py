@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import vector_index as V
+from lodestone.operators.catalog import replicas_agree
 from lodestone.operators.postings import FieldIndex
 from lodestone.plans.registry import query, table
 from lodestone.plans.search_queries import TOPK, _asked, _chunks, _hits
+from lodestone.sources import backups as B
 from lodestone.sources.commits import CommitTable, Rejected
 from lodestone.sources.io import scratch
+from lodestone.streaming import replicas as R
+from lodestone.streaming import sessions as SE
+from lodestone.streaming import windows as S
 
 
 @query(TOPK)
@@ -51,3 +56,75 @@ def commit_batches(spark, d):
     t.change_batch(docs.where("lang = 'fr'").withColumn("text", F.concat("text", F.lit("."))), docs.where("lang = 'es'"), id="doc_id")
     read = [t.read(v).groupBy(F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars")).select(F.lit(v).alias("version"), F.lit(False).alias("rejected"), "lang", "n_rows", "n_chars") for v in (1, 2, 3)]
     return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(spark.createDataFrame(refused, "version int, rejected boolean, lang string, n_rows long, n_chars long"))
+
+
+def _second(docs):
+    """The table a day later: texts of one source changed, another source gone, and copies of a third under new ids."""
+    grown = docs.where("source = 'src2'").withColumn("doc_id", -F.col("doc_id") - 1)
+    kept = docs.where("source <> 'src1' or source is null").withColumn("text", F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return kept.unionByName(grown)
+
+
+@query("""with a as (select doc_id, source, text from documents),
+b as (select doc_id, source, case when source = 'src3' then text || '!' else text end as text from a where source <> 'src1' or source is null union all select -doc_id - 1, source, text from a where source = 'src2'),
+c as (select * from b where source <> 'src4' or source is null)
+select 1 as number, 'full' as kind, doc_id, md5(text) as digest from a union all select 2, 'incremental', doc_id, md5(text) from b
+union all select 3, 'incremental', doc_id, md5(text) from c union all select 4, 'differential', doc_id, md5(text) from a""")
+def backup_chain(spark, d):
+    """Four backups of a table that changes, each restored: full, two incremental, and one that differs from the full one in nothing."""
+    first = table(spark, d, "documents").select("doc_id", "source", "text")
+    second = _second(first)
+    third = second.where("source <> 'src4' or source is null")
+    chain = B.BackupChain(spark, scratch(spark), first.schema, "doc_id", buckets=512)
+    made = [chain.backup(first, "full"), chain.backup(second), chain.backup(third), chain.backup(first, "differential")]
+    out = [chain.restore(m["number"]).select(F.lit(m["number"]).alias("number"), F.lit(m["kind"]).alias("kind"), "doc_id", F.md5("text").alias("digest")) for m in made]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("""select v.replica, v.step, count(*) filter (where v.all or batch <> 1)::bigint as n_rows, v.all as agrees
+from (select (doc_id % 4 + 4) % 4 as batch from documents) x, (values (0, 'before', true), (1, 'before', false), (0, 'after', true), (1, 'after', true)) v(replica, step, "all") group by all""")
+def replicated_sinks(spark, d):
+    """Documents streamed to two sinks of which the second fails on one batch and is brought up again afterwards."""
+    at, docs = scratch(spark), table(spark, d, "documents").select("doc_id", "source", "text")
+    docs.withColumn("part", F.pmod("doc_id", F.lit(4))).repartition(4, "part").write.partitionBy("part").parquet(f"{at}/all")
+    for k in range(4):  # files arrive in this order, a batch each
+        spark.read.schema(docs.schema).parquet(f"{at}/all/part={k}").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = S.read_stream(spark, f"{at}/in", docs.schema, files=1)
+    down = [True]
+
+    def shaky(rows, folder, number):
+        if number == 1 and down:
+            down.pop()
+            raise OSError("out of reach")
+        rows.write.mode("overwrite").parquet(folder)
+
+    sinks = [R.Sink(spark, f"{at}/a", docs.schema), R.Sink(spark, f"{at}/b", docs.schema, shaky)]
+    R.replicate(stream, sinks, f"{at}/state").awaitTermination()
+    before = replicas_agree([s.read() for s in sinks]).select("replica", "n_rows", "agrees", F.lit("before").alias("step"))
+    before = spark.createDataFrame(before.collect(), before.schema)  # two rows, as they are before the next step
+    R.catch_up(R.first_healthy(sinks), sinks[1])
+    return before.unionByName(replicas_agree([s.read() for s in sinks]).withColumn("step", F.lit("after")).select("replica", "n_rows", "agrees", "step"))
+
+
+@query("""with o as (select user_id, ts, event_type, case when ts - lag(ts) over w >= interval 6 hour or lag(ts) over w is null then 1 else 0 end as new,
+  case when lag(event_type) over w = event_type then 0 else 1 end as other from events where user_id is not null and ts is not null window w as (partition by user_id order by ts, event_type)),
+s as (select *, sum(new) over (partition by user_id order by ts, event_type rows unbounded preceding) as session from o)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as "end", count(*)::bigint as n, string_agg(event_type, '>' order by ts, event_type) filter (where new = 1 or other = 1) as kinds from s group by user_id, session""")
+def session_state(spark, d):
+    """Sessions of users kept as state of a stream whose files hold the events in any order; a last event long after closes all of them."""
+    at = scratch(spark)
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_type")
+    span = e.agg(F.datediff(F.max("at"), F.min("at")).alias("days"), F.max("at").alias("last")).first()
+    e.repartition(3).write.parquet(f"{at}/in")
+    end = spark.createDataFrame([(None, span["last"])], "user_id long, at timestamp").select(F.lit(-1).cast("long").alias("user_id"), (F.col("at") + F.expr(f"interval {2 * (span['days'] or 0) + 60} days")).alias("at"), F.lit("end").alias("event_type"))
+    end.write.mode("append").parquet(f"{at}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, SE.STORE)
+    try:
+        found = SE.open_sessions(S.read_stream(spark, f"{at}/in", e.schema, files=100), "user_id", "at", "event_type", 6 * 3600 * 1000, f"{(span['days'] or 0) + 1} days")
+        found.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return spark.read.parquet(f"{at}/out").where("key >= 0").select(F.col("key").alias("user_id"), shown("start"), shown("end"), "n", "kinds")

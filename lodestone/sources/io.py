@@ -94,7 +94,7 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     from lodestone.operators.catalog import checksum
 
     df = spark.read.parquet(f"{path}/rows")
-    want, got = spark.read.schema("n_rows long, checksum long").json(f"{path}/manifest").first(), checksum(df).first()
+    want, got = spark.read.schema("n_rows long, checksum string").json(f"{path}/manifest").first(), checksum(df).first()
     if (want["n_rows"], want["checksum"]) != (got["n_rows"], got["checksum"]):
         raise ValueError(f"the snapshot in {path} does not match its manifest")
     return df

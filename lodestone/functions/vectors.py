@@ -41,24 +41,28 @@ def unit(a: Column | str) -> Column:
     return F.when(n > 0, F.transform(_d(a), lambda x: x / n)).otherwise(_d(a))
 
 
-def dimension_stats(df: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """One row a dimension over the whole table: min, max, mean, population deviation and quartiles."""
+def dimension_stats(df: DataFrame, embedding: str = "embedding", exact: bool = True) -> DataFrame:
+    """One row a dimension over the whole table: min, max, mean, population deviation and quartiles. exact=False takes the quartiles from sketches, for tables whose dimensions have more different values than one task can hold."""
+    from lodestone.functions import sketches
+
     v = df.select(F.posexplode(_d(embedding)).alias("dim", "x"))
-    return v.groupBy("dim").agg(
-        F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.avg("x").alias("mean_x"), F.stddev_pop("x").alias("std_x"),
-        *[F.percentile("x", F.lit(q)).alias(n) for n, q in (("q25", 0.25), ("median_x", 0.5), ("q75", 0.75))],
-    )
+    names = (("q25", 0.25), ("median_x", 0.5), ("q75", 0.75))
+    moments = [F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.avg("x").alias("mean_x"), F.stddev_pop("x").alias("std_x")]
+    if exact:
+        return v.groupBy("dim").agg(*moments, *[F.percentile("x", F.lit(q)).alias(n) for n, q in names])
+    s = v.groupBy("dim").agg(*moments, F.kll_sketch_agg_double("x", F.lit(sketches.SIZE)).alias("__s"))
+    return s.select(*[c for c in s.columns if c != "__s"], *[sketches.quantile("__s", q).alias(n) for n, q in names])
 
 
-def normalise(df: DataFrame, method: str, embedding: str = "embedding") -> DataFrame:
-    """df with the embedding normalised: unit, or min_max, z_score, robust by dimension with statistics of the whole table. A zero spread divides by 1."""
+def normalise(df: DataFrame, method: str, embedding: str = "embedding", exact: bool = True) -> DataFrame:
+    """df with the embedding normalised: unit, or min_max, z_score, robust by dimension with statistics of the whole table. A zero spread divides by 1. exact: as in dimension_stats."""
     if method == "unit":
         return df.withColumn(embedding, unit(embedding))
     pairs = {"min_max": ("min_x", F.col("max_x") - F.col("min_x")), "z_score": ("mean_x", F.col("std_x")), "robust": ("median_x", F.col("q75") - F.col("q25"))}
     if method not in pairs:
         raise ValueError(f"unknown method: {method}")
     centre, spread = pairs[method]
-    stats = dimension_stats(df, embedding).select(F.struct("dim", F.col(centre).alias("c"), F.when(spread == 0, 1.0).otherwise(spread).alias("s")).alias("st"))
+    stats = dimension_stats(df, embedding, exact).select(F.struct("dim", F.col(centre).alias("c"), F.when(spread == 0, 1.0).otherwise(spread).alias("s")).alias("st"))
     one = stats.agg(F.sort_array(F.collect_list("st")).alias("__stats"))  # one row, as long as a vector
     scaled = F.zip_with(_d(embedding), F.col("__stats"), lambda x, st: (x - st["c"]) / st["s"])
     return df.crossJoin(F.broadcast(one)).withColumn(embedding, scaled).drop("__stats")

@@ -104,9 +104,8 @@ def replicas_agree(tables: list[DataFrame]) -> DataFrame:
 
 
 def retained(backups: DataFrame, cutoff: Column, most: int, by: str = "created") -> DataFrame:
-    """Backups that are neither older than the cutoff nor beyond the newest `most`."""
-    n = F.row_number().over(Window.orderBy(F.desc(by)))  # a list of backups, not of rows
-    return backups.withColumn("__n", n).where((F.col("__n") <= most) & (F.col(by) >= cutoff)).drop("__n")
+    """Backups that are neither older than the cutoff nor beyond the newest `most`; each task passes on its newest `most` only."""
+    return backups.where(F.col(by) >= cutoff).orderBy(F.desc(by)).limit(most)
 
 
 def document_problem(content: Column, metadata: Column | None = None) -> Column:

@@ -262,6 +262,30 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text", handlers: dic
     return per_document(docs, cut, "unit_index int, kind string, start int, end int, details map<string,string>, content string", id, text)
 
 
+def unit_function(handlers: dict[str, Callable[[str], bool]] | None = None):
+    """A table function for SQL, a row a unit: `from docs, lateral atomic_units(text)`; its columns depend on what it is called with: a second argument false leaves the details out. To be registered with spark.udtf.register."""
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    @udtf(useArrow=True)  # which keeps the order of details
+    class Units:
+        @staticmethod
+        def analyze(text: AnalyzeArgument, details: AnalyzeArgument | None = None) -> AnalyzeResult:
+            if not isinstance(text.dataType, T.StringType):
+                raise ValueError("the first argument must be a text")
+            s = T.StructType().add("unit_index", T.IntegerType()).add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
+            if details is None or details.value:
+                s = s.add("details", T.MapType(T.StringType(), T.StringType()))
+            return AnalyzeResult(s)
+
+        def eval(self, text: str, details: bool = True):
+            for k, u in enumerate(unit_list(text, handlers) if text else []):
+                yield (k, u["kind"], u["start"], u["end"], u["details"]) if details else (k, u["kind"], u["start"], u["end"])
+
+    return Units
+
+
 def header_context(levels: Column, depths: Column, most: int) -> Column:
     """Titles of a header path down to a depth."""
     kept = F.filter(F.arrays_zip(levels.alias("l"), depths.alias("d")), lambda x: x["d"] <= most)

@@ -38,10 +38,18 @@ def resolved_collections(explicit: Column, defaults: Column) -> Column:
 
 
 def project_of(paths: DataFrame, roots: DataFrame, id: str, path: str) -> DataFrame:
-    """paths (id, path), roots (project, root) -> the project of the longest root that the path begins with. Roots are a short list of folders."""
-    j = paths.join(roots, F.col(path).startswith(F.col("root")), "left")
-    order = Window.partitionBy(id).orderBy(F.desc(F.length("root")), "project")
-    return j.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(id, "project")
+    """paths (id, path), roots (project, root) -> the project of the longest root that the path begins with; of equal roots the smallest project, null where none fits.
+
+    A path is cut at the lengths that roots have (a handful, however many roots there are), and its beginnings are joined
+    to the roots on equality. A null root fits nothing, an empty one everything.
+    """
+    c = F.col
+    known = roots.where("root is not null").groupBy("root").agg(F.min("project").alias("project"))
+    lengths = known.agg(F.sort_array(F.collect_set(F.length("root"))).alias("x")).scalar()
+    fit = F.filter("__lengths", lambda n: n <= F.length(path))
+    begins = paths.select(id, path, lengths.alias("__lengths")).withColumn("root", F.explode(F.transform(fit, lambda n: F.substring(path, F.lit(1), n))))
+    best = begins.join(known, "root").groupBy(id).agg(F.max(F.struct(F.length("root").alias("n"), "project")).alias("b"))
+    return paths.select(id).join(best.select(id, c("b.project").alias("project")), id, "left")
 
 
 def with_current(projects: DataFrame, name: Column | str | None) -> DataFrame:

@@ -6,9 +6,16 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import vector_index as V
 from lodestone.operators.catalog import replicas_agree
+from lodestone.functions import sketches as K
+from lodestone.operators import intervals as I
+from lodestone.operators import parsing as P
 from lodestone.operators.postings import FieldIndex
+from lodestone.operators.scorers import WordShareScorer, rerank_by_model
+from lodestone.operators.search import lexical_search
+from lodestone.plans import chunk_sql as X
+from lodestone.plans.document_queries import marked
 from lodestone.plans.registry import query, table
-from lodestone.plans.search_queries import TOPK, _asked, _chunks, _hits
+from lodestone.plans.search_queries import LEX, TOPK, _asked, _chunks, _hits, boosted
 from lodestone.sources import backups as B
 from lodestone.sources.commits import CommitTable, Rejected
 from lodestone.sources.io import scratch
@@ -128,3 +135,47 @@ def session_state(spark, d):
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return spark.read.parquet(f"{at}/out").where("key >= 0").select(F.col("key").alias("user_id"), shown("start"), shown("end"), "n", "kinds")
+
+
+@query(LEX + """, r as (select *, row_number() over (partition by qid order by score desc, id) as rank from lex where score > 0),
+h as (select r.*, asked.text as query, docs.text as content from r join asked on r.qid = asked.item_id join docs on r.id = docs.doc_id where rank <= 15),
+w as (select *, list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> '')) as q, list_distinct(string_split(lower(content), ' ')) as c from h),
+m as (select *, case when length(content) > 6000 or len(q) = 0 then 0.5 else 1 / (1 + exp(-(6.0 * len(list_intersect(q, c)) / len(q) - 2.0))) end as s from w)
+select qid, id, rank::int as rank, round(s, 6)::double as rerank_score, row_number() over (partition by qid order by s desc, rank)::int as new_rank from m""")
+def model_rerank(spark, d):
+    """The fifteen best documents of each query reranked by a scorer that fails on long texts."""
+    docs, asked = boosted(spark, d)
+    hits = lexical_search(docs, asked, 15).join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(asked, "qid")
+    found = rerank_by_model(hits, WordShareScorer(most=6000), batch=16)
+    return found.select("qid", "id", "rank", F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
+
+
+@query("""with x as (select vec_id, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings), q as (select unnest([0.01, 0.25, 0.5, 0.75, 0.99]) as q)
+select dim::int as dim, q::double as q, true as near, count(*)::bigint as n from x, q group by dim, q""")
+def sketch_quantiles(spark, d):
+    """Quantiles of all dimensions by sketches a label, merged; near: their ranks are right within the stated error, by counting the whole table."""
+    v = table(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    whole = K.merged(K.sketched(v, ["label", "dim"], "x"), ["dim"])
+    qs = F.array(*[F.struct(F.lit(q).alias("q"), K.quantile("sketch", q).alias("at")) for q in (0.01, 0.25, 0.5, 0.75, 0.99)])
+    asked = whole.select("dim", K.count("sketch").alias("held"), F.inline(qs))
+    ranked = v.join(asked, "dim").groupBy("dim", "q", "held").agg(F.avg((F.col("x") < F.col("at")).cast("int")).alias("low"), F.avg((F.col("x") <= F.col("at")).cast("int")).alias("high"), F.count("*").alias("n"))
+    near = (F.col("low") - K.RANK_ERROR <= F.col("q")) & (F.col("q") <= F.col("high") + K.RANK_ERROR) & (F.col("held") == F.col("n"))
+    return ranked.select(F.col("dim").cast("int").alias("dim"), "q", near.alias("near"), "n")
+
+
+@query(X.UNITS)
+def units_by_sql(spark, d):
+    """Units by a table function that SQL calls for each document."""
+    spark.udtf.register("atomic_units", P.unit_function())
+    marked(spark, d).createOrReplaceTempView("marked_documents")
+    return spark.sql("select doc_id, unit_index, kind, start, `end`, to_json(details) as details from marked_documents, lateral atomic_units(text)")
+
+
+@query("""with e as (select event_id, user_id, value as s, value + 2.5 as t from events where event_type in ('purchase', 'signup') and user_id is not null)
+select a.event_id, count(*)::bigint as n, sum(b.event_id)::bigint as others from e a join e b on a.user_id = b.user_id and a.event_id <> b.event_id and a.s < b.t and a.t > b.s group by a.event_id""")
+def overlapping_ranges(spark, d):
+    """Ranges of values of a user's events that overlap others of this user."""
+    e = table(spark, d, "events").where("event_type in ('purchase', 'signup') and user_id is not null").select("user_id", "event_id", F.col("value").alias("start"), (F.col("value") + 2.5).alias("end"))
+    other = e.select("user_id", F.col("event_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"))
+    met = I.overlapping(e, other, "user_id", 3).where("event_id <> other_id")
+    return met.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("other_id").alias("others"))

@@ -132,10 +132,13 @@ def replication_check(spark, d):
     return C.replicas_agree([n, n.repartition(3), changed]).select("replica", "n_rows", "agrees")
 
 
-@query("select collection, fine from (values ('a', true), ('b', false)) t(collection, fine)")
+@query("""select source as collection, array_to_string(list_filter([case when metric <> 'cosine' then 'metric' end, case when m is null or m <> 16 then 'm' end], lambda x: x is not null), ',') as problems
+from (select source, case when min(n_chars) > 30 then 'cosine' else 'l2' end as metric, case when count(*) % 3 = 0 then null else 16 - (count(*) % 3)::int + 1 end as m from documents group by source)""")
 def settings_check(spark, d):
-    c = spark.createDataFrame([("a", "cosine", 16), ("b", "l2", None)], "collection string, metric string, m int")
-    return C.settings_problems(c, {"metric": "cosine", "m": 16}).select("collection", (F.size("problems") == 0).alias("fine"))
+    """Settings of a catalogue of the sources against those that its type asks for."""
+    n = F.count("*")
+    c = table(spark, d, "documents").groupBy(F.col("source").alias("collection")).agg(F.when(F.min("n_chars") > 30, "cosine").otherwise("l2").alias("metric"), F.when(n % 3 != 0, (16 - n % 3 + 1).cast("int")).alias("m"))
+    return C.settings_problems(c, {"metric": "cosine", "m": 16}).select("collection", F.array_join("problems", ",").alias("problems"))
 
 
 @query("""select orders.o_orderkey as id from orders where o_orderdate >= (select max(o_orderdate) - interval 30 day from orders) qualify row_number() over (order by o_orderkey desc) <= 40""")
@@ -312,11 +315,15 @@ def project_links(spark, d):
     return P.link(P.unlink(links, gone), new, links)
 
 
-@query("""with r(project, root) as (values ('all', 'http://'), ('deep', 'http://ththre'), ('m', 'https://m.')), j as (select page_id, project, row_number() over (partition by page_id order by length(root) desc, project) as n from pages left join r on starts_with(url, root))
-select page_id, project from j where n = 1""")
+@query("""with roots as (select distinct regexp_extract(url, '^[a-z]+://[^/]+', 0) as root, 'host' as project from pages union select distinct url[1:24], 'long' from pages union select distinct url[1:9], 'short' from pages union select 'ftp://', 'none'),
+best as (select root, min(project) as project from roots group by root)
+select page_id, (max({'n': length(root), 'p': project})).p as project from pages left join best on starts_with(url, root) group by page_id""")
 def project_of_path(spark, d):
-    roots = spark.createDataFrame([("all", "http://"), ("deep", "http://ththre"), ("m", "https://m.")], "project string, root string")
-    return P.project_of(table(spark, d, "pages").select("page_id", "url"), F.broadcast(roots), "page_id", "url")
+    """The longest of many roots, made of the hosts and beginnings of all pages, that a page's address begins with."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    of = lambda root, name: p.select(root.alias("root"), F.lit(name).alias("project"))
+    roots = of(F.regexp_extract("url", "^[a-z]+://[^/]+", 0), "host").unionByName(of(F.substring("url", 1, 24), "long")).unionByName(of(F.substring("url", 1, 9), "short")).unionByName(of(F.lit("ftp://"), "none"))
+    return P.project_of(p, roots, "page_id", "url")
 
 
 @query("select n_nationkey as id, case when n_name like '%A%' then n_regionkey + 1 else n_regionkey end::int as version from nation")

@@ -116,14 +116,14 @@ class Postings:
             "before": F.coalesce(F.sum("df").over(rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
             "held": F.count("*").over(Window.partitionBy("qid")),
         })
-        self_known = self._kept(known)
-        rare = self_known.where(c("before") < seeds * k).select("qid", "term")
+        known_terms = self._kept(known)
+        rare = known_terms.where((c("before") < k) | (c("before") + c("df") <= seeds * k)).select("qid", "term")
         first = rare.join(lists, "term").select("qid", "id").distinct()
         best = Window.partitionBy("qid").orderBy(F.desc("score"))
         kth = self.score(first, asked).withColumn("n", F.row_number().over(best)).where(c("n") == k).select("qid", c("score").alias("least"))
         kth = self._kept(kth)
         # the rarest words, until a document without any of them stays below the threshold
-        bound = self_known.join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+        bound = known_terms.join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         needed = bound.withColumn("open", (c("held") - (c("r") - 1)) / c("m") + c("most_bonus") >= c("least") - CLOSE).where("open")
         opened = needed.withColumn("closed", c("held") - F.count("*").over(Window.partitionBy("qid")))
         found = opened.join(lists, "term").select("qid", "m", "most_bonus", "least", "closed", "id")
@@ -169,7 +169,7 @@ class FieldIndex:
 
         def keys(f: str) -> Column:
             number = (lambda v: v.cast("double")) if numeric(f) else (lambda v: F.lit(None).cast("double"))
-            every = F.col(f) if kinds[f].startswith("array") else F.array(F.col(f))
+            every = F.coalesce(F.col(f), F.array().cast(kinds[f])) if kinds[f].startswith("array") else F.array(F.col(f))
             return F.transform(every, lambda v: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"), number(v).alias("number")))
 
         values = [keys(f) for f in fields]

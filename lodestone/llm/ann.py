@@ -83,18 +83,35 @@ def fit(x: np.ndarray, sub: int = 2, eta: float = 4.0, rounds: int = 8, seed: in
         codes = encode(book, x)
         # x is approximated by B c with c all words in a row; minimise (x - B c)' (I + (eta - 1) u u') (x - B c)
         at = ((np.arange(m) * WORDS + codes)[:, :, None] * sub + np.arange(sub)).reshape(len(x), -1)
-        normal, right = np.zeros((size, size)), np.zeros(size)
-        normal[np.arange(size), np.arange(size)] = np.bincount(at.ravel(), minlength=size) + 1e-6
-        right += np.bincount(at.ravel(), weights=x.ravel(), minlength=size) + 1e-6 * book.words.ravel()
-        for a in range(0, len(x), 2048):
-            v = np.zeros((len(x[a : a + 2048]), size))
-            np.put_along_axis(v, at[a : a + 2048], unit[a : a + 2048], axis=1)
-            normal += (eta - 1) * v.T @ v
-            right += (eta - 1) * v.T @ (x[a : a + 2048] * unit[a : a + 2048]).sum(1)
-        book = Codebook(np.linalg.solve(normal, right).reshape(m, WORDS, sub), eta)
+        add = lambda w: np.bincount(at.ravel(), weights=w.ravel(), minlength=size)  # noqa: B023, E731
+        right = add(x + (eta - 1) * (x * unit).sum(1, keepdims=True) * unit) + 1e-6 * book.words.ravel()
+        count = np.bincount(at.ravel(), minlength=size) + 1e-6
+        times = lambda z: count * z + (eta - 1) * add((unit * z[at]).sum(1, keepdims=True) * unit)  # noqa: B023, E731
+        book = Codebook(solved(times, right, count + (eta - 1) * add(unit * unit), book.words.ravel()).reshape(m, WORDS, sub), eta)
     return book
 
 
+def solved(times, right: np.ndarray, diagonal: np.ndarray, start: np.ndarray, most: int = 500, close: float = 1e-9) -> np.ndarray:
+    """Conjugate gradients for a positive definite system that is known by its products, so memory grows with the unknowns and not with their square."""
+    z = start.copy()
+    left = right - times(z)
+    step = left / diagonal
+    way = step.copy()
+    now = left @ step
+    goal = close * np.linalg.norm(right)
+    for _ in range(most):
+        if np.linalg.norm(left) <= goal:
+            break
+        image = times(way)
+        share = now / (way @ image)
+        z += share * way
+        left -= share * image
+        step = left / diagonal
+        before, now = now, left @ step
+        way = step + now / before * way
+    return z
+
+
 def paired(codes: np.ndarray) -> np.ndarray:
     """Two four-bit codes in each byte: pairs x rows."""
     if codes.shape[1] % 2:
@@ -161,7 +178,7 @@ def coded(rows: DataFrame, book: Codebook) -> DataFrame:
     return rows.select("row", "v").mapInPandas(run, "row long, code binary")
 
 
-def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 512, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 1 << 16, query_rows: int = 2048, bucket_rows: int = 2048, pair_rows: int = 1 << 16) -> DataFrame:
+def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 512, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 1 << 18, query_rows: int = 2048, bucket_rows: int = 2048, pair_rows: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by `every`, the `top` rows of largest inner product other than the row itself."""
     spark = df.sparkSession
     fine = usable(df, vec_id, embedding)

@@ -10,8 +10,8 @@ for all languages. A window starts a new phrase, which adds at most one phrase a
 parsed.
 
 Bound of the fit: the most_langs languages of most rows are learned; from each at most docs_per_lang labelled rows, those
-of smallest hash that fit whole into total_chars / languages characters together. Only where a language has no such row
-its shortest one is cut there. The bound is the same at every size; ids, sources and labels are never inputs of a
+of smallest hash that fit whole into total_bytes / languages bytes of UTF-8 together. Only where a language has no such row
+its shortest one is cut, to about as many bytes. The automata have at most two states a byte. The bound is the same at every size; ids, sources and labels are never inputs of a
 prediction.
 
 Defined results: a null text, one without letters, or a model without languages gives `und` with score 0; ties go to
@@ -22,6 +22,7 @@ and __text.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -85,33 +86,34 @@ def symbols_of(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.
 
 
 def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """states x width, -1 where the text has no such continuation; state 0 is the empty string."""
-    rows, link, length = [[-1] * width], [-1], [0]
+    """states x width, -1 where the text has no such continuation; state 0 is the empty string. At most two states a symbol, four bytes a transition."""
+    none = array("i", [-1]) * width
+    flat, link, length = array("i", none), array("i", [-1]), array("i", [0])
     last = 0
     for c in text:
-        now = len(rows)
-        rows.append([-1] * width)
+        now = len(link)
+        flat.extend(none)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and rows[p][c] == -1:
-            rows[p][c] = now
+        while p != -1 and flat[p * width + c] == -1:
+            flat[p * width + c] = now
             p = link[p]
         if p != -1:
-            q = rows[p][c]
+            q = flat[p * width + c]
             if length[p] + 1 == length[q]:
                 link[now] = q
             else:
-                twin = len(rows)
-                rows.append(rows[q][:])
+                twin = len(link)
+                flat.extend(flat[q * width : (q + 1) * width])
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and rows[p][c] == q:
-                    rows[p][c] = twin
+                while p != -1 and flat[p * width + c] == q:
+                    flat[p * width + c] = twin
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    return np.array(rows, np.int32)
+    return np.frombuffer(flat, np.int32).reshape(-1, width)
 
 
 def build(texts: dict[str, list[str]]) -> Model:
@@ -176,22 +178,22 @@ def predict(model: Model, arr: pa.Array) -> tuple[list[str], np.ndarray]:
     return [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 96, total_chars: int = 200_000, most_langs: int = 500) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 96, total_bytes: int = 200_000, most_langs: int = 500) -> Model:
     """train: rows to learn from; those with a null text or lang are left out."""
     rows = train.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
     langs = [r["l"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_langs).collect()]
     if not langs:
         return build({})
-    each = total_chars // len(langs)
-    n = F.length("t")
+    each = total_bytes // len(langs)
+    n = F.octet_length("t")
     order = Window.partitionBy("l").orderBy(F.greatest(n, F.lit(each)), unit_hash(F.coalesce("k", F.lit("")), "t"), "t")
     known = F.broadcast(train.sparkSession.createDataFrame([(x,) for x in langs], "l string"))
     # docs_per_lang rows a language leave each task
-    best = rows.join(known, "l").where(F.col("t").rlike("\\p{L}")).select("l", F.row_number().over(order).alias("r"), F.substring("t", 1, each).alias("t")).where(F.col("r") <= docs_per_lang)
+    best = rows.join(known, "l").where(F.col("t").rlike("\\p{L}")).select("l", F.row_number().over(order).alias("r"), F.when(n <= each, F.col("t")).otherwise(F.substring("t", F.lit(1), F.floor(F.lit(each).cast("double") * F.length("t") / n).cast("int"))).alias("t")).where(F.col("r") <= docs_per_lang)
     texts = {}
     for r in sorted(best.collect(), key=lambda r: (r["l"], r["r"])):
         kept = texts.setdefault(r["l"], [])
-        if not kept or sum(map(len, kept)) + len(r["t"]) <= each:
+        if not kept or sum(len(x.encode()) for x in kept) + len(r["t"].encode()) <= each:
             kept.append(r["t"])
     return build({k: [" ".join(v)] for k, v in texts.items()})
 
@@ -199,7 +201,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred and score."""
     base = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by total_chars
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by total_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.io import kept
+
 
 def minhash_bands(bands: int = 20, rows: int = 4):
     """A function from an array of hashes to a key for each band of least hashes; texts that share a key are candidates."""
@@ -42,8 +44,9 @@ def _keys(hashed: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5, id: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:
     """(a, b, similarity) between the representatives (smallest ids) of texts that are alike from the threshold up, verified on the shingles. Equal texts are one representative (see members); in each band every text meets every other of its key, dealt out by pairs of blocks where a key has more than `block` texts."""
     reps = docs.groupBy(F.md5(F.lower(F.trim(text))).alias("m")).agg(F.min(F.struct(F.col(id).alias("id"), F.col(text).alias("t"))).alias("r")).select("r.id", "r.t")
+    reps = kept(reps)
     hashed = _hashed(reps, width)
-    keys = _keys(hashed)  # shuffled without texts or shingles
+    keys = kept(_keys(hashed))  # shuffled without texts or shingles
     blocks = keys.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     rows = keys.join(blocks, "key").select("*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left = rows.select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("before").alias("seen"))

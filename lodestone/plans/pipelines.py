@@ -12,6 +12,7 @@ from lodestone.operators import chunking, results, search
 from lodestone.operators.analytics import gap_analysis
 from lodestone.operators.catalog import document_problem
 from lodestone.operators.encoding import Encoder, embed
+from lodestone.sources.io import kept
 
 
 def ingest(docs: DataFrame, encoder: Encoder, config: chunking.Config = chunking.Config(), least_quality: float | None = None, cleaned: bool = False) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -44,12 +45,14 @@ def rebuild(chunks: DataFrame, encoder: Encoder, collections: list[str] | None =
 def answer(chunks: DataFrame, queries: DataFrame, encoder: Encoder, k: int = 10, where: Column | None = None, threshold: float = 0.0, least_rerank: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """queries (qid, query) -> hits with rank and reason, and one row a query with its gap analysis.
 
-    Queries are understood and enhanced, embedded, searched per collection, reranked by shared words and explained.
+    Queries are understood and enhanced, embedded, searched per collection, reranked by shared words and explained. Chunks
+    and hits are written once, since several steps read them.
     """
+    chunks = kept(chunks)
     asked = embed(queries.withColumn("enhanced", Q.enhanced("query")), encoder, text="enhanced", out="query_embedding").where("query_embedding is not null")
     found = search.similarity_search(chunks.where("embedding is not null"), asked.select("qid", "query_embedding"), k, threshold=threshold, where=where)
     texts = found.join(chunks.select("id", "content"), "id").join(queries.select("qid", "query"), "qid")
     shared = F.size(F.array_intersect(search.tokens("query"), search.tokens("content"))) / F.greatest(F.size(search.tokens("query")), F.lit(1))
     ranked = search.rerank(texts, F.greatest(F.lit(0.0), 0.5 * F.col("similarity") + 0.5 * shared), candidates=20, top=k, least=least_rerank)
-    hits = ranked.withColumn("reason", results.ranking_reason(F.round("rerank_score", 3), F.col("content"), F.col("collection"), F.col("query")))
+    hits = kept(ranked.withColumn("reason", results.ranking_reason(F.round("rerank_score", 3), F.col("content"), F.col("collection"), F.col("query"))))
     return hits, gap_analysis(queries, hits)

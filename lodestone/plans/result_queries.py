@@ -34,11 +34,18 @@ def permission_maps(spark, d):
     return table(spark, d, "documents").select("doc_id", new.alias("m")).select("doc_id", F.array_join(F.col("m")["ann"], ",").alias("ann"), F.array_join(F.col("m")["bob"], ",").alias("bob"))
 
 
-@query("""select page_id, 'Page ' || page_id as title, url as path, case when page_id % 2 = 0 then page_id::int else -1 end as page, 'unknown' as kind from pages where not regexp_matches(lower(url), '\\.(md|markdown|txt|text|pdf|py|html|htm)$')""")
+_ENDINGS = {"markdown": "md|markdown", "text": "txt|text", "pdf": "pdf", "python": "py", "html": "html|htm"}
+
+
+@query(f"""with p as (select page_id, case page_id % 5 when 0 then url || '.md' when 1 then url || '/a.PDF' when 2 then url || '.py' else url end as path from pages)
+select page_id, 'Page ' || page_id as title, path, case when page_id % 2 = 0 then page_id::int else -1 end as page,
+  case when page_id % 7 = 0 then 'given' {" ".join(f"when regexp_matches(lower(path), '[.]({e})$') then '{k}'" for k, e in _ENDINGS.items())} else 'unknown' end as kind from p""")
 def source_attribution(spark, d):
-    p = table(spark, d, "pages").where(~F.lower("url").rlike("\\.(md|markdown|txt|text|pdf|py|html|htm)$"))
-    meta = F.to_json(F.struct(F.lit("").alias("title"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("document_title"), F.col("url").alias("file_path"), F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).alias("page")))
-    return p.select("page_id", meta.alias("m")).select("page_id", R.attribution("m").alias("a")).select("page_id", "a.title", "a.path", F.coalesce("a.page", F.lit(-1)).alias("page"), "a.kind")
+    """All pages, with an ending put to three of five addresses; every seventh says its kind itself."""
+    i = F.col("page_id")
+    path = F.when(i % 5 == 0, F.concat("url", F.lit(".md"))).when(i % 5 == 1, F.concat("url", F.lit("/a.PDF"))).when(i % 5 == 2, F.concat("url", F.lit(".py"))).otherwise(F.col("url"))
+    meta = F.to_json(F.struct(F.lit("").alias("title"), F.concat(F.lit("Page "), i.cast("string")).alias("document_title"), path.alias("file_path"), F.when(i % 2 == 0, i.cast("string")).alias("page"), F.when(i % 7 == 0, "given").alias("file_type")))
+    return table(spark, d, "pages").select("page_id", meta.alias("m")).select("page_id", R.attribution("m").alias("a")).select("page_id", "a.title", "a.path", F.coalesce("a.page", F.lit(-1)).alias("page"), "a.kind")
 
 
 REASON = """(select doc_id, round((doc_id % 100) / 100, 2) as s, source, 'simple zzzq word' as q, text || ' basic' as content from documents)"""

@@ -269,11 +269,12 @@ def vector_distances(spark, d):
     return j.select("vec_id", "other_id", F.round(cosine_similarity("embedding", "other"), 6).alias("cosine"), F.round(distance("embedding", "other", "l2"), 5).alias("l2"), F.round(distance("embedding", "other", "ip"), 6).alias("ip"))
 
 
-@query(WEIGHTED + """select qid, sum(length(t)) filter (where used <= 600)::bigint as used, count(*) filter (where used <= 600)::bigint as packed from (
-select r.qid, r.rank, repeat('x', 40 + (r.id % 90)::int) as t, sum(40 + r.id % 90) over (partition by r.qid order by r.rank) as used from ranked r) group by qid having packed > 0""")
+@query(WEIGHTED + """select qid, sum(n)::bigint as used, count(*)::bigint as packed from (
+select r.qid, length(d.text) as n, sum(length(d.text)) over (partition by r.qid order by r.rank) as used from ranked r join documents d on r.id = d.doc_id) where used <= 6000 group by qid""")
 def packed_context(spark, d):
-    hits = _weighted(spark, d).withColumn("content", F.expr("repeat('x', cast(40 + id % 90 as int))"))
-    return S.packed_context(hits, 600).groupBy("qid").agg(F.sum(F.length("content")).alias("used"), F.count("*").alias("packed"))
+    """The texts of the hits that fit into 6,000 characters; a document's id is that of its vector."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return S.packed_context(_weighted(spark, d).join(texts, "id"), 6000).groupBy("qid").agg(F.sum(F.length("content")).alias("used"), F.count("*").alias("packed"))
 
 
 @query(WEIGHTED + """select qid, round(avg(similarity) filter (where rank <= 3), 6) as first_mean, round(avg(similarity) filter (where back <= 3), 6) as last_mean

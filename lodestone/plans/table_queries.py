@@ -11,7 +11,7 @@ from lodestone.operators import dedup as D
 from lodestone.operators import filters as W
 from lodestone.operators import models as M
 from lodestone.operators import projects as P
-from lodestone.operators.search import lexical_search
+from lodestone.operators.search import lexical_search, top_k
 from lodestone.plans.registry import query, table
 from lodestone.plans.search_queries import LEX, boosted
 
@@ -172,22 +172,21 @@ def feedback_analytics(spark, d):
     return r.select("event_type", "day", "n", *[F.round(c, 6).alias(c) for c in ("positive", "negative", "neutral")])
 
 
-GAPS = """with q as (select vec_id as qid from embeddings where vec_id % 50 = 0), h as (select q.vec_id as qid, list_cosine_similarity(c.embedding::double[], q.embedding::double[]) as s
-  from embeddings c join embeddings q on c.label = q.vec_id % 13 and c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
-g as (select qid, count(s)::bigint as n_hits, max(s) as best from q left join h using (qid) group by qid),
-r as (select *, case when best is null then 'none' when best >= 0.3 then 'high' when best >= 0.2 then 'medium' else 'low' end as confidence from g)
+GAPS = """with h as (select q.vec_id as qid, list_cosine_similarity(c.embedding::double[], q.embedding::double[]) as s from embeddings c, embeddings q where c.vec_id <> q.vec_id and q.vec_id % 20 = 0),
+n as (select * from (select *, row_number() over (partition by qid order by s desc) as k from h) where k <= 6 and s >= 0.28),
+g as (select q.vec_id as qid, count(s)::bigint as n_hits, max(s) as best from embeddings q left join n on q.vec_id = n.qid where q.vec_id % 20 = 0 group by q.vec_id),
+r as (select *, case when best is null then 'none' when best >= 0.35 then 'high' when best >= 0.31 then 'medium' else 'low' end as confidence from g)
 """
 
 
-@query(GAPS + """select qid, n_hits, round(best, 6) as best, confidence, n_hits = 0 as no_results, n_hits < 4 as sparse_results, coalesce(best < 0.2, true) as low_scores,
-(n_hits < 4 or coalesce(best < 0.2, true)) and not (confidence = 'high' and n_hits > 0 and (n_hits >= 4 or n_hits >= 2)) as has_gap from r""")
+@query(GAPS + """select qid, n_hits, round(best, 6) as best, confidence, n_hits = 0 as no_results, n_hits < 4 as sparse_results, coalesce(best < 0.31, true) as low_scores,
+(n_hits < 4 or coalesce(best < 0.31, true)) and not (confidence = 'high' and n_hits > 0 and (n_hits >= 4 or n_hits >= 2)) as has_gap from r""")
 def gap_analysis(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    from lodestone.functions.vectors import cosine_similarity
-
-    h = e.join(q, (F.col("label") == F.col("qid") % 13) & (F.col("vec_id") != F.col("qid"))).select("qid", cosine_similarity("embedding", "qe").alias("similarity"))
-    return A.gap_analysis(q, h, sparse=4, low=0.2, high=0.3).withColumn("best", F.round("best", 6))
+    """Every twentieth vector as a query against all others; its six nearest from a similarity of 0.28 up are its hits."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("collection"), "embedding")
+    q = e.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query_embedding"), F.col("id").alias("self_id"))
+    h = top_k(e, q, 6, not_self=True).withColumn("similarity", 1 - F.col("distance")).where("similarity >= 0.28")
+    return A.gap_analysis(q, h, sparse=4, low=0.31, high=0.35).withColumn("best", F.round("best", 6))
 
 
 @query(LEX + """, top as (select qid, id from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from lex where score > 0) where rank <= 20),
@@ -340,9 +339,9 @@ def dup_groups(spark, d):
     return table(spark, d, "documents").groupBy(F.md5(F.lower(F.trim("text"))).alias("group_id")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("""select source as group_id, arg_max(doc_id, (n_chars, doc_id)) as latest, min(doc_id) as first_id, md5(string_agg(lang, chr(10) || chr(10) order by doc_id)) as merged from documents group by source""")
+@query("""select source as group_id, arg_max(doc_id, (n_chars, doc_id)) as latest, min(doc_id) as first_id, md5(string_agg(text, chr(10) || chr(10) order by doc_id)) as merged from documents group by source""")
 def merge_strategies(spark, d):
-    g = table(spark, d, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("id"), F.col("lang").alias("content"), F.col("n_chars").alias("created"))
+    g = table(spark, d, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("n_chars").alias("created"))
     a = D.merge(g, "latest_version").select("group_id", F.col("id").alias("latest"))
     b = D.merge(g, "first").select("group_id", F.col("id").alias("first_id"))
     c = D.merge(g, "content_union").select("group_id", F.md5("content").alias("merged"))
@@ -362,11 +361,15 @@ def dup_members(spark, d):
     return D.members(table(spark, d, "documents"))
 
 
-@query("select label::varchar as collection, count(*) filter (where vec_id % 4 = 0)::bigint as n_duplicates from embeddings group by label")
+@query("""select label::varchar as collection, count(*) filter (where s >= 0.4)::bigint as n_duplicates
+from (select a.vec_id, a.label, max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 4 = 0 group by all) group by 1""")
 def duplicate_gate(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("collection"))
-    hits = e.select("id", F.when(F.col("id") % 4 == 0, 0.1).otherwise(0.5).alias("distance")).unionByName(e.select("id", F.lit(0.9).alias("distance")))
-    return D.duplicate_gate(e, hits).groupBy("collection").agg(F.count_if("is_duplicate").alias("n_duplicates"))
+    """Every fourth vector as a new one, held against its nearest among all others."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("collection"), "embedding")
+    new = e.where("id % 4 = 0")
+    near = top_k(e, new.select(F.col("id").alias("qid"), F.col("embedding").alias("query_embedding"), F.col("id").alias("self_id")), 1, not_self=True)
+    hits = near.select(F.col("qid").alias("id"), "distance")
+    return D.duplicate_gate(new, hits, least_similarity=0.4).groupBy("collection").agg(F.count_if("is_duplicate").alias("n_duplicates"))
 
 
 @query("""with l as (select doc_id, source, lag(n_chars) over w as before, lead(n_chars) over w as after from documents window w as (partition by source order by doc_id))

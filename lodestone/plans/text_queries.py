@@ -139,13 +139,13 @@ def _table_sql(t: str, names: dict[str, str]) -> str:
 
 
 MIXED = """(select doc_id, case doc_id % 8 when 0 then 'React vs Vue.js ' when 1 then 'fix Python error 3.11 ' when 2 then 'python function example ' when 3 then 'how to use docker on gpu '
-  when 4 then 'show me papers from biology collection ' when 5 then 'results from 2023 latest ' when 6 then 'simple recent guide from last week ' else 'expert data validation ' end || text[1:40] as q from documents)"""
+  when 4 then 'show me papers from biology collection ' when 5 then 'results from 2023 latest ' when 6 then 'simple recent guide from last week ' else 'expert data validation ' end || text as q from documents)"""
 
 
 def _mixed(spark, d):
     heads = ["React vs Vue.js ", "fix Python error 3.11 ", "python function example ", "how to use docker on gpu ", "show me papers from biology collection ", "results from 2023 latest ", "simple recent guide from last week ", "expert data validation "]
     head = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.pmod("doc_id", F.lit(8)) + 1).cast("int"))
-    return docs(spark, d).select("doc_id", F.concat(head, F.substring("text", 1, 40)).alias("q"))
+    return docs(spark, d).select("doc_id", F.concat(head, "text").alias("q"))
 
 
 @query(f"""select doc_id, {_intent_sql('lower(q)')} as intent, {_table_sql('lower(q)', Q.TECHNOLOGY)} as technologies, {_table_sql('lower(q)', Q.HARDWARE)} as hardware,

@@ -21,6 +21,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written below scratch and read again, for what several steps read."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def read_folder(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """Whole files: path, title (file name without ending), kind, size, modified, content."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)

@@ -225,10 +225,13 @@ def scaled_metadata(spark, d):
     return A.scaled(table(spark, d, "events"), "value", "event_type", "scaled").select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
-@query("""with s as (select event_type, avg((value > 50)::int) as r, avg(value) as m from events group by event_type) select event_type, case when r >= 0.8 then 'A' when r >= 0.6 then 'B' when r >= 0.4 then 'C' else 'D' end as grade,
+@query("""with s as (select event_type, length(event_type) % 2 as odd, avg((value > 10 * length(event_type) - 30)::int) as r, avg(case when length(event_type) % 2 = 0 then value / 1000 else value end) as m from events group by event_type)
+select event_type, case when r >= 0.8 then 'A' when r >= 0.6 then 'B' when r >= 0.4 then 'C' else 'D' end as grade,
   array_to_string(list_concat(case when r < 0.5 then ['enlarge the cache'] else [] end, case when m > 1 then ['warm frequent keys'] else [] end), ',') as advice from s""")
 def cache_advice(spark, d):
-    log = table(spark, d, "events").select("event_type", (F.col("value") > 50).alias("hit"), F.col("value").alias("seconds"))
+    """Kinds of events as caches, that hit and take time differently by the length of their names."""
+    n = F.length("event_type")
+    log = table(spark, d, "events").select("event_type", (F.col("value") > 10 * n - 30).alias("hit"), F.when(n % 2 == 0, F.col("value") / 1000).otherwise(F.col("value")).alias("seconds"))
     return A.cache_advice(A.cache_statistics(log, "event_type")).select("event_type", "grade", F.array_join("advice", ",").alias("advice"))
 
 

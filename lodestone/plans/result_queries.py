@@ -64,10 +64,11 @@ def formatted_results(spark, d):
     return R.formatted(rows, "cli", least=0.3).select(F.col("id").alias("doc_id"), F.md5("formatted").alias("digest"))
 
 
-@query(f"""select doc_id, md5(snippet) as snippet, md5(regexp_replace(snippet, '(?i)(there|the)', '**\\1**', 'g')) as highlighted, 'Code Block' as kind_label, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as n_the
-from (select doc_id, text, {preview_sql('text', 200)} as snippet from documents)""")
+@query(f"""select doc_id, md5(snippet) as snippet, md5(regexp_replace(snippet, '(?i)(there|the)', '**\\1**', 'g')) as highlighted, case lang when 'en' then 'Code Block' when 'fr' then 'Table' when 'de' then 'List Item' else 'Text' end as kind_label, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as n_the
+from (select doc_id, lang, text, {preview_sql('text', 200)} as snippet from documents)""")
 def enriched_results(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("code_block").alias("kind"))
+    kind = F.when(F.col("lang") == "en", "code_block").when(F.col("lang") == "fr", "table").when(F.col("lang") == "de", "list_item").otherwise("text")
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), kind.alias("kind"))
     e = R.enriched(rows, ["the", "there"])
     return e.select("doc_id", F.md5("snippet").alias("snippet"), F.md5("highlighted").alias("highlighted"), "kind_label", F.col("term_counts")["the"].alias("n_the"))
 

@@ -114,9 +114,13 @@ def append_checks(spark, d):
     return e.select("vec_id", problem.alias("problem"))
 
 
-@query("select doc_id, case when text = '' then 'empty' when length(text) > 50000 then 'too long' when length(trim(text)) < 10 then 'too short' end as problem from documents")
+@query("""with t as (select doc_id, case doc_id % 9 when 0 then '' when 1 then '   ab   cd   ' when 2 then text || repeat('x', 50001) when 3 then null else text end as text, case when doc_id % 9 <> 4 then lang end as meta from documents)
+select doc_id, case when text is null or text = '' then 'empty' when meta is null then 'no metadata' when length(text) > 50000 then 'too long' when length(trim(text)) < 10 then 'too short' end as problem from t""")
 def ingest_checks(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.document_problem(F.col("text")).alias("problem"))
+    """All documents, of which five of nine are spoilt in one way each."""
+    i, t = F.pmod("doc_id", F.lit(9)), F.col("text")
+    text = F.when(i == 0, "").when(i == 1, "   ab   cd   ").when(i == 2, F.concat(t, F.repeat(F.lit("x"), F.lit(50_001)))).when(i != 3, t)
+    return table(spark, d, "documents").select("doc_id", C.document_problem(text, F.when(i != 4, F.col("lang"))).alias("problem"))
 
 
 @query("select 'project-specific_' || regexp_replace(lower(source || ' X'), '[^a-z0-9_-]', '_', 'g') || '_v1' as name, 'reference_v1' as other, count(*)::bigint as n from documents group by source")
@@ -278,22 +282,25 @@ def reindex_rules(spark, d):
     return table(spark, d, "orders").select(k.alias("id"), M.requires_reindexing(F.when(k % 4 == 1, "old").when(k % 4 != 0, "new"), F.lit("new"), F.when(k % 6 == 2, "pending").otherwise("completed")).alias("reindex"))
 
 
-@query("""select n_regionkey as model_name, count(c_custkey)::bigint as n_collections, sum(c_custkey)::bigint as n_documents, round(sum(c_custkey / 10), 4)::double as mb, greatest(1, sum(c_custkey)::bigint // 50)::bigint as minutes,
-  case when sum(c_custkey) > 1000 then 'high' when sum(c_custkey) > 100 then 'medium' else 'low' end as level from customer join nation on c_nationkey = n_nationkey group by n_regionkey""")
+@query("""with c as (select n_nationkey as model_name, 3 * (c_custkey % (n_nationkey + 1)) as n, c_custkey / 10 as mb from customer join nation on c_nationkey = n_nationkey)
+select n_nationkey as model_name, count(n)::bigint as n_collections, coalesce(sum(n), 0)::bigint as n_documents, round(coalesce(sum(mb), 0), 4)::double as mb, greatest(1, coalesce(sum(n), 0)::bigint // 50)::bigint as minutes,
+  case when sum(n) > 1000 then 'high' when sum(n) > 100 then 'medium' else 'low' end as level from nation left join c on model_name = n_nationkey group by n_nationkey""")
 def impact_assessment(spark, d):
+    """Nations as models, their customers as collections of sizes that differ by nation."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    r = M.impact(table(spark, d, "region").select(F.col("r_regionkey").alias("model_name")), c.select(F.col("n_regionkey").alias("model_name"), F.col("c_custkey").alias("n_documents"), (F.col("c_custkey") / 10).alias("mb")))
+    size = (3 * (F.col("c_custkey") % (F.col("n_nationkey") + 1))).alias("n_documents")
+    r = M.impact(table(spark, d, "nation").select(F.col("n_nationkey").alias("model_name")), c.select(F.col("n_nationkey").alias("model_name"), size, (F.col("c_custkey") / 10).alias("mb")))
     return r.withColumn("mb", F.round("mb", 4))
 
 
-@query("""with n as (select vec_id, label, embedding::double[] as a, case when vec_id % 50 = 7 then null else list_concat([embedding[1]::double + 0.1], embedding[2:]::double[]) end as b, vec_id % 50 <> 9 as there, case when vec_id % 50 not in (7, 9) then list_cosine_similarity(embedding::double[], list_concat([embedding[1]::double + 0.1], embedding[2:]::double[])) end as c from embeddings)
-select label::varchar as collection, count(*)::bigint as n, count(*) filter (where not there)::bigint as missing, count(*) filter (where there and b is null)::bigint as null_vectors, 0::bigint as other_dimension,
+@query("""with n as (select vec_id, label, embedding::double[] as a, case when vec_id % 50 = 7 then null when vec_id % 50 = 11 then embedding[1:3]::double[] else list_concat([embedding[1]::double + 0.1], embedding[2:]::double[]) end as b, vec_id % 50 <> 9 as there, case when vec_id % 50 not in (7, 9, 11) then list_cosine_similarity(embedding::double[], list_concat([embedding[1]::double + 0.1], embedding[2:]::double[])) end as c from embeddings)
+select label::varchar as collection, count(*)::bigint as n, count(*) filter (where not there)::bigint as missing, count(*) filter (where there and b is null)::bigint as null_vectors, count(*) filter (where there and len(b) = 3)::bigint as other_dimension,
   round(avg(c), 6) as mean_cosine, round(min(c), 6) as min_cosine,
-  case when count(*) filter (where not there or b is null) > 0 then 'failed' when avg(c) < 0.8 then 'warning' else 'passed' end as status from n group by label""")
+  case when count(*) filter (where not there or b is null or len(b) = 3) > 0 then 'failed' when avg(c) < 0.8 then 'warning' else 'passed' end as status from n group by label""")
 def migration_check(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("collection"), F.col("embedding").cast("array<double>").alias("embedding"))
     moved = F.concat(F.array(F.element_at("embedding", 1) + 0.1), F.slice("embedding", 2, 1000))
-    new = e.where("id % 50 <> 9").withColumn("embedding", F.when(F.col("id") % 50 != 7, moved))
+    new = e.where("id % 50 <> 9").withColumn("embedding", F.when(F.col("id") % 50 == 11, F.slice("embedding", 1, 3)).when(F.col("id") % 50 != 7, moved))
     r = M.migration_check(e, new)
     return r.withColumn("mean_cosine", F.round("mean_cosine", 6)).withColumn("min_cosine", F.round("min_cosine", 6))
 

@@ -60,6 +60,7 @@ def bonus(domains: Column) -> Column:
 class Postings:
     def __init__(self, spark: SparkSession, path: str, block_rows: int = 1 << 16):
         self.spark, self.base, self.block_rows = spark, path, block_rows
+        self._tables: dict[str, DataFrame] = {}
 
     def build(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> Postings:
         """Index all documents with a text. Of an id that occurs twice each row is a hit."""
@@ -76,21 +77,27 @@ class Postings:
         self.spark.read.parquet(f"{self.base}/lists").groupBy("kind", "term").agg(F.count("*").alias("df")).write.parquet(f"{self.base}/terms")
         return self
 
+    def _table(self, name: str) -> DataFrame:
+        """Read once, so that schemas are looked up once."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.base}/{name}")
+        return self._tables[name]
+
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/documents")
+        return self._table("documents")
 
     def lists(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/lists").where(F.col("kind") == kind).select("term", "id")
+        return self._table("lists").where(F.col("kind") == kind).select("term", "id")
 
     def frequency(self, terms: DataFrame, kind: str = "word") -> DataFrame:
         """terms (term) -> (term, df) of those that the index holds."""
-        known = self.spark.read.parquet(f"{self.base}/terms").where(F.col("kind") == kind).select("term", "df")
+        known = self._table("terms").where(F.col("kind") == kind).select("term", "df")
         return known.join(terms.select("term").distinct(), "term", "left_semi")
 
     def bonuses(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """pairs (qid, id, ...) with the query's words and the document's bonus."""
         c = F.col
-        heads = self.documents().select("id", "head", "domains").distinct()
+        heads = self.documents().select("id", "head", "domains")
         both = pairs.join(heads, "id").join(queries.select("qid", "asked", c("domains").alias("wanted")), "qid")
         title = F.when(F.exists("asked", lambda w: F.contains(c("head"), w)), F.lit(TITLE)).otherwise(0.0)
         return both.select(*pairs.columns, "asked", (bonus(F.array_intersect("domains", "wanted")) + title).alias("bonus"))
@@ -107,7 +114,7 @@ class Postings:
         """queries (qid, query) -> (qid, id, score, rank): share of query words in the text, with bonuses for shared domain terms and for a query word within the first ten words; at most 1, above 0 only, ties to the smaller id."""
         c = F.col
         asked = queries.select("qid", F.array_distinct(words_of("query")).alias("asked"), domains_of("query").alias("domains")).where(F.size("asked") > 0)
-        asked = asked.withColumn("most_bonus", TITLE + bonus(c("domains")))
+        asked = self._kept(asked.withColumn("most_bonus", TITLE + bonus(c("domains"))))
         lists = self.lists("word")
         terms = asked.select("qid", F.size("asked").alias("m"), "most_bonus", F.explode("asked").alias("term"))
         rarity = Window.partitionBy("qid").orderBy("df", "term")
@@ -127,12 +134,15 @@ class Postings:
         needed = bound.withColumn("open", (c("held") - (c("r") - 1)) / c("m") + c("most_bonus") >= c("least") - CLOSE).where("open")
         opened = needed.withColumn("closed", c("held") - F.count("*").over(Window.partitionBy("qid")))
         found = opened.join(lists, "term").select("qid", "m", "most_bonus", "least", "closed", "id")
-        counted = found.groupBy("qid", "id").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("m", "most_bonus", "least", "closed")])
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # said, since pairs are small and what is done with them isn't
+        counted = found.repartition(tasks, "qid", "id").groupBy("qid", "id").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("m", "most_bonus", "least", "closed")])
         within = lambda extra: (c("n") + c("closed")) / c("m") + extra >= c("least") - CLOSE
         likely = self.bonuses(counted.where(within(c("most_bonus"))), asked).where(within(c("bonus"))).select("qid", "id")
         # queries that bonuses alone could answer
         loose = asked.join(kth, "qid", "left").where(F.coalesce("least", F.lit(0.0)) <= c("most_bonus") + CLOSE)
-        likely = likely.unionByName(self._with_bonus(loose)).distinct()
+        if loose.limit(1).count():
+            likely = likely.unionByName(self._with_bonus(loose))
+        likely = likely.distinct()
         ranks = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
         return self.score(likely, asked).where("score > 0").withColumn("rank", F.row_number().over(ranks)).where(c("rank") <= k)
 

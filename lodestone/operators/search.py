@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import norm, unit
-from lodestone.operators.postings import Postings
-from lodestone.sources.io import scratch
+from lodestone.operators.postings import BOOSTS, dealt
 
 
 def meet(rows: DataFrame, queries: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most_queries: int = 4096) -> DataFrame:
@@ -153,9 +152,54 @@ def tokens(text: Column | str) -> Column:
 
 
 def lexical_search(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """queries (qid, query) -> (qid, id, score, rank), by an index that is made for this search; see lodestone.operators.postings, where an index can be kept."""
-    spark = docs.sparkSession
-    return Postings(spark, scratch(spark)).build(docs, id, text).search(queries, k)
+    """queries (qid, query) -> (qid, id, score, rank): share of query words in the text, with boosts for shared domain terms and for a query word within the first ten words; at most 1, above 0 only.
+
+    One pass over the documents: the words of the queries are an index in each task, in which a document's words, and the
+    parts of its first ten, are looked up once for all queries, and each batch passes on its k best. For searches that
+    come again and again see lodestone.operators.postings, where the documents are indexed.
+    """
+    low = lambda c: F.lower(c)
+    shared = lambda c: F.array(*[F.contains(low(c), F.lit(t)) for t in BOOSTS])
+    q = queries.select("qid", tokens("query").alias("words"), shared("query").alias("terms")).where(F.size("words") > 0)
+    words = F.array_remove(F.split(low(text), "\\s+"), "")
+    docs = dealt(docs.select(id, text))
+    d = docs.select(F.col(id).alias("id"), F.array_distinct(words).alias("words"), F.array_join(F.slice(words, 1, 10), " ").alias("head"), shared(text).alias("terms")).where(F.col(text).isNotNull())
+    schema = f"qid {dict(q.dtypes)['qid']}, id {dict(d.dtypes)['id']}, score double"
+
+    def best(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        index: dict[str, list[int]] = {}
+        for i, words in enumerate(asked["words"]):
+            for w in words:
+                index.setdefault(w, []).append(i)
+        sizes = asked["words"].map(len).to_numpy()
+        lengths = sorted({len(w) for w in index})
+        boosts = np.array(list(BOOSTS.values()))
+        wants = np.stack(asked["terms"].to_numpy()).astype(bool) if len(asked) else np.zeros((0, len(boosts)), bool)
+        at = {w: np.array(v) for w, v in index.items()}
+        score = np.zeros((len(pdf), len(asked)))
+        for i, (words, head, terms) in enumerate(zip(pdf["words"], pdf["head"], pdf["terms"], strict=True)):
+            row = score[i]
+            for w in words:
+                if w in at:
+                    row[at[w]] += 1
+            row /= sizes
+            for j in np.flatnonzero(terms):
+                row += np.where(wants[:, j], boosts[j], 0.0)
+            title = np.zeros(len(asked), bool)
+            parts = {head[a : a + n] for n in lengths if n <= len(head) for a in range(len(head) - n + 1)}
+            for w in parts & at.keys():
+                title[at[w]] = True
+            row += np.where(title, 0.2, 0.0)
+        score = np.minimum(score, 1.0)
+        out = []
+        for j, qid in enumerate(asked["qid"]):
+            i = np.flatnonzero(score[:, j] > 0)
+            one = pd.DataFrame({"qid": qid, "id": pdf["id"].to_numpy()[i], "score": score[i, j]})
+            out.append(one.sort_values(["score", "id"], ascending=[False, True], kind="stable").head(k))
+        return pd.concat(out) if out else pd.DataFrame(columns=["qid", "id", "score"])
+
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return meet(d, q, best, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

@@ -9,13 +9,13 @@ from lodestone.operators.catalog import replicas_agree
 from lodestone.functions import sketches as K
 from lodestone.operators import intervals as I
 from lodestone.operators import parsing as P
-from lodestone.operators.postings import FieldIndex
+from lodestone.operators.postings import FieldIndex, Postings
 from lodestone.operators.scorers import WordShareScorer, rerank_by_model
 from lodestone.operators.search import lexical_search
 from lodestone.plans import chunk_sql as X
 from lodestone.plans.document_queries import marked
 from lodestone.plans.registry import query, table
-from lodestone.plans.search_queries import LEX, TOPK, _asked, _chunks, _hits, boosted
+from lodestone.plans.search_queries import LEX, LEXICAL, TOPK, _asked, _chunks, _hits, boosted
 from lodestone.sources import backups as B
 from lodestone.sources.commits import CommitTable, Rejected
 from lodestone.sources.io import scratch
@@ -34,6 +34,13 @@ def indexed_topk(spark, d):
     return _hits(index.search(_asked(chunks).drop("self_id"), 10, beam=256))
 
 
+@query(LEXICAL)
+def indexed_lexical_topk(spark, d):
+    """The search of lexical_topk by an index that is written first: few documents are scored, and its rows are the same."""
+    docs, asked = boosted(spark, d)
+    return Postings(spark, scratch(spark)).build(docs).search(asked, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""select doc_id from documents where lang in ('en', 'de') and n_chars >= 500 and n_chars <= 20000 and contains(lower(source), 'rc1') and list_contains(list_transform(string_split(source, 'c'), lambda x: x), 'sr')""")
 def field_index_filter(spark, d):
     """Documents by values of their fields, from the lists of an index alone."""

@@ -167,7 +167,10 @@ def boosted(spark, d):
     return docs, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), more.alias("query"))
 
 
-@query(LEX + "select qid, id, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, id)::int as rank from lex where score > 0) where rank <= 10")
+LEXICAL = LEX + "select qid, id, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by score desc, id)::int as rank from lex where score > 0) where rank <= 10"
+
+
+@query(LEXICAL)
 def lexical_topk(spark, d):
     return S.lexical_search(*boosted(spark, d), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 

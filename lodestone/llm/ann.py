@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, keyed, spread_join, unit_hash
 
 WORDS = 16
+#: of original vectors that are reranked together, in double precision
+BUCKET_BYTES = 8 << 20
 
 
 @dataclass
@@ -178,7 +180,7 @@ def coded(rows: DataFrame, book: Codebook) -> DataFrame:
     return rows.select("row", "v").mapInPandas(run, "row long, code binary")
 
 
-def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 512, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 1 << 18, query_rows: int = 2048, bucket_rows: int = 2048, pair_rows: int = 1 << 16) -> DataFrame:
+def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 512, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 1 << 18, query_rows: int = 2048, bucket_rows: int | None = None, pair_rows: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by `every`, the `top` rows of largest inner product other than the row itself."""
     spark = df.sparkSession
     fine = usable(df, vec_id, embedding)
@@ -214,8 +216,9 @@ def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id"
         return pd.DataFrame({"q": asked["row"].to_numpy()[i], "c": held["row"].to_numpy()[j], "rough": rough})
 
     rough = queries.groupBy("block", "asker").cogroup(codes.groupBy("block", "asker")).applyInPandas(look, "q long, c long, rough float")
-    best = rough.withColumn("__r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("rough")))).where(F.col("__r") <= rerank)
-    buckets = max(1, -(-n_held // bucket_rows))
+    # one block has chosen the best of all rows itself
+    best = rough if blocks == 1 else rough.withColumn("__r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("rough")))).where(F.col("__r") <= rerank)
+    buckets = max(1, -(-n_held // (bucket_rows or max(1, BUCKET_BYTES // (8 * book.dim)))))
     bucket = F.pmod(F.xxhash64("c", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket")
     pairs = cut(best.select("q", "c", bucket))
     load = keyed(pairs.groupBy("bucket").agg(F.count("*").alias("n")))

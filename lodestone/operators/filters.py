@@ -63,7 +63,7 @@ def store_filter(where: dict, metadata: str | None = None) -> Column:
         elif key.startswith("$"):
             raise ValueError(f"unknown operator: {key}")
         elif isinstance(value, dict):
-            parts += [~compare(field(key, metadata), "eq", v) if op == "$ne" else compare(field(key, metadata), op.removeprefix("$"), v) for op, v in value.items()]
+            parts += [field(key, metadata).isNotNull() & ~compare(field(key, metadata), "eq", v) if op == "$ne" else compare(field(key, metadata), op.removeprefix("$"), v) for op, v in value.items()]
         else:
             parts.append(compare(field(key, metadata), "eq", value))
     return reduce(lambda a, b: a & b, parts, F.lit(True))

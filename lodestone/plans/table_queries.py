@@ -31,7 +31,7 @@ def filter_json_path(spark, d):
 
 @query("select event_id from events where ts > timestamp '2024-01-15' and event_type <> 'view'")
 def filter_dates(spark, d):
-    e = table(spark, d, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    e = table(spark, d, "events").withColumn("at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     return e.where(W.conjunction([("at", "greater_than", "2024-01-15T00:00:00")]) & W.store_filter({"event_type": {"$ne": "view"}})).select("event_id")
 
 

@@ -6,32 +6,75 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lodestone.functions.vectors import norm, unit
 from lodestone.operators.postings import BOOSTS, dealt
 
 
-def meet(rows: DataFrame, queries: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most_queries: int = 4096) -> DataFrame:
-    """step(queries, a batch of rows) for all rows (with an id) and queries (with a qid). Up to most_queries go to each task with its rows unshuffled; more are dealt into blocks, and each block meets all rows."""
+#: (queries) -> a function from batches of rows to the rows found; it is made once a task, so what it keeps of the queries is built once
+Search = Callable[[pa.Table], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]
+
+
+def meet_all(rows: DataFrame, queries: DataFrame, search: Search, schema: str, most_queries: int = 4096, block_queries: int = 1 << 14, part_rows: int = 1 << 16) -> DataFrame:
+    """search(queries)(batches of rows) for all rows (with an id) and queries (with a qid). Up to most_queries go to each task with its rows unshuffled; more are dealt into blocks, and each block meets all rows, part by part."""
     spark = rows.sparkSession
-    first = queries.limit(most_queries + 1).toPandas()
+    first = queries.limit(most_queries + 1).toArrow()
     if len(first) <= most_queries:
         shared = spark.sparkContext.broadcast(first)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield step(shared.value, pdf)
-
-        return rows.mapInPandas(run, schema)
-    blocks = -(-queries.count() // most_queries)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.mapInArrow(lambda batches: search(shared.value)(batches), schema)
+    blocks = -(-queries.count() // block_queries)
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-tasks // blocks), -(-rows.count() // part_rows))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = queries.withColumn("__b", deal("qid", blocks)).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = rows.withColumn("__p", deal("id", parts)).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    plain = lambda q, r: step(q.drop(columns=["__b", "__p"]), r.drop(columns=["__b", "__p"]))
-    return left.groupBy("__b", "__p").cogroup(right.groupBy("__b", "__p")).applyInPandas(plain, schema)
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def both(q: pa.Table, r: pa.Table) -> pa.Table:
+        found = list(search(q.drop_columns(["__b", "__p"]))(r.drop_columns(["__b", "__p"]).to_batches(max_chunksize=1 << 14))) if len(q) and len(r) else []  # an empty side has no match
+        return pa.Table.from_batches(found, found[0].schema) if found else kind.empty_table()
+
+    return left.groupBy("__b", "__p").cogroup(right.groupBy("__b", "__p")).applyInArrow(both, schema)
+
+
+def meet(rows: DataFrame, queries: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most_queries: int = 4096) -> DataFrame:
+    """step(queries, a batch of rows) for all rows and queries, as in meet_all."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def search(asked: pa.Table):
+        q = asked.to_pandas()
+        return lambda batches: (pa.RecordBatch.from_pandas(step(q, b.to_pandas()), kind, preserve_index=False) for b in batches)
+
+    return meet_all(rows, queries, search, schema, most_queries, most_queries)
+
+
+class Best:
+    """The k of smallest value of each query, ties to the smaller id, of all rows added; `least`: the k-th value so far, infinite before there are k."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.parts, self.fresh = k, np.full(n, np.inf), [], False
+
+    def add(self, query: np.ndarray, value: np.ndarray, **more: np.ndarray) -> None:
+        if len(query):
+            self.parts.append(pd.DataFrame({"query": query, "value": value, **more}))
+            self.fresh = True
+
+    def rows(self) -> pd.DataFrame | None:
+        """What is kept, in order."""
+        if self.fresh:
+            all_of = pd.concat(self.parts, ignore_index=True).sort_values(["query", "value", "id"], kind="stable")
+            q = all_of["query"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            n = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+            last = n == self.k - 1
+            self.least[q[last]] = all_of["value"].to_numpy()[last]
+            self.parts, self.fresh = [all_of[n < self.k]], False
+        return self.parts[0] if self.parts else None
 
 
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -42,49 +85,121 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "l2" else 1 - out
 
 
+def _stacked(vectors: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+
+
+def _measured(x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors that can be measured, which these are): for cosine over their lengths, which are summed from the first component to the last."""
+    if metric != "cosine":
+        return x, np.arange(len(x))
+    n = np.zeros(len(x))
+    for t in range(x.shape[1]):
+        n += x[:, t] * x[:, t]
+    good = np.flatnonzero(n > 0)
+    return x[good] / np.sqrt(n[good])[:, None], good
+
+
+def _near(best: Best, q: np.ndarray, x: np.ndarray, metric: str, own: np.ndarray | None, ids: np.ndarray, rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, rows, distances) of all pairs that may be among the best.k of a query. Matrix products name them, with room for what their rounding can change; their distances are then summed as in _distances. own: rows of this id are left out."""
+    d = x.shape[1]
+    qn, xn = (q * q).sum(1), (x * x).sum(1)
+    # the error of a sum of d products stays below (d + 2) roundings of the product of lengths
+    room = 4 * (d + 8) * 2.3e-16 * (np.sqrt(qn) + np.sqrt(xn.max(initial=0.0)) + 1) ** 2
+    same = pd.DataFrame({"id": own, "q": np.arange(len(q))}).merge(pd.DataFrame({"id": ids, "x": np.arange(len(x))}), on="id")[["q", "x"]].to_numpy() if own is not None else np.zeros((0, 2), int)
+    with np.errstate(all="ignore"):
+        for a in range(0, len(q), 256):
+            b = min(a + 256, len(q))
+            in_a = same[(same[:, 0] >= a) & (same[:, 0] < b)]
+            for c in range(0, len(x), rows):
+                e = min(c + rows, len(x))
+                far = q[a:b] @ x[c:e].T
+                far = qn[a:b, None] + xn[c:e] - 2 * far if metric == "l2" else 1 - far
+                mine = in_a[(in_a[:, 1] >= c) & (in_a[:, 1] < e)] - (a, c)
+                far[mine[:, 0], mine[:, 1]] = np.inf
+                limit = best.least[a:b] + room[a:b]
+                maybe = ~(far > limit[:, None])
+                if maybe.sum() > 4 * best.k * (b - a) and best.k < e - c:
+                    limit = np.fmin(limit, (np.fmin.reduce(far, axis=1) if best.k == 1 else np.partition(far, best.k - 1, axis=1)[:, best.k - 1]) + 2 * room[a:b])
+                    maybe = ~(far > limit[:, None])
+                maybe[mine[:, 0], mine[:, 1]] = False
+                i, j = np.nonzero(maybe)
+                for m in range(0, len(i), 1 << 16):
+                    u, v = a + i[m : m + (1 << 16)], c + j[m : m + (1 << 16)]
+                    exact = np.zeros(len(u))
+                    for t in range(d):
+                        exact += (q[u, t] - x[v, t]) ** 2 if metric == "l2" else q[u, t] * x[v, t]
+                    exact = exact if metric == "l2" else 1 - exact
+                    keep = np.isfinite(exact) & (exact <= best.least[u])
+                    yield u[keep], v[keep], exact[keep]
+
+
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, per_collection: bool = False, metric: str = "cosine", where: Column | None = None, not_self: bool = False, id: str = "id", collection: str = "collection", embedding: str = "embedding") -> DataFrame:
     """queries (qid, query_embedding[, self_id]) x chunks -> (qid, id, collection, distance, rank), k nearest for each query, or for each query and collection.
 
-    Batches of rows meet the queries as matrices, and each batch passes on its k nearest only, so neither vectors nor
-    distances are shuffled. Ties go to the smaller id. Vectors of another length than the query's, null and zero (for
+    Batches of rows meet the queries as matrix products; what these leave possible is measured in a fixed order of sums,
+    and each task passes on its k nearest only, so neither vectors nor distances are shuffled. Ties go to the smaller id. Vectors of another length than the query's, null and zero (for
     cosine) ones and those that hold nulls take no part. not_self leaves out rows whose id is the query's self_id.
     """
     if metric not in ("cosine", "l2", "ip"):
         raise ValueError(f"unknown metric: {metric}")
     rows = chunks if where is None else chunks.where(F.coalesce(where, F.lit(False)))
-    # lengths are taken once a row, not once a pair
-    ready = (lambda c: F.when(norm(c) > 0, unit(c))) if metric == "cosine" else (lambda c: F.col(c).cast("array<double>"))
-    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), c)
-    rows = rows.select(F.col(id).alias("id"), F.col(collection).alias("collection"), ready(embedding).alias("__e"))
-    asked = queries.select("qid", ready("query_embedding").alias("__q"), *(["self_id"] if not_self else []))
+    ready = lambda df, c: F.col(c) if dict(df.dtypes)[c] in ("array<float>", "array<double>") else F.col(c).cast("array<double>")
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    rows = rows.select(F.col(id).alias("id"), F.col(collection).alias("collection"), ready(rows, embedding).alias("__e"))
+    asked = queries.select("qid", ready(queries, "query_embedding").alias("__q"), *(["self_id"] if not_self else []))
     fields = dict(rows.dtypes) | dict(asked.dtypes)
     schema = f"qid {fields['qid']}, id {fields['id']}, collection {fields['collection']}, distance double"
-    names = ["qid", "id", "collection", "distance"]
+    kind = to_arrow_schema(StructType.fromDDL(schema))
     by = ["qid", "collection"] if per_collection else ["qid"]
 
-    def nearest(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        size = pdf["__e"].map(len)
-        for d, group in asked.groupby(asked["__q"].map(len)):
-            here = pdf[size == d].reset_index(drop=True)
-            if not len(here) or not d:
-                continue
-            x = np.stack(here["__e"].to_numpy()).astype(float)
-            kinds = here["collection"].fillna("").astype(str) if per_collection else None
-            for a in range(0, len(group), 64):
-                part = group.iloc[a : a + 64]
-                far = _distances(np.stack(part["__q"].to_numpy()).astype(float), x, metric)
-                if not_self:
-                    far[part["self_id"].to_numpy()[:, None] == here["id"].to_numpy()[None, :]] = np.inf
-                for i, q in enumerate(part["qid"]):
-                    one = pd.DataFrame({"qid": q, "id": here["id"], "collection": here["collection"], "distance": far[i]})[np.isfinite(far[i])]
-                    if len(one) > k and not per_collection:
-                        one = one[one["distance"] <= np.partition(one["distance"].to_numpy(), k - 1)[k - 1]]
-                    one = one.sort_values(["distance", "id"], kind="stable")
-                    found.append(one.groupby(kinds.loc[one.index], sort=False).head(k) if per_collection else one.head(k))
-        return pd.concat(found)[names] if found else pd.DataFrame(columns=names)
-
-    pairs = meet(rows.where(whole("__e").isNotNull()), asked.where(whole("__q").isNotNull()), nearest, schema)
+    def search(asked: pa.Table):
+        vectors, size = asked["__q"], pc.list_value_length(asked["__q"]).to_numpy()
+        groups = {}
+        for d in set(size.tolist()) - {0}:
+            some = np.flatnonzero(size == d)
+            q, good = _measured(_stacked(vectors.take(some), d), metric)
+            own = asked["self_id"].to_pandas().to_numpy()[some[good]] if not_self else None
+            groups[d] = (some[good], q, own)
+        qids = asked["qid"]
+
+        def out(pools: dict) -> Iterator[pa.RecordBatch]:
+            for (d, name), pool in pools.items():
+                rows = pool.rows()
+                if rows is not None:
+                    n = len(rows)
+                    which = qids.take(groups[d][0][rows["query"].to_numpy()]).combine_chunks()
+                    names = pa.array(rows["collection"], kind.field("collection").type, from_pandas=True) if not per_collection else pa.array([name] * n, kind.field("collection").type)
+                    yield pa.RecordBatch.from_arrays([which, pa.array(rows["id"], kind.field("id").type, from_pandas=True), names, pa.array(rows["value"])], schema=kind)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pools: dict = {}
+            for batch in batches:
+                length = pc.list_value_length(batch["__e"]).to_numpy(zero_copy_only=False)
+                for d, (_, q, own) in groups.items():
+                    here = np.flatnonzero(length == d)
+                    if not len(here):
+                        continue
+                    x, good = _measured(_stacked(batch["__e"].take(here), d), metric)
+                    here = here[good]
+                    ids, names = batch["id"].take(here).to_pandas().to_numpy(), batch["collection"].take(here).to_pandas()
+                    codes, kinds = pd.factorize(names, use_na_sentinel=False) if per_collection else (np.zeros(len(here), int), [None])
+                    for c, name in enumerate(kinds):
+                        at = np.flatnonzero(codes == c)
+                        name = None if pd.isna(name) else name
+                        pool = pools.setdefault((d, name), Best(len(q), k))
+                        for qi, xi, far in _near(pool, q, x[at], metric, own, ids[at]):
+                            pool.add(qi, far, id=ids[at][xi], **({} if per_collection else {"collection": names.to_numpy()[at][xi]}))
+                        pool.rows()
+                if sum(len(p.rows()) for p in pools.values() if p.parts) > 1 << 21:  # of many collections: passed on, so that a task holds few
+                    yield from out(pools)
+                    pools = {}
+            yield from out(pools)
+
+        return run
+
+    pairs = meet_all(rows.where(F.coalesce(whole("__e"), F.lit(False))), asked.where(F.coalesce(whole("__q"), F.lit(False))), search, schema)
     order = Window.partitionBy(*by).orderBy("distance", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

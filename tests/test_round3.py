@@ -27,3 +27,40 @@ def test_dates_keep_fractions_of_seconds_and_unknown_types_are_no_match(spark, t
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got, want = against_sql(spark, tmp_path, "filter_dates")
     assert got == want == [(2,)]
+
+
+def test_products_name_few_pairs_and_miss_none():
+    from lodestone.operators.search import Best, _distances, _near
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 16)) + 50  # far from the origin, so that products round
+    x[1000:1100] = x[7]
+    q, ids = x[:40], np.arange(3000)
+    for metric in ("l2", "ip"):
+        best, n = Best(len(q), 3), 0
+        for a in range(0, 3000, 500):
+            for i, j, far in _near(best, q, x[a : a + 500], metric, ids[:40], ids[a : a + 500]):
+                best.add(i, far, id=a + j)
+                n += len(i)
+            best.rows()
+        far = _distances(q, x, metric)
+        far[np.arange(40), np.arange(40)] = np.inf
+        want = [(i, j) for i in range(40) for j in np.lexsort((ids, far[i]))[:3]]
+        assert list(zip(best.rows()["query"], best.rows()["id"], strict=True)) == want
+        assert n < 40 * 3000 / 10
+
+
+def test_the_index_finds_rows_that_no_link_leads_to(spark, tmp_path):
+    from lodestone.operators.vector_index import VectorIndex
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(600, 24))
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "id long, collection string, embedding array<double>")
+    index = VectorIndex(spark, f"file://{tmp_path}/i", part_rows=600, degree=2, candidates=2, entry_every=600)
+    index.build(df)
+    index.delete(spark.range(5))
+    asked = df.where("id % 20 = 1").selectExpr("id qid", "embedding query_embedding")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(q, int(i)) for q in range(1, 600, 20) for i in 5 + np.argsort(-(unit[5:] @ unit[q]), kind="stable")[:10]}
+    assert {(row["qid"], row["id"]) for row in index.search(asked, 10, beam=10).collect()} == want
+    assert {(row["qid"], row["id"]) for row in index.search(asked, 10, beam=10, exact=False).collect()} != want

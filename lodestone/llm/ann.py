@@ -6,12 +6,12 @@ by coordinate descent under that loss (the subvectors share the parallel part, s
 code words solve its normal equations over all subvectors together. The codebooks are fitted on a bounded sample (about
 `sample_rows` distinct rows of smallest hash); every row is coded, once.
 
-Scan: blocks of codes (16 bytes for 64 dimensions) meet blocks of queries. For each query the inner products with all
-code words are tabled, two codes to a byte, and looked up for each row; the best `rerank` of a block and all tied with
-the last go on, then the best `rerank` over all blocks. Rerank: candidates are dealt to buckets of original vectors,
-which each query that has candidates there visits once, and scored in double precision. So vectors never travel with the
-number of query blocks; a bucket that many queries ask (vectors of large norm) is dealt out by queries. With `rerank` of
-at least the number of rows the result is exact; below that it rests on the measured recall.
+Scan: blocks of rows (codes of 16 bytes for 64 dimensions, and their vectors) meet blocks of queries. For each query the
+inner products with all code words are tabled, two codes to a byte, and looked up for each row; the best `rerank` of a
+block and all tied with the last are scored in double precision. The `top`-th of these scores is a bound: a row is left
+out only if its code says so, that is, if the looked up product and the length of the row's residual times that of the
+query stay below the bound. All others are scored too. So the result is exact on any rows, also where many of them differ
+by less than the codes can tell, and each block passes on `top` rows a query.
 
 Of equal vectors only the top + 1 of smallest id can be in any result, so only these are candidates: one very common
 vector costs nothing. Rows are told apart by a number of their own, so a query meets every row but itself.
@@ -32,11 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, keyed, spread_join, unit_hash
+from lodestone.llm.common import cut, unit_hash
 
 WORDS = 16
-#: of original vectors that are reranked together, in double precision
-BUCKET_BYTES = 8 << 20
+#: of original vectors in a block, in double precision
+BUCKET_BYTES = 16 << 20
 
 
 @dataclass
@@ -138,24 +138,80 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def looked_up(book: Codebook, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """queries x rows: inner products of the queries with what the codes stand for."""
+    lut = tables(book, q)
+    rough = lut[:, 0].take(codes[0], axis=1)
+    for j in range(1, len(codes)):
+        rough += lut[:, j].take(codes[j], axis=1)
+    return rough
+
+
 def scan(book: Codebook, q: np.ndarray, codes: np.ndarray, keep: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position of the query, position of the row, approximate score) of the best `keep` rows for each query and all tied with the last. own: position of the query's own row, -1 if it is not here."""
-    n = codes.shape[1]
     found: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32))]
     for a in range(0, len(q), 64):
-        lut = tables(book, q[a : a + 64])
-        for i in range(len(lut)):
-            rough = lut[i, 0][codes[0]]
-            for j in range(1, len(codes)):
-                rough += lut[i, j][codes[j]]
+        for i, rough in enumerate(looked_up(book, q[a : a + 64], codes)):
             if own is not None and own[a + i] >= 0:
                 rough[own[a + i]] = -np.inf
-            least = np.partition(rough, n - keep)[n - keep] if keep < n else np.float32(-np.inf)
-            best = np.flatnonzero((rough >= least) & (rough > -np.inf))  # equal codes are not equal vectors
+            best = _most(rough, keep)
             found.append((np.full(len(best), a + i), best, rough[best]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _most(rough: np.ndarray, keep: int) -> np.ndarray:
+    """Positions of the best `keep` and all tied with the last."""
+    least = np.partition(rough, len(rough) - keep)[len(rough) - keep] if keep < len(rough) else np.float32(-np.inf)
+    return np.flatnonzero((rough >= least) & (rough > -np.inf))  # equal codes are not equal vectors
+
+
+def residuals(book: Codebook, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Lengths of what the paired codes leave of the rows of x."""
+    m, _, d = book.words.shape
+    four = np.stack([codes & 15, codes >> 4], axis=1).reshape(-1, codes.shape[1])[:m].T
+    out = np.zeros(len(x))
+    for a in range(0, len(x), 4096):
+        known = book.words[np.arange(m), four[a : a + 4096]].reshape(-1, m * d)
+        out[a : a + 4096] = np.linalg.norm(book.padded(x[a : a + 4096]) - known, axis=1)
+    return out
+
+
+def nearest(book: Codebook, q: np.ndarray, codes: np.ndarray, x: np.ndarray, ids: np.ndarray, top: int, keep: int, own: np.ndarray, pair_rows: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the query, position of the row, score) of the `top` rows of largest inner product for each query, ties to the smaller id and then to the earlier row."""
+    off = residuals(book, x, codes) * (1 + 1e-6)
+    # looked up products are summed in single precision, the matrix product in another order than exact
+    length, longest = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1).max(initial=0.0)
+    found: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    with np.errstate(all="ignore"):
+        for a in range(0, len(q), 64):
+            some = q[a : a + 64]
+            rough = looked_up(book, some, codes)
+            here = np.flatnonzero(own[a : a + 64] >= 0)
+            for i in range(len(some)):
+                if own[a + i] >= 0:
+                    rough[i, own[a + i]] = -np.inf
+            first = [_most(r, keep) for r in rough]
+            i, j = np.repeat(np.arange(len(some)), [len(f) for f in first]), np.concatenate(first)
+            score = np.concatenate([exact(some[i[b : b + pair_rows]], x[j[b : b + pair_rows]]) for b in range(0, len(i), pair_rows)] or [np.zeros(0)])
+            least = np.full(len(some), -np.inf)
+            for r in range(len(some)):
+                mine = score[i == r]
+                if len(mine) >= top:
+                    least[r] = np.partition(mine, len(mine) - top)[len(mine) - top]
+            # of the rows that their codes don't rule out, a product leaves those that are not below the bound
+            may = ~(rough + (length[a : a + 64, None] * (off + 2e-5 * longest)).astype(np.float32) * np.float32(1 + 1e-6) < least[:, None])
+            may |= ~np.isfinite(rough)
+            may &= ~(some @ x.T < (least - 1e-12 * length[a : a + 64] * longest)[:, None])
+            may[here, own[a + here]] = False
+            i, j = np.nonzero(may)
+            score = np.concatenate([exact(some[i[b : b + pair_rows]], x[j[b : b + pair_rows]]) for b in range(0, len(i), pair_rows)] or [np.zeros(0)])
+            by = np.lexsort((j, ids[j], -score, i))
+            i, j, score = i[by], j[by], score[by]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            found.append((a + i[rank < top], j[rank < top], score[rank < top]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, v) of the rows that take part, except for the length."""
     v = F.col(embedding)
@@ -168,19 +224,20 @@ def _matrix(v: pd.Series) -> np.ndarray:
 
 
 def coded(rows: DataFrame, book: Codebook) -> DataFrame:
-    """rows (row, v) -> (row, code: two four-bit codes a byte)."""
+    """rows (row, vec_id, v) with code: two four-bit codes a byte."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 1024):
                 part = pdf.iloc[a : a + 1024]
                 codes = paired(encode(book, _matrix(part["v"])))
-                yield pd.DataFrame({"row": part["row"].to_numpy(), "code": [c.tobytes() for c in np.ascontiguousarray(codes.T)]})
+                yield part.assign(code=[c.tobytes() for c in np.ascontiguousarray(codes.T)])
 
-    return rows.select("row", "v").mapInPandas(run, "row long, code binary")
+    some = rows.select("row", "vec_id", "v")
+    return some.mapInPandas(run, f"row long, vec_id long, v {dict(some.dtypes)['v']}, code binary")
 
 
-def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 512, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 1 << 18, query_rows: int = 2048, bucket_rows: int | None = None, pair_rows: int = 1 << 16) -> DataFrame:
+def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = 512, sub: int = 2, eta: float = 4.0, sample_rows: int = 6000, block_rows: int = 1 << 18, query_rows: int = 1 << 14, bucket_rows: int | None = None, pair_rows: int = 1 << 16) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by `every`, the `top` rows of largest inner product other than the row itself."""
     spark = df.sparkSession
     fine = usable(df, vec_id, embedding)
@@ -197,50 +254,27 @@ def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id"
     held = cut(rows.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= top + 1).drop("__n"))
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n_held, n_asked = held.count(), asked.count()
-    # so many blocks of queries that all tasks have work, and no larger ones than query_rows
+    # so many blocks of rows that all tasks have work, and no larger ones than a task holds; a block is copied for each block of queries
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-n_held // block_rows))
-    askers = max(1, -(-n_asked // query_rows), min(tasks // blocks, n_asked // 32))
+    most = min(block_rows, bucket_rows or max(1, BUCKET_BYTES // (8 * book.dim)))
+    blocks = max(1, -(-n_held // most), min(tasks, n_held // 1024))
+    askers = max(1, -(-n_asked // query_rows))
     deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    codes = cut(coded(held, book)).select("row", "code", deal(blocks, 1).alias("block")).select("*", all_of(askers).alias("asker"))
-    queries = asked.select("row", "v", deal(askers, 2).alias("asker")).select("*", all_of(blocks).alias("block"))
+    codes = cut(coded(held, book)).select("row", "vec_id", "v", "code", deal(blocks, 1).alias("block")).select("*", all_of(askers).alias("asker"))
+    queries = asked.select("row", "vec_id", "v", deal(askers, 2).alias("asker")).select("*", all_of(blocks).alias("block"))
 
     def look(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
-            return pd.DataFrame({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "rough": np.zeros(0, np.float32)})
+            return NONE
+        held = held.sort_values("row")
         table = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1).T
-        at = {r: k for k, r in enumerate(held["row"].to_numpy())}
-        own = np.array([at.get(r, -1) for r in asked["row"].to_numpy()])
-        i, j, rough = scan(book, _matrix(asked["v"]), np.ascontiguousarray(table), rerank, own)
-        return pd.DataFrame({"q": asked["row"].to_numpy()[i], "c": held["row"].to_numpy()[j], "rough": rough})
-
-    rough = queries.groupBy("block", "asker").cogroup(codes.groupBy("block", "asker")).applyInPandas(look, "q long, c long, rough float")
-    # one block has chosen the best of all rows itself
-    best = rough if blocks == 1 else rough.withColumn("__r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("rough")))).where(F.col("__r") <= rerank)
-    buckets = max(1, -(-n_held // (bucket_rows or max(1, BUCKET_BYTES // (8 * book.dim)))))
-    bucket = F.pmod(F.xxhash64("c", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket")
-    pairs = cut(best.select("q", "c", bucket))
-    load = keyed(pairs.groupBy("bucket").agg(F.count("*").alias("n")))
-    parts = F.ceil(F.col("n") / pair_rows)
-    pairs = cut(spread_join(pairs, load, "bucket").select("bucket", F.pmod(F.xxhash64("q", F.lit(4)), parts).alias("part"), "q", "c"))
-    visits = pairs.select("bucket", "part", "q").distinct().join(asked.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "v"), "q")
-    left = pairs.select("bucket", "part", "q", "c").unionByName(visits, allowMissingColumns=True)
-    homes = held.select(F.col("row").alias("c"), "vec_id", "v").select("*", bucket).join(load, "bucket")
-    homes = homes.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "c", "vec_id", "v")
-
-    def score(left: pd.DataFrame, homes: pd.DataFrame) -> pd.DataFrame:
-        whose = left["query_id"].notna()
-        visits, pairs = left[whose], left[~whose]
-        q, x = _matrix(visits["v"]), _matrix(homes["v"])
-        i = pd.Index(visits["q"]).get_indexer(pairs["q"])
-        j = pd.Index(homes["c"]).get_indexer(pairs["c"].astype("int64"))
-        s = np.concatenate([exact(q[i[a : a + 8192]], x[j[a : a + 8192]]) for a in range(0, len(i), 8192)])
-        out = pd.DataFrame({"q": visits["q"].to_numpy()[i], "query_id": visits["query_id"].to_numpy()[i].astype(np.int64), "c": homes["c"].to_numpy()[j], "vec_id": homes["vec_id"].to_numpy()[j], "score": s})
-        out = out.sort_values(["q", "score", "vec_id", "c"], ascending=[True, False, True, True])
-        return out.groupby("q", sort=False).head(top)
-
-    found = left.groupBy("bucket", "part").cogroup(homes.groupBy("bucket", "part")).applyInPandas(lambda a, b: score(a, b) if len(a) else NONE, "q long, query_id long, c long, vec_id long, score double")
+        rows, ids = held["row"].to_numpy(), held["vec_id"].to_numpy()
+        own = pd.Index(rows).get_indexer(asked["row"])
+        i, j, score = nearest(book, _matrix(asked["v"]), np.ascontiguousarray(table), _matrix(held["v"]), ids, top, rerank, own, pair_rows)
+        return pd.DataFrame({"q": asked["row"].to_numpy()[i], "query_id": asked["vec_id"].to_numpy()[i], "c": rows[j], "vec_id": ids[j], "score": score})
+
+    found = queries.groupBy("block", "asker").cogroup(codes.groupBy("block", "asker")).applyInPandas(look, "q long, query_id long, c long, vec_id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "c")
     ranks = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranks.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

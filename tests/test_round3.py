@@ -64,3 +64,18 @@ def test_the_index_finds_rows_that_no_link_leads_to(spark, tmp_path):
     want = {(q, int(i)) for q in range(1, 600, 20) for i in 5 + np.argsort(-(unit[5:] @ unit[q]), kind="stable")[:10]}
     assert {(row["qid"], row["id"]) for row in index.search(asked, 10, beam=10).collect()} == want
     assert {(row["qid"], row["id"]) for row in index.search(asked, 10, beam=10, exact=False).collect()} != want
+
+
+def test_inner_product_search_on_rows_that_codes_cannot_tell_apart(spark):
+    from lodestone.llm.ann import search
+
+    r = np.random.default_rng(0)
+    x = np.repeat(r.normal(size=(2, 32)), 1500, axis=0) + r.normal(0, 0.01, (3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in search(df, top=20, every=100, rerank=40).collect():
+        got.setdefault(row["query_id"], {})[row["rank"]] = row["vec_id"]
+    for q in range(0, 3000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [got[q][k] for k in range(1, 21)] == np.argsort(-s, kind="stable")[:20].tolist()

@@ -257,7 +257,7 @@ def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id"
     # so many blocks of rows that all tasks have work, and no larger ones than a task holds; a block is copied for each block of queries
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = min(block_rows, bucket_rows or max(1, BUCKET_BYTES // (8 * book.dim)))
-    blocks = max(1, -(-n_held // most), min(tasks, n_held // 1024))
+    blocks = max(1, -(-n_held // most), min(tasks, n_held // 64))
     askers = max(1, -(-n_asked // query_rows))
     deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

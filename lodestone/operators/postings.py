@@ -33,6 +33,16 @@ def dealt(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
     return df.repartition(tasks) if size < tasks * task_bytes else df
 
 
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """df; the session's Arrow batches are lowered to 8 MB, so that long texts don't fill the memory beside the heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = str(conf.get(key, "64m")).lower().rstrip("b")
+    size = int(float(said.rstrip("kmgt")) * 1024 ** " kmgt".index(said[-1] if said[-1] in "kmgt" else " "))
+    if not 0 < size <= most:
+        conf.set(key, f"{most}b")
+    return df
+
+
 def words_of(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(text), "\\s+"), "")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lodestone.operators.postings import BOOSTS, dealt
+from lodestone.operators.postings import BOOSTS, dealt, small_batches
 
 
 #: (queries) -> a function from batches of rows to the rows found; it is made once a task, so what it keeps of the queries is built once
@@ -266,11 +266,66 @@ def tokens(text: Column | str) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), "\\s+"), ""))
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+class _QueryWords:
+    """The words of a block of queries (qid, words, terms) as an index."""
+
+    def __init__(self, asked: pa.Table):
+        self.n, self.qids = len(asked), asked["qid"]
+        lists = asked["words"].combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        coded = lists.flatten().dictionary_encode()
+        self.vocabulary = coded.dictionary
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        query = np.repeat(np.arange(self.n), self.sizes)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        held = np.bincount(word, minlength=len(self.vocabulary))
+        # words that many queries hold are columns of a matrix, the others lists of queries
+        common = held * 16 >= self.n
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((int(common.sum()), self.n), np.float32)
+        self.matrix[self.column[word[common[word]]], query[common[word]]] = 1
+        order = np.argsort(word, kind="stable")
+        self.query, self.start, self.held = query[order], np.r_[0, np.cumsum(held)], held
+        self.at = {w: i for i, w in enumerate(self.vocabulary.to_pylist())}
+        self.lengths = sorted({len(w) for w in self.at})
+        self.wants = np.array(asked["terms"].to_pylist(), bool).reshape(self.n, len(BOOSTS))
+
+    def shared(self, row: np.ndarray, word: np.ndarray, rows: int) -> np.ndarray:
+        """rows x queries: how many of a row's words, which are (row, word) without repetition, a query holds."""
+        column = self.column[word]
+        some = np.zeros((rows, len(self.matrix)), np.float32)
+        some[row[column >= 0], column[column >= 0]] = 1
+        out = (some @ self.matrix).astype(float)
+        row, word = row[column < 0], word[column < 0]
+        for a in range(0, len(row), 1 << 14):
+            r, w = row[a : a + (1 << 14)], word[a : a + (1 << 14)]
+            n = self.held[w]
+            at = np.repeat(self.start[w] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            out += np.bincount(np.repeat(r, n) * self.n + self.query[at], minlength=out.size).reshape(out.shape)
+        return out
+
+    def scores(self, part: pa.RecordBatch) -> np.ndarray:
+        rows = part.num_rows
+        lists = part["words"]
+        word = pc.index_in(lists.flatten(), self.vocabulary)
+        row = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        known = word.is_valid().to_numpy(zero_copy_only=False)
+        score = self.shared(row[known], word.drop_null().to_numpy(zero_copy_only=False), rows) / self.sizes
+        terms = np.array(part["terms"].to_pylist(), bool).reshape(rows, len(BOOSTS))
+        for j, boost in enumerate(BOOSTS.values()):
+            score += np.where(terms[:, j, None] & self.wants[:, j], boost, 0.0)
+        found = [self.at.keys() & {head[a : a + n] for n in self.lengths if n <= len(head) for a in range(len(head) - n + 1)} for head in part["head"].to_pylist()]
+        row = np.repeat(np.arange(rows), [len(f) for f in found])
+        title = self.shared(row, np.array([self.at[w] for f in found for w in f], int), rows) > 0
+        return np.minimum(score + np.where(title, 0.2, 0.0), 1.0)
+
+
+def lexical_search(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", block_queries: int = 1024) -> DataFrame:
     """queries (qid, query) -> (qid, id, score, rank): share of query words in the text, with boosts for shared domain terms and for a query word within the first ten words; at most 1, above 0 only.
 
-    One pass over the documents: the words of the queries are an index in each task, in which a document's words, and the
-    parts of its first ten, are looked up once for all queries, and each batch passes on its k best. For searches that
+    One pass over the documents: the words of the queries are an index that each task makes once, in which a document's
+    words, and the parts of its first ten, are looked up once for all queries of a block. Documents come in batches of 8 MB
+    and are scored 256 at a time against `block_queries` queries, so a task holds that many scores, and it passes on its k best. For searches that
     come again and again see lodestone.operators.postings, where the documents are indexed.
     """
     low = lambda c: F.lower(c)
@@ -280,41 +335,37 @@ def lexical_search(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_i
     docs = dealt(docs.select(id, text))
     d = docs.select(F.col(id).alias("id"), F.array_distinct(words).alias("words"), F.array_join(F.slice(words, 1, 10), " ").alias("head"), shared(text).alias("terms")).where(F.col(text).isNotNull())
     schema = f"qid {dict(q.dtypes)['qid']}, id {dict(d.dtypes)['id']}, score double"
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def search(asked: pa.Table):
+        blocks = [_QueryWords(asked.slice(a, block_queries)) for a in range(0, len(asked), block_queries)]
 
-    def best(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        index: dict[str, list[int]] = {}
-        for i, words in enumerate(asked["words"]):
-            for w in words:
-                index.setdefault(w, []).append(i)
-        sizes = asked["words"].map(len).to_numpy()
-        lengths = sorted({len(w) for w in index})
-        boosts = np.array(list(BOOSTS.values()))
-        wants = np.stack(asked["terms"].to_numpy()).astype(bool) if len(asked) else np.zeros((0, len(boosts)), bool)
-        at = {w: np.array(v) for w, v in index.items()}
-        score = np.zeros((len(pdf), len(asked)))
-        for i, (words, head, terms) in enumerate(zip(pdf["words"], pdf["head"], pdf["terms"], strict=True)):
-            row = score[i]
-            for w in words:
-                if w in at:
-                    row[at[w]] += 1
-            row /= sizes
-            for j in np.flatnonzero(terms):
-                row += np.where(wants[:, j], boosts[j], 0.0)
-            title = np.zeros(len(asked), bool)
-            parts = {head[a : a + n] for n in lengths if n <= len(head) for a in range(len(head) - n + 1)}
-            for w in parts & at.keys():
-                title[at[w]] = True
-            row += np.where(title, 0.2, 0.0)
-        score = np.minimum(score, 1.0)
-        out = []
-        for j, qid in enumerate(asked["qid"]):
-            i = np.flatnonzero(score[:, j] > 0)
-            one = pd.DataFrame({"qid": qid, "id": pdf["id"].to_numpy()[i], "score": score[i, j]})
-            out.append(one.sort_values(["score", "id"], ascending=[False, True], kind="stable").head(k))
-        return pd.concat(out) if out else pd.DataFrame(columns=["qid", "id", "score"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pools = [Best(b.n, k) for b in blocks]
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    part = batch.slice(a, 256)
+                    ids = part["id"].to_pandas().to_numpy()
+                    for block, pool in zip(blocks, pools, strict=True):
+                        score = block.scores(part)
+                        least = -pool.least
+                        may = (score > 0) & (score >= least)
+                        if may.sum() > 4 * k * block.n and k < len(score):
+                            may &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k]
+                        i, j = np.nonzero(may)
+                        pool.add(j, -score[i, j], id=ids[i])
+                        if sum(map(len, pool.parts)) > 4 * k * block.n or not np.isfinite(pool.least).any():
+                            pool.rows()
+            for block, pool in zip(blocks, pools, strict=True):
+                rows = pool.rows()
+                if rows is not None:
+                    which = block.qids.take(rows["query"].to_numpy()).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([which, pa.array(rows["id"], kind.field("id").type, from_pandas=True), pa.array(-rows["value"])], schema=kind)
+
+        return run
 
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return meet(d, q, best, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return meet_all(small_batches(d), q, search, schema, 4 * block_queries, 4 * block_queries, 1 << 13).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:

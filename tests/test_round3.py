@@ -79,3 +79,25 @@ def test_inner_product_search_on_rows_that_codes_cannot_tell_apart(spark):
         s = x @ x[q]
         s[q] = -np.inf
         assert [got[q][k] for k in range(1, 21)] == np.argsort(-s, kind="stable")[:20].tolist()
+
+
+def test_lexical_search_in_blocks_of_queries(spark):
+    from lodestone.operators import search as E
+
+    r = np.random.default_rng(4)
+    word = lambda: "w" + "abcdefgh"[r.integers(8)] * int(r.integers(1, 4))
+    docs = [(i, " ".join(word() for _ in range(r.integers(0, 30))) + (" neural" if i % 5 == 0 else "")) for i in range(300)] + [(300, None)]
+    asked = [(q, " ".join(word() for _ in range(6)) + (" neural" if q % 2 else "")) for q in range(40)] + [(40, " ")]
+    want = []
+    for q, text in asked:
+        qw = set(text.split())
+        scores = []
+        for i, t in docs:
+            if t is not None and qw:
+                s = len(qw & set(t.split())) / len(qw) + (0.3 if "neural" in text and "neural" in t else 0) + (0.2 if any(w in " ".join(t.split()[:10]) for w in qw) else 0)
+                scores.append((-round(min(1.0, s), 9), i))
+        want += [(q, i, k) for k, (s, i) in enumerate(sorted(scores)[:5], 1) if s < 0]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "qid long, query string")
+    for block in (1024, 7, 2):  # one block, several in a task, more than are broadcast
+        got = E.lexical_search(d, q, 5, block_queries=block)
+        assert sorted((x["qid"], x["id"], x["rank"]) for x in got.collect()) == sorted(want)

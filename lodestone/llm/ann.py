@@ -254,11 +254,11 @@ def search(df: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id"
     held = cut(rows.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= top + 1).drop("__n"))
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     n_held, n_asked = held.count(), asked.count()
-    # so many blocks of rows that all tasks have work, and no larger ones than a task holds; a block is copied for each block of queries
+    # no larger blocks of rows than a task holds, and 16 of small tables, whatever the tasks: each passes on `top` rows a query. A block is copied for each block of queries
     tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = min(block_rows, bucket_rows or max(1, BUCKET_BYTES // (8 * book.dim)))
-    blocks = max(1, -(-n_held // most), min(tasks, n_held // 64))
-    askers = max(1, -(-n_asked // query_rows))
+    blocks = max(1, -(-n_held // most), min(16, n_held // 64))
+    askers = max(1, -(-n_asked // query_rows), min(tasks // blocks, n_asked // 512))
     deal = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     codes = cut(coded(held, book)).select("row", "vec_id", "v", "code", deal(blocks, 1).alias("block")).select("*", all_of(askers).alias("asker"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", files: int = 16) -> DataFrame:
-    return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files).load(path)
+def read_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", files: int | None = 16) -> DataFrame:
+    """A batch takes that many files at most, or all that are there."""
+    reader = spark.readStream.schema(schema).format(kind)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).load(path)
 
 
 def tumbling(df: DataFrame, at: str, every: str, *by: str, late: str | None = None) -> DataFrame:

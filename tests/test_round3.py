@@ -101,3 +101,26 @@ def test_lexical_search_in_blocks_of_queries(spark):
     for block in (1024, 7, 2):  # one block, several in a task, more than are broadcast
         got = E.lexical_search(d, q, 5, block_queries=block)
         assert sorted((x["qid"], x["id"], x["rank"]) for x in got.collect()) == sorted(want)
+
+
+def _documents(spark, folder, ids, files):
+    rows = [(i, f"Text number {i % 90} of the table. " * (1 + i % 5), "en", f"src{i % 3}", 1) for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(files).write.parquet(str(folder / "documents.parquet"))
+
+
+def _files(folder):
+    import pyarrow.parquet as pq
+
+    return [n for p in folder.rglob("*.parquet") if (n := pq.ParquetFile(p).metadata.num_rows)]
+
+
+def test_a_batch_of_replicated_sinks_is_more_than_one_task(spark, tmp_path, monkeypatch):
+    from lodestone.plans import index_queries as I
+
+    _documents(spark, tmp_path, [i for i in range(400) if i % 4 != 2], 12)  # no row has remainder 2
+    monkeypatch.setattr(I, "scratch", lambda spark: f"file://{tmp_path}/scratch")
+    got, want = against_sql(spark, tmp_path, "replicated_sinks")
+    assert got == want and len(want) == 4
+    for place in ("in", "a", "b"):
+        found = _files(tmp_path / "scratch" / place)
+        assert sum(found) == 300 and max(found) < 100, place

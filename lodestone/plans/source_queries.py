@@ -143,8 +143,8 @@ def frontmatter_problems(spark, d):
 def stream_ingest(spark, d):
     """Documents taken in as a stream of files, batch by batch, without the faulty ones."""
     at, docs = io.scratch(spark), _docs(spark, d)
-    docs.repartition(4).write.parquet(f"{at}/in")
-    stream = S.read_stream(spark, f"{at}/in", docs.schema, files=1)
+    files = S.write_arrivals(docs, f"{at}/in", 4)
+    stream = S.read_stream(spark, f"{at}/in", docs.schema, files=files)
     S.ingest_stream(stream, f"{at}/out", f"{at}/state", lambda b: b.select("doc_id", F.md5("text").alias("digest")), C.document_problem(F.col("text"))).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("doc_id", "digest")
 
@@ -155,9 +155,9 @@ def stream_windows(spark, d):
     at = io.scratch(spark)
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type")
     last = e.agg((F.max("at") + F.expr("interval 40 days")).alias("at")).select("at", F.lit("end").alias("event_type"))
-    e.repartition(2).write.parquet(f"{at}/in")
+    S.write_arrivals(e, f"{at}/in", 2)
     last.coalesce(1).write.mode("append").parquet(f"{at}/in")
-    counts = S.tumbling(S.read_stream(spark, f"{at}/in", e.schema, files=100), "at", "1 hour", "event_type", late="1 day")
+    counts = S.tumbling(S.read_stream(spark, f"{at}/in", e.schema, files=None), "at", "1 hour", "event_type", late="1 day")
     counts.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").where("event_type <> 'end'").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
@@ -167,7 +167,7 @@ def stream_keep_first(spark, d):
     """One of equal texts of a stream."""
     at = io.scratch(spark)
     docs = _docs(spark, d).select("text", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.pmod("doc_id", F.lit(50)).cast("int"))).alias("at"))
-    docs.repartition(3).write.parquet(f"{at}/in")
-    once = S.keep_first_stream(S.read_stream(spark, f"{at}/in", docs.schema, files=1), "at", "2 hours")
+    files = S.write_arrivals(docs, f"{at}/in", 3)
+    once = S.keep_first_stream(S.read_stream(spark, f"{at}/in", docs.schema, files=files), "at", "2 hours")
     once.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.md5(F.lower(F.trim("text"))).alias("digest"))

@@ -15,6 +15,13 @@ def read_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", f
     return (reader if files is None else reader.option("maxFilesPerTrigger", files)).load(path)
 
 
+def write_arrivals(df: DataFrame, path: str, batches: int) -> int:
+    """Write df as the files of a stream, at least as many as tasks read it, so that none is larger than what a task reads; how many of them make a batch, so that there are that many batches, and more where one would be over 16 files."""
+    each = -(-df.rdd.getNumPartitions() // batches)
+    df.repartition(each * batches).write.mode("append").parquet(path)
+    return min(each, 16)
+
+
 def tumbling(df: DataFrame, at: str, every: str, *by: str, late: str | None = None) -> DataFrame:
     """Counts by window; works on tables and, with a bound for late rows, on streams."""
     rows = df.withWatermark(at, late) if late else df

@@ -124,3 +124,20 @@ def test_a_batch_of_replicated_sinks_is_more_than_one_task(spark, tmp_path, monk
     for place in ("in", "a", "b"):
         found = _files(tmp_path / "scratch" / place)
         assert sum(found) == 300 and max(found) < 100, place
+
+
+@pytest.mark.parametrize("name", ["stream_keep_first", "stream_ingest"])
+def test_files_of_a_stream_are_as_many_as_tasks_read_the_table(spark, tmp_path, monkeypatch, name):
+    from lodestone.plans import source_queries as Q
+
+    _documents(spark, tmp_path, range(400), 12)
+    monkeypatch.setattr(Q.io, "scratch", lambda spark: f"file://{tmp_path}/scratch")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got, want = against_sql(spark, tmp_path, name)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == want and want
+    found = _files(tmp_path / "scratch" / "in")
+    assert sum(found) == 400 and max(found) < 70

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.postings import small_batches
 
 WORD = re.compile(r"\w+")
 
@@ -28,7 +29,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         h = zlib.crc32(word.encode())
-        if len(self) < 1 << 20:
+        if len(self) < 1 << 18:
             self[word] = h
         return h
 
@@ -91,7 +92,7 @@ def embed(df: DataFrame, encoder: Encoder, text: str = "content", out: str = "em
             yield pdf.assign(**{out: vectors, "embedding_error": [None if v is not None else "empty text" for v in vectors]})
 
     fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
-    return base.mapInPandas(run, f"{fields}, `{out}` array<double>, embedding_error string")
+    return small_batches(base).mapInPandas(run, f"{fields}, `{out}` array<double>, embedding_error string")
 
 
 def provider(document_type: Column, table: dict[str, str], fallback: str) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
+from lodestone.operators.postings import small_batches
+
 
 def fixed_size(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every `size` characters, inside the JVM."""
@@ -137,7 +139,7 @@ def _overlap_start(text: str, end: int, c: Config) -> int:
 
 
 def per_document(docs: DataFrame, cut: Callable[[str], list[dict]], schema: str, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each item that cut gives for a document, with the id (a long) and the kept columns, in Arrow batches."""
+    """One row for each item that cut gives for a document, with the id (a long) and the kept columns, in Arrow batches of 8 MB."""
     rows = docs.select(F.col(id).cast("long").alias(id), *keep, F.col(text).cast("string").alias("__t"))
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "__t")
     made_of = _parse_datatype_string(f"{kept}, {schema}")
@@ -155,7 +157,7 @@ def per_document(docs: DataFrame, cut: Callable[[str], list[dict]], schema: str,
                     made = []
             yield pd.DataFrame(made, columns=names)
 
-    return rows.mapInPandas(run, made_of)
+    return small_batches(rows).mapInPandas(run, made_of)
 
 
 def recursive(docs: DataFrame, config: Config = Config(), id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008

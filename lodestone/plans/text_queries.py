@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import querying as Q
 from lodestone.functions import scoring as G
 from lodestone.functions import text as T
+from lodestone.operators.postings import small_batches
 from lodestone.plans.registry import query, sql_any, sql_count, sql_times, table
 
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
@@ -45,7 +46,7 @@ def clean_text(spark, d):
 
 @query()
 def clean_text_nfkc(spark, d):
-    rows = docs(spark, d).select("doc_id", T.clean("text").alias("t")).where("t is not null")
+    rows = small_batches(docs(spark, d)).select("doc_id", T.clean("text").alias("t")).where("t is not null")
     return rows.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
 

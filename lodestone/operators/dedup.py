@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.postings import small_batches
 from lodestone.sources.io import kept
 
 
@@ -38,7 +39,7 @@ def _keys(hashed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), each), "n": np.repeat(n, each), "key": np.concatenate([*found, np.zeros(0, np.int64)]), "before": [k[:i] for k in found for i in range(len(k))]})
 
     kind = dict(hashed.dtypes)["id"]
-    return hashed.mapInPandas(run, f"id {kind}, n int, key long, before array<long>")
+    return small_batches(hashed).mapInPandas(run, f"id {kind}, n int, key long, before array<long>")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5, id: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:

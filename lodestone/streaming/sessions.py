@@ -26,32 +26,26 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        #: events that the watermark may not have passed: time and kind
-        self.waiting = handle.getListState("waiting", "at long, kind string")
-        self.session = handle.getValueState("session", "first long, last long, n long, kinds string")
+        #: the session so far, if n is above 0, and events that the watermark may not have passed, with n 0; one list, as each access is a message to the JVM
+        self.held = handle.getListState("held", "first long, last long, n long, kinds string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for pdf in rows:
             at = pdf["at"].astype("datetime64[ms]").astype("int64")
-            new += list(zip(at.tolist(), pdf["kind"].fillna("").tolist(), strict=True))
+            new += [(t, t, 0, kind) for t, kind in zip(at.tolist(), pdf["kind"].fillna("").tolist(), strict=True)]
         if new:
-            self.waiting.appendList(new)
-            soonest = min(t for t, _ in new)
-            self.handle.registerTimer(soonest + 1)
+            self.held.appendList(new)
+            self.handle.registerTimer(min(e[0] for e in new) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """All waiting events that the watermark has passed join the session, or close it and begin the next one."""
         now = timerValues.getCurrentWatermarkInMs()
-        events = sorted(tuple(x) for x in self.waiting.get())
-        due, later = [e for e in events if e[0] < now], [e for e in events if e[0] >= now]
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] + 1)
-        elif events:
-            self.waiting.clear()
-        open_ = tuple(self.session.get()) if self.session.exists() else None
+        held = [tuple(x) for x in self.held.get()]
+        events = sorted((e[0], e[3]) for e in held if not e[2])
+        due, later = [e for e in events if e[0] < now], [(t, t, 0, kind) for t, kind in events if t >= now]
+        open_ = next((e for e in held if e[2]), None)
         closed = []
         for at, kind in due:
             if open_ and at - open_[1] >= self.gap_ms:
@@ -65,11 +59,15 @@ class SessionProcessor(StatefulProcessor):
         if open_ and now > open_[1] + self.gap_ms:
             closed.append(open_)
             open_ = None
+        if later:
+            self.handle.registerTimer(later[0][0] + 1)
         if open_:
-            self.session.update(open_)
+            later.append(open_)
             self.handle.registerTimer(open_[1] + self.gap_ms + 1)
-        elif self.session.exists():
-            self.session.clear()
+        if later:
+            self.held.put(later)
+        elif held:
+            self.held.clear()
         if closed:
             moment = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc).replace(tzinfo=None)
             yield pd.DataFrame({"key": [key[0]] * len(closed), "start": [moment(c[0]) for c in closed], "end": [moment(c[1]) for c in closed], "n": [c[2] for c in closed], "kinds": [c[3] for c in closed]})

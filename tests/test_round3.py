@@ -141,3 +141,64 @@ def test_files_of_a_stream_are_as_many_as_tasks_read_the_table(spark, tmp_path,
     assert got == want and want
     found = _files(tmp_path / "scratch" / "in")
     assert sum(found) == 400 and max(found) < 70
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    from lodestone.operators.encoding import embed
+
+    class Counting:
+        dimension = 1
+
+        def encode(self, texts):
+            return [[float(len(texts))]] * len(texts)
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "64m")
+    texts = spark.range(30, numPartitions=1).selectExpr("id", "repeat('x', 1 << 20) content")
+    assert embed(texts, Counting(), batch=1000).selectExpr("max(embedding[0])").first()[0] <= 9
+    _documents(spark, tmp_path, range(20), 1)
+    for name in ("clean_text_nfkc", "frontmatter_problems", "markdown_sections", "near_dup_pairs"):
+        spark.conf.set(key, "64m")
+        queries()[name](spark, str(tmp_path))
+        assert spark.conf.get(key) == f"{8 << 20}b", name
+
+
+def test_a_timer_of_a_session_reads_and_writes_state_once():
+    import pandas as pd
+
+    from lodestone.streaming.sessions import SessionProcessor
+
+    asked = []
+
+    class State:
+        rows: list = []
+
+        def __getattr__(self, name):
+            def call(*rows):
+                asked.append(name)
+                if name == "appendList":
+                    self.rows = self.rows + rows[0]
+                elif name == "put":
+                    self.rows = rows[0]
+                elif name == "clear":
+                    self.rows = []
+                return iter(self.rows) if name == "get" else bool(self.rows)
+
+            return call
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: State()
+        registerTimer = lambda self, at: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: self.now
+
+    p, times, found = SessionProcessor(1000), Times(), []
+    p.init(Handle())
+    list(p.handleInputRows((1,), iter([pd.DataFrame({"at": pd.to_datetime([0, 500, 5000, 5100, 9000], unit="ms"), "kind": list("abccd")})]), times))
+    for times.now in (1000, 5050, 100_000):
+        asked.clear()
+        for pdf in p.handleExpiredTimer((1,), times, None):
+            found += list(zip(pdf["n"], pdf["kinds"], strict=True))
+        assert asked in (["get", "put"], ["get", "clear"])
+    assert found == [(2, "a>b"), (2, "c"), (1, "d")]

@@ -1,22 +1,28 @@
 """Inverted indexes kept as tables: words and n-grams of texts for pruned top-k search, and values of fields for filters.
 
-Postings are rows (kind, term, id) in the order of their terms, so a reader skips the row groups without its terms; a
-term of any frequency is dealt over several files. Kinds: `word`; `gram`, every run of up to three characters of a text's
-first ten words; `domain`, terms that raise scores. Beside them are the frequencies of the terms, and for each document
-its words, its head and its domain terms.
+Documents get row numbers when they are written. Postings are rows (term, n, rows), one for each term of a batch of
+documents, so a term of any frequency lies over as many rows as there are batches, and nothing is shuffled to index a text.
+Kinds, each a table: `word`; `gram`, every run of up to three characters of a text's first ten words; `domain`, terms that
+raise scores.
 
 A search scores few documents. Its threshold comes from the documents of the rarest words of a query, scored exactly:
 the k-th best of these. A document that has none of the rarest words but the last n can't score more than n shares and
 all bonuses; so the lists of the common words are never opened where that stays below the threshold. What the opened
-lists leave possible is bounded again with its own bonuses, and only then are its words read. Only a query whose threshold
-is within its bonuses opens all its lists, those of its domain terms, and for each of its words that of its rarest n-gram,
-as a word counts for a bonus inside another one.
+lists leave possible is bounded again with its own bonuses; those of the largest bounds are scored exactly for a better
+threshold, and of the others only those that can reach it. Only a query whose threshold is within its bonuses opens the
+lists of its domain terms, and for each of its words that of its rarest n-gram, as a word counts for a bonus inside
+another one.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +53,9 @@ def words_of(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(text), "\\s+"), "")
 
 
-def head_of(words: Column) -> Column:
-    return F.array_join(F.slice(words, 1, TITLE_WORDS), " ")
+def head_of(text: Column | str) -> Column:
+    """The first ten words; what is behind them is not split."""
+    return F.array_join(F.slice(F.array_remove(F.split(F.lower(text), "\\s+", TITLE_WORDS + 2), ""), 1, TITLE_WORDS), " ")
 
 
 def domains_of(text: Column | str) -> Column:
@@ -67,6 +74,31 @@ def bonus(domains: Column) -> Column:
     return F.aggregate(domains, F.lit(0.0), lambda s, t: s + F.element_at(table, t))
 
 
+def inverted(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches (row, terms) -> (term, n, rows): the rows of each term in up to block_rows documents of a batch. terms: an array, or a text whose words are meant."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, block_rows):
+            b = batch.slice(start, block_rows)
+            terms, row = b["terms"], b["row"].to_numpy()
+            if not pa.types.is_list(terms.type):
+                terms = pc.ascii_split_whitespace(terms)
+            at = np.repeat(np.arange(len(row)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            flat = terms.flatten()
+            some = pc.greater(pc.binary_length(flat), 0)
+            coded = flat.filter(some).dictionary_encode()
+            key = np.sort(coded.indices.to_numpy().astype(np.int64) * len(row) + at[some.to_numpy(zero_copy_only=False)])
+            key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+            n = np.bincount(key // len(row), minlength=len(coded.dictionary))
+            rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(row[key % len(row)]))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n, pa.int64()), rows], names=["term", "n", "rows"])
+
+
+def words_shared(text: str, asked: list[list[str]]) -> list[int]:
+    """How many words of each list the text holds; its words are split once for all."""
+    words = set(re.split(r"[ \t\n\x0b\f\r]+", text))
+    return [sum(w in words for w in some) for some in asked]
+
+
 class Postings:
     def __init__(self, spark: SparkSession, path: str, block_rows: int = 1 << 16):
         self.spark, self.base, self.block_rows = spark, path, block_rows
@@ -75,16 +107,11 @@ class Postings:
     def build(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> Postings:
         """Index all documents with a text. Of an id that occurs twice each row is a hit."""
         some = dealt(docs.where(F.col(text).isNotNull()).select(id, text))
-        base = some.select(F.col(id).alias("id"), words_of(text).alias("all"), domains_of(text).alias("domains"))
-        base.select("id", F.array_distinct("all").alias("words"), head_of(F.col("all")).alias("head"), "domains").write.parquet(f"{self.base}/documents")
-        kept = self.documents()
-        blocks = max(1, -(-kept.count() // self.block_rows))
+        some.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.lower(text).alias("text"), head_of(text).alias("head"), domains_of(text).alias("domains")).write.parquet(f"{self.base}/documents")
+        block_rows = self.block_rows
         grams = F.concat(*[grams_of(F.col("head"), n) for n in (1, 2, 3)])
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-        of_kind = lambda kind, terms: kept.select(F.lit(kind).alias("kind"), "id", block, F.explode(terms).alias("term"))
-        held = of_kind("word", F.col("words")).unionByName(of_kind("gram", grams)).unionByName(of_kind("domain", F.col("domains")))
-        held.repartition("kind", "term", "block").sortWithinPartitions("kind", "term").select("kind", "term", "id").write.parquet(f"{self.base}/lists")
-        self.spark.read.parquet(f"{self.base}/lists").groupBy("kind", "term").agg(F.count("*").alias("df")).write.parquet(f"{self.base}/terms")
+        for kind, terms in (("word", F.col("text")), ("gram", grams), ("domain", F.col("domains"))):
+            small_batches(self.documents().select("row", terms.alias("terms"))).mapInArrow(lambda batches: inverted(batches, block_rows), "term string, n long, rows array<long>").write.parquet(f"{self.base}/{kind}")
         return self
 
     def _table(self, name: str) -> DataFrame:
@@ -96,36 +123,33 @@ class Postings:
     def documents(self) -> DataFrame:
         return self._table("documents")
 
-    def lists(self, kind: str) -> DataFrame:
-        return self._table("lists").where(F.col("kind") == kind).select("term", "id")
+    def rows_of(self, terms: DataFrame, kind: str = "word") -> DataFrame:
+        """terms (qid, term) -> (qid, row) of every document that holds a term, once for each."""
+        return self._table(kind).join(terms.select("qid", "term"), "term").select("qid", F.explode("rows").alias("row"))
 
     def frequency(self, terms: DataFrame, kind: str = "word") -> DataFrame:
         """terms (term) -> (term, df) of those that the index holds."""
-        known = self._table("terms").where(F.col("kind") == kind).select("term", "df")
-        return known.join(terms.select("term").distinct(), "term", "left_semi")
-
-    def bonuses(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        """pairs (qid, id, ...) with the query's words and the document's bonus."""
-        c = F.col
-        heads = self.documents().select("id", "head", "domains")
-        both = pairs.join(heads, "id").join(queries.select("qid", "asked", c("domains").alias("wanted")), "qid")
-        title = F.when(F.exists("asked", lambda w: F.contains(c("head"), w)), F.lit(TITLE)).otherwise(0.0)
-        return both.select(*pairs.columns, "asked", (bonus(F.array_intersect("domains", "wanted")) + title).alias("bonus"))
+        return self._table(kind).select("term", "n").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
 
     def score(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        """Exact scores of (qid, id)."""
+        """Exact scores (qid, id, score) of (qid, row). A document is read once for all its queries."""
         c = F.col
-        both = self.documents().join(pairs.select("qid", "id"), "id").join(queries.select("qid", "asked", c("domains").alias("wanted")), "qid")
-        title = F.when(F.exists("asked", lambda w: F.contains(c("head"), w)), F.lit(TITLE)).otherwise(0.0)
-        total = F.size(F.array_intersect("asked", "words")) / F.size("asked") + bonus(F.array_intersect("domains", "wanted")) + title
-        return both.select("qid", "id", F.least(F.lit(1.0), total).alias("score"))
+        shared = F.udf(lambda text, asked: words_shared(text, asked), "array<int>")
+        wanted = pairs.select("qid", "row").join(queries.select("qid", "asked", c("domains").alias("wanted")), "qid")
+        wanted = self._kept(wanted.groupBy("row").agg(F.collect_list(F.struct("qid", "asked", "wanted")).alias("queries")))
+        both = self.documents().join(wanted, "row").select("id", "head", "domains", "queries", shared("text", "queries.asked").alias("n"))
+        each = both.select("id", "head", "domains", F.explode(F.arrays_zip("queries", "n")).alias("x")).select("id", "head", "domains", "x.queries.*", "x.n")
+        total = c("n") / F.size("asked") + bonus(F.array_intersect("domains", "wanted")) + self._title()
+        return each.select("qid", "id", F.least(F.lit(1.0), total).alias("score"))
+
+    def _title(self) -> Column:
+        return F.when(F.exists("asked", lambda w: F.contains(F.col("head"), w)), F.lit(TITLE)).otherwise(0.0)
 
     def search(self, queries: DataFrame, k: int, seeds: int = 20) -> DataFrame:
         """queries (qid, query) -> (qid, id, score, rank): share of query words in the text, with bonuses for shared domain terms and for a query word within the first ten words; at most 1, above 0 only, ties to the smaller id."""
         c = F.col
         asked = queries.select("qid", F.array_distinct(words_of("query")).alias("asked"), domains_of("query").alias("domains")).where(F.size("asked") > 0)
         asked = self._kept(asked.withColumn("most_bonus", TITLE + bonus(c("domains"))))
-        lists = self.lists("word")
         terms = asked.select("qid", F.size("asked").alias("m"), "most_bonus", F.explode("asked").alias("term"))
         rarity = Window.partitionBy("qid").orderBy("df", "term")
         known = terms.join(self.frequency(terms), "term").withColumns({
@@ -134,43 +158,61 @@ class Postings:
             "held": F.count("*").over(Window.partitionBy("qid")),
         })
         known_terms = self._kept(known)
-        rare = known_terms.where((c("before") < k) | (c("before") + c("df") <= seeds * k)).select("qid", "term")
-        first = rare.join(lists, "term").select("qid", "id").distinct()
-        best = Window.partitionBy("qid").orderBy(F.desc("score"))
-        kth = self.score(first, asked).withColumn("n", F.row_number().over(best)).where(c("n") == k).select("qid", c("score").alias("least"))
-        kth = self._kept(kth)
+        rare = known_terms.where((c("before") < k) | (c("before") + c("df") <= seeds * k))
+        first = self._kept(self.rows_of(rare).distinct())
+        kth = self._kept(self._kth(self.score(first, asked), k))
         # the rarest words, until a document without any of them stays below the threshold
         bound = known_terms.join(kth, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         needed = bound.withColumn("open", (c("held") - (c("r") - 1)) / c("m") + c("most_bonus") >= c("least") - CLOSE).where("open")
-        opened = needed.withColumn("closed", c("held") - F.count("*").over(Window.partitionBy("qid")))
-        found = opened.join(lists, "term").select("qid", "m", "most_bonus", "least", "closed", "id")
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # said, since pairs are small and what is done with them isn't
-        counted = found.repartition(tasks, "qid", "id").groupBy("qid", "id").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("m", "most_bonus", "least", "closed")])
-        within = lambda extra: (c("n") + c("closed")) / c("m") + extra >= c("least") - CLOSE
-        likely = self.bonuses(counted.where(within(c("most_bonus"))), asked).where(within(c("bonus"))).select("qid", "id")
+        opened = self._kept(needed.withColumn("closed", c("held") - F.count("*").over(Window.partitionBy("qid"))).select("qid", "term", "m", "most_bonus", "least", "closed"))
+        near = self._kept(self._near(opened, asked))
+        # the most promising ones set a threshold that the others have to reach, with a smaller id where no score is better
+        promise = Window.partitionBy("qid").orderBy(F.desc(F.least(F.lit(1.0), "high")), "id")
+        first = self._kept(near.withColumn("n", F.row_number().over(promise)).where(c("n") <= seeds * k).select("qid", "row"))
+        best = self._kth(self.score(first, asked), k).select("qid", c("least").alias("better"), "last")
+        limits = self._kept(asked.select("qid", "most_bonus").join(kth.select("qid", "least"), "qid", "left").join(best, "qid", "left").select("qid", "most_bonus", F.coalesce(F.greatest("least", "better"), F.lit(0.0)).alias("least"), F.when(c("better") == 1.0, c("last")).alias("last")))
+        likely = near.join(limits, "qid").where((c("high") >= c("least") - CLOSE) & (c("last").isNull() | (c("id") <= c("last")))).select("qid", "row")
         # queries that bonuses alone could answer
-        loose = asked.join(kth, "qid", "left").where(F.coalesce("least", F.lit(0.0)) <= c("most_bonus") + CLOSE)
+        loose = limits.where(c("least") <= c("most_bonus") + CLOSE)
         if loose.limit(1).count():
-            likely = likely.unionByName(self._with_bonus(loose))
-        likely = likely.distinct()
+            likely = likely.unionByName(self._with_bonus(asked.join(loose.select("qid"), "qid", "left_semi")))
+        likely = self._kept(likely.distinct())
         ranks = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
         return self.score(likely, asked).where("score > 0").withColumn("rank", F.row_number().over(ranks)).where(c("rank") <= k)
 
+    def _kth(self, scores: DataFrame, k: int) -> DataFrame:
+        """(qid, least, last): score and id of the k-th best of each query that has as many."""
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+        ranked = scores.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+        return ranked.where(F.col("n") == k).select("qid", F.col("score").alias("least"), F.col("id").alias("last"))
+
+    def _near(self, opened: DataFrame, asked: DataFrame) -> DataFrame:
+        """(qid, row, id, high) of the documents in opened lists that may reach the threshold; high: all words of closed lists and the document's own bonuses counted."""
+        c = F.col
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # said, since pairs are small and what is done with them isn't
+        counted = self.rows_of(opened).repartition(tasks, "row").groupBy("row", "qid").agg(F.count("*").alias("n"))
+        limits = opened.select("qid", "m", "most_bonus", "least", "closed").distinct().join(asked.select("qid", "asked", c("domains").alias("wanted")), "qid")
+        within = lambda extra: (c("n") + c("closed")) / c("m") + extra >= c("least") - CLOSE
+        shared = sum((F.when(F.array_contains("domains", t) & F.array_contains("wanted", t), F.lit(x)).otherwise(0.0) for t, x in BOOSTS.items()), F.lit(0.0))
+        both = counted.join(limits, "qid").where(within(c("most_bonus"))).join(self.documents().select("row", "id", "head", "domains"), "row")
+        both = both.withColumn("shared", shared).where(within(c("shared") + TITLE)).withColumn("bonus", c("shared") + self._title()).where(within(c("bonus")))
+        return both.select("qid", "row", "id", ((c("n") + c("closed")) / c("m") + c("bonus")).alias("high"))
+
     def _with_bonus(self, asked: DataFrame) -> DataFrame:
-        """(qid, id) of documents that may have a bonus: a shared domain term, or the rarest n-gram of a query word in the head."""
+        """(qid, row) of documents that may have a bonus: a shared domain term, or the rarest n-gram of a query word in the head."""
         c = F.col
-        shared = asked.select("qid", F.explode("domains").alias("term")).join(self.lists("domain"), "term").select("qid", "id")
+        shared = self.rows_of(asked.select("qid", F.explode("domains").alias("term")), "domain")
         words = asked.select("qid", F.explode("asked").alias("word"))
         size = F.least(F.length("word"), F.lit(3))
         grams = words.select("word", F.explode(F.when(size == 3, grams_of(c("word"), 3)).when(size == 2, grams_of(c("word"), 2)).otherwise(grams_of(c("word"), 1))).alias("term")).distinct()
         counted = grams.join(self.frequency(grams, "gram"), "term", "left")
         order = Window.partitionBy("word").orderBy(c("df").asc_nulls_first(), "term")  # a gram that no head holds comes first, and ends the word
         rarest = counted.withColumn("r", F.row_number().over(order)).where("r = 1 and df is not null").select("word", "term")
-        inside = words.join(rarest, "word").select("qid", "term").distinct().join(self.lists("gram"), "term").select("qid", "id")
+        inside = self.rows_of(words.join(rarest, "word").select("qid", "term").distinct(), "gram")
         return shared.unionByName(inside)
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        """Written and read again: a few rows a query, which several steps read."""
+        """Written and read again: what several steps read, with a size that joins are chosen by."""
         at = f"{self.base}/queries-{uuid.uuid4().hex}"
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)

@@ -107,6 +107,23 @@ def test_search_opens_few_lists(spark, tmp_path):
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [33, 35, 37] and max(scored) < 60
 
 
+def test_search_scores_few_where_bounds_are_wide(spark, tmp_path):
+    """Documents of the rarest word are poor and set a low threshold, and many copies score 1: neither makes the search score all of them."""
+    from lodestone.operators.postings import Postings
+
+    rnd = random.Random(4)
+    head, common = "x " * 10, [f"c{i}" for i in range(10)]
+    docs = [(i, head + " ".join(c for c in common if rnd.random() < 0.5)) for i in range(3, 400)] + [(i, head + "seed") for i in range(3)]
+    docs += [(i, "neural machine learning all the same " + " ".join(f"o{j}" for j in range(i % 7))) for i in range(900, 400, -1)] + [(401, "neural"), (401, "machine learning all x")]
+    queries = [(1, "seed " + " ".join(common)), (2, "neural machine learning all")]
+    p = Postings(spark, f"{tmp_path}/p", block_rows=64).build(spark.createDataFrame(docs, "doc_id long, text string"))
+    scored, plain = [], p.score
+    p.score = lambda pairs, asked: scored.append({r["qid"]: r["count"] for r in pairs.groupBy("qid").count().collect()}) or plain(pairs, asked)
+    got = p.search(spark.createDataFrame(queries, "qid long, query string"), 3, seeds=2).collect()
+    assert sorted((r["qid"], r["id"], round(r["score"], 9), r["rank"]) for r in got) == plain_lexical(docs, queries, 3)
+    assert scored[-1][1] < 40 and scored[-1][2] < 40
+
+
 def test_field_index(spark, tmp_path):
     from lodestone.operators.postings import FieldIndex
 

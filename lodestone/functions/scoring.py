@@ -139,7 +139,8 @@ def category(text: Column | str) -> Column:
         for k, (name, terms) in enumerate(CATEGORIES.items()):
             # most texts lack most terms: looking is cheaper than replacing
             weight = _sum([F.when(F.contains(t, F.lit(term)), occurrences(t, term) * len(term)).otherwise(F.lit(0).cast("long")) for term in terms])
-            conf = F.coalesce(F.least(F.try_divide(weight, F.length(t)) * 1000, F.lit(0.95)), F.lit(0.0))
+            # a null or empty text has no share; least would pass over its null and give the limit
+            conf = F.least(F.coalesce(F.try_divide(weight, F.length(t)) * 1000, F.lit(0.0)), F.lit(0.95))
             made.append(F.struct(conf.alias("confidence"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
         return F.array_max(F.filter(F.array(*made), lambda x: x["confidence"] > 0.4))
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.scoring import source_type
 
@@ -36,14 +37,22 @@ def read_folder(spark: SparkSession, path: str, pattern: str = "*", recursive: b
 
 
 def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
-    w = df.write.mode("overwrite")
-    (w.partitionBy(by) if by else w).json(path)
+    """One folder for each value of `by`, which its rows hold too: a folder can't tell null from empty, nor name every text. Plain values name their folder, others do by their digest."""
+    if by:
+        value = F.col(by).cast("string")
+        plain = value.rlike("(?U)\\A[\\w .-]{1,60}\\z") & (value != "__HIVE_DEFAULT_PARTITION__")
+        df, folder = df.withColumn(f"{by}_folder", F.when(plain, value).otherwise(F.md5(value))), [f"{by}_folder"]
+    (df.write.partitionBy(*folder) if by else df.write).mode("overwrite").json(path)
+
+
+#: how CSV files are written and read: texts may hold quotes, commas, lines and any control character, and keep the white space around them. Lines end as the header does
+CSV = {"header": True, "escape": '"', "charToEscapeQuoteEscaping": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Nested columns as JSON texts."""
+    """Nested columns as JSON texts. A null is nothing between commas, an empty text two quotes."""
     flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    flat.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def markdown_text(title: str = "title", content: str = "content", collection: str = "collection") -> Column:
@@ -63,13 +72,17 @@ def read_any(spark: SparkSession, path: str, schema: str, kind: str | None = Non
     """json, csv or parquet, by kind or by the ending of the path; a column `metadata` of CSV files that is no JSON is wrapped as raw_metadata."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1]
     if kind == "csv":
-        df = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        # Spark takes "" for null where it has no other name, so it gets one that no text has
+        empty = uuid.uuid4().hex
+        df = spark.read.schema(schema).options(**CSV, emptyValue=empty).csv(path)
+        df = df.select(*[F.when(F.col(f"`{c}`") == empty, "").otherwise(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
         if "metadata" in df.columns:
             wrapped = F.to_json(F.struct(F.col("metadata").alias("raw_metadata")))
             df = df.withColumn("metadata", F.when(F.col("metadata").isNull() | F.try_parse_json("metadata").isNotNull(), F.col("metadata")).otherwise(wrapped))
         return df
     if kind in ("json", "parquet"):
-        return spark.read.schema(schema).format(kind).load(path)
+        # texts of any length: beyond the usual bound of JSON strings a row would be read as nulls
+        return spark.read.schema(schema).format(kind).option("maxStringLen", (1 << 31) - 1).load(path).select(*[f"`{c}`" for c in StructType.fromDDL(schema).names])
     raise ValueError(f"unknown format: {kind}")
 
 

@@ -14,3 +14,30 @@ def test_texts_that_are_null_or_empty_have_no_category(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "categorise")
     assert got == want
     assert got[:2] == [(1, "general", 0.4), (2, "general", 0.4)]
+
+
+def test_documents_come_back_from_json_and_csv_as_they_were(spark, tmp_path):
+    odd = [None, "", " ", " a ", "a\t", "\r\n", "a\rb\r", 'a"', '"', '"\0', "\0", "\\", "a,b", "\n", "null", "__HIVE_DEFAULT_PARTITION__", "a/b=c", "..", "é" * 200, "x \n"]
+    rows = [(i, text, odd[i % 7], source) for i, (text, source) in enumerate([*[(t, s) for t in odd for s in odd[:4]], *[("x", s) for s in odd]])]
+    documents(spark, tmp_path, rows)
+    got, want = against_sql(spark, tmp_path, "export_import")
+    assert got == want
+
+
+def test_json_texts_have_no_longest_length(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestone.sources import io
+
+    io.write_json(spark.range(1).select("id", F.repeat(F.lit("ab c "), 4_100_000).alias("text")), f"{tmp_path}/a.json")
+    assert io.read_any(spark, f"{tmp_path}/a.json", "id long, text string").select("id", F.length("text")).first()[:] == (0, 20_500_000)
+
+
+def test_csv_files_of_other_tools_are_read_as_before(spark, tmp_path):
+    from lodestone.sources import io
+
+    (tmp_path / "a.csv").write_bytes(b'id,text,tag\r\n1,"a\nb",x\r\n2,,"y ""z"""\r\n')
+    assert [tuple(r) for r in io.read_any(spark, f"{tmp_path}/a.csv", "id long, text string, tag string").collect()] == [(1, "a\nb", "x"), (2, None, 'y "z"')]
+    (tmp_path / "b.json" / "tag=x").mkdir(parents=True)
+    (tmp_path / "b.json" / "tag=x" / "f.json").write_text('{"id": 1}\n')
+    assert [tuple(r) for r in io.read_any(spark, f"{tmp_path}/b.json", "id long, tag string").collect()] == [(1, "x")]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lodestone.operators.postings import BOOSTS, dealt, small_batches
+from lodestone.operators.postings import BOOSTS, TITLE, dealt, head_of, small_batches
 
 
 #: (queries) -> a function from batches of rows to the rows found; it is made once a task, so what it keeps of the queries is built once
@@ -199,7 +199,7 @@ def top_k(chunks: DataFrame, queries: DataFrame, k: int, per_collection: bool =
 
         return run
 
-    pairs = meet_all(rows.where(F.coalesce(whole("__e"), F.lit(False))), asked.where(F.coalesce(whole("__q"), F.lit(False))), search, schema)
+    pairs = meet_all(rows.where(F.coalesce(whole("__e"), F.lit(False))), asked.where(F.coalesce(whole("__q"), F.lit(False))), search, schema, 1 << 14)
     order = Window.partitionBy(*by).orderBy("distance", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -266,106 +266,181 @@ def tokens(text: Column | str) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), "\\s+"), ""))
 
 
+class _QueryBlock:
+    """Of a block of queries, which queries hold a word: of common words as a matrix, of the others as lists."""
+
+    def __init__(self, n: int, query: np.ndarray, word: np.ndarray, column: np.ndarray, columns: int, words: int):
+        common = column[word] >= 0
+        self.n, self.matrix = n, np.zeros((columns, n), np.float32)
+        self.matrix[column[word[common]], query[common]] = 1
+        query, word = query[~common], word[~common]
+        self.query = query[np.argsort(word, kind="stable")].astype(np.int32)
+        self.held = np.bincount(word, minlength=words).astype(np.int32)
+        self.start = np.cumsum(self.held) - self.held
+
+    def shared(self, common: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """rows x queries: how many of a row's words a query holds. common: rows x columns; (row, word): the other words, without repetition."""
+        out = common @ self.matrix
+        n = self.held[word]
+        some = n > 0
+        row, word, n = row[some], word[some], n[some]
+        end = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            before = end[a] - n[a]
+            b = max(a + 1, int(np.searchsorted(end, before + (1 << 20), side="right")))
+            m = n[a:b]
+            at = np.repeat(self.start[word[a:b]] - (end[a:b] - m - before), m) + np.arange(end[b - 1] - before)
+            out += np.bincount(np.repeat(row[a:b] * self.n, m) + self.query[at], minlength=out.size).reshape(out.shape)
+            a = b
+        return out
+
+
 class _QueryWords:
-    """The words of a block of queries (qid, words, terms) as an index."""
+    """The words of queries (qid, words, terms) as an index."""
 
-    def __init__(self, asked: pa.Table):
+    def __init__(self, asked: pa.Table, block_queries: int):
         self.n, self.qids = len(asked), asked["qid"]
         lists = asked["words"].combine_chunks()
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         coded = lists.flatten().dictionary_encode()
         self.vocabulary = coded.dictionary
-        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        query = np.repeat(np.arange(self.n), self.sizes)
-        word = coded.indices.to_numpy(zero_copy_only=False)
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        query, word = np.repeat(np.arange(self.n), size), coded.indices.to_numpy(zero_copy_only=False)
         held = np.bincount(word, minlength=len(self.vocabulary))
-        # words that many queries hold are columns of a matrix, the others lists of queries
-        common = held * 16 >= self.n
-        self.column = np.where(common, np.cumsum(common) - 1, -1)
-        self.matrix = np.zeros((int(common.sum()), self.n), np.float32)
-        self.matrix[self.column[word[common[word]]], query[common[word]]] = 1
+        # words that many queries hold are columns of a matrix, of 64 MB at most
+        most = np.argsort(-held, kind="stable")[: (1 << 24) // max(self.n, 1)]
+        most = most[held[most] * 16 >= self.n]
+        self.column, self.columns = np.full(len(held), -1), len(most)
+        self.column[most] = np.arange(len(most))
+        self.sizes = size.astype(float)
+        self.wants = np.array(asked["terms"].to_pylist(), bool).reshape(self.n, len(BOOSTS))
+        self.most = self.wants @ np.array([*BOOSTS.values()]) + TITLE
+        self.blocks = []
+        for a in range(0, self.n, block_queries):
+            here = slice(*np.searchsorted(query, [a, a + block_queries]))
+            self.blocks.append((a, _QueryBlock(min(block_queries, self.n - a), query[here] - a, word[here], self.column, self.columns, len(held))))
         order = np.argsort(word, kind="stable")
-        self.query, self.start, self.held = query[order], np.r_[0, np.cumsum(held)], held
+        self.query, self.start = query[order].astype(np.int32), np.r_[0, np.cumsum(held)].tolist()
         self.at = {w: i for i, w in enumerate(self.vocabulary.to_pylist())}
         self.lengths = sorted({len(w) for w in self.at})
-        self.wants = np.array(asked["terms"].to_pylist(), bool).reshape(self.n, len(BOOSTS))
-
-    def shared(self, row: np.ndarray, word: np.ndarray, rows: int) -> np.ndarray:
-        """rows x queries: how many of a row's words, which are (row, word) without repetition, a query holds."""
-        column = self.column[word]
-        some = np.zeros((rows, len(self.matrix)), np.float32)
-        some[row[column >= 0], column[column >= 0]] = 1
-        out = (some @ self.matrix).astype(float)
-        row, word = row[column < 0], word[column < 0]
-        for a in range(0, len(row), 1 << 14):
-            r, w = row[a : a + (1 << 14)], word[a : a + (1 << 14)]
-            n = self.held[w]
-            at = np.repeat(self.start[w] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            out += np.bincount(np.repeat(r, n) * self.n + self.query[at], minlength=out.size).reshape(out.shape)
-        return out
+        self.inside: dict[str, int] = {}
+        self.holders: dict[int, int] = {}
 
-    def scores(self, part: pa.RecordBatch) -> np.ndarray:
-        rows = part.num_rows
-        lists = part["words"]
+    def words(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, word) of the words of lower-cased texts that queries hold, rows in order; repeated."""
+        lists = pc.ascii_split_whitespace(text)
         word = pc.index_in(lists.flatten(), self.vocabulary)
-        row = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        known = word.is_valid().to_numpy(zero_copy_only=False)
-        score = self.shared(row[known], word.drop_null().to_numpy(zero_copy_only=False), rows) / self.sizes
-        terms = np.array(part["terms"].to_pylist(), bool).reshape(rows, len(BOOSTS))
-        for j, boost in enumerate(BOOSTS.values()):
-            score += np.where(terms[:, j, None] & self.wants[:, j], boost, 0.0)
-        found = [self.at.keys() & {head[a : a + n] for n in self.lengths if n <= len(head) for a in range(len(head) - n + 1)} for head in part["head"].to_pylist()]
-        row = np.repeat(np.arange(rows), [len(f) for f in found])
-        title = self.shared(row, np.array([self.at[w] for f in found for w in f], int), rows) > 0
-        return np.minimum(score + np.where(title, 0.2, 0.0), 1.0)
+        row = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return row[word.is_valid().to_numpy(zero_copy_only=False)], word.drop_null().to_numpy(zero_copy_only=False)
+
+    def _holders(self, i: int) -> int:
+        """Bits of the queries that hold the i-th word."""
+        bits = self.holders.get(i)
+        if bits is None:
+            has = np.zeros(self.n, bool)
+            has[self.query[self.start[i] : self.start[i + 1]]] = True
+            bits = self.holders[i] = int.from_bytes(np.packbits(has, bitorder="little").tobytes(), "little")
+        return bits
+
+    def _inside(self, word: str) -> int:
+        """Bits of the queries of which a word lies within this one."""
+        bits = self.inside.get(word)
+        if bits is None:
+            if (len(self.inside) + len(self.holders)) * (self.n // 8 + 100) > 1 << 26:  # kept within 64 MB a task
+                self.inside, self.holders = {}, {}
+            bits = 0
+            for part in {word[a : a + n] for n in self.lengths if n <= len(word) for a in range(len(word) - n + 1)}:
+                if (i := self.at.get(part)) is not None:
+                    bits |= self._holders(i)
+            self.inside[word] = bits
+        return bits
+
+    def title(self, head: str) -> np.ndarray:
+        """Bits of the queries of which a word lies within the head. No word holds a space, so it lies within one of the head's."""
+        bits = 0
+        for word in set(head.split(" ")):
+            bits |= self._inside(word)
+        return np.frombuffer(bits.to_bytes(-(-self.n // 8), "little"), np.uint8)
+
+    def found(self, batch: pa.RecordBatch, pools: list[Best], rows: int = 1024) -> None:
+        """Adds to the pool of each block the rows of a batch that may be among the best of a query. What a row scores by its words and all bonuses of the query bounds it; only those that this leaves possible get their own bonuses."""
+        all_rows, all_words = self.words(batch["text"])
+        ids, heads = batch["id"].to_pandas().to_numpy(), batch["head"].to_pylist()
+        terms = np.array(batch["terms"].to_pylist(), bool).reshape(len(ids), len(BOOSTS))
+        for c in range(0, len(ids), rows):
+            some = slice(*np.searchsorted(all_rows, [c, c + rows]))
+            row, word = all_rows[some] - c, all_words[some]
+            r = min(rows, len(ids) - c)
+            column = self.column[word]
+            common = np.zeros((r, self.columns), np.float32)
+            common[row[column >= 0], column[column >= 0]] = 1
+            key = np.sort(row[column < 0] * len(self.column) + word[column < 0])
+            key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+            row, word = key // len(self.column), key % len(self.column)
+            title, known = np.zeros((r, -(-self.n // 8)), np.uint8), np.zeros(r, bool)
+            for (a, block), pool in zip(self.blocks, pools, strict=True):
+                size, most, wants = self.sizes[a : a + block.n], self.most[a : a + block.n], self.wants[a : a + block.n]
+                n = block.shared(common, row, word)
+                least = -pool.least
+                need = (least - most) * size
+                new = np.flatnonzero(~np.isfinite(least))
+                if len(new) and pool.k < r:
+                    need[new] = np.partition(n[:, new], r - pool.k, axis=0)[r - pool.k] - most[new] * size[new]
+                i, j = np.nonzero(n >= (need - 0.01).astype(np.float32))
+                score = n[i, j] / size[j]
+                for t, boost in enumerate(BOOSTS.values()):
+                    if wants[:, t].any():
+                        score += np.where(terms[c + i, t] & wants[j, t], boost, 0.0)
+                for x in np.unique(i[~known[i]]):
+                    title[x], known[x] = self.title(heads[c + x]), True
+                q = a + j
+                score = np.minimum(score + np.where(title[i, q >> 3] >> (q & 7) & 1, TITLE, 0.0), 1.0)
+                keep = (score > 0) & (score >= least[j])
+                if len(new) and keep.sum() > 4 * pool.k * block.n and pool.k < r:
+                    scores = np.zeros(n.shape)
+                    scores[i, j] = score
+                    keep &= score >= np.partition(scores, r - pool.k, axis=0)[r - pool.k][j]
+                pool.add(j[keep], -score[keep], id=ids[c + i[keep]])
+                if sum(map(len, pool.parts)) > 4 * pool.k * block.n or not np.isfinite(pool.least).any():
+                    pool.rows()
 
 
 def lexical_search(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", block_queries: int = 1024) -> DataFrame:
     """queries (qid, query) -> (qid, id, score, rank): share of query words in the text, with boosts for shared domain terms and for a query word within the first ten words; at most 1, above 0 only.
 
     One pass over the documents: the words of the queries are an index that each task makes once, in which a document's
-    words, and the parts of its first ten, are looked up once for all queries of a block. Documents come in batches of 8 MB
-    and are scored 256 at a time against `block_queries` queries, so a task holds that many scores, and it passes on its k best. For searches that
-    come again and again see lodestone.operators.postings, where the documents are indexed.
+    words are looked up once for all queries. Documents come in batches of 8 MB; 1,024 of them at a time meet
+    `block_queries` queries, so a task holds that many counts of shared words. Only pairs that could be among the k best with
+    all bonuses get their score, and a task passes on its k best. For searches that come again and again see
+    lodestone.operators.postings, where the documents are indexed.
     """
     low = lambda c: F.lower(c)
     shared = lambda c: F.array(*[F.contains(low(c), F.lit(t)) for t in BOOSTS])
-    q = queries.select("qid", tokens("query").alias("words"), shared("query").alias("terms")).where(F.size("words") > 0)
-    words = F.array_remove(F.split(low(text), "\\s+"), "")
+    # whether there is a word is asked without splitting: this filter goes below joins, to texts that are no queries
+    q = queries.where(F.col("query").rlike("\\S")).select("qid", tokens("query").alias("words"), shared("query").alias("terms"))
     docs = dealt(docs.select(id, text))
-    d = docs.select(F.col(id).alias("id"), F.array_distinct(words).alias("words"), F.array_join(F.slice(words, 1, 10), " ").alias("head"), shared(text).alias("terms")).where(F.col(text).isNotNull())
+    d = docs.select(F.col(id).alias("id"), low(text).alias("text"), head_of(text).alias("head"), shared(text).alias("terms")).where(F.col(text).isNotNull())
     schema = f"qid {dict(q.dtypes)['qid']}, id {dict(d.dtypes)['id']}, score double"
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def search(asked: pa.Table):
-        blocks = [_QueryWords(asked.slice(a, block_queries)) for a in range(0, len(asked), block_queries)]
+        index = _QueryWords(asked, block_queries)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pools = [Best(b.n, k) for b in blocks]
+            pools = [Best(block.n, k) for _, block in index.blocks]
             for batch in batches:
-                for a in range(0, batch.num_rows, 256):
-                    part = batch.slice(a, 256)
-                    ids = part["id"].to_pandas().to_numpy()
-                    for block, pool in zip(blocks, pools, strict=True):
-                        score = block.scores(part)
-                        least = -pool.least
-                        may = (score > 0) & (score >= least)
-                        if may.sum() > 4 * k * block.n and k < len(score):
-                            may &= score >= np.partition(score, len(score) - k, axis=0)[len(score) - k]
-                        i, j = np.nonzero(may)
-                        pool.add(j, -score[i, j], id=ids[i])
-                        if sum(map(len, pool.parts)) > 4 * k * block.n or not np.isfinite(pool.least).any():
-                            pool.rows()
-            for block, pool in zip(blocks, pools, strict=True):
+                index.found(batch, pools)
+            for (a, _), pool in zip(index.blocks, pools, strict=True):
                 rows = pool.rows()
                 if rows is not None:
-                    which = block.qids.take(rows["query"].to_numpy()).combine_chunks()
+                    which = index.qids.take(a + rows["query"].to_numpy()).combine_chunks()
                     yield pa.RecordBatch.from_arrays([which, pa.array(rows["id"], kind.field("id").type, from_pandas=True), pa.array(-rows["value"])], schema=kind)
 
         return run
 
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return meet_all(small_batches(d), q, search, schema, 4 * block_queries, 4 * block_queries, 1 << 13).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return meet_all(small_batches(d), q, search, schema, 8 * block_queries, 8 * block_queries, 1 << 13).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
